@@ -31,21 +31,35 @@ def clean(df: DataFrame) -> DataFrame:
 
 
 def engineer(df: DataFrame) -> DataFrame:
-    """Calendar, fiscal, price and log features of one order row."""
+    """Calendar, fiscal, price and log features of one order row.
+
+    Features whose inputs are not in ``df`` are skipped, so a pruned fact
+    (only the columns a query needs) can be passed.
+    """
+    have = set(df.columns)
     d = F.col("order_date")
-    return df.withColumns({
-        "year": F.year(d),
-        "month": F.month(d),
-        "month_name": F.date_format(d, "MMMM"),
-        "weekday": F.weekday(d),
-        "is_weekend": is_weekend(d),
-        "fiscal_quarter": fiscal_quarter(F.month(d)),
-        "year_month": year_month(d),
-        "discount_amount": F.col("base_price") - F.col("final_price"),
-        "discount_ratio": safe_div(F.col("base_price") - F.col("final_price"), F.col("base_price")),
-        "revenue_per_unit": F.col("final_price"),
-        **{f"log_{c}": F.log1p(clip_lower(F.col(c).cast("double"), 0.0)) for c in LOG_COLUMNS},
-    })
+    cols = {}
+    if "order_date" in have:
+        cols.update({
+            "year": F.year(d),
+            "month": F.month(d),
+            "month_name": F.date_format(d, "MMMM"),
+            "weekday": F.weekday(d),
+            "is_weekend": is_weekend(d),
+            "fiscal_quarter": fiscal_quarter(F.month(d)),
+            "year_month": year_month(d),
+        })
+    if {"base_price", "final_price"} <= have:
+        cols.update({
+            "discount_amount": F.col("base_price") - F.col("final_price"),
+            "discount_ratio": safe_div(F.col("base_price") - F.col("final_price"), F.col("base_price")),
+        })
+    if "final_price" in have:
+        cols["revenue_per_unit"] = F.col("final_price")
+    for c in LOG_COLUMNS:
+        if c in have:
+            cols[f"log_{c}"] = F.log1p(clip_lower(F.col(c).cast("double"), 0.0))
+    return df.withColumns(cols) if cols else df
 
 
 def prepare(df: DataFrame) -> DataFrame:

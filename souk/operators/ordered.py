@@ -175,13 +175,13 @@ def gini(df: DataFrame, col: str = "revenue") -> DataFrame:
 
 
 def ecdf(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Empirical CDF of several columns in one job: (column, value, ecdf)."""
+    """Empirical CDF of several columns in one job: (feature, value, ecdf)."""
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols
-    ])).alias("_kv")).select("_kv.column", "_kv.value")
-    vc = value_counts(long, "value", ["column"], "n")
-    ps = prefix_sum(vc, "value", ["n"], ["column"])
-    return ps.select("column", "value", (F.col("cum_n") / F.col("total_n")).alias("ecdf"))
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols
+    ])).alias("_kv")).select("_kv.feature", "_kv.value")
+    vc = value_counts(long, "value", ["feature"], "n")
+    ps = prefix_sum(vc, "value", ["n"], ["feature"])
+    return ps.select("feature", "value", (F.col("cum_n") / F.col("total_n")).alias("ecdf"))
 
 
 def rolling_stats(series: DataFrame, key: str, value: str, width: int = 3) -> DataFrame:

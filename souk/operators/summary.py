@@ -108,22 +108,22 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 40) -> DataFrame:
     numpy semantics: ``bins`` intervals between min and max, all half-open
     except the last, which includes the max.  A constant column gets one
     interval [v - 0.5, v + 0.5].  Columns with no value give no rows.
-    Output: column, bin, bin_lo, bin_hi, count.
+    Output: feature, bin, bin_lo, bin_hi, count.
     """
     long = (df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols
-    ])).alias("_kv")).select("_kv.column", "_kv.x").where(F.col("x").isNotNull()))
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols
+    ])).alias("_kv")).select("_kv.feature", "_kv.x").where(F.col("x").isNotNull()))
     # one row per column: bounded by len(cols), safe to broadcast
-    rng = long.groupBy("column").agg(F.min("x").alias("_lo0"), F.max("x").alias("_hi0"))
-    rng = rng.select("column",
+    rng = long.groupBy("feature").agg(F.min("x").alias("_lo0"), F.max("x").alias("_hi0"))
+    rng = rng.select("feature",
                      F.when(F.col("_lo0") == F.col("_hi0"), F.col("_lo0") - 0.5).otherwise(F.col("_lo0")).alias("_lo"),
                      F.when(F.col("_lo0") == F.col("_hi0"), F.col("_hi0") + 0.5).otherwise(F.col("_hi0")).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.least(F.floor((F.col("x") - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
-    counted = (long.join(F.broadcast(rng), "column")
-               .groupBy("column", b.alias("bin"), "_lo", "_hi").agg(F.count(F.lit(1)).alias("count")))
+    counted = (long.join(F.broadcast(rng), "feature")
+               .groupBy("feature", b.alias("bin"), "_lo", "_hi").agg(F.count(F.lit(1)).alias("count")))
     w = (F.col("_hi") - F.col("_lo")) / bins
-    return counted.select("column", "bin",
+    return counted.select("feature", "bin",
                           (F.col("_lo") + F.col("bin") * w).alias("bin_lo"),
                           (F.col("_lo") + (F.col("bin") + 1) * w).alias("bin_hi"),
                           "count")

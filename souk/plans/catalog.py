@@ -2,9 +2,13 @@
 the order fact derived from the given tables, with a DuckDB SQL twin in
 ``ORACLE`` where SQL can express it.
 
-Floating results are rounded to fixed digits in both engines (summation order
-differs between engines); the rounding belongs to the check view, not to the
-analytics, which return full precision.
+Floating results are rounded in both engines (summation order differs); the
+rounding belongs to the check view, not to the analytics, which return full
+precision.  The fact values sit on decimal grids (revenue has 4 decimals,
+prices divided by small quantities terminate within 9 decimals), so digits are
+chosen per kind of value to snap onto the grid rather than onto a rounding
+tie: row-level values and quantiles 9, sums of revenue 4, means and ratios 6,
+other sums 2.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def rounded(df: DataFrame, digits: int = 4, per_col: dict[str, int] | None = None) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6, per_col: dict[str, int] | None = None) -> DataFrame:
     """Round every double column (``+ 0.0`` folds a negative zero)."""
     per_col = per_col or {}
     out = []
@@ -44,7 +48,7 @@ def rounded(df: DataFrame, digits: int = 4, per_col: dict[str, int] | None = Non
     return df.select(*out)
 
 
-def R(expr: str, digits: int = 4) -> str:
+def R(expr: str, digits: int = 6) -> str:
     """SQL twin of ``rounded`` for one expression."""
     return f"(ROUND(({expr}), {digits}) + 0.0)"
 
@@ -76,10 +80,594 @@ feat AS (
 # ---------------------------------------------------------------- AG1 / AG3
 @register("monthly_revenue", W(f"""
 SELECT year_month,
-       {R('sum(revenue)', 2)} AS revenue_sum,
-       {R('avg(revenue)', 4)} AS revenue_mean,
+       {R('sum(revenue)', 4)} AS revenue_sum,
+       {R('avg(revenue)', 6)} AS revenue_mean,
        count(*) AS orders
 FROM feat WHERE year_month IS NOT NULL GROUP BY year_month"""))
 def q_monthly_revenue(spark, sf_dir):
     df = fact(spark, sf_dir, ["order_date", "revenue", "base_price", "final_price", "units_sold"])
-    return rounded(SU.monthly_revenue(df), per_col={"revenue_sum": 2})
+    return rounded(SU.monthly_revenue(df), 6, {"revenue_sum": 4})
+
+
+# ---------------------------------------------------------------- helpers
+from souk.operators import customers as CU  # noqa: E402
+from souk.operators import inventory as IV  # noqa: E402
+from souk.operators import ordered as OR  # noqa: E402
+from souk.operators import pricing as PR  # noqa: E402
+from souk.schema import DIMENSIONS, MEASURES  # noqa: E402
+
+
+def _union_dims(dims, select_tpl: str, source: str = "feat", where: str = "") -> str:
+    parts = []
+    for d in dims:
+        parts.append(f"SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS value, "
+                     + select_tpl.format(d=d)
+                     + f" FROM {source} WHERE {d} IS NOT NULL {where} GROUP BY {d}")
+    return "\nUNION ALL\n".join(parts)
+
+
+ALL = None  # all fact columns
+
+# ---------------------------------------------------------------- PJ1-PJ9
+FEATURE_COLS = ["order_id", "customer_id", "year", "month", "month_name", "weekday", "is_weekend",
+                "fiscal_quarter", "year_month", "discount_amount", "discount_ratio",
+                "revenue_per_unit", "log_base_price", "log_final_price", "log_units_sold",
+                "log_revenue"]
+
+
+@register("order_features", W(f"""
+SELECT order_id, customer_id, year, month, monthname(order_date) AS month_name, weekday,
+       COALESCE(weekday >= 5, false) AS is_weekend,
+       CAST(((month - 4) % 12 + 12) % 12 // 3 + 1 AS TINYINT) AS fiscal_quarter,
+       year_month,
+       {R('base_price - final_price', 9)} AS discount_amount,
+       {R('(base_price - final_price) / NULLIF(base_price, 0)', 9)} AS discount_ratio,
+       {R('final_price', 9)} AS revenue_per_unit,
+       {R('ln(1 + greatest(base_price, 0))', 9)} AS log_base_price,
+       {R('ln(1 + greatest(final_price, 0))', 9)} AS log_final_price,
+       {R('ln(1 + greatest(CAST(units_sold AS DOUBLE), 0))', 9)} AS log_units_sold,
+       {R('ln(1 + greatest(revenue, 0))', 9)} AS log_revenue
+FROM feat"""))
+def q_order_features(spark, sf_dir):
+    """Cleaned fact with calendar, fiscal, price and log features (PJ1-PJ9)."""
+    df = FE.prepare(orders_fact(spark, sf_dir))
+    return rounded(df.select(*FEATURE_COLS), 9)
+
+
+# ---------------------------------------------------------------- AG2
+for _dim in ("zone", "brand_type", "sales_event"):
+    def _mk(dim):
+        @register(f"monthly_by_{dim}", W(f"""
+SELECT year_month, {dim}, {R('sum(revenue)', 4)} AS revenue
+FROM feat WHERE year_month IS NOT NULL AND {dim} IS NOT NULL GROUP BY year_month, {dim}"""))
+        def q(spark, sf_dir):
+            df = fact(spark, sf_dir, ["order_date", dim, "revenue"])
+            return rounded(SU.monthly_by(df, dim), 4)
+        q.__doc__ = f"Monthly revenue by {dim} (AG2)."
+        return q
+    _mk(_dim)
+
+
+# ---------------------------------------------------------------- AG4
+@register("dimension_means", W(_union_dims(
+    DIMENSIONS, ", ".join(f"{R(f'avg({m})', 4)} AS mean_{m}" for m in MEASURES))))
+def q_dimension_means(spark, sf_dir):
+    """Mean revenue / price / units / discount per value of six dimensions (AG4)."""
+    df = fact(spark, sf_dir, [*DIMENSIONS, *MEASURES, "order_date"])
+    return rounded(SU.dimension_means(df), 4)
+
+
+# ---------------------------------------------------------------- AG5
+_COUNT_DIMS = [*DIMENSIONS, "customer_gender", "state"]
+
+
+@register("value_counts", W(_union_dims(_COUNT_DIMS, "count(*) AS count")))
+def q_value_counts(spark, sf_dir):
+    """Order counts per value of eight dimensions (AG5)."""
+    df = fact(spark, sf_dir, [*_COUNT_DIMS, "order_date"])
+    return SU.value_counts(df, _COUNT_DIMS)
+
+
+@register("top_states_by_orders", W("""
+SELECT state, count(*) AS count FROM feat WHERE state IS NOT NULL
+GROUP BY state ORDER BY count DESC, state ASC LIMIT 12"""))
+def q_top_states_by_orders(spark, sf_dir):
+    """Top 12 states by order count (AG5, TK1)."""
+    return SU.top_n(fact(spark, sf_dir, ["state", "order_date"]), "state", 12, value=None)
+
+
+# ---------------------------------------------------------------- AG6
+_SHARE_DIMS = ["category", "zone", "sales_event", "brand_type", "customer_gender", "competition_intensity"]
+
+
+@register("revenue_share", W(f"""
+SELECT dimension, value, {R('revenue', 4)} AS revenue,
+       {R('revenue * 100 / NULLIF(sum(revenue) OVER (PARTITION BY dimension), 0)', 6)} AS share_pct
+FROM ({_union_dims(_SHARE_DIMS, 'sum(revenue) AS revenue')}) t"""))
+def q_revenue_share(spark, sf_dir):
+    """Revenue share per value of six dimensions (AG6)."""
+    df = fact(spark, sf_dir, [*_SHARE_DIMS, "revenue", "order_date"])
+    return rounded(SU.revenue_share(df, _SHARE_DIMS), 6, {"revenue": 4})
+
+
+@register("top_states_revenue", W(f"""
+SELECT state, {R('sum(revenue)', 4)} AS revenue FROM feat WHERE state IS NOT NULL
+GROUP BY state ORDER BY sum(revenue) DESC, state ASC LIMIT 8"""))
+def q_top_states_revenue(spark, sf_dir):
+    """Top 8 states by revenue (TK1)."""
+    return rounded(SU.top_n(fact(spark, sf_dir, ["state", "revenue", "order_date"]), "state", 8), 4)
+
+
+@register("bottom_zones", W(f"""
+SELECT zone, {R('sum(revenue)', 4)} AS revenue FROM feat WHERE zone IS NOT NULL
+GROUP BY zone ORDER BY sum(revenue) ASC, zone ASC LIMIT 2"""))
+def q_bottom_zones(spark, sf_dir):
+    """Two lowest-revenue zones (TK2)."""
+    return rounded(SU.top_n(fact(spark, sf_dir, ["zone", "revenue", "order_date"]), "zone", 2,
+                            ascending=True), 4)
+
+
+@register("top_bottom_groups", W(f"""
+SELECT dimension,
+       arg_min(value, rmax) AS top_value, {R('min(CASE WHEN rmax = 1 THEN total END)', 4)} AS top_total,
+       arg_min(value, rmin) AS bottom_value, {R('min(CASE WHEN rmin = 1 THEN total END)', 4)} AS bottom_total
+FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY total DESC, value ASC) AS rmax,
+                row_number() OVER (PARTITION BY dimension ORDER BY total ASC, value ASC) AS rmin
+      FROM ({_union_dims(['category', 'zone', 'state'], 'sum(revenue) AS total')}) u) r
+GROUP BY dimension"""))
+def q_top_bottom_groups(spark, sf_dir):
+    """Arg-max / arg-min category, zone and state by revenue (TK3)."""
+    df = fact(spark, sf_dir, ["category", "zone", "state", "revenue", "order_date"])
+    return rounded(SU.arg_best(df), 4)
+
+
+# ---------------------------------------------------------------- AG7
+_HIST_COLS = ["customer_age", "discount_percent", "units_sold"]
+
+
+def _hist_sql(cols, bins):
+    parts = []
+    for c in cols:
+        parts.append(f"""
+SELECT '{c}' AS feature, CAST(x AS DOUBLE) AS x FROM (SELECT {c} AS x FROM feat) WHERE x IS NOT NULL""")
+    long = "\nUNION ALL\n".join(parts)
+    return f"""
+SELECT feature, bin, {R(f'lo + bin * ((hi - lo) / {bins})', 6)} AS bin_lo,
+       {R(f'lo + (bin + 1) * ((hi - lo) / {bins})', 6)} AS bin_hi, count(*) AS count
+FROM (
+  SELECT l.feature, lo, hi,
+         CAST(least(floor((x - lo) / ((hi - lo) / {bins})), {bins - 1}) AS INTEGER) AS bin
+  FROM ({long}) l
+  JOIN (SELECT feature, CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
+               CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi
+        FROM ({long}) GROUP BY feature) r ON l.feature = r.feature
+) GROUP BY feature, bin, lo, hi"""
+
+
+@register("histograms", W(_hist_sql(_HIST_COLS, 40)))
+def q_histograms(spark, sf_dir):
+    """40-bin equal-width histograms of age, discount and units (AG7)."""
+    df = fact(spark, sf_dir, [*_HIST_COLS, "order_date"])
+    return rounded(SU.histogram(df, _HIST_COLS, 40), 6)
+
+
+# ---------------------------------------------------------------- AG8
+def _box_sql(group, value):
+    return f"""
+SELECT b.{group}, {R('q1', 9)} AS q1, {R('median', 9)} AS median, {R('q3', 9)} AS q3, {R('q3 - q1', 9)} AS iqr,
+       {R(f'min(CASE WHEN {value} >= q1 - 1.5 * (q3 - q1) AND {value} <= q3 + 1.5 * (q3 - q1) THEN {value} END)', 9)} AS lower_whisker,
+       {R(f'max(CASE WHEN {value} >= q1 - 1.5 * (q3 - q1) AND {value} <= q3 + 1.5 * (q3 - q1) THEN {value} END)', 9)} AS upper_whisker,
+       CAST(sum(CASE WHEN {value} >= q1 - 1.5 * (q3 - q1) AND {value} <= q3 + 1.5 * (q3 - q1) THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers,
+       count(*) AS n
+FROM feat b JOIN (
+  SELECT {group}, quantile_cont({value}, 0.25) AS q1, quantile_cont({value}, 0.5) AS median,
+         quantile_cont({value}, 0.75) AS q3
+  FROM feat WHERE {group} IS NOT NULL AND {value} IS NOT NULL GROUP BY {group}) q ON b.{group} = q.{group}
+WHERE b.{value} IS NOT NULL
+GROUP BY b.{group}, q1, median, q3"""
+
+
+for _g, _v in (("category", "final_price"), ("zone", "revenue"), ("sales_event", "discount_percent")):
+    def _mkbox(group, value):
+        @register(f"box_{value}_by_{group}", W(_box_sql(group, value)))
+        def q(spark, sf_dir):
+            df = fact(spark, sf_dir, [group, value, "order_date"])
+            return rounded(SU.box_stats(df, group, value), 9)
+        q.__doc__ = f"Box statistics of {value} by {group} (AG8)."
+        return q
+    _mkbox(_g, _v)
+
+
+# ---------------------------------------------------------------- AG10
+@register("revenue_hierarchy", W(f"""
+WITH_PLACEHOLDER"""))
+def q_revenue_hierarchy(spark, sf_dir):
+    """Category > zone > brand revenue rollup with share of parent (AG10)."""
+    df = fact(spark, sf_dir, ["category", "zone", "brand_type", "revenue", "order_date"])
+    return rounded(SU.hierarchy_rollup(df), 6, {"revenue": 4})
+
+
+ORACLE["revenue_hierarchy"] = W(f"""
+SELECT level, category, zone, brand_type, {R('revenue', 4)} AS revenue,
+       {R('revenue * 100 / NULLIF(parent, 0)', 6)} AS parent_share_pct
+FROM (
+  SELECT n.*, (SELECT sum(revenue) FROM nodes p WHERE p.level = n.level - 1
+                 AND (n.level - 1 < 1 OR p.category = n.category)
+                 AND (n.level - 1 < 2 OR p.zone = n.zone)) AS parent
+  FROM nodes n) t""", extra="""
+nodes AS (
+  SELECT 3 AS level, category, zone, brand_type, sum(revenue) AS revenue FROM feat GROUP BY 2, 3, 4
+  UNION ALL SELECT 2, category, zone, NULL, sum(revenue) FROM feat GROUP BY 2, 3
+  UNION ALL SELECT 1, category, NULL, NULL, sum(revenue) FROM feat GROUP BY 2
+  UNION ALL SELECT 0, NULL, NULL, NULL, sum(revenue) FROM feat
+)""")
+
+
+# ---------------------------------------------------------------- AG11 / AG12
+@register("kpis", W(f"""
+SELECT {R('sum(revenue)', 4)} AS total_revenue, count(*) AS orders,
+       {R('avg(revenue)', 6)} AS avg_order_value, {R('avg(discount_percent)', 6)} AS avg_discount,
+       {R('avg(units_sold)', 6)} AS avg_units, {R('sum(revenue) / 84.0', 4)} AS revenue_usd
+FROM feat"""))
+def q_kpis(spark, sf_dir):
+    """Headline KPIs (AG11)."""
+    df = fact(spark, sf_dir, ["revenue", "discount_percent", "units_sold", "order_date"])
+    return rounded(SU.kpis(df), 6, {"total_revenue": 4, "revenue_usd": 4})
+
+
+@register("segment_shares", W(f"""
+SELECT {R("sum(CASE WHEN sales_event = 'Festival' THEN revenue END) * 100 / NULLIF(sum(revenue), 0)")} AS festival_revenue_pct,
+       {R("COALESCE(sum(CASE WHEN brand_type = 'Premium' THEN revenue END), 0) * 100 / NULLIF(sum(revenue), 0)")} AS premium_revenue_pct,
+       {R("sum(CASE WHEN brand_type = 'Premium' THEN 1 ELSE 0 END) * 100.0 / count(*)")} AS premium_order_pct,
+       {R("avg(CASE WHEN competition_intensity = 'High' THEN discount_percent END)")} AS high_competition_avg_discount,
+       {R("sum(CASE WHEN competition_intensity = 'High' THEN 1 ELSE 0 END) * 1.0 / count(*)")} AS high_competition_share,
+       {R("sum(CASE WHEN inventory_pressure = 'High' THEN 1 ELSE 0 END) * 1.0 / count(*)")} AS high_pressure_share,
+       {R('sum(base_price - final_price)', 2)} AS unit_discount_cost,
+       {R('sum(base_price)', 2)} AS base_price_total
+FROM feat"""))
+def q_segment_shares(spark, sf_dir):
+    """Festival / premium / competition / pressure shares, discount cost (AG12)."""
+    df = fact(spark, sf_dir, ["revenue", "sales_event", "brand_type", "competition_intensity",
+                              "discount_percent", "inventory_pressure", "base_price", "final_price",
+                              "order_date"])
+    return rounded(SU.segment_shares(df), 6, {"unit_discount_cost": 2, "base_price_total": 2})
+
+
+# ---------------------------------------------------------------- AG13 / AG14
+@register("state_revenue", W(f"""
+SELECT state, {R('sum(revenue)', 4)} AS revenue FROM feat WHERE state IS NOT NULL GROUP BY state"""))
+def q_state_revenue(spark, sf_dir):
+    """Revenue by state (AG13)."""
+    return rounded(SU.group_revenue(fact(spark, sf_dir, ["state", "revenue", "order_date"]), "state"), 4)
+
+
+@register("units_matrix", W(f"""
+SELECT category, zone, {R('avg(units_sold)', 1)} AS avg_units_sold FROM feat
+WHERE category IS NOT NULL AND zone IS NOT NULL GROUP BY category, zone"""))
+def q_units_matrix(spark, sf_dir):
+    """Mean units per category x zone, 1 dp (AG14)."""
+    return rounded(SU.mean_matrix(fact(spark, sf_dir, ["category", "zone", "units_sold", "order_date"])), 1)
+
+
+# ---------------------------------------------------------------- customers
+_CUST_COLS = ["customer_id", "order_date", "revenue", "discount_percent", "category", "zone"]
+
+_CUST_FEATURES_SQL = """
+cust AS (
+  SELECT customer_id, max(order_date) AS last_order_date, min(order_date) AS first_order_date,
+         count(revenue) AS order_count, COALESCE(sum(revenue), 0) AS total_revenue,
+         avg(revenue) AS avg_order_value, avg(discount_percent) AS avg_discount
+  FROM feat WHERE customer_id IS NOT NULL GROUP BY customer_id
+),
+modes AS (
+  SELECT customer_id,
+         max(CASE WHEN kind = 'c' AND rn = 1 THEN v END) AS top_category,
+         max(CASE WHEN kind = 'z' AND rn = 1 THEN v END) AS top_zone
+  FROM (
+    SELECT customer_id, kind, v,
+           row_number() OVER (PARTITION BY customer_id, kind ORDER BY n DESC, v ASC) AS rn
+    FROM (SELECT customer_id, 'c' AS kind, category AS v, count(*) AS n FROM feat
+          WHERE category IS NOT NULL GROUP BY 1, 2, 3
+          UNION ALL
+          SELECT customer_id, 'z', zone, count(*) FROM feat WHERE zone IS NOT NULL GROUP BY 1, 2, 3) x
+  ) y GROUP BY customer_id
+),
+features AS (
+  SELECT c.*, m.top_category, m.top_zone,
+         CAST(date_diff('day', c.last_order_date, s.snap) AS INTEGER) AS days_since_last_order,
+         CAST(date_diff('day', c.first_order_date, s.snap) AS INTEGER) AS customer_age_days,
+         c.order_count / greatest(CAST(date_diff('day', c.first_order_date, s.snap) AS INTEGER) / 30.0, 1.0)
+           AS purchase_frequency
+  FROM cust c LEFT JOIN modes m USING (customer_id)
+  CROSS JOIN (SELECT max(order_date) AS snap FROM feat) s
+),
+th AS (
+  SELECT quantile_cont(days_since_last_order, 0.95) AS p95_days,
+         quantile_cont(purchase_frequency, 0.95) AS p95_freq,
+         quantile_cont(total_revenue, 0.95) AS p95_rev,
+         quantile_cont(total_revenue, 0.75) AS p75_rev,
+         quantile_cont(total_revenue, 0.50) AS p50_rev
+  FROM features
+),
+scored0 AS (
+  SELECT f.*,
+         least(greatest(days_since_last_order / greatest(p95_days, 1.0), 0.0), 1.0) * 40 AS recency_risk,
+         (1 - least(greatest(purchase_frequency / greatest(p95_freq, 1e-9), 0.0), 1.0)) * 35 AS frequency_risk,
+         (1 - least(greatest(total_revenue / greatest(p95_rev, 1e-9), 0.0), 1.0)) * 25 AS monetary_risk,
+         CASE WHEN total_revenue >= p75_rev THEN 'High Value'
+              WHEN total_revenue >= p50_rev THEN 'Mid Value' ELSE 'Low Value' END AS value_tier
+  FROM features f CROSS JOIN th
+),
+scored AS (
+  SELECT *, CASE WHEN score >= 70 THEN 'Critical' WHEN score >= 50 THEN 'High'
+                 WHEN score >= 30 THEN 'Medium' ELSE 'Low' END AS risk_label
+  FROM (SELECT *, round(recency_risk + frequency_risk + monetary_risk, 1) AS score FROM scored0) t
+)"""
+
+_DT = "strftime({c}, '%Y-%m-%d %H:%M:%S')"
+
+
+def _ts(df, *cols):
+    # timestamps compared as text (engines differ in timestamp types)
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in cols})
+
+
+@register("customer_features", W(f"""
+SELECT customer_id, {_DT.format(c='last_order_date')} AS last_order_date,
+       {_DT.format(c='first_order_date')} AS first_order_date, order_count,
+       {R('total_revenue', 4)} AS total_revenue, {R('avg_order_value', 9)} AS avg_order_value,
+       {R('avg_discount', 9)} AS avg_discount, top_category, top_zone, days_since_last_order,
+       customer_age_days, {R('purchase_frequency')} AS purchase_frequency
+FROM features""", extra=_CUST_FEATURES_SQL))
+def q_customer_features(spark, sf_dir):
+    """Per-customer churn features incl. modal category/zone (CU2)."""
+    cf = CU.customer_features(fact(spark, sf_dir, _CUST_COLS))
+    # per-customer means of a few grid values can end on a 6-dp tie: 9 dp
+    return rounded(_ts(cf, "last_order_date", "first_order_date"), 6,
+                   {"total_revenue": 4, "avg_order_value": 9, "avg_discount": 9})
+
+
+_SCORE_COLS = ["customer_id", "days_since_last_order", "purchase_frequency", "total_revenue",
+               "recency_risk", "frequency_risk", "monetary_risk", "churn_risk_score",
+               "value_tier", "risk_label"]
+
+
+@register("churn_scores", W(f"""
+SELECT customer_id, days_since_last_order, {R('purchase_frequency')} AS purchase_frequency,
+       {R('total_revenue', 4)} AS total_revenue, {R('recency_risk')} AS recency_risk,
+       {R('frequency_risk')} AS frequency_risk, {R('monetary_risk')} AS monetary_risk,
+       {R('score', 1)} AS churn_risk_score, value_tier, risk_label
+FROM scored""", extra=_CUST_FEATURES_SQL))
+def q_churn_scores(spark, sf_dir):
+    """Churn risk score, value tier and risk label per customer (CU3)."""
+    s = CU.churn_scores(CU.customer_features(fact(spark, sf_dir, _CUST_COLS)))
+    return rounded(s.select(*_SCORE_COLS), 6, {"total_revenue": 4, "churn_risk_score": 1})
+
+
+@register("at_risk_alerts", W(f"""
+SELECT customer_id, {R('score', 1)} AS churn_risk_score, risk_label, value_tier,
+       days_since_last_order, {R('total_revenue', 4)} AS total_revenue, top_category,
+       CASE WHEN risk_label = 'Critical' AND value_tier = 'High Value'
+              THEN printf('Immediate outreach - offer %.0f%% personalised discount on %s',
+                          least(avg_discount + 10, 40.0), COALESCE(top_category, 'nan'))
+            WHEN risk_label = 'High' AND value_tier = 'High Value'
+              THEN printf('Send win-back email with loyalty reward for %s purchase', COALESCE(top_category, 'nan'))
+            WHEN value_tier = 'Mid Value'
+              THEN printf('Trigger re-engagement campaign - highlight new arrivals in %s', COALESCE(top_category, 'nan'))
+            ELSE 'Add to re-engagement drip sequence' END AS recommended_action
+FROM scored WHERE score >= 50 AND value_tier IN ('High Value', 'Mid Value')
+ORDER BY score DESC, customer_id ASC LIMIT 50""", extra=_CUST_FEATURES_SQL))
+def q_at_risk_alerts(spark, sf_dir):
+    """Top-50 at-risk customers with recommended action (CU5, TK5)."""
+    a = CU.at_risk_alerts(fact(spark, sf_dir, _CUST_COLS))
+    return rounded(a.select("customer_id", "churn_risk_score", "risk_label", "value_tier",
+                            "days_since_last_order", "total_revenue", "top_category",
+                            "recommended_action"), 6, {"total_revenue": 4, "churn_risk_score": 1})
+
+
+@register("revenue_at_risk", W(f"""
+SELECT risk_label, value_tier, {R('sum(total_revenue)', 4)} AS total_revenue FROM (
+  SELECT * FROM scored WHERE score >= 50 AND value_tier IN ('High Value', 'Mid Value')
+  ORDER BY score DESC, customer_id ASC LIMIT 50) GROUP BY risk_label, value_tier""",
+    extra=_CUST_FEATURES_SQL))
+def q_revenue_at_risk(spark, sf_dir):
+    """Alert-list revenue by risk label x value tier (AG16)."""
+    a = CU.at_risk_alerts(fact(spark, sf_dir, _CUST_COLS))
+    return rounded(CU.revenue_at_risk(a), 4)
+
+
+_RFM_SQL = """
+rfm AS (
+  SELECT customer_id,
+         CAST(date_diff('day', max(order_date), (SELECT max(order_date) + INTERVAL 1 DAY FROM feat)) AS INTEGER) AS recency,
+         count(order_date) AS frequency, avg(revenue) AS monetary, min(order_date) AS first_purchase,
+         CAST(date_diff('day', min(order_date), (SELECT max(order_date) + INTERVAL 1 DAY FROM feat)) AS INTEGER) AS T
+  FROM feat WHERE customer_id IS NOT NULL GROUP BY customer_id
+),
+clv0 AS (
+  SELECT *, T / 30.0 AS T_months, frequency / greatest(T / 30.0, 1.0) AS purchase_rate,
+         round(frequency / greatest(T / 30.0, 1.0) * monetary * 12 * 0.2, 2) AS clv
+  FROM rfm
+),
+clv AS (
+  SELECT c.*, CASE WHEN clv >= q3 THEN 'Champions' WHEN clv >= q2 THEN 'Loyalists'
+                   WHEN clv >= q1 THEN 'At-Risk' ELSE 'Lost / Dormant' END AS clv_tier
+  FROM clv0 c CROSS JOIN (SELECT quantile_cont(clv, 0.25) AS q1, quantile_cont(clv, 0.5) AS q2,
+                                 quantile_cont(clv, 0.75) AS q3 FROM clv0) q
+)"""
+
+
+@register("rfm", W(f"""
+SELECT customer_id, recency, frequency, {R('monetary')} AS monetary,
+       {_DT.format(c='first_purchase')} AS first_purchase, T FROM rfm""", extra=_RFM_SQL))
+def q_rfm(spark, sf_dir):
+    """Recency / frequency / monetary / T per customer (CU1)."""
+    r = CU.rfm(fact(spark, sf_dir, ["customer_id", "order_date", "revenue"]))
+    return rounded(_ts(r, "first_purchase"), 6)
+
+
+@register("customer_clv", W(f"""
+SELECT customer_id, recency, frequency, {R('monetary')} AS monetary, T,
+       {R('T_months')} AS T_months, {R('purchase_rate')} AS purchase_rate, {R('clv', 2)} AS clv, clv_tier
+FROM clv""", extra=_RFM_SQL))
+def q_customer_clv(spark, sf_dir):
+    """Simple CLV with quartile tiers (CU4)."""
+    c = CU.simple_clv(fact(spark, sf_dir, ["customer_id", "order_date", "revenue"]))
+    return rounded(c.drop("first_purchase"), 6, {"clv": 2})
+
+
+@register("clv_tiers", W(f"""
+SELECT clv_tier, count(*) AS customers, {R('avg(clv)')} AS avg_clv, {R('sum(clv)', 2)} AS total_clv
+FROM clv GROUP BY clv_tier""", extra=_RFM_SQL))
+def q_clv_tiers(spark, sf_dir):
+    """Customers, mean and total CLV per tier (AG15)."""
+    c = CU.simple_clv(fact(spark, sf_dir, ["customer_id", "order_date", "revenue"]))
+    return rounded(CU.clv_tier_summary(c), 6, {"total_clv": 2})
+
+
+_COHORT_SQL = """
+om AS (
+  SELECT customer_id, date_trunc('month', order_date) AS order_month, revenue
+  FROM feat WHERE customer_id IS NOT NULL AND order_date IS NOT NULL
+),
+coh AS (
+  SELECT strftime(c.cohort_month, '%Y-%m') AS cohort_month,
+         CAST((year(o.order_month) - year(c.cohort_month)) * 12 + month(o.order_month) - month(c.cohort_month) AS INTEGER) AS cohort_period,
+         sum(revenue) AS revenue, count(*) AS count
+  FROM om o JOIN (SELECT customer_id, min(order_month) AS cohort_month FROM om GROUP BY 1) c USING (customer_id)
+  GROUP BY 1, 2
+)"""
+
+
+@register("cohort_revenue", W(f"""
+SELECT cohort_month, cohort_period, {R('revenue', 4)} AS revenue FROM coh""", extra=_COHORT_SQL))
+def q_cohort_revenue(spark, sf_dir):
+    """Cohort month x months-since revenue (CU7, AG21)."""
+    return rounded(CU.cohort_table(fact(spark, sf_dir, ["customer_id", "order_date", "revenue"])), 4)
+
+
+@register("cohort_retention", W(f"""
+SELECT cohort_month, cohort_period, count,
+       {R("round(count * 100.0 / NULLIF(max(CASE WHEN cohort_period = 0 THEN count END) OVER (PARTITION BY cohort_month), 0), 1)", 1)} AS retention_pct
+FROM coh""", extra=_COHORT_SQL))
+def q_cohort_retention(spark, sf_dir):
+    """Order-count cohort retention % vs period 0 (CU7, CU8)."""
+    t = CU.cohort_table(fact(spark, sf_dir, ["customer_id", "order_date"]), metric="count")
+    return rounded(CU.cohort_retention(t, "count"), 1)
+
+
+# ---------------------------------------------------------------- pricing
+def _elast_sql(groups, min_obs, precheck):
+    g = ", ".join(groups)
+    keys = " AND ".join(f"{c} IS NOT NULL" for c in groups)
+    pre = f"AND count(*) >= {min_obs}" if precheck else ""
+    return f"""
+SELECT {g}, {R('regr_slope(lq, lp)', 4)} AS elasticity,
+       {R('regr_slope(lq, lp) * regr_slope(lq, lp) * regr_sxx(lq, lp) / NULLIF(regr_syy(lq, lp), 0)', 4)} AS r2,
+       count(lq) AS n_obs
+FROM (SELECT {g}, CASE WHEN final_price > 0 AND units_sold > 0 THEN ln(final_price) END AS lp,
+             CASE WHEN final_price > 0 AND units_sold > 0 THEN ln(CAST(units_sold AS DOUBLE)) END AS lq
+      FROM feat WHERE {keys}) t
+GROUP BY {g} HAVING count(lq) >= {min_obs} AND regr_sxx(lq, lp) > 0 {pre}"""
+
+
+for _name, _groups in (("elasticity_by_category", ["category"]),
+                       ("elasticity_by_category_zone", ["category", "zone"]),
+                       ("elasticity_by_brand_category", ["brand_type", "category"])):
+    def _mkel(name, groups):
+        @register(name, W(_elast_sql(groups, 50, True)))
+        def q(spark, sf_dir):
+            df = fact(spark, sf_dir, [*groups, "final_price", "units_sold", "order_date"])
+            return PR.elasticity(df, groups, min_obs=50, precheck=True)
+        q.__doc__ = f"Log-log price elasticity by {' x '.join(groups)} (PR1, PR3)."
+        return q
+    _mkel(_name, _groups)
+
+
+@register("elasticity_pvalues")
+def q_elasticity_pvalues(spark, sf_dir):
+    """Elasticity by category with the slope's two-sided t-test p-value (PR1, PR2)."""
+    df = fact(spark, sf_dir, ["category", "final_price", "units_sold", "order_date"])
+    return PR.with_classes(PR.elasticity(df, ["category"], min_obs=50, with_pvalue=True))
+
+
+_PRICE_SQL = _elast_sql(["category"], 30, False)
+
+
+@register("price_recommendations", W(f"""
+SELECT category, {R('round(cur, 1)', 1)} AS current_discount, {R('opt', 1)} AS optimal_discount,
+       {R('round(opt - cur, 1)', 1)} AS change, direction, {R('elasticity', 4)} AS elasticity,
+       {R('impact', 1)} AS revenue_impact_pct, rationale
+FROM (
+  SELECT category, cur, elasticity,
+         round(least(greatest(CASE WHEN e >= 0 THEN cur WHEN a > 1 THEN least(cur * (a / (a - 0.5)), 60.0)
+                              ELSE greatest(cur * 0.8, 0.0) END, 0.0), 60.0), 1) AS opt,
+         CASE WHEN e >= 0 THEN 'hold' WHEN a > 1 THEN
+                CASE WHEN least(cur * (a / (a - 0.5)), 60.0) > cur THEN 'increase' ELSE 'hold' END
+              ELSE 'decrease' END AS direction,
+         round(CASE WHEN e >= 0 THEN 0.0 WHEN a > 1 THEN (a - 1) * (least(cur * (a / (a - 0.5)), 60.0) - cur) / 100 * 100
+               ELSE (1 - a) * (cur - greatest(cur * 0.8, 0.0)) / 100 * 100 END, 1) AS impact,
+         CASE WHEN e >= 0 THEN 'Giffen/luxury good - discounting may reduce demand'
+              ELSE printf('Elasticity %.2f - %s', e, CASE WHEN a > 1 THEN 'elastic: increase discount to grow volume'
+                                                       ELSE 'inelastic: reduce discount to protect margin' END) END AS rationale
+  FROM (
+    SELECT el.category, el.elasticity, el.elasticity AS e, abs(el.elasticity) AS a,
+           COALESCE(d.cur, 30.0) AS cur
+    FROM el LEFT JOIN (SELECT category, avg(discount_percent) AS cur FROM feat
+                       WHERE category IS NOT NULL GROUP BY category) d USING (category)
+  ) x
+) y""", extra=f"el AS ({_PRICE_SQL.replace(R('regr_slope(lq, lp)', 4), 'round(regr_slope(lq, lp), 4)')})"))
+def q_price_recommendations(spark, sf_dir):
+    """Optimal discount per category from elasticity and current discount (PR4, PR5)."""
+    df = fact(spark, sf_dir, ["category", "final_price", "units_sold", "discount_percent", "order_date"])
+    return rounded(PR.price_recommendations(df), 1, {"elasticity": 4})
+
+
+# ---------------------------------------------------------------- inventory
+_ALERT_SQL = """
+grp AS (
+  SELECT category, zone, avg(units_sold) AS avg_units_sold, CAST(sum(units_sold) AS BIGINT) AS total_units,
+         avg(discount_percent) AS avg_discount, count(revenue) AS n_orders,
+         avg(CASE WHEN inventory_pressure = 'High' THEN 1.0 ELSE 0.0 END) * 100 AS high_pressure_pct,
+         avg(revenue) AS avg_revenue
+  FROM feat WHERE category IS NOT NULL AND zone IS NOT NULL GROUP BY category, zone
+),
+al AS (
+  SELECT g.*, round(avg_units_sold / NULLIF(vmax, 0) * 100, 1) AS velocity_score,
+         CASE WHEN avg_units_sold >= vhi AND high_pressure_pct >= 60 THEN 'CRITICAL'
+              WHEN avg_units_sold >= vhi AND high_pressure_pct >= 30 THEN 'HIGH'
+              WHEN avg_discount >= 45 AND high_pressure_pct >= 50 THEN 'CLEARANCE'
+              WHEN avg_units_sold < vlo THEN 'SLOW_MOVER' ELSE 'HEALTHY' END AS alert_level
+  FROM grp g CROSS JOIN (SELECT quantile_cont(avg_units_sold, 0.8) AS vhi, quantile_cont(avg_units_sold, 0.2) AS vlo,
+                                max(avg_units_sold) AS vmax FROM grp) t
+)"""
+
+
+@register("inventory_alerts", W(f"""
+SELECT category, zone, {R('avg_units_sold')} AS avg_units_sold, total_units, {R('avg_discount')} AS avg_discount,
+       n_orders, {R('high_pressure_pct')} AS high_pressure_pct, {R('avg_revenue')} AS avg_revenue,
+       {R('velocity_score', 1)} AS velocity_score, alert_level,
+       CASE alert_level WHEN 'CRITICAL' THEN printf('Reorder %s in %s immediately', category, zone)
+                        WHEN 'HIGH' THEN printf('Increase safety stock for %s - %s', category, zone)
+                        WHEN 'CLEARANCE' THEN printf('Run targeted promotion to clear %s - %s', category, zone)
+                        WHEN 'SLOW_MOVER' THEN printf('Review pricing / listing quality for %s - %s', category, zone)
+                        ELSE 'No action required' END AS recommendation
+FROM al""", extra=_ALERT_SQL))
+def q_inventory_alerts(spark, sf_dir):
+    """Category x zone health, velocity, alert level and recommendation (IV1-IV3)."""
+    df = fact(spark, sf_dir, ["category", "zone", "units_sold", "discount_percent", "revenue",
+                              "inventory_pressure", "order_date"])
+    return rounded(IV.alerts(df), 6, {"velocity_score": 1})
+
+
+@register("urgent_groups", W(f"""
+SELECT category, zone, alert_level, {R('velocity_score', 1)} AS velocity_score,
+       category || ' / ' || zone AS "group"
+FROM al WHERE alert_level IN ('CRITICAL', 'HIGH')
+ORDER BY alert_level, velocity_score DESC, category, zone LIMIT 15""", extra=_ALERT_SQL))
+def q_urgent_groups(spark, sf_dir):
+    """First 15 CRITICAL/HIGH inventory groups with labels (IV4)."""
+    df = fact(spark, sf_dir, ["category", "zone", "units_sold", "discount_percent", "revenue",
+                              "inventory_pressure", "order_date"])
+    u = IV.urgent_groups(IV.alerts(df))
+    return rounded(u.select("category", "zone", "alert_level", "velocity_score", "group"), 1)
