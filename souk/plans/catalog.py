@@ -671,3 +671,81 @@ def q_urgent_groups(spark, sf_dir):
                               "inventory_pressure", "order_date"])
     u = IV.urgent_groups(IV.alerts(df))
     return rounded(u.select("category", "zone", "alert_level", "velocity_score", "group"), 1)
+
+
+# ---------------------------------------------------------------- drift
+from souk.operators import drift as DR  # noqa: E402
+from souk.schema import DRIFT_FEATURES  # noqa: E402
+
+_LONG_DRIFT = "\nUNION ALL\n".join(
+    f"SELECT side, '{f}' AS feature, CAST({f} AS DOUBLE) AS x FROM tt WHERE {f} IS NOT NULL"
+    for f in DRIFT_FEATURES)
+_KS_TERMS = "list_reduce(list_transform(range(1, 101), lambda k: pow(-1.0, k - 1) * exp(-2.0 * k * k * lam * lam)), lambda p, q: p + q)"
+
+_DRIFT_SQL = f"""
+b AS (SELECT max(order_date) - INTERVAL 3 MONTH AS cut,
+             max(order_date) - INTERVAL 3 MONTH - INTERVAL 6 MONTH AS start FROM feat),
+tt AS (SELECT * FROM (
+         SELECT f.*, CASE WHEN order_date >= start AND order_date < cut THEN 'ref'
+                          WHEN order_date >= cut THEN 'cur' END AS side
+         FROM feat f CROSS JOIN b) WHERE side IS NOT NULL),
+gate AS (SELECT sum(CASE WHEN side = 'ref' THEN 1 ELSE 0 END) AS nref_rows,
+                sum(CASE WHEN side = 'cur' THEN 1 ELSE 0 END) AS ncur_rows FROM tt),
+lng AS ({_LONG_DRIFT}),
+vc AS (SELECT feature, x, CAST(sum(CASE WHEN side = 'ref' THEN 1 ELSE 0 END) AS BIGINT) AS n_ref,
+              CAST(sum(CASE WHEN side = 'cur' THEN 1 ELSE 0 END) AS BIGINT) AS n_cur
+       FROM lng GROUP BY feature, x),
+bp AS (SELECT feature, list_sort(quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS bps
+       FROM lng WHERE side = 'ref' GROUP BY feature),
+st AS (SELECT feature, CAST(sum(n_ref) AS BIGINT) AS N_ref, CAST(sum(n_cur) AS BIGINT) AS N_cur,
+              sum(x * n_ref) / sum(n_ref) AS ref_mean, sum(x * n_cur) / sum(n_cur) AS cur_mean
+       FROM vc GROUP BY feature),
+bc AS (SELECT feature, len(list_filter(bps, lambda v: v <= x)) AS bucket,
+              sum(n_ref) AS b_ref, sum(n_cur) AS b_cur
+       FROM vc JOIN bp USING (feature) GROUP BY 1, 2),
+psi AS (SELECT feature, sum((a - e) * ln(a / e)) AS psi FROM (
+          SELECT feature,
+                 CASE WHEN CAST(b_ref AS DOUBLE) / N_ref = 0 THEN 1e-6 ELSE CAST(b_ref AS DOUBLE) / N_ref END AS e,
+                 CASE WHEN CAST(b_cur AS DOUBLE) / N_cur = 0 THEN 1e-6 ELSE CAST(b_cur AS DOUBLE) / N_cur END AS a
+          FROM bc JOIN st USING (feature)) GROUP BY feature),
+ks AS (SELECT feature, max(abs(CAST(cr AS DOUBLE) / nr - CAST(cc AS DOUBLE) / nc)) AS ks_statistic FROM (
+         SELECT feature,
+                sum(n_ref) OVER (PARTITION BY feature ORDER BY x ROWS UNBOUNDED PRECEDING) AS cr,
+                sum(n_cur) OVER (PARTITION BY feature ORDER BY x ROWS UNBOUNDED PRECEDING) AS cc,
+                sum(n_ref) OVER (PARTITION BY feature) AS nr, sum(n_cur) OVER (PARTITION BY feature) AS nc
+         FROM vc) GROUP BY feature),
+res0 AS (
+  SELECT st.*, psi.psi, ks.ks_statistic,
+         (sqrt(CAST(N_ref AS DOUBLE) * N_cur / (CAST(N_ref AS DOUBLE) + N_cur)) + 0.12
+          + 0.11 / sqrt(CAST(N_ref AS DOUBLE) * N_cur / (CAST(N_ref AS DOUBLE) + N_cur))) * ks.ks_statistic AS lam
+  FROM st JOIN psi USING (feature) JOIN ks USING (feature) CROSS JOIN gate
+  WHERE nref_rows >= 50 AND ncur_rows >= 50 AND N_ref >= 10 AND N_cur >= 10),
+res AS (
+  SELECT *, CASE WHEN lam <= 0 THEN 1.0 ELSE least(greatest(2.0 * {_KS_TERMS}, 0.0), 1.0) END AS ks_p_value
+  FROM res0)"""
+
+
+@register("feature_drift", W(f"""
+SELECT feature, {R('round(psi, 4)', 4)} AS psi, {R('round(ks_statistic, 4)', 4)} AS ks_statistic,
+       {R('round(ks_p_value, 4)', 4)} AS ks_p_value,
+       (psi > 0.2 OR ks_p_value < 0.05) AS drift_detected,
+       CASE WHEN NOT (psi > 0.2 OR ks_p_value < 0.05) THEN 'None' WHEN psi > 0.25 THEN 'High'
+            WHEN psi > 0.2 THEN 'Medium' ELSE 'Low' END AS severity,
+       {R('round(ref_mean, 2)', 2)} AS ref_mean, {R('round(cur_mean, 2)', 2)} AS cur_mean,
+       {R('round((cur_mean - ref_mean) / (ref_mean + 1e-9) * 100, 1)', 1)} AS mean_shift_pct
+FROM res""", extra=_DRIFT_SQL))
+def q_feature_drift(spark, sf_dir):
+    """PSI / KS drift of five features, reference 6 months vs current 3 months (DR1-DR3)."""
+    df = fact(spark, sf_dir, ["order_date", *DRIFT_FEATURES])
+    return rounded(DR.feature_drift(df), 4, {"ref_mean": 2, "cur_mean": 2, "mean_shift_pct": 1})
+
+
+@register("drift_summary", W(f"""
+SELECT CAST(sum(CASE WHEN psi > 0.2 OR ks_p_value < 0.05 THEN 1 ELSE 0 END) AS INTEGER) AS features_drifted,
+       {R('max(round(psi, 4))', 4)} AS max_psi
+FROM res""", extra=_DRIFT_SQL))
+def q_drift_summary(spark, sf_dir):
+    """Drift-report summary row: features drifted and max PSI (SK2, AG22)."""
+    df = fact(spark, sf_dir, ["order_date", *DRIFT_FEATURES])
+    rep = DR.drift_report(DR.feature_drift(df))
+    return rounded(rep.select("features_drifted", "max_psi"), 4)
