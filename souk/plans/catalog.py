@@ -873,3 +873,230 @@ def q_last_three_months(spark, sf_dir):
     """The three latest months of the revenue series (WN7)."""
     m = SU.monthly_by(fact(spark, sf_dir, ["order_date", "revenue"]).withColumn("_all", F.lit(1)), "_all")
     return rounded(OR.last_k(m.drop("_all"), "year_month", 3), 4)
+
+
+# ---------------------------------------------------------------- time series
+from souk.operators import anomaly as AN  # noqa: E402
+from souk.operators import insights as IN  # noqa: E402
+from souk.operators import timeseries as TS  # noqa: E402
+
+_SERIES_SQL = """
+m AS (SELECT CAST(date_trunc('month', order_date) AS DATE) AS month, sum(revenue) AS value
+      FROM feat WHERE order_date IS NOT NULL GROUP BY 1),
+sp AS (SELECT CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month FROM m),
+s0 AS (SELECT sp.month, m.value, row_number() OVER (ORDER BY sp.month) AS i FROM sp LEFT JOIN m USING (month)),
+s1 AS (SELECT *,
+              last_value(value IGNORE NULLS) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pv,
+              last_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS)
+                OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pi,
+              first_value(value IGNORE NULLS) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv,
+              first_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS)
+                OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ni
+       FROM s0),
+series AS (SELECT month,
+                  CASE WHEN value IS NOT NULL THEN value WHEN ni IS NULL THEN pv
+                       ELSE pv + (nv - pv) * (CAST(i - pi AS DOUBLE) / (ni - pi)) END AS value,
+                  value IS NULL AS interpolated
+           FROM s1)"""
+
+
+@register("monthly_series", W(f"""
+SELECT strftime(month, '%Y-%m') AS month, {R('value', 2)} AS value, interpolated FROM series""",
+    extra=_SERIES_SQL))
+def q_monthly_series(spark, sf_dir):
+    """Gapless monthly revenue series with linear interpolation (TS1)."""
+    s = TS.monthly_series(fact(spark, sf_dir, ["order_date", "revenue"]), "revenue", "sum")
+    return rounded(s.withColumn("month", F.date_format("month", "yyyy-MM")), 2)
+
+
+@register("seasonal_decomposition", W(f"""
+SELECT strftime(t.month, '%Y-%m') AS month, {R('value', 2)} AS observed, {R('trend', 2)} AS trend,
+       {R('seasonal', 2)} AS seasonal, {R('value - trend - seasonal', 2)} AS resid
+FROM t JOIN (SELECT phase, pa - avg(pa) OVER () AS seasonal
+             FROM (SELECT phase, avg(value - trend) AS pa FROM t GROUP BY phase)) p USING (phase)""",
+    extra=_SERIES_SQL + """,
+s2 AS (SELECT month, value, row_number() OVER (ORDER BY month) - 1 AS pos, count(*) OVER () AS n FROM series),
+t AS (SELECT month, value, pos % 12 AS phase,
+             CASE WHEN count(value) OVER (ORDER BY month ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) = 13
+                  THEN (sum(value) OVER (ORDER BY month ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)
+                        - 0.5 * (lag(value, 6) OVER (ORDER BY month) + lead(value, 6) OVER (ORDER BY month))) / 12
+             END AS trend
+      FROM s2 WHERE n >= 24)"""))
+def q_seasonal_decomposition(spark, sf_dir):
+    """Additive decomposition of monthly revenue, period 12 (TS2)."""
+    s = TS.monthly_series(fact(spark, sf_dir, ["order_date", "revenue"]), "revenue", "sum")
+    d = TS.decompose(s, "month", "value", 12)
+    return rounded(d.withColumn("month", F.date_format("month", "yyyy-MM")), 2)
+
+
+# ---------------------------------------------------------------- anomaly
+_RS_COLS = AN.SCALED_FEATURES
+
+
+@register("robust_scaled", W(f"""
+SELECT order_id, {', '.join(f"{R(f'({c} - med_{c}) / CASE WHEN q3_{c} - q1_{c} = 0 THEN 1.0 ELSE q3_{c} - q1_{c} END', 9)} AS rs_{c}" for c in _RS_COLS)}
+FROM lf CROSS JOIN (SELECT {', '.join(f"quantile_cont({c}, 0.5) AS med_{c}, quantile_cont({c}, 0.75) AS q3_{c}, quantile_cont({c}, 0.25) AS q1_{c}" for c in _RS_COLS)} FROM lf) q""",
+    extra="""
+lf AS (SELECT order_id, CAST(customer_age AS DOUBLE) AS customer_age, ln(1 + greatest(base_price, 0)) AS log_base_price,
+              discount_percent, ln(1 + greatest(final_price, 0)) AS log_final_price,
+              ln(1 + greatest(CAST(units_sold AS DOUBLE), 0)) AS log_units_sold,
+              ln(1 + greatest(revenue, 0)) AS log_revenue FROM feat)"""))
+def q_robust_scaled(spark, sf_dir):
+    """Median/IQR scaling of the six anomaly features (AN1)."""
+    df = fact(spark, sf_dir, ["order_id", "customer_age", "base_price", "discount_percent", "final_price",
+                              "units_sold", "revenue"])
+    df = df.withColumn("customer_age", F.col("customer_age").cast("double"))
+    s = AN.robust_scale(df, _RS_COLS)
+    return rounded(s.select("order_id", *[f"rs_{c}" for c in _RS_COLS]), 9)
+
+
+def _z_sql(threshold):
+    cond = " OR ".join(
+        f"COALESCE(abs(({c} - mu_{c}) / NULLIF(sd_{c}, 0)) > {threshold}, false)" for c in AN.ZSCORE_COLUMNS)
+    stats = ", ".join(f"avg({c}) AS mu_{c}, stddev_samp({c}) AS sd_{c}" for c in AN.ZSCORE_COLUMNS)
+    return f"""
+SELECT category, CAST(sum(CASE WHEN flag THEN 1 ELSE 0 END) AS BIGINT) AS anomalies, count(*) AS orders,
+       {R('sum(CASE WHEN flag THEN 1 ELSE 0 END) * 100.0 / count(*)')} AS anomaly_rate_pct
+FROM (SELECT category, ({cond}) AS flag FROM feat CROSS JOIN (SELECT {stats} FROM feat) s) t
+WHERE category IS NOT NULL GROUP BY category"""
+
+
+for _thr, _nm in ((3.5, "zscore_anomalies_by_category"), (1.5, "zscore_anomalies_by_category_t15")):
+    def _mkz(thr, name):
+        @register(name, W(_z_sql(thr)))
+        def q(spark, sf_dir):
+            df = fact(spark, sf_dir, ["category", *AN.ZSCORE_COLUMNS, "order_date"])
+            flagged = AN.zscore_flags(df, threshold=thr)
+            return rounded(AN.anomalies_by(flagged, "zscore_anomaly", "category"), 6)
+        q.__doc__ = f"Z-score anomalies (|z| > {thr}) per category with rate (AN2, AG17)."
+        return q
+    _mkz(_thr, _nm)
+
+
+# ---------------------------------------------------------------- insights
+_SUMMARY_COLS = ["revenue", "discount_percent", "sales_event", "brand_type", "competition_intensity",
+                 "base_price", "final_price", "inventory_pressure", "category", "zone", "state", "order_date"]
+
+_KPI_SQL = f"""
+g AS (SELECT COALESCE(sum(revenue), 0) AS total_revenue, count(*) AS orders, avg(revenue) AS aov,
+             avg(discount_percent) AS avg_discount,
+             COALESCE(sum(CASE WHEN sales_event = 'Festival' THEN revenue END), 0) AS fest,
+             COALESCE(sum(CASE WHEN brand_type = 'Premium' THEN revenue END), 0) AS prem,
+             avg(CASE WHEN competition_intensity = 'High' THEN discount_percent END) AS hc_disc,
+             COALESCE(sum(base_price - final_price), 0) AS disc_cost,
+             COALESCE(sum(base_price), 0) AS base_price_total,
+             sum(CASE WHEN inventory_pressure = 'High' THEN 1 ELSE 0 END) * 1.0 / count(*) AS high_pressure_share
+      FROM feat),
+tops AS (SELECT max(CASE WHEN dimension = 'category' THEN value END) AS top_category,
+                max(CASE WHEN dimension = 'zone' THEN value END) AS top_zone,
+                max(CASE WHEN dimension = 'state' THEN value END) AS top_state
+         FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY total DESC, value ASC) AS r
+               FROM ({_union_dims(['category', 'zone', 'state'], 'sum(revenue) AS total')})) WHERE r = 1),
+mg AS (SELECT CASE WHEN count(*) >= 2 THEN (max(CASE WHEN r = 1 THEN revenue END) - max(CASE WHEN r = 2 THEN revenue END)) * 100
+                   / NULLIF(max(CASE WHEN r = 2 THEN revenue END), 0) END AS mom_growth
+       FROM (SELECT *, row_number() OVER (ORDER BY year_month DESC) AS r FROM mon) WHERE r <= 2),
+k AS (SELECT total_revenue, total_revenue / 1e7 AS revenue_cr, total_revenue / 84.0 / 1e6 AS revenue_usd_m,
+             orders, aov AS avg_order_value, avg_discount,
+             CASE WHEN total_revenue <> 0 THEN fest * 100 / total_revenue ELSE 0.0 END AS festival_revenue_pct,
+             CASE WHEN total_revenue <> 0 THEN prem * 100 / total_revenue ELSE 0.0 END AS premium_revenue_pct,
+             COALESCE(hc_disc, avg_discount) AS high_competition_discount,
+             top_category, top_zone, top_state, mom_growth, disc_cost / 1e7 AS discount_cost_cr,
+             base_price_total, high_pressure_share
+      FROM g CROSS JOIN tops CROSS JOIN mg)"""
+
+
+@register("executive_kpis", W(f"""
+SELECT {R('total_revenue', 4)} AS total_revenue, {R('revenue_cr')} AS revenue_cr, {R('revenue_usd_m')} AS revenue_usd_m,
+       orders, {R('avg_order_value')} AS avg_order_value, {R('avg_discount')} AS avg_discount,
+       {R('festival_revenue_pct')} AS festival_revenue_pct, {R('premium_revenue_pct')} AS premium_revenue_pct,
+       {R('high_competition_discount')} AS high_competition_discount, top_category, top_zone, top_state,
+       {R('mom_growth')} AS mom_growth, {R('discount_cost_cr')} AS discount_cost_cr,
+       {R('base_price_total', 2)} AS base_price_total, {R('high_pressure_share')} AS high_pressure_share
+FROM k""", extra=_MONTHLY_SQL + "," + _KPI_SQL))
+def q_executive_kpis(spark, sf_dir):
+    """Executive KPI row: revenue (Cr, USD m), orders, AOV, shares, top keys, MoM (IN1)."""
+    k = IN.summary_kpis(fact(spark, sf_dir, _SUMMARY_COLS))
+    return rounded(k, 6, {"total_revenue": 4, "base_price_total": 2})
+
+
+@register("executive_narrative", W("""
+SELECT section, seq, text FROM (
+  SELECT 'headline' AS section, 0 AS seq,
+         printf('%.1f Cr revenue across %s orders - %s & %s zone lead growth.', revenue_cr, format('{:,}', orders), top_category, top_zone) AS text FROM k
+  UNION ALL SELECT 'insight', 1, printf('**%s** is the highest-revenue category, driving outsized contribution to total sales.', top_category) FROM k
+  UNION ALL SELECT 'insight', 2, printf('**%s zone** leads all regions - logistics and marketing investment here yields highest ROI.', top_zone) FROM k
+  UNION ALL SELECT 'insight', 3, printf('Festival periods account for **%.0f%%** of total revenue - seasonal planning is critical.', festival_revenue_pct) FROM k
+  UNION ALL SELECT 'insight', 4, printf('Average discount of **%.1f%%** is costing %.1f Cr in foregone revenue.', avg_discount, discount_cost_cr) FROM k
+  UNION ALL SELECT 'insight', 5, printf('Premium brands represent **%.0f%%** of revenue - premiumisation trend %s.', premium_revenue_pct, CASE WHEN premium_revenue_pct > 40 THEN 'is strong' ELSE 'has room to grow' END) FROM k
+  UNION ALL SELECT 'insight', 6, printf('Revenue is **%s** month-over-month at **%+.1f%%**.', CASE WHEN mom_growth > 0 THEN 'growing' ELSE 'declining' END, mom_growth) FROM k WHERE mom_growth IS NOT NULL
+  UNION ALL SELECT 'risk', 1, printf('Average discount (%.1f%%) is above sustainable threshold - margin erosion risk.', avg_discount) FROM k WHERE avg_discount > 35
+  UNION ALL SELECT 'risk', 2, printf('Over %.0f%% revenue concentrated in festival periods - high seasonality risk.', festival_revenue_pct) FROM k WHERE festival_revenue_pct > 50
+  UNION ALL SELECT 'risk', 3, printf('High-competition segments show %.1f%% avg discount - price war signal.', high_competition_discount) FROM k WHERE high_competition_discount > avg_discount + 10
+  UNION ALL SELECT 'risk', 4, printf('Revenue declined %.1f%% last month - investigate root cause immediately.', mom_growth) FROM k WHERE mom_growth < -5
+  UNION ALL SELECT 'risk', 5, 'No critical risks detected in current data window.' FROM k
+    WHERE NOT (avg_discount > 35 OR festival_revenue_pct > 50 OR high_competition_discount > avg_discount + 10 OR COALESCE(mom_growth < -5, false))
+  UNION ALL SELECT 'opportunity', 1, printf('Reducing average discount by 5pp could recover ~%.1f Cr in annual revenue.', base_price_total * 0.05 / 1e7) FROM k WHERE avg_discount > 25
+  UNION ALL SELECT 'opportunity', 2, printf('Premium brands at %.0f%% of revenue - targeted upsell campaigns could push this to 50%%+.', premium_revenue_pct) FROM k WHERE premium_revenue_pct < 40
+  UNION ALL SELECT 'opportunity', 3, printf('%s zones are underperforming - geo-targeted promotions could unlock growth.',
+                  (SELECT string_agg(zone, ' & ' ORDER BY rev, zone) FROM (SELECT zone, sum(revenue) AS rev FROM feat WHERE zone IS NOT NULL GROUP BY zone ORDER BY rev, zone LIMIT 2))) FROM k
+  UNION ALL SELECT 'opportunity', 4, '40%+ orders show high inventory pressure - demand forecasting investment would reduce stockouts.' FROM k WHERE high_pressure_share > 0.4
+) x""", extra=_MONTHLY_SQL + "," + _KPI_SQL))
+def q_executive_narrative(spark, sf_dir):
+    """Headline, insight, risk and opportunity texts (IN2, IN3)."""
+    return IN.narrative(fact(spark, sf_dir, _SUMMARY_COLS))
+
+
+@register("elastic_categories", W(f"""
+SELECT category, {R('c')} AS corr, {R('bp', 2)} AS base_price_total FROM (
+  SELECT category, count(*) AS n,
+         covar_samp(CASE WHEN discount_percent IS NOT NULL AND units_sold IS NOT NULL THEN discount_percent END,
+                    CASE WHEN discount_percent IS NOT NULL AND units_sold IS NOT NULL THEN units_sold END)
+         / NULLIF(stddev_samp(CASE WHEN discount_percent IS NOT NULL AND units_sold IS NOT NULL THEN discount_percent END)
+                  * stddev_samp(CASE WHEN discount_percent IS NOT NULL AND units_sold IS NOT NULL THEN units_sold END), 0) AS c,
+         COALESCE(sum(base_price), 0) AS bp
+  FROM feat WHERE category IS NOT NULL GROUP BY category) t
+WHERE n >= 30 AND c > 0.1"""))
+def q_elastic_categories(spark, sf_dir):
+    """Categories whose units rise with discount (corr > 0.1, n >= 30) (IN4)."""
+    df = fact(spark, sf_dir, ["category", "discount_percent", "units_sold", "base_price", "order_date"])
+    return rounded(IN.elastic_categories(df), 6, {"base_price_total": 2})
+
+
+@register("recommendations", W("""
+SELECT CAST(row_number() OVER (ORDER BY rnk, seq) AS INTEGER) AS position, priority, category, action, impact, effort, metric
+FROM (
+  SELECT 0 AS rnk, 3 AS seq, 'High' AS priority, 'Inventory' AS category,
+         printf('Pre-stock top categories 6 weeks before festival months ([%s])', string_agg(CAST(month AS VARCHAR), ', ' ORDER BY cnt DESC, month)) AS action,
+         'Prevent stockouts during peak demand - protect 15-25% of annual revenue' AS impact, 'Medium' AS effort, 'Inventory pressure %' AS metric
+  FROM (SELECT month, count(*) AS cnt FROM feat WHERE sales_event = 'Festival' AND month IS NOT NULL GROUP BY month ORDER BY cnt DESC, month LIMIT 3)
+  HAVING count(*) > 0
+  UNION ALL
+  SELECT 1, 4, 'Medium', 'Growth',
+         printf('Launch geo-targeted campaign in %s zone (currently %.0f%% of %s)', b.zone, b.rev * 100 / NULLIF(t.rev, 0), t.zone),
+         '10% lift in bottom zone = meaningful incremental revenue', 'Medium', 'Zone revenue share'
+  FROM (SELECT zone, sum(revenue) AS rev FROM feat WHERE zone IS NOT NULL GROUP BY zone ORDER BY rev ASC, zone LIMIT 1) b,
+       (SELECT zone, sum(revenue) AS rev FROM feat WHERE zone IS NOT NULL GROUP BY zone ORDER BY rev DESC, zone LIMIT 1) t
+  UNION ALL
+  SELECT 1, 5, 'Medium', 'Revenue Mix', 'Bundle premium products with mass bestsellers - increase premium attach rate',
+         printf('Premium at %.0f%% - target 50%% = higher AOV and margins', p), 'Low', 'Premium revenue %'
+  FROM (SELECT sum(CASE WHEN brand_type = 'Premium' THEN 1 ELSE 0 END) * 100.0 / count(*) AS p FROM feat) WHERE p < 45
+  UNION ALL
+  SELECT 2, 6, 'Low', 'Retention', 'Launch loyalty programme targeting top 20% customers by CLV',
+         '5% retention improvement = 25-95% profit increase (Bain & Co benchmark)', 'High', 'Repeat purchase rate'
+  UNION ALL
+  SELECT 1, 7, 'Medium', 'Competitive', 'Shift high-competition SKUs toward value-added bundles rather than pure discounting',
+         'Protect margins while maintaining conversion in competitive segments', 'Medium', 'Discount % in high-competition segments'
+  FROM (SELECT sum(CASE WHEN competition_intensity = 'High' THEN 1 ELSE 0 END) * 1.0 / count(*) AS s FROM feat) WHERE s > 0.3
+  UNION ALL
+  SELECT 0, r, 'High', 'Pricing', printf('Reduce discount on %s by 5-8pp during non-festival periods', category),
+         printf('Est. %.1f Cr revenue recovery', bp * 0.06 / 1e7), 'Low', 'Avg discount %'
+  FROM (SELECT category, bp, row_number() OVER (ORDER BY c DESC, category) AS r FROM (
+          SELECT category, count(*) AS n, corr(discount_percent, units_sold) AS c, sum(base_price) AS bp
+          FROM feat WHERE category IS NOT NULL GROUP BY category) WHERE n >= 30 AND c > 0.1)
+  WHERE r <= 2 AND (SELECT avg(discount_percent) FROM feat) > 30
+) x"""))
+def q_recommendations(spark, sf_dir):
+    """Prioritised recommendation list (IN5, TK7)."""
+    df = fact(spark, sf_dir, ["discount_percent", "brand_type", "competition_intensity", "sales_event",
+                              "zone", "revenue", "category", "units_sold", "base_price", "order_date"])
+    return IN.recommendations(df)
