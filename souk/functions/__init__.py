@@ -13,6 +13,7 @@ from souk.functions.columns import (  # noqa: F401
     month_start,
     months_between_keys,
     nan_to_null,
+    np_round,
     safe_corr,
     safe_div,
     strip_all,

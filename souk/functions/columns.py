@@ -93,3 +93,11 @@ def customer_key(state, gender, age, null_literal: bool = True) -> Column:
     if null_literal:
         parts = [F.coalesce(p.cast("string"), F.lit("nan")) for p in parts]
     return F.concat(parts[0], F.lit("_"), parts[1], F.lit("_"), parts[2])
+
+
+def np_round(x, digits: int = 0) -> Column:
+    """numpy / pandas ``round``: rint(x * 10^d) / 10^d (half to even on the
+    scaled binary value; T5).  Spark's ``round`` is HALF_UP on the decimal
+    representation and differs at ties."""
+    scale = F.lit(float(10 ** digits))
+    return F.rint(_c(x) * scale) / scale

@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from souk.functions import clip, customer_key, month_start, months_between_keys, safe_div
-from souk.operators.ordered import first_in_group, quantiles
+from souk.functions import clip, customer_key, month_start, months_between_keys, safe_div, np_round
+from souk.operators.ordered import first_in_group, materialize, quantiles
 
 
 def with_customer_id(df: DataFrame, null_literal: bool = True) -> DataFrame:
@@ -91,6 +91,7 @@ def churn_scores(cust: DataFrame) -> DataFrame:
     """Churn risk 0-100 (CU3): 40 recency + 35 (1 - frequency) + 25 (1 - monetary),
     each scaled by its own 95th percentile and clipped to [0, 1]; value tier
     at the revenue p75 / p50; risk label at 70 / 50 / 30."""
+    cust = materialize(cust)   # thresholds and scores read it once
     th = _named_quantiles(cust, {
         "_p95_days": ("days_since_last_order", 0.95),
         "_p95_freq": ("purchase_frequency", 0.95),
@@ -103,7 +104,7 @@ def churn_scores(cust: DataFrame) -> DataFrame:
     frq = (1 - clip(F.col("purchase_frequency") / F.greatest(F.col("_p95_freq"), F.lit(1e-9)), 0.0, 1.0)) * 35
     mon = (1 - clip(F.col("total_revenue") / F.greatest(F.col("_p95_rev"), F.lit(1e-9)), 0.0, 1.0)) * 25
     s = s.withColumns({"recency_risk": rec, "frequency_risk": frq, "monetary_risk": mon})
-    score = F.round(F.col("recency_risk") + F.col("frequency_risk") + F.col("monetary_risk"), 1)
+    score = np_round(F.col("recency_risk") + F.col("frequency_risk") + F.col("monetary_risk"), 1)
     tier = (F.when(F.col("total_revenue") >= F.col("_p75_rev"), "High Value")
              .when(F.col("total_revenue") >= F.col("_p50_rev"), "Mid Value").otherwise("Low Value"))
     s = s.withColumn("churn_risk_score", score).withColumn("value_tier", tier)
@@ -150,11 +151,12 @@ def simple_clv(df: DataFrame, horizon_months: int = 12, margin: float = 0.20) ->
     r = rfm(df, snapshot_offset_days=1)
     r = r.withColumns({"T_months": F.col("T") / 30.0})
     r = r.withColumn("purchase_rate", F.col("frequency") / F.greatest(F.col("T_months"), F.lit(1.0)))
-    r = r.withColumn("clv", F.round(F.col("purchase_rate") * F.col("monetary") * horizon_months * margin, 2))
+    r = r.withColumn("clv", np_round(F.col("purchase_rate") * F.col("monetary") * horizon_months * margin, 2))
     return add_clv_tiers(r)
 
 
 def add_clv_tiers(r: DataFrame, col: str = "clv") -> DataFrame:
+    r = materialize(r)
     th = _named_quantiles(r, {"_q1": (col, 0.25), "_q2": (col, 0.5), "_q3": (col, 0.75)})
     x = F.col(col)
     tier = (F.when(x >= F.col("_q3"), "Champions").when(x >= F.col("_q2"), "Loyalists")
@@ -190,7 +192,7 @@ def cohort_retention(cohort: DataFrame, metric: str = "revenue") -> DataFrame:
     w = Window.partitionBy("cohort_month")
     base = F.max(F.when(F.col("cohort_period") == 0, F.col(metric))).over(w)
     return cohort.select("cohort_month", "cohort_period", metric,
-                         F.round(safe_div(F.col(metric) * 100.0, base), 1).alias("retention_pct"))
+                         np_round(safe_div(F.col(metric) * 100.0, base), 1).alias("retention_pct"))
 
 
 def cohort_pivot(cohort: DataFrame, metric: str, periods: list[int]) -> DataFrame:

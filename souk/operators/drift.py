@@ -14,7 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.operators.ordered import prefix_sum, quantiles
+from souk.functions import np_round
+
+from souk.operators.ordered import materialize, prefix_sum, quantiles_from_prefix
 from souk.schema import DRIFT_FEATURES
 
 PSI_THRESHOLD = 0.2
@@ -64,15 +66,16 @@ def feature_drift(df: DataFrame, features: Sequence[str] = DRIFT_FEATURES,
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in feats
     ])).alias("_kv")).select("side", "_kv.feature", "_kv.x").where(F.col("x").isNotNull()))
 
-    # value counts per (feature, x) with one column per side
-    vc = (long.groupBy("feature", "x")
-              .agg(F.sum(F.when(F.col("side") == "ref", 1).otherwise(0)).cast("long").alias("n_ref"),
-                   F.sum(F.when(F.col("side") == "cur", 1).otherwise(0)).cast("long").alias("n_cur")))
+    # value counts per (feature, x) with one column per side, computed once
+    vc = materialize(long.groupBy("feature", "x")
+                     .agg(F.sum(F.when(F.col("side") == "ref", 1).otherwise(0)).cast("long").alias("n_ref"),
+                          F.sum(F.when(F.col("side") == "cur", 1).otherwise(0)).cast("long").alias("n_cur")))
+    # one distributed prefix sum serves the reference quantiles and KS
+    ps = prefix_sum(vc, "x", ["n_ref", "n_cur"], by=["feature"])
 
     # PSI: interior breakpoints = reference quantiles 1/b .. (b-1)/b
     probs = [i / buckets for i in range(1, buckets)]
-    ref_vals = long.where(F.col("side") == "ref")
-    bq = quantiles(ref_vals, "x", probs, by=["feature"])
+    bq = quantiles_from_prefix(ps, "x", "n_ref", probs, by=["feature"])
     bps = bq.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("q", "value"))).alias("_bp"))
     bps = bps.select("feature", F.transform("_bp", lambda s: s["value"]).alias("bps"))
     bucket = F.size(F.filter(F.col("bps"), lambda b: b <= F.col("x")))
@@ -93,7 +96,6 @@ def feature_drift(df: DataFrame, features: Sequence[str] = DRIFT_FEATURES,
              .groupBy("feature").agg(F.sum((a - e) * F.ln(a / e)).alias("psi")))
 
     # KS: max |F_ref - F_cur| over distinct values
-    ps = prefix_sum(vc, "x", ["n_ref", "n_cur"], by=["feature"])
     ks = (ps.groupBy("feature")
             .agg(F.max(F.abs(F.col("cum_n_ref") / F.col("total_n_ref")
                              - F.col("cum_n_cur") / F.col("total_n_cur"))).alias("ks_statistic")))
@@ -112,7 +114,7 @@ def feature_drift(df: DataFrame, features: Sequence[str] = DRIFT_FEATURES,
     shift = (F.col("cur_mean") - F.col("ref_mean")) / (F.col("ref_mean") + 1e-9) * 100
 
     def rnd(c, k):
-        return F.round(c, k) if digits else c
+        return np_round(c, k) if digits else c
 
     res = out.select("feature", rnd(F.col("psi"), 4).alias("psi"),
                      rnd(F.col("ks_statistic"), 4).alias("ks_statistic"),

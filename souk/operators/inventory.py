@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.functions import safe_div
+from souk.functions import safe_div, np_round
 from souk.operators.customers import _named_quantiles
 from souk.operators.features import group_label
+from souk.operators.ordered import materialize
 
 # Fixed thresholds of the alert rules.
 VELOCITY_HIGH_PCTILE = 0.80
@@ -45,7 +46,7 @@ def alerts(df: DataFrame, rows: str = "category", cols: str = "zone",
            clearance_pressure: float = CLEARANCE_PRESSURE_PCT) -> DataFrame:
     """Group health + velocity score + alert level + recommendation, sorted by
     level then velocity descending (IV1-IV3)."""
-    g = group_health(df, rows, cols)
+    g = materialize(group_health(df, rows, cols))
     th = _named_quantiles(g, {"_vhi": ("avg_units_sold", velocity_high),
                               "_vlo": ("avg_units_sold", velocity_low)})
     mx = g.agg(F.max("avg_units_sold").alias("_vmax"))
@@ -57,7 +58,7 @@ def alerts(df: DataFrame, rows: str = "category", cols: str = "zone",
               .when(u < F.col("_vlo"), "SLOW_MOVER")
               .otherwise("HEALTHY"))
     x = x.withColumns({
-        "velocity_score": F.round(safe_div(u, F.col("_vmax")) * 100, 1),
+        "velocity_score": np_round(safe_div(u, F.col("_vmax")) * 100, 1),
         "alert_level": level,
     })
     r, c = F.col(rows), F.col(cols)

@@ -85,15 +85,23 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str]
     by = list(by)
     vc = value_counts(df, col, by, "w")
     ps = prefix_sum(vc, col, ["w"], by, partitions)
-    n = F.col("total_w")
-    start = F.col("cum_w") - F.col("w")          # first 0-based rank held by the value
-    end = F.col("cum_w") - 1                     # last rank held by the value
+    return quantiles_from_prefix(ps, col, "w", probs, by)
+
+
+def quantiles_from_prefix(ps: DataFrame, col: str, weight: str, probs: Sequence[float],
+                          by: Sequence[str] = ()) -> DataFrame:
+    """Quantiles from a ``prefix_sum`` result over (by, value) counts: a value
+    holds the 0-based ranks [cum - w, cum - 1]; rows with weight 0 hold none,
+    so one prefix sum with several weight columns serves several samples."""
+    by = list(by)
+    n = F.col(f"total_{weight}")
+    start = F.col(f"cum_{weight}") - F.col(weight)
+    end = F.col(f"cum_{weight}") - 1
     targets = F.array(*[
-        F.struct(F.lit(float(q)).alias("q"),
-                 (F.lit(float(q)) * (n - 1)).alias("h"))
+        F.struct(F.lit(float(q)).alias("q"), (F.lit(float(q)) * (n - 1)).alias("h"))
         for q in probs])
-    t = (ps.select(*by, col, start.alias("_s"), end.alias("_e"),
-                   F.explode(targets).alias("_t"))
+    t = (ps.where(F.col(weight) > 0)
+           .select(*by, col, start.alias("_s"), end.alias("_e"), F.explode(targets).alias("_t"))
            .select(*by, col, "_s", "_e", F.col("_t.q").alias("q"), F.col("_t.h").alias("h"))
            .withColumn("_lo", F.floor("h"))
            .withColumn("_hi", F.ceil("h")))
@@ -108,6 +116,14 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str]
     return agg.select(*by, "q", (F.col("_xlo") + (F.col("_xhi") - F.col("_xlo")) * frac).alias("value"))
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the cluster checkpoint folder and read it back:
+    cuts the lineage (an executor loss resumes from here) and lets several
+    consumers share one computation."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def quantile_row(df: DataFrame, col: str, probs: dict[str, float]) -> DataFrame:
     """One-row table of named global quantiles, e.g. ``{'p95': .95}``."""
     q = quantiles(df, col, list(probs.values()))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.functions import safe_div
+from souk.functions import safe_div, np_round
 from souk.functions.stats import t_pvalue_udf
 
 
@@ -59,7 +59,7 @@ def elasticity(df: DataFrame, group_cols: Sequence[str] = ("category",),
         cols.append(t_pvalue_udf(t, dof.cast("double")).alias("p_value"))
     res = out.select(*cols)
     if digits is not None:
-        res = res.select(*g, *[F.round(c, digits).alias(c) if c in ("elasticity", "r2", "p_value") else F.col(c)
+        res = res.select(*g, *[np_round(c, digits).alias(c) if c in ("elasticity", "r2", "p_value") else F.col(c)
                               for c in res.columns if c not in g])
     return res
 
@@ -102,9 +102,9 @@ def optimal_discount(e, current, max_discount: float = 60.0) -> dict:
                                              F.when(a > 1, "elastic: increase discount to grow volume")
                                               .otherwise("inelastic: reduce discount to protect margin"))))
     return {
-        "optimal_discount": F.round(F.least(F.greatest(opt, F.lit(0.0)), F.lit(max_discount)), 1),
+        "optimal_discount": np_round(F.least(F.greatest(opt, F.lit(0.0)), F.lit(max_discount)), 1),
         "direction": direction,
-        "revenue_impact_pct": F.round(impact, 1),
+        "revenue_impact_pct": np_round(impact, 1),
         "rationale": rationale,
     }
 
@@ -120,9 +120,9 @@ def price_recommendations(df: DataFrame, min_obs: int = 30, default_discount: fl
     j = el.join(disc, "category", "left").withColumn("_cur", F.coalesce(F.col("_cur"), F.lit(default_discount)))
     o = optimal_discount("elasticity", F.col("_cur"))
     out = j.select("category",
-                   F.round(F.col("_cur"), 1).alias("current_discount"),
+                   np_round(F.col("_cur"), 1).alias("current_discount"),
                    o["optimal_discount"].alias("optimal_discount"),
-                   F.round(o["optimal_discount"] - F.col("_cur"), 1).alias("change"),
+                   np_round(o["optimal_discount"] - F.col("_cur"), 1).alias("change"),
                    o["direction"].alias("direction"),
                    "elasticity",
                    o["revenue_impact_pct"].alias("revenue_impact_pct"),

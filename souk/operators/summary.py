@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from souk.functions import safe_div
+from souk.functions import safe_div, np_round
 from souk.operators.ordered import quantiles
 from souk.schema import DIMENSIONS, MEASURES
 
@@ -235,9 +235,9 @@ def mean_matrix(df: DataFrame, rows: str = "category", cols: str = "zone",
     (the values must be given so no extra job is needed to find them)."""
     base = df.where(F.col(rows).isNotNull() & F.col(cols).isNotNull())
     if pivot_values is None:
-        return base.groupBy(rows, cols).agg(F.round(F.avg(value), digits).alias(f"avg_{value}"))
+        return base.groupBy(rows, cols).agg(np_round(F.avg(value), digits).alias(f"avg_{value}"))
     return (base.groupBy(rows).pivot(cols, list(pivot_values))
-            .agg(F.round(F.avg(value), digits)))
+            .agg(np_round(F.avg(value), digits)))
 
 
 def top_months(df: DataFrame, where, k: int = 3, key: str = "month") -> DataFrame:

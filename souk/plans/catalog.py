@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from souk.operators import features as FE
 from souk.operators import summary as SU
-from souk.sources.star import FACT_SQL, orders_fact
+from souk.sources.star import FACT_SQL, orders_fact, shared_fact
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,11 +36,19 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+# Quantisation of floating results for the side-by-side check.  The fact's
+# values sit on decimal grids (4-dp revenue, means over 2^k rows terminate),
+# so a boundary at .5 is hit exactly and the engines' last-bit differences
+# (summation order) decide the side.  The boundary is placed at an
+# off-grid fraction instead, which no grid value can equal.
+_CHECK_OFFSET = 0.4142135623
+
+
 def _half_away(c, digits: int):
-    """Round half away from zero with the same IEEE steps as the SQL twin:
-    sign(x) * floor(|x| * 10^d + 0.5) / 10^d (+ 0.0 folds a negative zero)."""
+    """sign(x) * floor(|x| * 10^d + offset) / 10^d, the same IEEE steps as
+    the SQL twin ``R`` (+ 0.0 folds a negative zero)."""
     scale = F.lit(float(10 ** digits))
-    return (F.signum(c) * F.floor(F.abs(c) * scale + 0.5).cast("double") / scale) + F.lit(0.0)
+    return (F.signum(c) * F.floor(F.abs(c) * scale + _CHECK_OFFSET).cast("double") / scale) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, digits: int = 6, per_col: dict[str, int] | None = None) -> DataFrame:
@@ -58,12 +66,19 @@ def rounded(df: DataFrame, digits: int = 6, per_col: dict[str, int] | None = Non
 def R(expr: str, digits: int = 6) -> str:
     """SQL twin of ``rounded`` for one expression."""
     scale = f"CAST({float(10 ** digits)!r} AS DOUBLE)"
-    return f"(sign({expr}) * floor(abs({expr}) * {scale} + 0.5) / {scale} + 0.0)"
+    return f"(sign({expr}) * floor(abs({expr}) * {scale} + {_CHECK_OFFSET!r}) / {scale} + 0.0)"
+
+
+def NPR(expr: str, digits: int) -> str:
+    """SQL twin of ``souk.functions.np_round`` (rint(x * 10^d) / 10^d)."""
+    scale = repr(float(10 ** digits))
+    return f"(round_even(({expr}) * {scale}, 0) / {scale})"
 
 
 def fact(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    """Prepared fact (clean + derived columns) over the given tables."""
-    return FE.engineer(orders_fact(spark, sf_dir, columns))
+    """Prepared fact (derived columns added) over the given tables, scanned
+    from the shared materialised fact (see ``sources.star.shared_fact``)."""
+    return FE.engineer(shared_fact(spark, sf_dir, columns))
 
 
 def W(body: str, extra: str = "") -> str:
@@ -138,7 +153,7 @@ SELECT order_id, customer_id, year, month, monthname(order_date) AS month_name,
 FROM feat"""))
 def q_order_features(spark, sf_dir):
     """Cleaned fact with calendar, fiscal, price and log features (PJ1-PJ9)."""
-    df = FE.prepare(orders_fact(spark, sf_dir))
+    df = FE.prepare(shared_fact(spark, sf_dir))
     return rounded(df.select(*FEATURE_COLS), 9)
 
 
@@ -313,14 +328,14 @@ nodes AS (
 
 # ---------------------------------------------------------------- AG11 / AG12
 @register("kpis", W(f"""
-SELECT {R('sum(revenue)', 4)} AS total_revenue, count(*) AS orders,
+SELECT {R('sum(revenue)', 2)} AS total_revenue, count(*) AS orders,
        {R('avg(revenue)', 6)} AS avg_order_value, {R('avg(discount_percent)', 6)} AS avg_discount,
        {R('avg(units_sold)', 6)} AS avg_units, {R('sum(revenue) / 84.0', 4)} AS revenue_usd
 FROM feat"""))
 def q_kpis(spark, sf_dir):
     """Headline KPIs (AG11)."""
     df = fact(spark, sf_dir, ["revenue", "discount_percent", "units_sold", "order_date"])
-    return rounded(SU.kpis(df), 6, {"total_revenue": 4, "revenue_usd": 4})
+    return rounded(SU.kpis(df), 6, {"total_revenue": 2, "revenue_usd": 4})
 
 
 @register("segment_shares", W(f"""
@@ -350,7 +365,7 @@ def q_state_revenue(spark, sf_dir):
 
 
 @register("units_matrix", W(f"""
-SELECT category, zone, {R('avg(units_sold)', 1)} AS avg_units_sold FROM feat
+SELECT category, zone, {R(NPR('avg(units_sold)', 1), 1)} AS avg_units_sold FROM feat
 WHERE category IS NOT NULL AND zone IS NOT NULL GROUP BY category, zone"""))
 def q_units_matrix(spark, sf_dir):
     """Mean units per category x zone, 1 dp (AG14)."""
@@ -409,7 +424,7 @@ scored0 AS (
 scored AS (
   SELECT *, CASE WHEN score >= 70 THEN 'Critical' WHEN score >= 50 THEN 'High'
                  WHEN score >= 30 THEN 'Medium' ELSE 'Low' END AS risk_label
-  FROM (SELECT *, round(recency_risk + frequency_risk + monetary_risk, 1) AS score FROM scored0) t
+  FROM (SELECT *, (round_even((recency_risk + frequency_risk + monetary_risk) * 10.0, 0) / 10.0) AS score FROM scored0) t
 )"""
 
 _DT = "strftime({c}, '%Y-%m-%d %H:%M:%S')"
@@ -423,19 +438,14 @@ def _ts(df, *cols):
 @register("customer_features", W(f"""
 SELECT customer_id, {_DT.format(c='last_order_date')} AS last_order_date,
        {_DT.format(c='first_order_date')} AS first_order_date, order_count,
-       {R('total_revenue', 4)} AS total_revenue,
-       {R('avg_discount', 9)} AS avg_discount, top_category, top_zone, days_since_last_order,
+       {R('total_revenue', 4)} AS total_revenue, {R('avg_order_value')} AS avg_order_value,
+       {R('avg_discount')} AS avg_discount, top_category, top_zone, days_since_last_order,
        customer_age_days, {R('purchase_frequency')} AS purchase_frequency
 FROM features""", extra=_CUST_FEATURES_SQL))
 def q_customer_features(spark, sf_dir):
     """Per-customer churn features incl. modal category/zone (CU2)."""
     cf = CU.customer_features(fact(spark, sf_dir, _CUST_COLS))
-    # avg_order_value (= total_revenue / order_count, both shown) is left out:
-    # a mean of 4-dp revenue over 2^k orders ends exactly on a rounding tie,
-    # where the engines' summation orders differ in the last bit.  It is
-    # checked against total / count in tests/test_customers.py.
-    return rounded(_ts(cf.drop("avg_order_value"), "last_order_date", "first_order_date"), 6,
-                   {"total_revenue": 4, "avg_discount": 9})
+    return rounded(_ts(cf, "last_order_date", "first_order_date"), 6, {"total_revenue": 4})
 
 
 _SCORE_COLS = ["customer_id", "days_since_last_order", "purchase_frequency", "total_revenue",
@@ -497,7 +507,7 @@ rfm AS (
 ),
 clv0 AS (
   SELECT *, T / 30.0 AS T_months, frequency / greatest(T / 30.0, 1.0) AS purchase_rate,
-         round(frequency / greatest(T / 30.0, 1.0) * monetary * 12 * 0.2, 2) AS clv
+         (round_even((frequency / greatest(T / 30.0, 1.0) * monetary * 12 * 0.2) * 100.0, 0) / 100.0) AS clv
   FROM rfm
 ),
 clv AS (
@@ -559,7 +569,7 @@ def q_cohort_revenue(spark, sf_dir):
 
 @register("cohort_retention", W(f"""
 SELECT cohort_month, cohort_period, count,
-       {R("round(count * 100.0 / NULLIF(max(CASE WHEN cohort_period = 0 THEN count END) OVER (PARTITION BY cohort_month), 0), 1)", 1)} AS retention_pct
+       {R("(round_even((count * 100.0 / NULLIF(max(CASE WHEN cohort_period = 0 THEN count END) OVER (PARTITION BY cohort_month), 0)) * 10.0, 0) / 10.0)", 1)} AS retention_pct
 FROM coh""", extra=_COHORT_SQL))
 def q_cohort_retention(spark, sf_dir):
     """Order-count cohort retention % vs period 0 (CU7, CU8)."""
@@ -573,8 +583,8 @@ def _elast_sql(groups, min_obs, precheck):
     keys = " AND ".join(f"{c} IS NOT NULL" for c in groups)
     pre = f"AND count(*) >= {min_obs}" if precheck else ""
     return f"""
-SELECT {g}, {R('regr_slope(lq, lp)', 4)} AS elasticity,
-       {R('regr_slope(lq, lp) * regr_slope(lq, lp) * regr_sxx(lq, lp) / NULLIF(regr_syy(lq, lp), 0)', 4)} AS r2,
+SELECT {g}, {R(NPR('regr_slope(lq, lp)', 4), 4)} AS elasticity,
+       {R(NPR('regr_slope(lq, lp) * regr_slope(lq, lp) * regr_sxx(lq, lp) / NULLIF(regr_syy(lq, lp), 0)', 4), 4)} AS r2,
        count(lq) AS n_obs
 FROM (SELECT {g}, CASE WHEN final_price > 0 AND units_sold > 0 THEN ln(final_price) END AS lp,
              CASE WHEN final_price > 0 AND units_sold > 0 THEN ln(CAST(units_sold AS DOUBLE)) END AS lq
@@ -606,18 +616,18 @@ _PRICE_SQL = _elast_sql(["category"], 30, False)
 
 
 @register("price_recommendations", W(f"""
-SELECT category, {R('round(cur, 1)', 1)} AS current_discount, {R('opt', 1)} AS optimal_discount,
-       {R('round(opt - cur, 1)', 1)} AS change, direction, {R('elasticity', 4)} AS elasticity,
+SELECT category, {R('(round_even((cur) * 10.0, 0) / 10.0)', 1)} AS current_discount, {R('opt', 1)} AS optimal_discount,
+       {R('(round_even((opt - cur) * 10.0, 0) / 10.0)', 1)} AS change, direction, {R('elasticity', 4)} AS elasticity,
        {R('impact', 1)} AS revenue_impact_pct, rationale
 FROM (
   SELECT category, cur, elasticity,
-         round(least(greatest(CASE WHEN e >= 0 THEN cur WHEN a > 1 THEN least(cur * (a / (a - 0.5)), 60.0)
-                              ELSE greatest(cur * 0.8, 0.0) END, 0.0), 60.0), 1) AS opt,
+         (round_even((least(greatest(CASE WHEN e >= 0 THEN cur WHEN a > 1 THEN least(cur * (a / (a - 0.5)), 60.0)
+                              ELSE greatest(cur * 0.8, 0.0) END, 0.0), 60.0)) * 10.0, 0) / 10.0) AS opt,
          CASE WHEN e >= 0 THEN 'hold' WHEN a > 1 THEN
                 CASE WHEN least(cur * (a / (a - 0.5)), 60.0) > cur THEN 'increase' ELSE 'hold' END
               ELSE 'decrease' END AS direction,
-         round(CASE WHEN e >= 0 THEN 0.0 WHEN a > 1 THEN (a - 1) * (least(cur * (a / (a - 0.5)), 60.0) - cur) / 100 * 100
-               ELSE (1 - a) * (cur - greatest(cur * 0.8, 0.0)) / 100 * 100 END, 1) AS impact,
+         (round_even((CASE WHEN e >= 0 THEN 0.0 WHEN a > 1 THEN (a - 1) * (least(cur * (a / (a - 0.5)), 60.0) - cur) / 100 * 100
+               ELSE (1 - a) * (cur - greatest(cur * 0.8, 0.0)) / 100 * 100 END) * 10.0, 0) / 10.0) AS impact,
          CASE WHEN e >= 0 THEN 'Giffen/luxury good - discounting may reduce demand'
               ELSE printf('Elasticity %.2f - %s', e, CASE WHEN a > 1 THEN 'elastic: increase discount to grow volume'
                                                        ELSE 'inelastic: reduce discount to protect margin' END) END AS rationale
@@ -627,7 +637,7 @@ FROM (
     FROM el LEFT JOIN (SELECT category, avg(discount_percent) AS cur FROM feat
                        WHERE category IS NOT NULL GROUP BY category) d USING (category)
   ) x
-) y""", extra=f"el AS ({_PRICE_SQL.replace(R('regr_slope(lq, lp)', 4), 'round(regr_slope(lq, lp), 4)')})"))
+) y""", extra=f"el AS ({_PRICE_SQL})"))
 def q_price_recommendations(spark, sf_dir):
     """Optimal discount per category from elasticity and current discount (PR4, PR5)."""
     df = fact(spark, sf_dir, ["category", "final_price", "units_sold", "discount_percent", "order_date"])
@@ -644,7 +654,7 @@ grp AS (
   FROM feat WHERE category IS NOT NULL AND zone IS NOT NULL GROUP BY category, zone
 ),
 al AS (
-  SELECT g.*, round(avg_units_sold / NULLIF(vmax, 0) * 100, 1) AS velocity_score,
+  SELECT g.*, (round_even((avg_units_sold / NULLIF(vmax, 0) * 100) * 10.0, 0) / 10.0) AS velocity_score,
          CASE WHEN avg_units_sold >= vhi AND high_pressure_pct >= 60 THEN 'CRITICAL'
               WHEN avg_units_sold >= vhi AND high_pressure_pct >= 30 THEN 'HIGH'
               WHEN avg_discount >= 45 AND high_pressure_pct >= 50 THEN 'CLEARANCE'
@@ -737,13 +747,13 @@ res AS (
 
 
 @register("feature_drift", W(f"""
-SELECT feature, {R('round(psi, 4)', 4)} AS psi, {R('round(ks_statistic, 4)', 4)} AS ks_statistic,
-       {R('round(ks_p_value, 4)', 4)} AS ks_p_value,
+SELECT feature, {R('(round_even((psi) * 10000.0, 0) / 10000.0)', 4)} AS psi, {R('(round_even((ks_statistic) * 10000.0, 0) / 10000.0)', 4)} AS ks_statistic,
+       {R('(round_even((ks_p_value) * 10000.0, 0) / 10000.0)', 4)} AS ks_p_value,
        (psi > 0.2 OR ks_p_value < 0.05) AS drift_detected,
        CASE WHEN NOT (psi > 0.2 OR ks_p_value < 0.05) THEN 'None' WHEN psi > 0.25 THEN 'High'
             WHEN psi > 0.2 THEN 'Medium' ELSE 'Low' END AS severity,
-       {R('round(ref_mean, 2)', 2)} AS ref_mean, {R('round(cur_mean, 2)', 2)} AS cur_mean,
-       {R('round((cur_mean - ref_mean) / (ref_mean + 1e-9) * 100, 1)', 1)} AS mean_shift_pct
+       {R('(round_even((ref_mean) * 100.0, 0) / 100.0)', 2)} AS ref_mean, {R('(round_even((cur_mean) * 100.0, 0) / 100.0)', 2)} AS cur_mean,
+       {R('(round_even(((cur_mean - ref_mean) / (ref_mean + 1e-9) * 100) * 10.0, 0) / 10.0)', 1)} AS mean_shift_pct
 FROM res""", extra=_DRIFT_SQL))
 def q_feature_drift(spark, sf_dir):
     """PSI / KS drift of five features, reference 6 months vs current 3 months (DR1-DR3)."""
@@ -753,7 +763,7 @@ def q_feature_drift(spark, sf_dir):
 
 @register("drift_summary", W(f"""
 SELECT CAST(sum(CASE WHEN psi > 0.2 OR ks_p_value < 0.05 THEN 1 ELSE 0 END) AS INTEGER) AS features_drifted,
-       {R('max(round(psi, 4))', 4)} AS max_psi
+       {R('max((round_even((psi) * 10000.0, 0) / 10000.0))', 4)} AS max_psi
 FROM res""", extra=_DRIFT_SQL))
 def q_drift_summary(spark, sf_dir):
     """Drift-report summary row: features drifted and max PSI (SK2, AG22)."""
@@ -807,14 +817,14 @@ def q_lorenz_curve(spark, sf_dir):
 @register("gini", W(f"""
 SELECT {R('2 * sa / (n * total) - (n + 1.0) / n', 9)} AS gini,
        {R('1 - 2 * ((sa / total - (mx / total + 1) / 2) / (n - 1))', 9)} AS reference_gini,
-       n, {R('total', 4)} AS total
+       n, {R('total', 2)} AS total
 FROM (SELECT sum(revenue * (CAST(n AS DOUBLE) * (cn - n) + n * (n + 1.0) / 2)) AS sa,
              CAST(sum(n) AS BIGINT) AS n, sum(revenue * n) AS total, max(revenue) AS mx
       FROM (SELECT revenue, n, sum(n) OVER (ORDER BY revenue ROWS UNBOUNDED PRECEDING) AS cn
             FROM (SELECT revenue, count(*) AS n FROM feat WHERE revenue IS NOT NULL GROUP BY 1)))"""))
 def q_gini(spark, sf_dir):
     """Gini of order revenue (standard) and the reference's printed variant (WN2)."""
-    return rounded(OR.gini(fact(spark, sf_dir, ["revenue", "order_date"])), 9, {"total": 4})
+    return rounded(OR.gini(fact(spark, sf_dir, ["revenue", "order_date"])), 9, {"total": 2})
 
 
 _ECDF_COLS = ["revenue", "final_price", "units_sold"]
@@ -1006,7 +1016,7 @@ k AS (SELECT total_revenue, total_revenue / 1e7 AS revenue_cr, total_revenue / 8
 
 
 @register("executive_kpis", W(f"""
-SELECT {R('total_revenue', 4)} AS total_revenue, {R('revenue_cr')} AS revenue_cr, {R('revenue_usd_m')} AS revenue_usd_m,
+SELECT {R('total_revenue', 2)} AS total_revenue, {R('revenue_cr')} AS revenue_cr, {R('revenue_usd_m')} AS revenue_usd_m,
        orders, {R('avg_order_value')} AS avg_order_value, {R('avg_discount')} AS avg_discount,
        {R('festival_revenue_pct')} AS festival_revenue_pct, {R('premium_revenue_pct')} AS premium_revenue_pct,
        {R('high_competition_discount')} AS high_competition_discount, top_category, top_zone, top_state,
@@ -1016,7 +1026,7 @@ FROM k""", extra=_MONTHLY_SQL + "," + _KPI_SQL))
 def q_executive_kpis(spark, sf_dir):
     """Executive KPI row: revenue (Cr, USD m), orders, AOV, shares, top keys, MoM (IN1)."""
     k = IN.summary_kpis(fact(spark, sf_dir, _SUMMARY_COLS))
-    return rounded(k, 6, {"total_revenue": 4, "base_price_total": 2})
+    return rounded(k, 6, {"total_revenue": 2, "base_price_total": 2})
 
 
 @register("executive_narrative", W("""

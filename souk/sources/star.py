@@ -139,3 +139,58 @@ fact AS (
   JOIN region r ON n.n_regionkey = r.r_regionkey
   JOIN part p ON l.l_partkey = p.p_partkey
 )"""
+
+
+# ---------------------------------------------------------------- shared fact
+def _hadoop_fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Hash of the input tables' paths, sizes and modification times (file
+    metadata only -- no data is read)."""
+    import hashlib
+    h = hashlib.sha1()
+    for name in ("lineitem", "orders", "customer", "nation", "region", "part"):
+        path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+        p, fs = _hadoop_fs(spark, path)
+        h.update(path.encode())
+        if fs.exists(p):
+            it = fs.listFiles(p, True)
+            while it.hasNext():
+                st = it.next()
+                h.update(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}".encode())
+    return h.hexdigest()[:16]
+
+
+def shared_fact_path(spark: SparkSession, sf_dir: str) -> str:
+    from souk.session import ensure_checkpoint_dir
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    # the checkpoint dir is per application; keep the fact next to it, in the
+    # shared folder the cluster names
+    base = root.rsplit("/", 1)[0] if "/" in root else root
+    return f"{base}/souk-fact/{_fingerprint(spark, sf_dir)}"
+
+
+def shared_fact(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """The order fact, joined once per dataset and stored as Parquet in the
+    shared checkpoint folder, then scanned by every analytic.
+
+    Rationale at scale: every analytic otherwise repeats the lineitem x orders
+    x customer x part join (a full shuffle of the largest tables).  The stored
+    fact is written round-robin into ``spark.sql.shuffle.partitions`` files
+    (no key skew can concentrate it), each sorted by order date so row-group
+    statistics prune date-window filters.  A completed write is marked by
+    Spark's ``_SUCCESS`` file; the key includes the input files' sizes and
+    modification times, so changed inputs produce a new fact.
+    """
+    path = shared_fact_path(spark, sf_dir)
+    p, fs = _hadoop_fs(spark, path + "/_SUCCESS")
+    if not fs.exists(p):
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        (orders_fact(spark, sf_dir).repartition(n).sortWithinPartitions("order_date")
+         .write.mode("overwrite").parquet(path))
+    df = spark.read.parquet(path)
+    return df.select(*(columns or FACT_COLUMNS))
