@@ -82,3 +82,65 @@ def decompose(series: DataFrame, key: str = "month", value: str = "value", perio
     out = s.join(centred.select(*by, "_phase", "seasonal"), [*by, "_phase"])
     return out.select(*by, key, F.col(value).alias("observed"), "trend", "seasonal",
                       (F.col(value) - F.col("trend") - F.col("seasonal")).alias("resid"))
+
+
+def forecast(series: DataFrame, key: str = "month", value: str = "value", periods: int = 60,
+             by: Sequence[str] = (), harmonics: int = 3, interval: float = 0.80) -> DataFrame:
+    """Trend + yearly seasonality forecast ``periods`` months ahead with a
+    multiplicative ``interval`` band (TS3).
+
+    Model per series: ln(y) = a + b t + sum_k (c_k sin(2 pi k m / 12) +
+    d_k cos(2 pi k m / 12)), least squares; band = exp(fit +- z sigma) with
+    sigma the residual std.  Each series is one group of
+    ``groupBy(by).applyInPandas`` -- a series has one row per month, so a
+    group is bounded by the calendar, not by the order count.
+    Output: by..., month, yhat, yhat_lower, yhat_upper, is_forecast.
+    """
+    import math
+
+    import numpy as np
+    import pandas as pd
+    from statistics import NormalDist
+
+    by = list(by)
+    z = NormalDist().inv_cdf(0.5 + interval / 2)
+    base = series.where(F.col(value) > 0).select(*by, F.col(key).cast("date").alias("month"),
+                                                 F.col(value).cast("double").alias("y"))
+
+    def design(t, m):
+        cols = [np.ones_like(t), t]
+        for k in range(1, harmonics + 1):
+            cols += [np.sin(2 * math.pi * k * m / 12.0), np.cos(2 * math.pi * k * m / 12.0)]
+        return np.column_stack(cols)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("month")
+        months = pd.to_datetime(pdf["month"])
+        t0 = months.iloc[0]
+        t = ((months.dt.year - t0.year) * 12 + months.dt.month - t0.month).to_numpy(float)
+        m = months.dt.month.to_numpy(float)
+        ly = np.log(pdf["y"].to_numpy(float))
+        x = design(t, m)
+        beta, *_ = np.linalg.lstsq(x, ly, rcond=None)
+        resid = ly - x @ beta
+        dof = max(len(ly) - x.shape[1], 1)
+        sigma = float(np.sqrt(np.sum(resid ** 2) / dof))
+        last = int(t.max())
+        ft = np.arange(0, last + periods + 1, dtype=float)
+        fmonths = pd.date_range(t0, periods=len(ft), freq="MS")
+        fx = design(ft, fmonths.month.to_numpy(float))
+        mu = fx @ beta
+        out = pd.DataFrame({"month": fmonths.date, "yhat": np.exp(mu),
+                            "yhat_lower": np.exp(mu - z * sigma), "yhat_upper": np.exp(mu + z * sigma),
+                            "is_forecast": ft > last})
+        for c in by:
+            out[c] = pdf[c].iloc[0]
+        return out[[*by, "month", "yhat", "yhat_lower", "yhat_upper", "is_forecast"]]
+
+    schema = ", ".join([*[f"{c} {series.schema[c].dataType.simpleString()}" for c in by],
+                        "month date", "yhat double", "yhat_lower double", "yhat_upper double",
+                        "is_forecast boolean"])
+    if not by:
+        # a single series: one group keyed by a constant
+        return base.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(fit, schema)
+    return base.groupBy(*by).applyInPandas(fit, schema)

@@ -1110,3 +1110,35 @@ def q_recommendations(spark, sf_dir):
     df = fact(spark, sf_dir, ["discount_percent", "brand_type", "competition_intensity", "sales_event",
                               "zone", "revenue", "category", "units_sold", "base_price", "order_date"])
     return IN.recommendations(df)
+
+
+# ---------------------------------------------------------------- models (no SQL twin)
+from souk.operators import ml as ML  # noqa: E402
+
+_ML_COLS = [*ML.CAT_FEATURES, "customer_age", "base_price", "discount_percent", "revenue", "order_date",
+            "order_id", "units_sold"]
+
+
+@register("linear_model_metrics")
+def q_linear_model_metrics(spark, sf_dir):
+    """Standardised + one-hot linear regression of revenue, test RMSE/MAE/R2 on
+    an 80/20 hash split (ML1-ML4)."""
+    df = fact(spark, sf_dir, _ML_COLS)
+    return rounded(ML.compare_models(df, ["order_id", "order_date", "units_sold", "revenue", "base_price"],
+                                     names=["Linear Regression"]), 6)
+
+
+@register("prediction_drift")
+def q_prediction_drift(spark, sf_dir):
+    """Boosted-tree prediction drift between reference and current windows (DR4)."""
+    df = fact(spark, sf_dir, ["order_date", "revenue", "category", "zone", "brand_type", "sales_event",
+                              "base_price", "discount_percent", "units_sold"])
+    return ML.prediction_drift(df)
+
+
+@register("revenue_forecast_by_zone")
+def q_revenue_forecast_by_zone(spark, sf_dir):
+    """Monthly revenue per zone with a 60-month trend + seasonality forecast
+    and 80 % band (TS3)."""
+    s = TS.monthly_series(fact(spark, sf_dir, ["order_date", "zone", "revenue"]), "revenue", "sum", by=["zone"])
+    return TS.forecast(s, "month", "value", periods=60, by=["zone"])
