@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.functions import safe_div
@@ -79,3 +79,123 @@ def anomalies_by(df: DataFrame, flag: str, key: str = "category") -> DataFrame:
             .agg(F.sum(F.col(flag).cast("int")).cast("long").alias("anomalies"),
                  F.count(F.lit(1)).alias("orders"))
             .withColumn("anomaly_rate_pct", safe_div(F.col("anomalies") * 100.0, F.col("orders"))))
+
+
+# ---------------------------------------------------------------- isolation forest (AN3)
+def _c_factor(n):
+    """Average path length of an unsuccessful BST search over n points."""
+    import numpy as np
+    n = np.asarray(n, dtype=float)
+    out = np.zeros_like(n)
+    big = n > 2
+    out[big] = 2.0 * (np.log(n[big] - 1.0) + np.euler_gamma) - 2.0 * (n[big] - 1.0) / n[big]
+    out[n == 2] = 1.0
+    return out
+
+
+def isolation_forest(df: DataFrame, cols: Sequence[str], key_cols: Sequence[str],
+                     n_trees: int = 150, sample_size: int = 256, contamination: float = 0.008,
+                     seed: int = 42) -> DataFrame:
+    """Isolation forest (AN3) over ``cols`` (e.g. robust-scaled features).
+
+    * Sampling: rows whose hash falls under a rate sized for
+      ``n_trees * sample_size`` rows are dealt to trees by hash; each tree
+      keeps its ``sample_size`` lowest hashes (a group of bounded size).
+    * Building: ``groupBy(tree).applyInPandas`` grows each tree on its sample
+      (random feature, uniform split between the node's min and max, depth
+      limit ceil(log2(sample_size))).
+    * Scoring: the forest (at most ``n_trees * (2 * sample_size - 1)`` nodes,
+      a fixed bound) is shipped to ``mapInPandas``, which computes each row's
+      mean path length; score s = 2^(-E[h] / c(sample_size)).
+    * Threshold: the exact (1 - contamination) quantile of s; rows above are
+      anomalies.  Adds ``iso_score`` (s), ``iso_label`` (-1 anomaly / 1) and
+      ``is_anomaly``.
+    """
+    import math
+
+    import numpy as np
+    import pandas as pd
+
+    cols = list(cols)
+    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols])
+    u = (F.pmod(h, F.lit(1 << 30)).cast("double") / float(1 << 30))
+    base = df.withColumn("_u", u)
+    n = base.agg(F.count(F.lit(1)).alias("_n"))
+    want = float(n_trees * sample_size) * 1.3
+    pool = (base.crossJoin(F.broadcast(n))
+                .where(F.col("_u") < F.least(F.lit(1.0), F.lit(want) / F.col("_n")))
+                .select(*cols, "_u", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_u")), F.lit(n_trees))
+                        .cast("int").alias("tree")))
+    rn = F.row_number().over(Window.partitionBy("tree").orderBy("_u"))
+    samples = pool.withColumn("_r", rn).where(F.col("_r") <= sample_size).drop("_r")
+    max_depth = int(math.ceil(math.log2(max(sample_size, 2))))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = int(pdf["tree"].iloc[0])
+        rng = np.random.default_rng(seed * 1_000_003 + tree)
+        x = pdf[cols].to_numpy(float)
+        x = np.where(np.isnan(x), 0.0, x)
+        nodes = []
+
+        def grow(idx, depth):
+            nid = len(nodes)
+            nodes.append([tree, nid, -1, 0.0, -1, -1, len(idx)])
+            if depth >= max_depth or len(idx) <= 1:
+                return nid
+            sub = x[idx]
+            lo, hi = sub.min(axis=0), sub.max(axis=0)
+            feats = np.flatnonzero(hi > lo)
+            if len(feats) == 0:
+                return nid
+            f = int(rng.choice(feats))
+            thr = float(rng.uniform(lo[f], hi[f]))
+            left = idx[sub[:, f] < thr]
+            right = idx[sub[:, f] >= thr]
+            nodes[nid][2], nodes[nid][3] = f, thr
+            nodes[nid][4] = grow(left, depth + 1)
+            nodes[nid][5] = grow(right, depth + 1)
+            return nid
+
+        grow(np.arange(len(x)), 0)
+        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "left", "right", "size"])
+
+    forest = samples.groupBy("tree").applyInPandas(
+        build, "tree int, node int, feature int, threshold double, left int, right int, size long")
+    # bounded model: n_trees * (2 * sample_size - 1) nodes at most
+    model = forest.toPandas().sort_values(["tree", "node"])
+    trees = [g.reset_index(drop=True) for _, g in model.groupby("tree")]
+    packed = [(g["feature"].to_numpy(), g["threshold"].to_numpy(), g["left"].to_numpy(),
+               g["right"].to_numpy(), _c_factor(g["size"].to_numpy())) for g in trees]
+    c_psi = float(_c_factor([sample_size])[0])
+    bc = df.sparkSession.sparkContext.broadcast(packed)
+
+    def path_lengths(it):
+        for pdf in it:
+            x = pdf[cols].to_numpy(float)
+            x = np.where(np.isnan(x), 0.0, x)
+            total = np.zeros(len(x))
+            for feat, thr, left, right, cadj in bc.value:
+                node = np.zeros(len(x), dtype=int)
+                depth = np.zeros(len(x))
+                active = feat[node] >= 0
+                while active.any():
+                    f = feat[node[active]]
+                    go_left = x[active, f] < thr[node[active]]
+                    node[active] = np.where(go_left, left[node[active]], right[node[active]])
+                    depth[active] += 1
+                    active = feat[node] >= 0
+                total += depth + cadj[node]
+            pdf["iso_score"] = np.power(2.0, -(total / len(bc.value)) / c_psi)
+            yield pdf
+
+    from pyspark.sql import types as T
+    scored_schema = T.StructType([*df.schema.fields, T.StructField("iso_score", T.DoubleType())])
+    scored = df.mapInPandas(path_lengths, scored_schema)
+    from souk.operators.ordered import materialize, quantile_row
+    scored = materialize(scored)
+    th = quantile_row(scored, "iso_score", {"_thr": 1.0 - contamination})
+    out = scored.crossJoin(F.broadcast(th))
+    flag = F.col("iso_score") > F.col("_thr")
+    return (out.withColumn("is_anomaly", flag)
+               .withColumn("iso_label", F.when(flag, F.lit(-1)).otherwise(F.lit(1)))
+               .drop("_thr"))

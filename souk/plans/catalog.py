@@ -1142,3 +1142,37 @@ def q_revenue_forecast_by_zone(spark, sf_dir):
     and 80 % band (TS3)."""
     s = TS.monthly_series(fact(spark, sf_dir, ["order_date", "zone", "revenue"]), "revenue", "sum", by=["zone"])
     return TS.forecast(s, "month", "value", periods=60, by=["zone"])
+
+
+_AN_COLS = ["order_id", "category", "customer_age", "base_price", "discount_percent", "final_price",
+            "units_sold", "revenue"]
+
+
+def _scored_orders(spark, sf_dir):
+    df = fact(spark, sf_dir, _AN_COLS).withColumn("customer_age", F.col("customer_age").cast("double"))
+    # unique row key for hashing: the fact row position in its file split is not
+    # stable, so hash the values that identify a line
+    rs = AN.robust_scale(df, _RS_COLS)
+    return AN.isolation_forest(rs, [f"rs_{c}" for c in _RS_COLS],
+                               key_cols=["order_id", "base_price", "units_sold", "discount_percent"])
+
+
+@register("isolation_forest_by_category")
+def q_isolation_forest_by_category(spark, sf_dir):
+    """Isolation-forest anomalies (150 trees, 0.8 % contamination) per category (AN3, AG17)."""
+    return AN.anomalies_by(_scored_orders(spark, sf_dir), "is_anomaly", "category")
+
+
+@register("anomaly_votes_by_category")
+def q_anomaly_votes_by_category(spark, sf_dir):
+    """Detector votes (isolation forest + z-score at 3.5) and confirmed anomalies per category (AN5, AG17)."""
+    v = AN.votes(AN.zscore_flags(_scored_orders(spark, sf_dir), threshold=3.5),
+                 flags=("is_anomaly", "zscore_anomaly"), min_votes=2)
+    return AN.anomalies_by(v, "confirmed_anomaly", "category")
+
+
+@register("violin_final_price_by_category")
+def q_violin_final_price_by_category(spark, sf_dir):
+    """Binned Gaussian KDE of final price per category, 100 grid points (AG9)."""
+    return SU.violin_density(fact(spark, sf_dir, ["category", "final_price", "order_date"]),
+                             "category", "final_price")
