@@ -38,8 +38,11 @@ def feature_stages(cat: Sequence[str] = CAT_FEATURES, num: Sequence[str] = NUM_F
     cat, num = list(cat), list(num)
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep",
                          stringOrderType="alphabetAsc") for c in cat]
+    # the indexer's "keep" bucket is the last category; dropping the last
+    # one-hot slot makes an unseen value all zeros while every seen value
+    # keeps its own slot
     ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in cat], outputCols=[f"{c}__oh" for c in cat],
-                        handleInvalid="keep", dropLast=True)
+                        dropLast=True)
     num_vec = VectorAssembler(inputCols=num, outputCol="__num", handleInvalid="keep")
     scaler = StandardScaler(inputCol="__num", outputCol="__num_s", withMean=True, withStd=True)
     final = VectorAssembler(inputCols=["__num_s", *[f"{c}__oh" for c in cat]], outputCol=out)
