@@ -1176,3 +1176,16 @@ def q_violin_final_price_by_category(spark, sf_dir):
     """Binned Gaussian KDE of final price per category, 100 grid points (AG9)."""
     return SU.violin_density(fact(spark, sf_dir, ["category", "final_price", "order_date"]),
                              "category", "final_price")
+
+
+@register("attention_counts", W("""
+SELECT (SELECT CAST(sum(CASE WHEN risk_label = 'Critical' THEN 1 ELSE 0 END) AS BIGINT) FROM scored) AS critical_customers,
+       (SELECT CAST(sum(CASE WHEN alert_level IN ('CRITICAL', 'HIGH') THEN 1 ELSE 0 END) AS BIGINT) FROM al) AS urgent_inventory_groups,
+       (SELECT CAST(COALESCE(sum(CASE WHEN psi > 0.2 OR ks_p_value < 0.05 THEN 1 ELSE 0 END), 0) AS BIGINT) FROM res) AS drifted_features""",
+    extra=_CUST_FEATURES_SQL + "," + _ALERT_SQL + "," + _DRIFT_SQL))
+def q_attention_counts(spark, sf_dir):
+    """Critical customers, CRITICAL/HIGH inventory groups, drifted features (AG22)."""
+    df = fact(spark, sf_dir, ["customer_id", "order_date", "revenue", "discount_percent", "category", "zone",
+                              "units_sold", "inventory_pressure", "base_price", "final_price"])
+    scored = CU.churn_scores(CU.customer_features(df))
+    return IN.attention_counts(scored, IV.alerts(df), DR.feature_drift(df))
