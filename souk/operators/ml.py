@@ -36,8 +36,9 @@ def feature_stages(cat: Sequence[str] = CAT_FEATURES, num: Sequence[str] = NUM_F
                    out: str = "features") -> list:
     """Indexers, one-hot encoder, numeric assembler + scaler, final assembler (ML1)."""
     cat, num = list(cat), list(num)
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep",
-                         stringOrderType="alphabetAsc") for c in cat]
+    # one multi-column indexer: all label sets are found in a single pass
+    idx = [StringIndexer(inputCols=cat, outputCols=[f"{c}__idx" for c in cat], handleInvalid="keep",
+                         stringOrderType="alphabetAsc")]
     # the indexer's "keep" bucket is the last category; dropping the last
     # one-hot slot makes an unseen value all zeros while every seen value
     # keeps its own slot
@@ -101,7 +102,9 @@ def compare_models(df: DataFrame, key_cols: Sequence[str], names: Sequence[str]
                    seed: int = 42) -> DataFrame:
     """Fit the chosen model families on the 80 % split and report test
     metrics per model (ML2-ML4)."""
-    keyed = df.select(*key_cols, *CAT_FEATURES, *NUM_FEATURES, TARGET)
+    from souk.operators.ordered import materialize
+    # read once: every pipeline stage and model re-reads its input
+    keyed = materialize(df.select(*key_cols, *CAT_FEATURES, *NUM_FEATURES, TARGET))
     train, test = split(keyed, key_cols, seed=seed)
     train, test = model_input(train), model_input(test)
     out = None
@@ -146,16 +149,19 @@ def prediction_drift(df: DataFrame, reference_months: int = 6, current_months: i
     Category codes are fitted on both windows together (SO1: the union is
     the tagged table itself).  No rows when a window is too small."""
     from souk.operators.drift import tag_windows
-    t = tag_windows(df.select("order_date", TARGET, *PRED_DRIFT_CAT,
-                              *[c for c in PRED_DRIFT_NUM if c in df.columns]),
-                    reference_months, current_months)
+    from souk.operators.ordered import materialize
+    # the two windows are read by the size gate, the indexer, the boosted
+    # trees (many passes) and both metric passes: materialise them once
+    t = materialize(tag_windows(df.select("order_date", TARGET, *PRED_DRIFT_CAT,
+                                          *[c for c in PRED_DRIFT_NUM if c in df.columns]),
+                                reference_months, current_months))
     sizes = t.groupBy().agg(F.sum((F.col("side") == "ref").cast("int")).alias("n_ref"),
                             F.sum((F.col("side") == "cur").cast("int")).alias("n_cur")).first()
     if sizes is None or (sizes.n_ref or 0) < min_ref or (sizes.n_cur or 0) < min_cur:
         return df.sparkSession.createDataFrame(
             [], "ref_r2 double, cur_r2 double, ref_mae double, cur_mae double, r2_drop double, drift_alert boolean")
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}_enc", stringOrderType="alphabetAsc", handleInvalid="keep")
-           for c in PRED_DRIFT_CAT]
+    idx = [StringIndexer(inputCols=PRED_DRIFT_CAT, outputCols=[f"{c}_enc" for c in PRED_DRIFT_CAT],
+                         stringOrderType="alphabetAsc", handleInvalid="keep")]
     enc = Pipeline(stages=idx).fit(t)
     te = enc.transform(t).withColumn(TARGET, F.col(TARGET).cast("double"))
     for c in PRED_DRIFT_NUM:

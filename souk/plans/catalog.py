@@ -1150,10 +1150,11 @@ _AN_COLS = ["order_id", "category", "customer_age", "base_price", "discount_perc
 
 def _scored_orders(spark, sf_dir):
     df = fact(spark, sf_dir, _AN_COLS).withColumn("customer_age", F.col("customer_age").cast("double"))
-    # unique row key for hashing: the fact row position in its file split is not
-    # stable, so hash the values that identify a line
     rs = AN.robust_scale(df, _RS_COLS)
-    return AN.isolation_forest(rs, [f"rs_{c}" for c in _RS_COLS],
+    # only the columns the detectors and the per-category summary need travel
+    # through the Python scorer
+    keep = ["order_id", "category", *AN.ZSCORE_COLUMNS, "base_price", *[f"rs_{c}" for c in _RS_COLS]]
+    return AN.isolation_forest(rs.select(*dict.fromkeys(keep)), [f"rs_{c}" for c in _RS_COLS],
                                key_cols=["order_id", "base_price", "units_sold", "discount_percent"])
 
 
