@@ -1190,3 +1190,10 @@ def q_attention_counts(spark, sf_dir):
                               "units_sold", "inventory_pressure", "base_price", "final_price"])
     scored = CU.churn_scores(CU.customer_features(df))
     return IN.attention_counts(scored, IV.alerts(df), DR.feature_drift(df))
+
+
+@register("revenue_sarima_forecast_by_zone")
+def q_revenue_sarima_forecast_by_zone(spark, sf_dir):
+    """Seasonal ARIMA(1,1,1)(1,1,1)12 60-month forecast per zone with 80 % band (TS4)."""
+    s = TS.monthly_series(fact(spark, sf_dir, ["order_date", "zone", "revenue"]), "revenue", "sum", by=["zone"])
+    return TS.seasonal_arima_forecast(s, "month", "value", periods=60, by=["zone"])

@@ -86,3 +86,18 @@ def test_forecast_recovers_trend(spark):
     exp = 1000 * np.exp(0.01 * np.arange(48, 60) + 0.1 * np.sin(2 * np.pi * fut.month / 12))
     assert np.allclose(f[f.is_forecast].yhat.to_numpy(), exp, rtol=1e-6)
     assert (f.yhat_lower <= f.yhat).all() and (f.yhat <= f.yhat_upper).all()
+
+
+def test_sarima_recovers_seasonal_series(spark):
+    rng = np.random.default_rng(11)
+    months = pd.date_range("2015-01-01", periods=96, freq="MS")
+    season = 50 * np.sin(2 * np.pi * np.arange(96) / 12)
+    y = 1000 + 5 * np.arange(96) + season + rng.normal(0, 2, 96)
+    s = spark.createDataFrame(pd.DataFrame({"month": months.date, "value": y}))
+    f = TS.seasonal_arima_forecast(s, periods=12).orderBy("month").toPandas()
+    assert len(f) == 12
+    truth = 1000 + 5 * np.arange(96, 108) + 50 * np.sin(2 * np.pi * np.arange(96, 108) / 12)
+    assert np.max(np.abs(f.yhat.to_numpy() - truth)) < 15
+    assert (f.yhat_lower < f.yhat).all() and (f.yhat < f.yhat_upper).all()
+    short = spark.createDataFrame(pd.DataFrame({"month": months.date[:20], "value": y[:20]}))
+    assert TS.seasonal_arima_forecast(short, periods=12).count() == 0
