@@ -180,3 +180,108 @@ def prediction_drift(df: DataFrame, reference_months: int = 6, current_months: i
     return j.select(np_round("ref_r2", 3).alias("ref_r2"), np_round("cur_r2", 3).alias("cur_r2"),
                     np_round("ref_mae", 0).alias("ref_mae"), np_round("cur_mae", 0).alias("cur_mae"),
                     np_round(drop, 3).alias("r2_drop"), (drop > r2_alert).alias("drift_alert"))
+
+
+def permutation_importance(model: PipelineModel, test: DataFrame, features: Sequence[str],
+                           key_cols: Sequence[str], repeats: int = 7, bucket_rows: int = 1000,
+                           seed: int = 42, label: str = TARGET) -> DataFrame:
+    """Mean and std over ``repeats`` of the R2 drop when one input column is
+    permuted (ML7).  Linear models of ``feature_stages`` take an exact
+    shortcut: a permuted prediction is the prediction minus the feature's
+    contribution plus the donor row's contribution, so only per-row
+    contributions are permuted; other models are re-scored."""
+    from pyspark.ml.regression import LinearRegressionModel
+    if isinstance(model.stages[-1], LinearRegressionModel):
+        return _linear_permutation_importance(model, test, features, key_cols, repeats, bucket_rows,
+                                              seed, label)
+    return _rescored_permutation_importance(model, test, features, key_cols, repeats, bucket_rows,
+                                            seed, label)
+
+
+def _bucket_window(keys, seed, bucket_rows):
+    from pyspark.sql import Window
+    nb = F.greatest(F.lit(1), F.floor(F.col("_n") / bucket_rows))
+    b = F.pmod(F.xxhash64(F.lit(seed), "j", "r", *keys), nb)
+    w = Window.partitionBy("j", "r", "_b").orderBy(F.xxhash64(F.lit(seed + 1), "j", "r", *keys), *keys)
+    return b, w
+
+
+def _importance(per: DataFrame, base_r2: DataFrame) -> DataFrame:
+    drops = per.crossJoin(F.broadcast(base_r2)).withColumn("drop", F.col("_r2_base") - F.col("r2"))
+    return (drops.groupBy(F.col("j").alias("feature"))
+            .agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
+            .orderBy(F.col("importance_mean").desc(), "feature"))
+
+
+def _r2_by_jr(df: DataFrame, y, p) -> DataFrame:
+    per = df.groupBy("j", "r").agg(F.sum((y - p) * (y - p)).alias("_sse"), F.avg(y).alias("_ybar"),
+                                   F.sum(y * y).alias("_syy"), F.count(F.lit(1)).alias("_cnt"))
+    sst = F.col("_syy") - F.col("_cnt") * F.col("_ybar") * F.col("_ybar")
+    return per.withColumn("r2", 1 - F.try_divide(F.col("_sse"), F.nullif(sst, F.lit(0.0))))
+
+
+def _linear_permutation_importance(model, test, features, key_cols, repeats, bucket_rows, seed, label):
+    from pyspark.ml.functions import vector_to_array
+    features = list(features)
+    keys = [F.col(c) for c in key_cols]
+    lr = model.stages[-1]
+    coefs = [float(c) for c in lr.coefficients]
+    # slot ranges of each raw feature in the assembled vector: scaled numerics
+    # first (one slot each), then one one-hot block per categorical column
+    # (labels + the kept unknown bucket - the dropped last slot)
+    indexer = model.stages[0]
+    cat_cols = list(indexer.getInputCols())
+    labels = indexer.labelsArray
+    num_cols = list(model.stages[2].getInputCols())
+    ranges, pos = {}, 0
+    for c in num_cols:
+        ranges[c] = (pos, 1)
+        pos += 1
+    for c, lab in zip(cat_cols, labels):
+        ranges[c] = (pos, len(lab))
+        pos += len(lab)
+    scored = model.transform(test).withColumn("_x", vector_to_array("features"))
+    coef = F.array(*[F.lit(c) for c in coefs])
+    contrib = {f: F.aggregate(F.slice(F.zip_with("_x", coef, lambda a, b: a * b), ranges[f][0] + 1, ranges[f][1]),
+                              F.lit(0.0), lambda acc, v: acc + v) for f in features if f in ranges}
+    per_row = scored.select(*keys, F.col(label).alias("_y"), F.col("prediction").alias("_p"),
+                            *[v.alias(f"_c_{f}") for f, v in contrib.items()])
+    n = per_row.agg(F.count(F.lit(1)).alias("_n"))
+    combos = F.array(*[F.struct(F.lit(f).alias("j"), F.lit(r).alias("r"))
+                       for f in contrib for r in range(repeats)])
+    stacked = (per_row.crossJoin(F.broadcast(n)).select("*", F.explode(combos).alias("_jr"))
+               .select("*", "_jr.j", "_jr.r").drop("_jr"))
+    cj = F.coalesce(*[F.when(F.col("j") == f, F.col(f"_c_{f}")) for f in contrib])
+    stacked = stacked.withColumn("_cj", cj)
+    b, w = _bucket_window(keys, seed, bucket_rows)
+    stacked = stacked.withColumn("_b", b)
+    donor = F.coalesce(F.lead("_cj", 1).over(w), F.first("_cj").over(w))
+    perm = stacked.select("j", "r", "_y", (F.col("_p") - F.col("_cj") + donor).alias("_pp"))
+    base_r2 = metrics(scored, label).select(F.col("r2").alias("_r2_base"))
+    return _importance(_r2_by_jr(perm, F.col("_y"), F.col("_pp")), base_r2)
+
+
+def _rescored_permutation_importance(model, test, features, key_cols, repeats, bucket_rows, seed, label):
+    """Generic path: every (feature, repeat) copy of the test set is scored.
+
+    Each (feature, repeat) permutes the column inside random hash buckets of
+    about ``bucket_rows`` rows: rows are ordered inside their bucket by an
+    independent hash and take the column value of the next row (the last
+    takes the first's).  Buckets and orders are random, so each row receives
+    the value of a random other row, as under a global permutation, and the
+    one window sort is bounded by the bucket size."""
+    features = list(features)
+    keys = [F.col(c) for c in key_cols]
+    n = test.agg(F.count(F.lit(1)).alias("_n"))
+    combos = F.array(*[F.struct(F.lit(f).alias("j"), F.lit(r).alias("r"))
+                       for f in features for r in range(repeats)])
+    stacked = (test.crossJoin(F.broadcast(n)).select("*", F.explode(combos).alias("_jr"))
+               .select("*", "_jr.j", "_jr.r").drop("_jr"))
+    b, w = _bucket_window(keys, seed, bucket_rows)
+    stacked = stacked.withColumn("_b", b)
+    perm = stacked.select(*[
+        F.when(F.col("j") == f, F.coalesce(F.lead(f, 1).over(w), F.first(f).over(w))).otherwise(F.col(f)).alias(f)
+        if f in features else F.col(f) for f in test.columns], "j", "r")
+    scored = model.transform(perm)
+    base_r2 = metrics(model.transform(test), label).select(F.col("r2").alias("_r2_base"))
+    return _importance(_r2_by_jr(scored, F.col(label), F.col("prediction")), base_r2)

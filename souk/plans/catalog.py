@@ -1197,3 +1197,17 @@ def q_revenue_sarima_forecast_by_zone(spark, sf_dir):
     """Seasonal ARIMA(1,1,1)(1,1,1)12 60-month forecast per zone with 80 % band (TS4)."""
     s = TS.monthly_series(fact(spark, sf_dir, ["order_date", "zone", "revenue"]), "revenue", "sum", by=["zone"])
     return TS.seasonal_arima_forecast(s, "month", "value", periods=60, by=["zone"])
+
+
+@register("permutation_importance")
+def q_permutation_importance(spark, sf_dir):
+    """Permutation importance (7 repeats) of the 14 inputs of the linear revenue
+    model on the 20 % hash-split test set (ML7)."""
+    df = fact(spark, sf_dir, _ML_COLS)
+    keyed = df.select("order_id", "order_date", "units_sold", *ML.CAT_FEATURES, *ML.NUM_FEATURES, "revenue")
+    key = ["order_id", "order_date", "units_sold", "revenue", "base_price"]
+    train, test = ML.split(keyed, key)
+    model = ML.fit(ML.model_input(train), ML.regressors()["Linear Regression"])
+    test = test.select(*key, *[c for c in ML.CAT_FEATURES + ML.NUM_FEATURES if c not in key])
+    test = test.withColumns({c: F.col(c).cast("double") for c in ML.NUM_FEATURES + ["revenue"]})
+    return ML.permutation_importance(model, test, [*ML.CAT_FEATURES, *ML.NUM_FEATURES], key)

@@ -101,3 +101,20 @@ def test_sarima_recovers_seasonal_series(spark):
     assert (f.yhat_lower < f.yhat).all() and (f.yhat < f.yhat_upper).all()
     short = spark.createDataFrame(pd.DataFrame({"month": months.date[:20], "value": y[:20]}))
     assert TS.seasonal_arima_forecast(short, periods=12).count() == 0
+
+
+def test_permutation_importance_linear_shortcut_equals_rescoring(spark):
+    rows = _model_rows(300)
+    df = orders_df(spark, rows).withColumn("revenue", F.col("base_price") * 3.0 + F.col("customer_age"))
+    keyed = df.select("order_id", *ML.CAT_FEATURES, *ML.NUM_FEATURES, "revenue")
+    train, test = ML.split(keyed, ["order_id"])
+    model = ML.fit(ML.model_input(train), ML.regressors()["Linear Regression"])
+    test = test.withColumns({c: F.col(c).cast("double") for c in ML.NUM_FEATURES + ["revenue"]})
+    feats = [*ML.CAT_FEATURES, *ML.NUM_FEATURES]
+    fast = {r.feature: r.importance_mean for r in
+            ML.permutation_importance(model, test, feats, ["order_id"], repeats=3, bucket_rows=20).collect()}
+    slow = {r.feature: r.importance_mean for r in
+            ML._rescored_permutation_importance(model, test, feats, ["order_id"], 3, 20, 42, "revenue").collect()}
+    assert fast.keys() == slow.keys()
+    assert all(abs(fast[k] - slow[k]) < 1e-9 for k in fast)
+    assert max(fast, key=fast.get) == "base_price"
