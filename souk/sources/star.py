@@ -180,17 +180,17 @@ def shared_fact(spark: SparkSession, sf_dir: str, columns: list[str] | None = No
 
     Rationale at scale: every analytic otherwise repeats the lineitem x orders
     x customer x part join (a full shuffle of the largest tables).  The stored
-    fact is written round-robin into ``spark.sql.shuffle.partitions`` files
-    (no key skew can concentrate it), each sorted by order date so row-group
-    statistics prune date-window filters.  A completed write is marked by
+    fact is written through a ``rebalance`` (AQE sizes the write partitions to
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` and splits skewed
+    ones, so the file count follows the data size, not a setting), each file
+    sorted by order date so row-group statistics prune date-window filters.  A completed write is marked by
     Spark's ``_SUCCESS`` file; the key includes the input files' sizes and
     modification times, so changed inputs produce a new fact.
     """
     path = shared_fact_path(spark, sf_dir)
     p, fs = _hadoop_fs(spark, path + "/_SUCCESS")
     if not fs.exists(p):
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        (orders_fact(spark, sf_dir).repartition(n).sortWithinPartitions("order_date")
+        (orders_fact(spark, sf_dir).hint("rebalance").sortWithinPartitions("order_date")
          .write.mode("overwrite").parquet(path))
     df = spark.read.parquet(path)
     return df.select(*(columns or FACT_COLUMNS))
