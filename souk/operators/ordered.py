@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.session import ensure_checkpoint_dir
@@ -136,7 +136,8 @@ def pareto(df: DataFrame, group_col: str, value_col: str = "revenue",
     """Group totals sorted descending with cumulative share (%) and the rank at
     which the share first reaches ``threshold`` (``crosses_80``).
 
-    The window runs over the aggregated table (one row per group).
+    Ranks and running sums come from ``prefix_sum`` over the aggregated table,
+    so a high-cardinality key (e.g. customers) is not sorted in one task.
     """
     agg = (df.where(F.col(group_col).isNotNull())
              .groupBy(group_col).agg(F.coalesce(F.sum(value_col), F.lit(0.0)).alias(value_col),
@@ -244,6 +245,3 @@ def first_in_group(df: DataFrame, group: str, col: str, out: str) -> DataFrame:
     firsts = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.min(col).alias(out))
     return df.join(firsts, on=group, how="inner")
 
-
-def lit_col(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x)

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from souk.operators import features as FE
 from souk.operators import summary as SU
-from souk.sources.star import FACT_SQL, orders_fact, shared_fact
+from souk.sources.star import FACT_SQL, shared_fact
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -129,7 +129,6 @@ def _union_dims(dims, select_tpl: str, source: str = "feat", where: str = "") ->
     return "\nUNION ALL\n".join(parts)
 
 
-ALL = None  # all fact columns
 
 # ---------------------------------------------------------------- PJ1-PJ9
 FEATURE_COLS = ["order_id", "customer_id", "year", "month", "month_name", "weekday", "is_weekend",
