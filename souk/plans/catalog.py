@@ -1210,3 +1210,14 @@ def q_permutation_importance(spark, sf_dir):
     test = test.select(*key, *[c for c in ML.CAT_FEATURES + ML.NUM_FEATURES if c not in key])
     test = test.withColumns({c: F.col(c).cast("double") for c in ML.NUM_FEATURES + ["revenue"]})
     return ML.permutation_importance(model, test, [*ML.CAT_FEATURES, *ML.NUM_FEATURES], key)
+
+
+from souk.operators import lifetime as LT  # noqa: E402
+
+
+@register("bgnbd_clv")
+def q_bgnbd_clv(spark, sf_dir):
+    """Model-based CLV: BG/NBD expected purchases x Gamma-Gamma value x margin,
+    12-month horizon, with quartile tiers (CU6)."""
+    df = fact(spark, sf_dir, ["customer_id", "order_date", "revenue"])
+    return LT.bgnbd_clv(df).drop("model_params")

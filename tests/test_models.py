@@ -118,3 +118,32 @@ def test_permutation_importance_linear_shortcut_equals_rescoring(spark):
     assert fast.keys() == slow.keys()
     assert all(abs(fast[k] - slow[k]) < 1e-9 for k in fast)
     assert max(fast, key=fast.get) == "base_price"
+
+
+def test_bgnbd_fit_reaches_truth_likelihood(spark):
+    from souk.operators import lifetime as LT
+    rng = np.random.default_rng(21)
+    r, alpha, a, b = 0.8, 10.0, 0.6, 2.5
+    rows = []
+    for i in range(3000):
+        lam = rng.gamma(r, 1 / alpha)
+        p = rng.beta(a, b)
+        T_ = float(rng.uniform(20, 60))
+        t, x, tx, alive = 0.0, 0, 0.0, True
+        while alive:
+            t += rng.exponential(1 / lam) if lam > 0 else np.inf
+            if t > T_:
+                break
+            x, tx = x + 1, t
+            alive = rng.random() > p
+        rows.append((float(x), tx, T_, 1.0))
+    cells = spark.createDataFrame(pd.DataFrame(rows, columns=["x", "t_x", "T", "w"]))
+    fit = LT._batched_fit(cells, ["x", "t_x", "T"], LT.bgnbd_loglik, 4, 0.0, rounds=30)
+    arr = np.array(rows)
+    ll_fit = LT.bgnbd_loglik(fit, arr[:, 0], arr[:, 1], arr[:, 2]).mean()
+    ll_true = LT.bgnbd_loglik([r, alpha, a, b], arr[:, 0], arr[:, 1], arr[:, 2]).mean()
+    assert ll_fit >= ll_true - 1e-3
+    # expected purchases are positive and grow with the horizon
+    e1 = LT.expected_purchases(fit, 10.0, arr[:50, 0], arr[:50, 1], arr[:50, 2])
+    e2 = LT.expected_purchases(fit, 20.0, arr[:50, 0], arr[:50, 1], arr[:50, 2])
+    assert (e1 > 0).all() and (e2 > e1).all()
