@@ -142,6 +142,11 @@ fact AS (
 
 
 # ---------------------------------------------------------------- shared fact
+import threading  # noqa: E402
+
+_BUILD_LOCK = threading.Lock()
+
+
 def _hadoop_fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -189,8 +194,9 @@ def shared_fact(spark: SparkSession, sf_dir: str, columns: list[str] | None = No
     """
     path = shared_fact_path(spark, sf_dir)
     p, fs = _hadoop_fs(spark, path + "/_SUCCESS")
-    if not fs.exists(p):
-        (orders_fact(spark, sf_dir).hint("rebalance").sortWithinPartitions("order_date")
-         .write.mode("overwrite").parquet(path))
+    with _BUILD_LOCK:    # threads of one driver build a given fact once
+        if not fs.exists(p):
+            (orders_fact(spark, sf_dir).hint("rebalance").sortWithinPartitions("order_date")
+             .write.mode("overwrite").parquet(path))
     df = spark.read.parquet(path)
     return df.select(*(columns or FACT_COLUMNS))
