@@ -156,10 +156,14 @@ def bgnbd_clv(df: DataFrame, horizon_months: int = 12, margin: float = 0.20,
     cust = materialize(customer_cells(df))
     # the cell tables are read once per optimiser round: materialise them
     cells = materialize(cust.groupBy("x", "t_x", "T").agg(F.count(F.lit(1)).cast("double").alias("w")))
-    bg = _batched_fit(cells, ["x", "t_x", "T"], bgnbd_loglik, 4, penalizer, seed=seed)
     gg_cells = materialize(cust.where((F.col("x") > 0) & (F.col("m") > 0))
                            .groupBy("x", "m").agg(F.count(F.lit(1)).cast("double").alias("w")))
-    gg = _batched_fit(gg_cells, ["x", "m"], gamma_gamma_loglik, 3, penalizer, seed=seed + 1)
+    # the two fits are independent: their rounds run as concurrent Spark jobs
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        f_bg = pool.submit(_batched_fit, cells, ["x", "t_x", "T"], bgnbd_loglik, 4, penalizer, seed=seed)
+        f_gg = pool.submit(_batched_fit, gg_cells, ["x", "m"], gamma_gamma_loglik, 3, penalizer, seed=seed + 1)
+        bg, gg = f_bg.result(), f_gg.result()
     t = horizon_months * WEEKS_PER_MONTH
     bgp, ggp = [float(v) for v in bg], [float(v) for v in gg]
 
