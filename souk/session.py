@@ -29,6 +29,8 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files of intermediate tables are removed once unreferenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -41,7 +43,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", os.environ.get("SOUK_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("SOUK_DRIVER_MEMORY", "12g"))
     )
     for k, v in {**REQUIRED_CONF, **SCALE_CONF}.items():
         builder = builder.config(k, v)
