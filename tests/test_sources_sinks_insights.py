@@ -108,3 +108,34 @@ def test_recommendations_priority_order(spark):
     assert recs[-1].category == "Retention"
     el = IN.elastic_categories(df).collect()
     assert [r.category for r in el] == ["A"]
+
+
+def test_alert_drift_and_report_sinks(spark, tmp_path):
+    from souk.operators import customers as CU
+    from souk.operators import drift as DR
+    rows = _summary_rows(60)
+    for i, r in enumerate(rows):
+        r["customer_id"] = f"c{i % 12}"
+    df = orders_df(spark, rows)
+    alerts = CU.at_risk_alerts(df, top_n=5, min_score=0)
+    SK.save_at_risk_alerts(alerts, str(tmp_path / "alerts"))
+    back = spark.read.parquet(str(tmp_path / "alerts"))
+    assert set(back.columns) >= {"customer_id", "churn_risk_score", "days_since_order", "recommended_action",
+                                 "created_at", "run_date"}
+    assert back.count() == alerts.count()
+    rep = DR.drift_report(DR.feature_drift(df), pred_r2_drop=0.1, pred_alert=True)
+    SK.save_drift_report(rep, str(tmp_path / "drift"))
+    d = spark.read.parquet(str(tmp_path / "drift")).first()
+    assert d.drift_alert is True and abs(d.pred_r2_drop - 0.1) < 1e-12
+    k = IN.summary_kpis(df)
+    SK.export_report(str(tmp_path / "report"), k, IN.narrative(df), IN.recommendations(df), df,
+                     IN.SU.monthly_revenue(df), data_cap=10)
+    assert spark.read.parquet(str(tmp_path / "report/data")).count() == 10
+    assert spark.read.parquet(str(tmp_path / "report/kpis")).count() == 1
+
+
+def test_kpi_texts(spark):
+    df = orders_df(spark, _summary_rows())
+    t = IN.kpi_texts(IN.summary_kpis(df)).first().asDict()
+    assert t["Total Orders"] == "40" and t["Avg Discount"] == "40.0%"
+    assert t["Top Category"] in ("A", "B") and t["MoM Growth"].endswith("%")
