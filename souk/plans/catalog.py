@@ -1171,11 +1171,25 @@ def q_anomaly_votes_by_category(spark, sf_dir):
     return AN.anomalies_by(v, "confirmed_anomaly", "category")
 
 
-@register("violin_final_price_by_category")
+@register("violin_final_price_by_category", W(f"""
+SELECT pts.category, {R('x', 9)} AS x,
+       {R('sum(CAST(c AS DOUBLE) * exp(-0.5 * ((x - m) / bw) * ((x - m) / bw)) / (n * bw * 2.5066282746310002))', 12)} AS density
+FROM pts JOIN centres USING (category)
+GROUP BY pts.category, x""", extra="""
+vb AS (SELECT category, CAST(final_price AS DOUBLE) AS vx FROM feat
+       WHERE category IS NOT NULL AND final_price IS NOT NULL),
+vst AS (SELECT category, min(vx) AS lo, max(vx) AS hi, count(*) AS n,
+               stddev_samp(vx) * pow(CAST(count(*) AS DOUBLE), -0.2) AS bw FROM vb GROUP BY category),
+binned AS (SELECT category, COALESCE(least(floor((vx - lo) / NULLIF((hi - lo) / 1000, 0)), 999), 0) AS bin,
+                  count(*) AS c
+           FROM vb JOIN vst USING (category) GROUP BY 1, 2),
+centres AS (SELECT category, lo + (bin + 0.5) * ((hi - lo) / 1000) AS m, c, n, bw FROM binned JOIN vst USING (category)),
+pts AS (SELECT category, lo + (hi - lo) * gi / 99 AS x FROM vst CROSS JOIN range(0, 100) t(gi))"""))
 def q_violin_final_price_by_category(spark, sf_dir):
     """Binned Gaussian KDE of final price per category, 100 grid points (AG9)."""
-    return SU.violin_density(fact(spark, sf_dir, ["category", "final_price", "order_date"]),
-                             "category", "final_price")
+    v = SU.violin_density(fact(spark, sf_dir, ["category", "final_price", "order_date"]),
+                          "category", "final_price")
+    return rounded(v, 9, {"density": 12})
 
 
 @register("attention_counts", W("""
