@@ -822,7 +822,7 @@ FROM (SELECT sum(revenue * (CAST(n AS DOUBLE) * (cn - n) + n * (n + 1.0) / 2)) A
       FROM (SELECT revenue, n, sum(n) OVER (ORDER BY revenue ROWS UNBOUNDED PRECEDING) AS cn
             FROM (SELECT revenue, count(*) AS n FROM feat WHERE revenue IS NOT NULL GROUP BY 1)))"""))
 def q_gini(spark, sf_dir):
-    """Gini of order revenue (standard) and the reference's printed variant (WN2)."""
+    """Gini of order revenue (standard) and the descending-curve variant (WN2)."""
     return rounded(OR.gini(fact(spark, sf_dir, ["revenue", "order_date"])), 9, {"total": 2})
 
 

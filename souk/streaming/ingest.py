@@ -1,6 +1,6 @@
 """Incremental ingestion of order files with Structured Streaming.
 
-The reference re-reads a whole upload for every view; here new order files
+Instead of re-reading a whole upload for every view, new order files
 landing in a folder are cleaned and derived once (``features.prepare`` on the
 stream) and appended to an order table, exactly once per file (the stream's
 checkpoint records which files were committed).  Analytics then run as batch
