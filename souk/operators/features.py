@@ -90,3 +90,13 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
 
 def group_label(a: str = "category", b: str = "zone") -> F.Column:
     return F.concat(F.col(a), F.lit(" / "), F.col(b))
+
+
+def scatter_rows(df: DataFrame, x: str, y: str, color: str | None = None,
+                 extra: tuple[str, ...] = ()) -> DataFrame:
+    """Row projection that feeds a scatter chart (PJ16): x, y, optional colour
+    and hover columns, keeping only those present; rows with a NULL x or y
+    are dropped.  A projection only -- pruned at the scan, no shuffle."""
+    cols = [c for c in (x, y, color, *extra) if c]
+    out = keep_available(df, list(dict.fromkeys(cols)))
+    return out.where(F.col(x).isNotNull() & F.col(y).isNotNull())

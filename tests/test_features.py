@@ -78,3 +78,10 @@ def test_segment_filter_and_options(spark, csv_dir):
     assert FE.filter_segments(df, zone=["South"], category=None).count() == 2
     assert [r[0] for r in FE.distinct_values(df, "zone").collect()] == ["North", "South"]
     assert FE.keep_available(df, ["zone", "nope", "state"]).columns == ["zone", "state"]
+
+
+def test_scatter_rows_projection(spark, csv_dir):
+    df = FE.prepare(load_orders(spark, str(csv_dir / "orders.csv")))
+    s = FE.scatter_rows(df, "discount_percent", "log_final_price", "category", ("zone", "missing"))
+    assert s.columns == ["discount_percent", "log_final_price", "category", "zone"]
+    assert s.count() == 3          # the NULL discount row is dropped
