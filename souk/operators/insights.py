@@ -161,9 +161,10 @@ def recommendations(df: DataFrame) -> DataFrame:
     zones = SU.arg_best(df, ("zone",)).select(
         F.col("top_value").alias("_top_zone"), F.col("top_total").alias("_top_rev"),
         F.col("bottom_value").alias("_bottom_zone"), F.col("bottom_total").alias("_bottom_rev"))
-    el = elastic_categories(df)
-    el_row = el.agg(F.slice(F.array_sort(F.collect_list(
-        F.struct((-F.col("corr")).alias("k"), "category", "base_price_total"))), 1, 2).alias("_elastic"))
+    # the two most responsive categories only (bounded before collecting)
+    el = elastic_categories(df).limit(2)
+    el_row = el.agg(F.array_sort(F.collect_list(
+        F.struct((-F.col("corr")).alias("k"), "category", "base_price_total"))).alias("_elastic"))
     c = (base.crossJoin(F.broadcast(fest_row)).crossJoin(F.broadcast(zones))
              .crossJoin(F.broadcast(el_row)))
 

@@ -174,14 +174,16 @@ def hierarchy_rollup(df: DataFrame, levels: Sequence[str] = ("category", "zone",
     kept = sum((F.when(F.col("_gid").bitwiseAND(1 << (len(levels) - 1 - i)) == 0, 1).otherwise(0)
                 for i in range(len(levels))), F.lit(0))
     g = g.withColumn("level", kept.cast("int"))
-    parent = g.select(*[F.col(c).alias(f"_p_{c}") for c in levels],
-                      F.col("level").alias("_plevel"), F.col(value).alias("_pvalue"))
-    cond = (F.col("_plevel") == F.col("level") - 1)
+    # each node's parent keys: its own keys above its level, NULL below; the
+    # parent lookup is then a null-safe equi-join on (level, keys) -- no
+    # pairing of all nodes of adjacent levels
     for i, c in enumerate(levels):
-        # parent keeps the first level-1 keys
-        cond = cond & (F.when(F.col("level") - 1 > i, F.col(c).eqNullSafe(F.col(f"_p_{c}")))
-                       .otherwise(F.lit(True)))
-    # parents are the aggregated rollup rows (bounded by the node count)
+        g = g.withColumn(f"_pk_{c}", F.when(F.col("level") - 1 > i, F.col(c)))
+    parent = g.select(*[F.col(c).alias(f"_p_{c}") for c in levels],
+                      (F.col("level") + 1).alias("_child_level"), F.col(value).alias("_pvalue"))
+    cond = F.col("level") == F.col("_child_level")
+    for c in levels:
+        cond = cond & F.col(f"_pk_{c}").eqNullSafe(F.col(f"_p_{c}"))
     joined = g.join(parent, cond, "left")
     return joined.select("level", *levels, value,
                          safe_div(F.col(value) * 100, F.col("_pvalue")).alias("parent_share_pct"))
