@@ -63,13 +63,12 @@ def value_counts(df: DataFrame, dims: Sequence[str] = (*DIMENSIONS, "customer_ge
 def revenue_share(df: DataFrame, dims: Sequence[str] = ("category", "zone", "sales_event", "brand_type",
                                                         "customer_gender", "competition_intensity"),
                   value: str = "revenue") -> DataFrame:
-    """Revenue and its share (%) of the dimension total per value (AG6).
-
-    The share window is partitioned by dimension over the aggregated rows.
-    """
+    """Revenue and its share (%) of the dimension total per value (AG6)."""
     long = _long_sets(df, dims, [F.coalesce(F.sum(value), F.lit(0.0)).alias(value)])
-    total = F.sum(value).over(Window.partitionBy("dimension"))
-    return long.select("dimension", "value", value, safe_div(F.col(value) * 100, total).alias("share_pct"))
+    # dimension totals: one row per dimension name, broadcast
+    totals = long.groupBy("dimension").agg(F.sum(value).alias("_total"))
+    return (long.join(F.broadcast(totals), "dimension")
+                .select("dimension", "value", value, safe_div(F.col(value) * 100, F.col("_total")).alias("share_pct")))
 
 
 def top_n(df: DataFrame, key: str, n: int, value: str | None = "revenue",
@@ -89,17 +88,18 @@ def arg_best(df: DataFrame, keys: Sequence[str] = ("category", "zone", "state"),
              value: str = "revenue") -> DataFrame:
     """For each key column, the value with the largest and with the smallest
     total (ties: first key in sort order, like ``idxmax``/``idxmin``) (TK3).
-    One GROUPING SETS pass; the windows run over the aggregated rows."""
+    One GROUPING SETS pass plus aggregates over its rows."""
     long = _long_sets(df, keys, [F.coalesce(F.sum(value), F.lit(0.0)).alias("total")])
-    w_max = Window.partitionBy("dimension").orderBy(F.col("total").desc(), F.col("value").asc())
-    w_min = Window.partitionBy("dimension").orderBy(F.col("total").asc(), F.col("value").asc())
-    ranked = long.select("*", F.row_number().over(w_max).alias("_rmax"),
-                         F.row_number().over(w_min).alias("_rmin"))
-    return (ranked.groupBy("dimension")
-            .agg(F.max(F.when(F.col("_rmax") == 1, F.col("value"))).alias("top_value"),
-                 F.max(F.when(F.col("_rmax") == 1, F.col("total"))).alias("top_total"),
-                 F.max(F.when(F.col("_rmin") == 1, F.col("value"))).alias("bottom_value"),
-                 F.max(F.when(F.col("_rmin") == 1, F.col("total"))).alias("bottom_total")))
+    # one row per dimension name (bounded by ``keys``): broadcast, then pick
+    # the smallest key among the rows at the extreme -- aggregates only, no
+    # window holding all values of a dimension in one task
+    ext = long.groupBy("dimension").agg(F.max("total").alias("_mx"), F.min("total").alias("_mn"))
+    j = long.join(F.broadcast(ext), "dimension")
+    return (j.groupBy("dimension")
+            .agg(F.min(F.when(F.col("total") == F.col("_mx"), F.col("value"))).alias("top_value"),
+                 F.max("_mx").alias("top_total"),
+                 F.min(F.when(F.col("total") == F.col("_mn"), F.col("value"))).alias("bottom_value"),
+                 F.max("_mn").alias("bottom_total")))
 
 
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 40) -> DataFrame:
