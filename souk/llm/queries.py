@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import simhash, topk, url_filter, warc
+from souk.llm import decontaminate, pii, simhash, topk, url_filter, warc
 from souk.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,32 @@ def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+_UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_DECON_SQL = f"""
+WITH d AS (SELECT row_number() OVER () rid, doc_id, coalesce(regexp_extract_all(translate(text, {_UPPER_LOWER}), '{_WORD}'), []) w
+           FROM documents),
+b AS (SELECT DISTINCT item_id, regexp_extract_all(translate(text, {_UPPER_LOWER}), '{_WORD}') w FROM benchmark
+      WHERE item_id IS NOT NULL),
+c AS (SELECT *, least(10, len(w)) m FROM b WHERE len(w) > 0),
+i AS (SELECT item_id, m, w, unnest(range(1, len(w) - m + 2)) s FROM c),
+g AS (SELECT DISTINCT item_id, m, array_to_string(w[s:s + m - 1], ' ') gram FROM i),
+p AS (SELECT rid, m, w, unnest(range(1, len(w) - m + 2)) s FROM d, (SELECT DISTINCT m FROM c)),
+o AS (SELECT rid, s, p.m, item_id FROM p JOIN g ON g.m = p.m AND g.gram = array_to_string(w[s:s + p.m - 1], ' ')),
+h AS (SELECT rid, count(DISTINCT pos) n_hit FROM (SELECT rid, unnest(range(s, s + m)) pos FROM o) GROUP BY rid),
+t AS (SELECT rid, count(DISTINCT item_id) n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) ids
+      FROM o GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coalesce(n_items, 0)::BIGINT n_items,
+       sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)"""
+
+
+@_query("op4_benchmark_decontamination", _DECON_SQL)
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 @_query("op5_simhash_near_dedup")
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=3, radius=2)
@@ -83,3 +109,8 @@ SELECT page_id, host, path, rule,
 @_query("op6_url_bloom_cascade", _URL_SQL)
 def op6_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark, table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@_query("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
