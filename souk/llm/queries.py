@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import decontaminate, pii, simhash, topk, url_filter, warc
+from souk.llm import decontaminate, lang_id, pii, simhash, topk, url_filter, warc
 from souk.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +111,14 @@ def op6_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark, table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@_query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.train(spark, docs.where(lang_id.train_rows(F.col("doc_id"))))
+    return lang_id.predict(docs, model).select(
+        "doc_id", F.coalesce(~lang_id.train_rows(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 @_query("op10_pii")
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
