@@ -10,9 +10,10 @@ split into blocks, so no task holds more than ``TILE`` + ``NEIGHBOURS``
 fingerprints; equal fingerprints count once, however many documents share them.
 
 Defined cases: null and wordless texts have fingerprint zero and link like any
-other; fewer words than a shingle make one shingle; repeated rows and ids fall
-in one component; a null id has a row and takes no part in the smallest id of
-its component (null if all are); empty tables give an empty result.
+other; fewer words than a shingle make one shingle; repeated rows share a
+component, rows that only share an id do not; a null id has a row and takes no
+part in the smallest id of its component (null if all are); empty tables give an
+empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,14 +55,19 @@ def fingerprint(text: str | None, shingle: int = 3, block: int = 1 << 16) -> int
     return int((np.uint64(1) << np.flatnonzero(2 * ones > n).astype(np.uint64)).sum(dtype=np.uint64))
 
 
+def row_key(doc_id, text) -> F.Column:
+    """Names a row by its id and text."""
+    return F.xxhash64(doc_id.cast("long"), text)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp is the fingerprint's 64 bits as a signed long."""
+    """(id, key, fp): fp is the fingerprint's 64 bits as a signed long."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": b["id"].astype("Int64"), "fp": fp})
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")) \
-        .mapInPandas(run, "id long, fp long")
+            yield pd.DataFrame({"id": b["id"].astype("Int64"), "key": b["key"], "fp": fp})
+    return docs.select(F.col(id_col).cast("long").alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"),
+                       F.col(text_col).alias("text")).mapInPandas(run, "id long, key long, fp long")
 
 
 def _near_offsets(radius: int) -> list[tuple[int, ...]]:
@@ -120,39 +126,69 @@ def links(fps: DataFrame, radius: int = 2, tile: int = TILE, neighbours: int = N
     return own.unionByName(other).groupBy("tile", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fp, label): smallest label reachable.  nodes: (fp, label); edges: (a, b).
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(fp, label) of every linked fingerprint: the smallest fingerprint reachable.  edges: (a, b).
 
     Each round every node takes the smallest label among itself, its neighbours
-    and the node that its label points to (pointer jumping), so long chains need
-    logarithmically few rounds.  Each round is written to the shared folder."""
+    and all nodes that bear the same label (pointer jumping), so long chains need
+    few rounds.  Each round is written to the shared folder."""
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct()
     both = materialize(spark, both, "simhash-edges")
-    touched = both.select(F.col("x").alias("fp")).distinct()
-    state = materialize(spark, nodes.join(touched, "fp").select("fp", "label"), "simhash-labels")
-    while True:
-        near = both.join(state, both["y"] == state["fp"]).groupBy(F.col("x").alias("fp")).agg(F.min("label").alias("m"))
+    state = both.groupBy(F.col("x").alias("fp")).agg(F.least(F.min("x"), F.min("y")).alias("label"))
+    state = materialize(spark, state, "simhash-labels")
+    while not state.isEmpty():
+        near = both.join(state.withColumnRenamed("fp", "y"), "y").groupBy(F.col("x").alias("fp")).agg(F.min("label").alias("m"))
         step = state.join(near, "fp", "left").select("fp", F.col("label").alias("old"), F.least("label", "m").alias("new"))
-        # a label names the component of the nodes that bear it: all of them may take the smallest
         jump = step.groupBy("old").agg(F.min("new").alias("best"))
         step = step.join(jump, "old").select("fp", "old", F.least("new", "best").alias("label"))
         step = materialize(spark, step, "simhash-labels")
         state = step.select("fp", "label")
         if step.where(F.col("label") < F.col("old")).isEmpty():
             break
-    return nodes.join(state.withColumnRenamed("label", "found"), "fp", "left").select(
-        "fp", F.coalesce("found", "label").alias("label"))
+    return state
+
+
+def classes(spark: SparkSession, docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id",
+            text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, nodes): rows (id, key, fp) of every document row, key a hash of id
+    and text; nodes (fp, label, first) of every distinct fingerprint: its
+    component and the component's smallest (null id last) row."""
+    rows = materialize(spark, fingerprints(docs, shingle, id_col, text_col), "simhash-fp")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
+    nodes = materialize(spark, rows.groupBy("fp").agg(first.alias("first")), "simhash-nodes")
+    found = components(spark, materialize(spark, links(nodes.select("fp"), radius), "simhash-links"))
+    linked = nodes.join(found, "fp")
+    best = linked.groupBy("label").agg(F.min("first").alias("best"))
+    best = linked.select("fp", "label").join(best, "label").select("fp", "label", "best")
+    nodes = nodes.join(materialize(spark, best, "simhash-linked"), "fp", "left").select(
+        "fp", F.coalesce("label", "fp").alias("label"), F.coalesce("best", "first").alias("first"))
+    return rows, nodes
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, radius: int = 2,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) for every row of ``docs``."""
-    rows = materialize(spark, fingerprints(docs, shingle, id_col, text_col), "simhash-fp")
-    none = 2 ** 63 - 1
-    nodes = materialize(spark, rows.groupBy("fp").agg(F.coalesce(F.min("id"), F.lit(none)).alias("label")),
-                        "simhash-nodes")
-    edges = materialize(spark, links(nodes.select("fp"), radius), "simhash-links")
-    found = components(spark, nodes, edges)
-    return rows.join(found, "fp").select(
+    rows, nodes = classes(spark, docs, shingle, radius, id_col, text_col)
+    return rows.join(nodes, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("label") != none, F.col("label")).alias("component_id"))
+        F.col("first.id").alias("component_id"))
+
+
+def first_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 3, radius: int = 2,
+                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that come first (smallest id) in their component, each once."""
+    rows, nodes = classes(spark, docs, shingle, radius, id_col, text_col)
+    keep = nodes.where(F.col("first").isNotNull()).select("first.id", "first.key").distinct()
+    times = rows.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    times = materialize(spark, times, "simhash-repeated")
+    keyed = docs.withColumn("_key", row_key(F.col(id_col), F.col(text_col)))
+
+    def only(picked: DataFrame) -> DataFrame:
+        return keyed.join(picked, (keyed["_key"] == picked["key"]) & keyed[id_col].cast("long").eqNullSafe(picked["id"]),
+                          "left_semi").drop("_key")
+    if times.isEmpty():
+        return only(keep)
+    same = (F.col("k.key") == F.col("t.key")) & F.col("k.id").eqNullSafe(F.col("t.id"))
+    once = keep.alias("k").join(times.alias("t"), same, "left_anti")
+    repeated = keep.alias("k").join(times.alias("t"), same, "left_semi")
+    return only(once).unionByName(only(repeated).dropDuplicates([id_col, text_col]))
