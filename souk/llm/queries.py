@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import bpe, decontaminate, lang_id, pii, simhash, topk, url_filter, warc
+from souk.llm import bpe, decontaminate, lang_id, pii, simhash, token_codec, topk, url_filter, warc
 from souk.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +125,12 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("text", 256).alias("decoded_sha256"))
 
 
+@_query("op8_token_files")
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_codec.round_trip(spark, table(spark, sf_dir, "documents"),
+                                  public_tokenizers.path("word_bpe_49k.json"), end=2)
+
+
 @_query("op9_language_id")
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
