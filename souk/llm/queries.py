@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import bpe, decontaminate, lang_id, pii, simhash, token_codec, topk, url_filter, warc
+from souk.llm import bpe, decontaminate, lang_id, licenses, pii, simhash, token_codec, topk, url_filter, warc
 from souk.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,28 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows.where(F.col("id") % 20 == 0), rows, 20)
 
 
+_LICENSE_VALUES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.TEMPLATES)
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_LICENSE_SQL = f"""
+WITH v(license, text) AS (VALUES {_LICENSE_VALUES}),
+tw AS (SELECT license, regexp_extract_all(translate(text, {_LOWER}), '[a-z0-9]+') w FROM v),
+ts AS (SELECT DISTINCT license, array_to_string(w[i:i + 4], ' ') g FROM (SELECT *, unnest(range(1, len(w) - 3)) i FROM tw)),
+tn AS (SELECT license, count(*) n, (2 ** floor(log2(count(*)) + 1e-9))::BIGINT s FROM ts GROUP BY license),
+d AS (SELECT row_number() OVER () rid, doc_id, w FROM (SELECT DISTINCT doc_id, text,
+        regexp_extract_all(translate(text, {_LOWER}), '[a-z0-9]+') w FROM documents WHERE text IS NOT NULL)),
+ds AS (SELECT rid, i - 1 pos, array_to_string(w[i:i + 4], ' ') g FROM (SELECT *, unnest(range(1, len(w) - 3)) i FROM d)),
+h AS (SELECT rid, license, n, s, pos, g FROM ds JOIN ts USING (g) JOIN tn USING (license)),
+x AS (SELECT *, unnest(range(greatest(pos // s - 2, 0), pos // s + 1)) win FROM h),
+c AS (SELECT rid, license, win * s AS first_shingle, count(DISTINCT g) / any_value(n) share FROM x GROUP BY rid, license, win, s),
+b AS (SELECT *, row_number() OVER (PARTITION BY rid, license ORDER BY share DESC, first_shingle) r FROM c WHERE share >= 0.8)
+SELECT doc_id, license, share containment, first_shingle::BIGINT shingle FROM b JOIN d USING (rid) WHERE r = 1"""
+
+
+@_query("op2_license_scan", _LICENSE_SQL)
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark, table(spark, sf_dir, "documents"))
+
+
 _WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages),
 m AS (SELECT h, max(page_id) m FROM p WHERE octet_length(encode(h)) >= 1000 GROUP BY h)
@@ -58,12 +80,11 @@ def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-_UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _DECON_SQL = f"""
-WITH d AS (SELECT row_number() OVER () rid, doc_id, coalesce(regexp_extract_all(translate(text, {_UPPER_LOWER}), '{_WORD}'), []) w
+WITH d AS (SELECT row_number() OVER () rid, doc_id, coalesce(regexp_extract_all(translate(text, {_LOWER}), '{_WORD}'), []) w
            FROM documents),
-b AS (SELECT DISTINCT item_id, regexp_extract_all(translate(text, {_UPPER_LOWER}), '{_WORD}') w FROM benchmark
+b AS (SELECT DISTINCT item_id, regexp_extract_all(translate(text, {_LOWER}), '{_WORD}') w FROM benchmark
       WHERE item_id IS NOT NULL),
 c AS (SELECT *, least(10, len(w)) m FROM b WHERE len(w) > 0),
 i AS (SELECT item_id, m, w, unnest(range(1, len(w) - m + 2)) s FROM c),
