@@ -99,14 +99,14 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key_cols: Sequence[str]
     """Isolation forest (AN3) over ``cols`` (e.g. robust-scaled features).
 
     * Sampling: rows whose hash falls under a rate sized for
-      ``n_trees * sample_size`` rows are dealt to trees by hash; each tree
-      keeps its ``sample_size`` lowest hashes (a group of bounded size).
+      ``n_trees * sample_size`` rows form a pool; each tree draws its own
+      min(``sample_size``, rows) rows from the pool by a hash of tree and row.
     * Building: ``groupBy(tree).applyInPandas`` grows each tree on its sample
       (random feature, uniform split between the node's min and max, depth
       limit ceil(log2(sample_size))).
     * Scoring: the forest (at most ``n_trees * (2 * sample_size - 1)`` nodes,
       a fixed bound) is shipped to ``mapInPandas``, which computes each row's
-      mean path length; score s = 2^(-E[h] / c(sample_size)).
+      mean path length; score s = 2^(-E[h] / c(psi)), psi = rows per tree.
     * Threshold: the exact (1 - contamination) quantile of s; rows above are
       anomalies.  Adds ``iso_score`` (s), ``iso_label`` (-1 anomaly / 1) and
       ``is_anomaly``.
@@ -117,17 +117,24 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key_cols: Sequence[str]
     import pandas as pd
 
     cols = list(cols)
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols])
-    u = (F.pmod(h, F.lit(1 << 30)).cast("double") / float(1 << 30))
-    base = df.withColumn("_u", u)
-    n = base.agg(F.count(F.lit(1)).alias("_n"))
-    want = float(n_trees * sample_size) * 1.3
-    pool = (base.crossJoin(F.broadcast(n))
-                .where(F.col("_u") < F.least(F.lit(1.0), F.lit(want) / F.col("_n")))
-                .select(*cols, "_u", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_u")), F.lit(n_trees))
-                        .cast("int").alias("tree")))
-    rn = F.row_number().over(Window.partitionBy("tree").orderBy("_u"))
-    samples = pool.withColumn("_r", rn).where(F.col("_r") <= sample_size).drop("_r")
+    def dealt(*parts):
+        return F.pmod(F.xxhash64(*parts), F.lit(1 << 40)).cast("double") / float(1 << 40)
+
+    # a pool of bounded size, from which every tree draws its own rows
+    n = df.count()
+    pool_rows = 1.3 * n_trees * sample_size
+    pool = (df.withColumn("_u", dealt(F.lit(seed), *[F.col(c) for c in key_cols]))
+              .where(F.col("_u") < min(1.0, pool_rows / max(n, 1))).select(*cols, "_u"))
+    pool = pool.withColumn("_k", F.monotonically_increasing_id())
+    from souk.operators.ordered import materialize, quantile_row
+    pool = materialize(pool)
+    n_pool = pool.count()
+    psi = min(sample_size, n_pool)
+    rate = min(1.0, (psi + 8 * math.sqrt(psi) + 8) / max(n_pool, 1))
+    drawn = (pool.select(*cols, "_u", "_k", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+                 .withColumn("_v", dealt(F.lit(seed + 1), F.col("tree"), F.col("_u"), F.col("_k"))).where(F.col("_v") < rate))
+    rn = F.row_number().over(Window.partitionBy("tree").orderBy("_v", "_k"))
+    samples = drawn.withColumn("_r", rn).where(F.col("_r") <= sample_size).select(*cols, "tree")
     max_depth = int(math.ceil(math.log2(max(sample_size, 2))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -166,7 +173,7 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key_cols: Sequence[str]
     trees = [g.reset_index(drop=True) for _, g in model.groupby("tree")]
     packed = [(g["feature"].to_numpy(), g["threshold"].to_numpy(), g["left"].to_numpy(),
                g["right"].to_numpy(), _c_factor(g["size"].to_numpy())) for g in trees]
-    c_psi = float(_c_factor([sample_size])[0])
+    c_psi = float(_c_factor([max(psi, 2)])[0])
     bc = df.sparkSession.sparkContext.broadcast(packed)
 
     def path_lengths(it):
@@ -191,7 +198,6 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key_cols: Sequence[str]
     from pyspark.sql import types as T
     scored_schema = T.StructType([*df.schema.fields, T.StructField("iso_score", T.DoubleType())])
     scored = df.mapInPandas(path_lengths, scored_schema)
-    from souk.operators.ordered import materialize, quantile_row
     scored = materialize(scored)
     th = quantile_row(scored, "iso_score", {"_thr": 1.0 - contamination})
     out = scored.crossJoin(F.broadcast(th))

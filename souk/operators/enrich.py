@@ -16,10 +16,10 @@ from souk.functions import np_round
 
 def with_macro(orders: DataFrame, macro: DataFrame) -> DataFrame:
     """Left join on year (JN2); an empty macro table gives NULL columns.
-    The macro table is reduced to one row per year first (bounded by the
-    number of years), then broadcast."""
+    The macro table is reduced to one row per year first (the smallest known
+    value where a year repeats; bounded by the number of years), then broadcast."""
     cols = [c for c in macro.columns if c != "year"]
-    one = macro.groupBy("year").agg(*[F.first(c, True).alias(c) for c in cols])
+    one = macro.groupBy("year").agg(*[F.min(c).alias(c) for c in cols])
     return orders.join(F.broadcast(one), "year", "left")
 
 
@@ -67,14 +67,14 @@ def state_codes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(STATE_ISO, "state string, iso_code string")
 
 
-def state_revenue_map(df: DataFrame, top: int | None = None) -> DataFrame:
+def state_revenue_map(df: DataFrame, top: int | None = None, codes: DataFrame | None = None) -> DataFrame:
     """Revenue per state with its ISO code; unmapped states dropped (PJ15).
-    The 32-row code table is broadcast.  ``top`` keeps the largest states
+    The 32-row code table is broadcast; ``codes`` (state, iso_code) replaces it.  ``top`` keeps the largest states
     (the chart fallback shows 20)."""
-    codes = state_codes(df.sparkSession)
+    codes = F.broadcast(state_codes(df.sparkSession)) if codes is None else codes
     agg = (df.where(F.col("state").isNotNull()).groupBy("state")
              .agg(F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue")))
-    out = agg.join(F.broadcast(codes), "state", "inner")
+    out = agg.join(codes, "state", "inner")
     if top is not None:
         out = out.orderBy(F.col("revenue").desc(), F.col("state")).limit(top)
     return out

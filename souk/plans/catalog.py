@@ -1140,7 +1140,7 @@ def q_revenue_forecast_by_zone(spark, sf_dir):
     """Monthly revenue per zone with a 60-month trend + seasonality forecast
     and 80 % band (TS3)."""
     s = TS.monthly_series(fact(spark, sf_dir, ["order_date", "zone", "revenue"]), "revenue", "sum", by=["zone"])
-    return TS.forecast(s, "month", "value", periods=60, by=["zone"])
+    return TS.forecast(s, "month", "value", periods=60, by=["zone"], growth="piecewise")
 
 
 _AN_COLS = ["order_id", "category", "customer_age", "base_price", "discount_percent", "final_price",

@@ -109,6 +109,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     scratch = tempfile.mkdtemp(prefix="souk-ckpt-")
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir()

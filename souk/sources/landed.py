@@ -92,8 +92,10 @@ def trends_long(wide: DataFrame, keywords: Sequence[str] | None = None) -> DataF
 
 
 def union_trend_batches(*batches: DataFrame) -> DataFrame:
-    """Union of long trend batches with one row per (date, keyword) (JN6)."""
-    out = batches[0]
-    for b in batches[1:]:
+    """Union of long trend batches with one row per (date, keyword): the first
+    batch that has it counts, of equal rows within it the smallest value (JN6)."""
+    tagged = [b.select("date", "keyword", "interest", F.lit(i).alias("_batch")) for i, b in enumerate(batches)]
+    out = tagged[0]
+    for b in tagged[1:]:
         out = out.unionByName(b)
-    return out.dropDuplicates(["date", "keyword"])
+    return out.groupBy("date", "keyword").agg(F.min(F.struct("_batch", "interest"))["interest"].alias("interest"))

@@ -15,11 +15,14 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", schema=RAW_ORDER_SC
 
 
 def read_json(spark: SparkSession, path: str, schema=RAW_ORDER_SCHEMA) -> DataFrame:
-    """JSON lines, or one JSON array per file (detected by the first byte)."""
-    reader = spark.read.schema(schema).option("mode", "PERMISSIVE")
-    if _looks_like_array(spark, path):
-        reader = reader.option("multiLine", True)
-    return reader.json(path)
+    """JSON lines or one JSON array, decided for each file by its first
+    character that isn't white space."""
+    arrays, lines = _json_files(spark, path)
+    reader = lambda multi: spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", multi)
+    if not arrays:
+        return reader(False).json(path)
+    whole = reader(True).json(arrays)
+    return whole.unionByName(reader(False).json(lines)) if lines else whole
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -45,10 +48,31 @@ def load_orders(spark: SparkSession, path: str, fmt: str | None = None) -> DataF
     raise ValueError(f"Unsupported format: .{ext}. Supported: {', '.join(SUPPORTED)}")
 
 
-def _looks_like_array(spark: SparkSession, path: str) -> bool:
-    # Peek at the first characters of one file only (bounded, not the data).
-    head = spark.read.text(path).limit(1).collect()
-    return bool(head) and head[0][0].lstrip().startswith("[")
+def _json_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """Data files below ``path``: those that hold an array, and the others.
+
+    Reads the leading white space and one more character of each file."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs_path = jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(conf)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    matched = fs.globStatus(fs_path)
+    arrays, lines = [], []
+    for status in matched or []:
+        found = fs.listFiles(status.getPath(), True)
+        while found.hasNext():
+            f = found.next().getPath()
+            if f.getName().startswith(("_", ".")):
+                continue
+            codec, stream = codecs.getCodec(f), fs.open(f)
+            try:
+                text = codec.createInputStream(stream) if codec else stream
+                while (b := text.read()) in (9, 10, 13, 32, 0xEF, 0xBB, 0xBF):
+                    pass
+            finally:
+                stream.close()
+            (arrays if b == ord("[") else lines).append(f.toString())
+    return arrays, lines
 
 
 def row_count(df: DataFrame) -> DataFrame:

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from souk.schema import AT_RISK_ALERT_SCHEMA, DRIFT_REPORT_SCHEMA, PRICE_RECOMMENDATION_SCHEMA
 
-EXPORT_ROW_CAP = 50_000
-
 
 def conform(df: DataFrame, schema) -> DataFrame:
     """Select and cast to the sink schema; missing columns become NULL,
@@ -64,13 +62,12 @@ def export_json(df: DataFrame, path: str) -> None:
 
 
 def export_report(path: str, kpis: DataFrame, insights: DataFrame, recommendations: DataFrame,
-                  data: DataFrame, monthly: DataFrame, data_cap: int = EXPORT_ROW_CAP) -> None:
+                  data: DataFrame, monthly: DataFrame) -> None:
     """SK5: one report folder with five tables (Parquet): KPI row, insight
-    texts, recommendations, the first ``data_cap`` data rows (the report
-    format's row cap) and the monthly table."""
+    texts, recommendations, all data rows and the monthly table."""
     base = path.rstrip("/")
     kpis.write.mode("overwrite").parquet(f"{base}/kpis")
     insights.write.mode("overwrite").parquet(f"{base}/insights")
     recommendations.write.mode("overwrite").parquet(f"{base}/recommendations")
-    data.limit(data_cap).write.mode("overwrite").parquet(f"{base}/data")
+    data.write.mode("overwrite").parquet(f"{base}/data")
     monthly.write.mode("overwrite").parquet(f"{base}/monthly")

@@ -41,12 +41,6 @@ FACT_COLUMNS = [
     "inventory_pressure", "units_sold", "final_price", "revenue",
 ]
 
-_NEEDS_ORDERS = {"customer_id", "order_date", "state", "zone", "customer_gender",
-                 "customer_age", "sales_event", "competition_intensity"}
-_NEEDS_CUSTOMER = {"state", "zone"}
-_NEEDS_PART = {"category", "brand_type"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -58,27 +52,22 @@ def orders_fact(spark: SparkSession, sf_dir: str, columns: list[str] | None = No
     unknown = set(want) - set(FACT_COLUMNS)
     if unknown:
         raise ValueError(f"unknown fact columns: {sorted(unknown)}")
-    need = set(want)
-
+    # every join is made whatever the columns: the rows never depend on the projection
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount",
         "l_linestatus")
-    df = li
-    if need & _NEEDS_ORDERS:
-        o = table(spark, sf_dir, "orders").select(
-            "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-        if need & _NEEDS_CUSTOMER:
-            c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-            n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-            r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-            geo = (c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
-                    .join(F.broadcast(r), F.col("n_regionkey") == r.r_regionkey)
-                    .select("c_custkey", "n_name", "r_name"))
-            o = o.join(geo, o.o_custkey == geo.c_custkey)
-        df = df.join(o, df.l_orderkey == o.o_orderkey)
-    if need & _NEEDS_PART:
-        p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
-        df = df.join(p, df.l_partkey == p.p_partkey)
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
+    geo = (c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+            .join(F.broadcast(r), F.col("n_regionkey") == r.r_regionkey)
+            .select("c_custkey", "n_name", "r_name"))
+    o = o.join(geo, o.o_custkey == geo.c_custkey)
+    df = li.join(o, li.l_orderkey == o.o_orderkey)
+    df = df.join(p, df.l_partkey == p.p_partkey)
 
     qty = F.col("l_quantity")
     base = F.try_divide(F.col("l_extendedprice"), qty)
@@ -143,6 +132,7 @@ fact AS (
 
 # ---------------------------------------------------------------- shared fact
 import threading  # noqa: E402
+import uuid  # noqa: E402
 
 _BUILD_LOCK = threading.Lock()
 
@@ -157,7 +147,10 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     """Hash of the input tables' paths, sizes and modification times (file
     metadata only -- no data is read)."""
     import hashlib
-    h = hashlib.sha1()
+    import inspect
+
+    # the mapping is part of the key: a fact written by another one is not reused
+    h = hashlib.sha1(inspect.getsource(orders_fact).encode())
     for name in ("lineitem", "orders", "customer", "nation", "region", "part"):
         path = f"{sf_dir.rstrip('/')}/{name}.parquet"
         p, fs = _hadoop_fs(spark, path)
@@ -196,7 +189,13 @@ def shared_fact(spark: SparkSession, sf_dir: str, columns: list[str] | None = No
     p, fs = _hadoop_fs(spark, path + "/_SUCCESS")
     with _BUILD_LOCK:    # threads of one driver build a given fact once
         if not fs.exists(p):
+            # written under a name of its own and published by a rename, so that
+            # another driver never reads or overwrites a half-written fact
+            draft = f"{path}-{uuid.uuid4().hex}"
             (orders_fact(spark, sf_dir).hint("rebalance").sortWithinPartitions("order_date")
-             .write.mode("overwrite").parquet(path))
+             .write.parquet(draft))
+            target, source = p.getParent(), _hadoop_fs(spark, draft)[0]
+            if fs.exists(p) or not fs.rename(source, target):
+                fs.delete(source, True)
     df = spark.read.parquet(path)
     return df.select(*(columns or FACT_COLUMNS))
