@@ -48,7 +48,7 @@ KINDS = (
          r"[0-9](?:[\x20-]?[0-9]){13}", 0.7, r"\b(?:card|credit|visa|payment|paid|account)\b"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]",
          r"\+[0-9][\x20().0-9-]", 0.5, r"\b(?:phone|tel|call|mobile|fax|contact)\b"),
-    Kind("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Z0-9])",
+    Kind("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Z0-9])",
          r"[A-Z]{2}[0-9]{2}", 0.9, r"\b(?:iban|bank|account|transfer)\b"),
 )
 BASE = 4                # the first kinds are the base ones

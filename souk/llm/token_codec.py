@@ -255,7 +255,8 @@ def _decode_lanes(blocks: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
             x[at] = np.where(cls == 0, _U(0), bits + (_U(1) << k)).astype(np.uint32)
             m.learn_lengths(at, cls)
         for at, _ in m.shift():
-            code[at] = (code[at] << _U(16)) | words[at, used[at]]
+            # damaged bytes may ask for more than there is; the checksum tells
+            code[at] = (code[at] << _U(16)) | words[at, np.minimum(used[at], words.shape[1] - 1)]
             used[at] += 1
         m.learn(x, guess, which)
         out[t, :len(x)] = x
