@@ -26,6 +26,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -33,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 500_000
+ROWS = 512              # rows of a batch that are encoded at a time
 SHORT = 32              # bytes of a word that is merged together with others
 TOGETHER = 50_000       # such words at a time
 GROUP_CHARS = 2_000_000
@@ -41,6 +43,7 @@ GROUP_CHARS = 2_000_000
 WORDS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
          r"|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+")
 _WORDS = regex.compile(WORDS)
+_BETWEEN = "\u0100"
 # from here on Unicode versions differ in what they call a letter: the library's own pre-tokenizer cuts such chunks
 _LATE = re.compile("[\u0860-\U0010ffff]")
 _LIBRARY = ByteLevel(add_prefix_space=False, use_regex=True)
@@ -95,16 +98,26 @@ class Bpe:
         ok = fits.tolist()
         for t in range(256, n):
             ok[t] = ok[t] and ok[left[t]] and ok[right[t]]
-        self.proposals = {b: t for t, b in enumerate(self.bytes) if ok[t]}
-        self.longest = max(map(len, self.proposals))
+        self.size = np.array([len(b) for b in self.bytes])
+        self.proposed = np.flatnonzero(ok)
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that strip or need whole words are not supported")
         self.added = {k: np.array([i], np.uint32).tobytes() for k, i in added.items()}
         self._added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.text_of = {int(i): b for i, b in zip(self.ids, self.bytes)} | {i: k.encode() for k, i in added.items()}
+        text_of = {int(i): b for i, b in zip(self.ids, self.bytes)} | {i: k.encode() for k, i in added.items()}
+        self.text_of = [text_of.get(i) for i in range(max(text_of) + 1)]
         self.cache: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def matcher(self) -> ahocorasick.Automaton:
+        """Finds leftmost-longest tokens; only encoding needs it."""
+        found = ahocorasick.Automaton()
+        for t in self.proposed.tolist():
+            found.add_word(self.bytes[t].decode("latin-1"), t)
+        found.make_automaton()
+        return found
+
     def _table(self, keys: np.ndarray) -> None:
         """Open addressing over pair keys, a quarter full at most."""
         size = 1 << (4 * len(keys)).bit_length()
@@ -165,15 +178,13 @@ class Bpe:
             live = live[more]
         return good
 
-    def propose(self, word: bytes) -> list[int]:
-        out, at, n, known = [], 0, len(word), self.proposals
-        while at < n:
-            end = min(n, at + self.longest)
-            while (t := known.get(word[at:end])) is None:
-                end -= 1
-            out.append(t)
-            at = end
-        return out
+    def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest matches of all words: tokens, and the word of each."""
+        ends = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words)))
+        # the bytes as characters; one that is no byte, so never part of a token, between words
+        text = _BETWEEN.join([w.decode("latin-1") for w in words])
+        found = np.fromiter(itertools.chain.from_iterable(self.matcher.iter_long(text)), np.int64)
+        return found[1::2], np.searchsorted(ends, found[::2], side="right")
 
     def merge(self, word: bytes) -> list[int]:
         """Exact byte-pair merging: lowest merge first, of equal ones the leftmost."""
@@ -197,10 +208,10 @@ class Bpe:
                 heapq.heappush(heap, (x, before[i]))
         return [t for t in tokens if t >= 0]
 
-    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
         """Exact merging of many short words in step: each round every word merges
         its lowest pair, of equal ones the leftmost."""
-        out: list[list[int]] = [[]] * len(words)
+        out = [b""] * len(words)
         width = max(map(len, words))
         rows = np.arange(len(words))
         size = np.fromiter(map(len, words), np.int64, len(words))
@@ -211,8 +222,9 @@ class Bpe:
             col = pairs.argmin(axis=1) if pairs.shape[1] else np.zeros(len(rows), np.int64)
             best = pairs[np.arange(len(rows)), col] if pairs.shape[1] else np.full(len(rows), self.n)
             over = best == self.n
-            for i, row in zip(rows[over].tolist(), tokens[over].tolist()):
-                out[i] = [t for t in row if t != self.n]
+            held = tokens[over] != self.n
+            for i, x in zip(rows[over].tolist(), self._cut(tokens[over][held], held.sum(axis=1))):
+                out[i] = x
             live = ~over
             rows, col, best, tokens, pairs = rows[live], col[live], best[live], tokens[live], pairs[live]
             if not len(rows):
@@ -227,33 +239,39 @@ class Bpe:
                 pairs[at, x] = self.merged(tokens[at, x], tokens[at, x + 1])
         return out
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        out = [self.propose(w) for w in words]
-        size = np.fromiter(map(len, out), np.int64, len(out))
-        flat = np.fromiter(itertools.chain.from_iterable(out), np.int64, int(size.sum()))
-        word = np.repeat(np.arange(len(out)), size)
+    def _cut(self, tokens: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """Ids of consecutive words, each as little-endian unsigned 32-bit integers."""
+        blob, ends = self.ids[tokens].tobytes(), (4 * np.cumsum(sizes)).tolist()
+        return [blob[a:b] for a, b in zip([0, *ends], ends)]
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids as little-endian unsigned 32-bit integers."""
+        flat, word = self.propose(words)
+        out = self._cut(flat, np.bincount(word, minlength=len(words)))
         inner = np.flatnonzero(word[1:] == word[:-1])
         pair, where = np.unique(flat[inner] * self.n + flat[inner + 1], return_inverse=True)
         bad = ~self.compatible(pair // self.n, pair % self.n)[where]
-        failed = np.unique(word[inner[bad]]).tolist()
+        failed = np.zeros(len(words), bool)
+        failed[word[inner[bad]]] = True
+        # a proposal that does not cover its word would not be an encoding of it
+        covered = np.bincount(word, weights=self.size[flat], minlength=len(words))
+        failed |= covered != np.fromiter(map(len, words), np.int64, len(words))
+        failed = np.flatnonzero(failed).tolist()
         short = sorted((i for i in failed if len(words[i]) <= SHORT), key=lambda i: len(words[i]))
         for lo in range(0, len(short), TOGETHER):
             part = short[lo:lo + TOGETHER]
-            for i, tokens in zip(part, self.merge_many([words[i] for i in part])):
-                out[i] = tokens
+            for i, x in zip(part, self.merge_many([words[i] for i in part])):
+                out[i] = x
         for i in failed:
             if len(words[i]) > SHORT:
-                out[i] = self.merge(words[i])
+                out[i] = self.ids[self.merge(words[i])].tobytes()
         return out
 
     def _learn(self, chunks: list[str]) -> None:
         """Encodes chunks that are not in the cache."""
         parts = [words_of(c) for c in chunks]
         distinct = {w: i for i, w in enumerate({w for p in parts for w in p})}
-        tokens = self.encode_words([w.encode() for w in distinct])
-        ends = np.cumsum([0, *map(len, tokens)]) * 4
-        blob = self.ids[np.fromiter(itertools.chain.from_iterable(tokens), np.int64, int(ends[-1]) // 4)].tobytes()
-        done = [blob[a:b] for a, b in itertools.pairwise(ends.tolist())]
+        done = self.encode_words([w.encode() for w in distinct])
         for c, p in zip(chunks, parts):
             self.cache[c] = b"".join([done[distinct[w]] for w in p])
 
@@ -302,12 +320,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for b in batches:
-            found = list(bpe.encode(b.column(1).to_pylist()))
-            ends = np.cumsum([0] + [len(x) // 4 for x in found])
-            values = pa.array(np.frombuffer(b"".join(found), np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)],
-                                             names=["id", "ids"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS):
+                b = whole.slice(lo, ROWS)
+                found = list(bpe.encode(b.column(1).to_pylist()))
+                ends = np.cumsum([0] + [len(x) // 4 for x in found])
+                values = pa.array(np.frombuffer(b"".join(found), np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)],
+                                                 names=["id", "ids"])
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")) \
         .mapInArrow(run, f"id {kind.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
 
