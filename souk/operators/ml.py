@@ -82,12 +82,9 @@ def metrics(pred: DataFrame, label: str = TARGET, prediction: str = "prediction"
     """RMSE, MAE, R2 of one prediction table as a one-row aggregate (ML4)."""
     y, p = F.col(label), F.col(prediction)
     a = pred.agg(F.sum((y - p) * (y - p)).alias("_sse"), F.sum(F.abs(y - p)).alias("_sae"),
-                 F.count(F.lit(1)).alias("_n"), F.avg(y).alias("_ybar"))
-    sst = pred.crossJoin(F.broadcast(a.select("_ybar"))).agg(
-        F.sum((y - F.col("_ybar")) * (y - F.col("_ybar"))).alias("_sst"))
-    j = a.crossJoin(sst)
-    return j.select(F.sqrt(F.col("_sse") / F.col("_n")).alias("rmse"),
-                    (F.col("_sae") / F.col("_n")).alias("mae"),
+                 F.count(F.lit(1)).alias("_n"), (F.var_pop(y) * F.count(y)).alias("_sst"))
+    return a.select(F.sqrt(F.col("_sse") / F.nullif(F.col("_n"), F.lit(0))).alias("rmse"),
+                    F.try_divide(F.col("_sae"), F.col("_n")).alias("mae"),
                     (1 - F.try_divide(F.col("_sse"), F.nullif(F.col("_sst"), F.lit(0.0)))).alias("r2"),
                     F.col("_n").alias("n"))
 
@@ -123,18 +120,38 @@ def score(model: PipelineModel, orders: DataFrame) -> DataFrame:
         .select(*CAT_FEATURES, *NUM_FEATURES, F.col("prediction").alias("predicted_revenue"))
 
 
-def linear_attribution(model: PipelineModel, data: DataFrame, top_n: int = 15) -> DataFrame:
-    """Mean |coef_j * (x_j - mean_j)| per encoded feature of a linear model
-    (exact additive attribution under feature independence) (ML8), top n."""
+def linear_attribution(model: PipelineModel, data: DataFrame, top_n: int = 15, num=NUM_FEATURES) -> DataFrame:
+    """Mean |coef * (x - mean)| per encoded feature of a linear model (exact
+    additive attribution under feature independence) (ML8), the ``top_n`` largest:
+    (feature, mean_abs).
+
+    One row of means and one row of mean deviations, each a plain aggregate over
+    the encoded slots (their number is that of the model's coefficients)."""
     from pyspark.ml.functions import vector_to_array
     coefs = [float(c) for c in model.stages[-1].coefficients]   # one per encoded feature
-    long = (model.transform(data).select(vector_to_array("features").alias("x"))
-            .select(F.posexplode("x").alias("j", "x")))
-    means = long.groupBy("j").agg(F.avg("x").alias("mu"))
-    coef_df = data.sparkSession.createDataFrame(list(enumerate(coefs)), "j int, coef double")
-    contrib = (long.join(F.broadcast(means), "j").join(F.broadcast(coef_df), "j")
-               .groupBy("j").agg(F.avg(F.abs(F.col("coef") * (F.col("x") - F.col("mu")))).alias("mean_abs")))
-    return contrib.orderBy(F.col("mean_abs").desc(), "j").limit(top_n)
+    enc = model.transform(data)
+    names = _slot_names(enc.schema["features"].metadata, len(coefs), list(num))
+    x = enc.select(vector_to_array("features").alias("x"))
+    used = [j for j, c in enumerate(coefs) if c != 0.0]
+    if not used:
+        return data.sparkSession.createDataFrame([], "feature string, mean_abs double")
+    means = x.agg(*[F.avg(F.get("x", F.lit(j))).alias(f"m{j}") for j in used])
+    parts = x.crossJoin(F.broadcast(means)).agg(
+        *[F.avg(F.abs(F.get("x", F.lit(j)) - F.col(f"m{j}"))).alias(f"d{j}") for j in used])
+    rows = F.array(*[F.struct(F.lit(names[j]).alias("feature"), (F.col(f"d{j}") * abs(coefs[j])).alias("mean_abs")) for j in used])
+    return parts.select(F.explode(rows).alias("r")).select("r.*").orderBy(F.col("mean_abs").desc(), "feature").limit(top_n)
+
+
+def _slot_names(metadata: dict, n: int, num: list[str]) -> list[str]:
+    """Names of the encoded slots from the assembler's attributes; the scaled
+    numeric vector numbers its slots in the order of ``num``."""
+    names = [f"slot {j}" for j in range(n)]
+    for group in metadata.get("ml_attr", {}).get("attrs", {}).values():
+        for a in group:
+            name = a.get("name", names[a["idx"]])
+            scaled = name.removeprefix("__num_s_")
+            names[a["idx"]] = num[int(scaled)] if scaled != name and scaled.isdigit() else name
+    return names
 
 
 PRED_DRIFT_NUM = ["base_price", "discount_percent", "units_sold", "month", "weekday"]

@@ -1235,3 +1235,6 @@ def q_bgnbd_clv(spark, sf_dir):
     12-month horizon, with quartile tiers (CU6)."""
     df = fact(spark, sf_dir, ["customer_id", "order_date", "revenue"])
     return LT.bgnbd_clv(df).drop("model_params")
+
+
+from souk.plans import more  # noqa: E402,F401  (registers its queries)
