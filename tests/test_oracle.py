@@ -25,7 +25,8 @@ def _norm(rows):
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem".split():
+    for t in ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+              "conversations").split():
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return c
 
