@@ -1165,9 +1165,11 @@ def q_isolation_forest_by_category(spark, sf_dir):
 
 @register("anomaly_votes_by_category")
 def q_anomaly_votes_by_category(spark, sf_dir):
-    """Detector votes (isolation forest + z-score at 3.5) and confirmed anomalies per category (AN5, AG17)."""
-    v = AN.votes(AN.zscore_flags(_scored_orders(spark, sf_dir), threshold=3.5),
-                 flags=("is_anomaly", "zscore_anomaly"), min_votes=2)
+    """Votes of isolation forest, z-score at 3.5 and DBSCAN noise (eps 0.5, 10 rows); orders confirmed by two per category
+    (AN4, AN5, AG17)."""
+    from souk.operators import density as DE
+    scored = AN.zscore_flags(_scored_orders(spark, sf_dir), threshold=3.5)
+    v = AN.votes(DE.dbscan(scored, [f"rs_{c}" for c in _RS_COLS], labels=False), min_votes=2)
     return AN.anomalies_by(v, "confirmed_anomaly", "category")
 
 

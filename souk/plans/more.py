@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from souk.operators import customers as CU
+from souk.operators import density as DE
 from souk.operators import enrich as EN
 from souk.operators import features as FE
 from souk.operators import ml as ML
@@ -326,6 +327,24 @@ def q_stored_at_risk_alerts(spark, sf_dir):
     return spark.read.schema(AT_RISK_ALERT_SCHEMA).parquet(path).drop("created_at", "run_date")
 
 
+# ---------------------------------------------------------------- AN4
+@register("dbscan_customers", W("""
+SELECT customer_id, core AS dbscan_core, NOT (core OR EXISTS (
+         SELECT 1 FROM near n JOIN flagged o ON o.customer_id = n.b WHERE n.a = f.customer_id AND o.core)) AS dbscan_anomaly
+FROM flagged f""", extra=f"""
+point AS (SELECT customer_id, {R('count(*) / 8.0', 6)} AS x, {R('avg(revenue) / 10000', 6)} AS y, {R('avg(discount_percent)', 6)} AS z
+          FROM feat WHERE customer_id IS NOT NULL GROUP BY customer_id),
+near AS (SELECT p.customer_id AS a, q.customer_id AS b FROM point p JOIN point q
+           ON (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) <= 0.25),
+flagged AS (SELECT a AS customer_id, count(*) >= 10 AS core FROM near GROUP BY a)"""))
+def q_dbscan_customers(spark, sf_dir):
+    """DBSCAN core and noise flags over three features per customer (AN4)."""
+    df = fact(spark, sf_dir, ["customer_id", "revenue", "discount_percent"])
+    point = rounded(df.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
+        (F.count(F.lit(1)) / 8.0).alias("x"), (F.avg("revenue") / 10000).alias("y"), F.avg("discount_percent").alias("z")), 6)
+    return DE.dbscan(point, ["x", "y", "z"], eps=0.5, min_samples=10).select("customer_id", "dbscan_core", "dbscan_anomaly")
+
+
 # ---------------------------------------------------------------- ML4, SO1
 @register("mean_predictor_metrics", W(f"""
 SELECT {R('sqrt(avg((revenue - p) * (revenue - p)))', 6)} AS rmse, {R('avg(abs(revenue - p))', 6)} AS mae,
