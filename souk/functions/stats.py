@@ -13,34 +13,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _betacf(a: float, b: float, x: float, iters: int = 300, eps: float = 1e-15) -> float:
-    # continued fraction for the incomplete beta function (modified Lentz)
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = tiny if abs(d) < tiny else d
-    d = 1.0 / d
-    h = d
-    for m in range(1, iters + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < eps:
-            break
-    return h
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """The continued fraction 1 / (1 + d1 / (1 + d2 / (1 + ...))) of the incomplete
+    beta function (DLMF 8.17.22), evaluated from the far end; the number of terms
+    doubles until the value stands."""
+    def term(k: int) -> float:
+        m = k // 2
+        if k % 2:
+            return -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+
+    last, terms = math.inf, 32
+    while True:
+        value = 1.0
+        for k in range(terms, 0, -1):
+            value = 1.0 + term(k) / value
+        if abs(value - last) <= 4e-16 * abs(value) or terms > 1 << 20:
+            return 1.0 / value
+        last, terms = value, 2 * terms
 
 
 def betainc(a: float, b: float, x: float) -> float:
@@ -53,8 +43,8 @@ def betainc(a: float, b: float, x: float) -> float:
            + a * math.log(x) + b * math.log1p(-x))
     bt = math.exp(lbt)
     if x < (a + 1.0) / (a + b + 2.0):
-        return bt * _betacf(a, b, x) / a
-    return 1.0 - bt * _betacf(b, a, 1.0 - x) / b
+        return bt * _beta_fraction(a, b, x) / a
+    return 1.0 - bt * _beta_fraction(b, a, 1.0 - x) / b
 
 
 def t_two_sided_p(t: float, dof: float) -> float:

@@ -7,12 +7,10 @@ the first to the last purchase day, ``T`` = weeks from the first purchase
 day to the end of the data, ``m`` = mean revenue of the repeat days.
 
 Fitting at scale: customers are compressed to (x, t_x, T[, m]) cells with a
-count.  Each optimiser round proposes a batch of candidate parameter vectors;
-one aggregation scores all of them (``mapInPandas`` computes each partition's
-weighted log-likelihood per candidate, ``groupBy(candidate)`` adds them up),
-so the driver only holds the 4 parameters and one number per candidate.  The
-search is a cross-entropy method in log-parameter space (deterministic seed),
-maximising mean log-likelihood minus ``penalizer * sum(params^2)``.
+count.  Each optimiser pass scores a few parameter vectors in one aggregation
+(``mapInPandas`` computes each partition's weighted log-likelihood per vector,
+``groupBy(candidate)`` adds them up), so the driver only holds the parameters and
+one number per vector.  The search is quasi-Newton with a convergence test.
 """
 
 from __future__ import annotations
@@ -66,42 +64,63 @@ def gamma_gamma_loglik(params, x, m):
 
 
 def _batched_fit(cells: DataFrame, cols: list[str], loglik, n_params: int, penalizer: float,
-                 rounds: int = 25, batch: int = 64, elite: int = 8, seed: int = 42) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    mu = np.zeros(n_params)
-    sigma = np.full(n_params, 1.5)
-    best, best_val = mu.copy(), -np.inf
+                 rounds: int = 100, tol: float = 1e-5) -> np.ndarray:
+    """Parameters that maximise mean log-likelihood - penalizer * sum(params^2).
+
+    Quasi-Newton (BFGS) in log-parameter space from 1.  Each round is two passes
+    over the cells: one scores the points of a central-difference gradient, one a
+    ladder of step lengths.  Ends when the gradient vanishes (``tol``) or no step
+    improves; raises RuntimeError if it is still improving after ``rounds``.
+    Without any cell the start is returned."""
     spark = cells.sparkSession
     total_w = cells.agg(F.sum("w")).first()[0] or 0
+    u = np.zeros(n_params)
     if total_w == 0:
-        return np.exp(mu)
-    for _ in range(rounds):
-        cand = np.vstack([best, mu + sigma * rng.standard_normal((batch - 1, n_params))])
+        return np.exp(u)
+
+    def objective(cand: np.ndarray) -> np.ndarray:
         cb = spark.sparkContext.broadcast(np.exp(cand))
 
         def score(it):
             prm = [col[:, None] for col in cb.value.T]          # (K, 1) each
             for pdf in it:
                 arrs = [pdf[c].to_numpy(float)[None, :] for c in cols]   # (1, n) each
-                w = pdf["w"].to_numpy(float)
                 with np.errstate(all="ignore"):
                     ll = loglik(prm, *arrs)                          # (K, n)
                 ll = np.where(np.isfinite(ll), ll, -1e12)
-                yield pd.DataFrame({"cand": np.arange(len(cb.value)), "ll": ll @ w})
+                yield pd.DataFrame({"cand": np.arange(len(cb.value)), "ll": ll @ pdf["w"].to_numpy(float)})
 
         sums = (cells.select(*cols, "w").mapInPandas(score, "cand long, ll double")
                 .groupBy("cand").agg(F.sum("ll").alias("ll")).toPandas())
         cb.unpersist()
         ll = np.full(len(cand), -np.inf)
         ll[sums["cand"].to_numpy()] = sums["ll"].to_numpy()
-        obj = ll / total_w - penalizer * np.sum(np.exp(cand) ** 2, axis=1)
-        order = np.argsort(-obj)
-        if obj[order[0]] > best_val:
-            best_val, best = obj[order[0]], cand[order[0]].copy()
-        top = cand[order[:elite]]
-        mu = 0.5 * mu + 0.5 * top.mean(axis=0)
-        sigma = np.maximum(0.5 * sigma + 0.5 * top.std(axis=0), 1e-3)
-    return np.exp(best)
+        return ll / total_w - penalizer * np.sum(np.exp(cand) ** 2, axis=1)
+
+    step, eye = 1e-4, np.eye(n_params)
+    inverse, old_u, old_g = eye.copy(), None, None
+    for _ in range(rounds):
+        values = objective(np.vstack([u, u + step * eye, u - step * eye]))
+        g = (values[1:1 + n_params] - values[1 + n_params:]) / (2 * step)
+        if np.max(np.abs(g)) < tol:
+            return np.exp(u)
+        if old_u is not None:
+            s, y = u - old_u, old_g - g                             # of the negated objective
+            if s @ y > 1e-12:
+                left = eye - np.outer(s, y) / (s @ y)
+                inverse = left @ inverse @ left.T + np.outer(s, s) / (s @ y)
+        move = inverse @ g
+        move *= min(1.0, 2.0 / np.linalg.norm(move))
+        ladder = np.array([u + move * 2.0 ** k for k in range(1, -9, -1)])
+        tried = objective(ladder)
+        best = int(np.argmax(tried))
+        if tried[best] <= values[0] + 1e-12:
+            if np.array_equal(inverse, eye):
+                return np.exp(u)                                    # not even the gradient's own direction improves
+            inverse, old_u, old_g = eye.copy(), None, None
+            continue
+        old_u, old_g, u = u, g, ladder[best]
+    raise RuntimeError(f"no convergence within {rounds} rounds (gradient {np.max(np.abs(g)):.2g})")
 
 
 def customer_cells(df: DataFrame) -> DataFrame:
@@ -122,7 +141,7 @@ def customer_cells(df: DataFrame) -> DataFrame:
                        (F.datediff("_end", "_first") / 7.0).alias("T"), "m"))
 
 
-def _hyp2f1(a, b, c, z, terms: int = 5000):
+def _hyp2f1(a, b, c, z, terms: int = 100_000):
     a, b, c, z = (np.asarray(v, float) for v in (a, b, c, z))
     term = np.ones_like(z)
     total = np.ones_like(z)
@@ -130,13 +149,14 @@ def _hyp2f1(a, b, c, z, terms: int = 5000):
         term = term * (a + k) * (b + k) / ((c + k) * (k + 1)) * z
         total = total + term
         if np.all(np.abs(term) < 1e-15 * np.abs(total)):
-            break
-    return total
+            return total
+    raise RuntimeError(f"the series has not converged after {terms} terms")
 
 
 def expected_purchases(params, t, x, tx, T_):
     """BG/NBD conditional expected purchases in the next ``t`` weeks."""
     r, alpha, a, b = params
+    a = a if abs(a - 1) > 1e-6 else 1 + 1e-6        # the formula's limit at a = 1
     x, tx, T_ = (np.asarray(v, float) for v in (x, tx, T_))
     z = t / (alpha + T_ + t)
     hyp = _hyp2f1(r + x, b + x, a + b + x - 1, z)
@@ -146,14 +166,16 @@ def expected_purchases(params, t, x, tx, T_):
 
 
 def bgnbd_clv(df: DataFrame, horizon_months: int = 12, margin: float = 0.20,
-              penalizer: float = 0.001, seed: int = 42) -> DataFrame:
+              penalizer: float = 0.001) -> DataFrame:
     """Model-based CLV per customer (CU6): expected purchases over the horizon
     (BG/NBD) x expected average value (Gamma-Gamma for customers with repeat
     purchases, else their mean) x margin, 2 dp, with quartile tiers."""
     from souk.operators.customers import add_clv_tiers
     from souk.operators.ordered import materialize
 
-    cust = materialize(customer_cells(df))
+    from souk.operators.customers import with_customer_id
+
+    cust = materialize(customer_cells(with_customer_id(df)))
     # the cell tables are read once per optimiser round: materialise them
     cells = materialize(cust.groupBy("x", "t_x", "T").agg(F.count(F.lit(1)).cast("double").alias("w")))
     gg_cells = materialize(cust.where((F.col("x") > 0) & (F.col("m") > 0))
@@ -161,8 +183,8 @@ def bgnbd_clv(df: DataFrame, horizon_months: int = 12, margin: float = 0.20,
     # the two fits are independent: their rounds run as concurrent Spark jobs
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=2) as pool:
-        f_bg = pool.submit(_batched_fit, cells, ["x", "t_x", "T"], bgnbd_loglik, 4, penalizer, seed=seed)
-        f_gg = pool.submit(_batched_fit, gg_cells, ["x", "m"], gamma_gamma_loglik, 3, penalizer, seed=seed + 1)
+        f_bg = pool.submit(_batched_fit, cells, ["x", "t_x", "T"], bgnbd_loglik, 4, penalizer)
+        f_gg = pool.submit(_batched_fit, gg_cells, ["x", "m"], gamma_gamma_loglik, 3, penalizer)
         bg, gg = f_bg.result(), f_gg.result()
     t = horizon_months * WEEKS_PER_MONTH
     bgp, ggp = [float(v) for v in bg], [float(v) for v in gg]
@@ -172,7 +194,8 @@ def bgnbd_clv(df: DataFrame, horizon_months: int = 12, margin: float = 0.20,
         return pd.Series(expected_purchases(bgp, t, x, tx, tt))
 
     p, q, v = ggp
-    avg_value = F.when((F.col("x") > 0) & (F.col("m") > 0),
+    # the expectation exists only for p * x + q > 1; else the own mean counts
+    avg_value = F.when((F.col("x") > 0) & (F.col("m") > 0) & (p * F.col("x") + q > 1),
                        (p * (v + F.col("x") * F.col("m"))) / (p * F.col("x") + q - 1))
     out = cust.select("customer_id", F.col("x").alias("frequency"), F.col("t_x").alias("recency_weeks"),
                       F.col("T").alias("T_weeks"), F.col("m").alias("monetary"),

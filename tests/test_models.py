@@ -147,3 +147,16 @@ def test_bgnbd_fit_reaches_truth_likelihood(spark):
     e1 = LT.expected_purchases(fit, 10.0, arr[:50, 0], arr[:50, 1], arr[:50, 2])
     e2 = LT.expected_purchases(fit, 20.0, arr[:50, 0], arr[:50, 1], arr[:50, 2])
     assert (e1 > 0).all() and (e2 > e1).all()
+
+
+def test_bgnbd_clv_without_a_customer_column(spark):
+    from souk.operators import lifetime as LT
+    rng = np.random.default_rng(5)
+    rows = []
+    for c in range(40):
+        for k in range(int(rng.integers(1, 6))):
+            rows.append(order(len(rows), d(2023, 1 + int(rng.integers(0, 12)), 1 + int(rng.integers(0, 28))),
+                              state=f"S{c % 10}", age=20 + c // 10, base=50.0 + c))
+    out = LT.bgnbd_clv(orders_df(spark, rows)).toPandas()
+    assert len(out) == 40 and out.customer_id.str.count("_").eq(2).all()
+    assert out.clv.notna().all() and (out.clv >= 0).all()
