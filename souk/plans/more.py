@@ -11,6 +11,8 @@ from souk.operators import customers as CU
 from souk.operators import density as DE
 from souk.operators import enrich as EN
 from souk.operators import features as FE
+from souk.operators import insights as IN
+from souk.operators import inventory as IV
 from souk.operators import ml as ML
 from souk.operators import ordered as OR
 from souk.operators import pricing as PR
@@ -20,7 +22,7 @@ from souk.plans.catalog import (_COHORT_SQL, NPR, ORACLE, QUERIES, R, W, _box_sq
 from souk.schema import AT_RISK_ALERT_SCHEMA, PRICE_RECOMMENDATION_SCHEMA, RAW_ORDER_SCHEMA
 from souk.session import ensure_checkpoint_dir
 from souk.sources import landed, orders, sinks
-from souk.sources.star import shared_fact, table
+from souk.sources.star import FACT_SQL, shared_fact, table
 
 
 def _shared(spark, name: str) -> str:
@@ -384,3 +386,41 @@ def q_scored_residuals(spark, sf_dir):
     train, test = _split(spark, sf_dir)
     model = ML.fit(ML.model_input(train), ML.regressors()["Linear Regression"])
     return ML.residuals(model.transform(ML.model_input(test)))
+
+
+# ---------------------------------------------------------------- PR4, IV2, IN4, IN5 on demand that reaches every branch
+# The given tables hold no price response, discounts up to 10 % and one pressure
+# level, so the default queries reach few branches.  Here units follow price and
+# discount by category, discounts are eight times as high and pressure depends on
+# the zone; the thresholds are the operators' own.
+_SHAPE = {
+    "discount_percent": "CASE WHEN zone = 'EUROPE' THEN discount_percent * 12 ELSE discount_percent * 8 END",
+    "inventory_pressure": "CASE WHEN zone IN ('AFRICA', 'EUROPE') OR (zone = 'ASIA' AND discount_percent >= 5) THEN 'High' ELSE 'Low' END",
+    "units_sold": "CAST(floor(CASE length(category) % 3 WHEN 0 THEN 1000000000 / (final_price * final_price) + discount_percent * 20 "
+                  "WHEN 1 THEN 30000 / sqrt(final_price) ELSE final_price / 2 + discount_percent * 900 END * CASE zone WHEN 'AFRICA' THEN 3 WHEN 'ASIA' THEN 2.5 "
+                  "WHEN 'AMERICA' THEN 0.4 ELSE 1 END) AS INT)",
+}
+
+
+def _shaped_sql(sql: str) -> str:
+    shaped = ", ".join(f"{e} AS {c}" for c, e in _SHAPE.items())
+    return sql.replace(FACT_SQL, FACT_SQL.replace("fact AS (", "plain AS (", 1) + f",\nfact AS (SELECT * REPLACE ({shaped}) FROM plain)")
+
+
+def _shaped(spark, sf_dir):
+    return FE.engineer(shared_fact(spark, sf_dir).withColumns({c: F.expr(e) for c, e in _SHAPE.items()}))
+
+
+def _on_shaped(name: str, run):
+    @register(f"{name}_shaped", _shaped_sql(ORACLE[name]))
+    def q(spark, sf_dir):
+        return run(_shaped(spark, sf_dir))
+    q.__doc__ = f"``{name}`` on demand shaped so that every branch is reached."
+
+
+_on_shaped("price_recommendations", lambda df: rounded(PR.price_recommendations(df), 1, {"elasticity": 4}))
+_on_shaped("inventory_alerts", lambda df: rounded(IV.alerts(df), 6, {"velocity_score": 1}))
+_on_shaped("urgent_groups", lambda df: rounded(IV.urgent_groups(IV.alerts(df)).select(
+    "category", "zone", "alert_level", "velocity_score", "group"), 1))
+_on_shaped("elastic_categories", lambda df: rounded(IN.elastic_categories(df), 6, {"base_price_total": 2}))
+_on_shaped("recommendations", IN.recommendations)
