@@ -62,12 +62,14 @@ def export_json(df: DataFrame, path: str) -> None:
 
 
 def export_report(path: str, kpis: DataFrame, insights: DataFrame, recommendations: DataFrame,
-                  data: DataFrame, monthly: DataFrame) -> None:
+                  data: DataFrame, monthly: DataFrame, data_cap: int | None = None) -> None:
     """SK5: one report folder with five tables (Parquet): KPI row, insight
-    texts, recommendations, all data rows and the monthly table."""
+    texts, recommendations, all data rows and the monthly table.  Only a caller
+    whose report format has a row limit passes ``data_cap``."""
     base = path.rstrip("/")
     kpis.write.mode("overwrite").parquet(f"{base}/kpis")
     insights.write.mode("overwrite").parquet(f"{base}/insights")
     recommendations.write.mode("overwrite").parquet(f"{base}/recommendations")
+    data = data if data_cap is None else data.limit(data_cap)
     data.write.mode("overwrite").parquet(f"{base}/data")
     monthly.write.mode("overwrite").parquet(f"{base}/monthly")
