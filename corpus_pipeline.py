@@ -58,8 +58,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens, text): token ids and the text that they decode to."""
     configure(spark)
-    encoded = bpe.encode(docs, byte_bpe()).withColumn("n_tokens", F.size("ids").cast("long"))
-    return bpe.decode(encoded, byte_bpe()).select("doc_id", "ids", "n_tokens", "text")
+    encoded = bpe.encode(docs, byte_bpe(), decoded=True)
+    return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "text")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -139,7 +139,7 @@ def byte_bpe() -> str:
 
 @_query("op7_bpe_round_trip")
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), byte_bpe()), byte_bpe())
+    decoded = bpe.encode(table(spark, sf_dir, "documents"), byte_bpe(), decoded=True)
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

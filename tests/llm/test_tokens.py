@@ -42,6 +42,14 @@ def test_bpe_query_against_the_library(spark, sf, docs):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, exp))
 
 
+def test_decoding_apart_from_encoding(spark, docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i, t) for i, t in enumerate(texts()) if i % 7 == 0] + [(9_999, None)]
+    apart = bpe.decode(bpe.encode(docs(rows), path), path)
+    assert apart.columns == ["doc_id", "ids", "text"]
+    assert {r["doc_id"]: r["text"] for r in apart.collect()} == {i: t or "" for i, t in rows}
+
+
 def test_failing_words_are_merged_exactly():
     b = bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
     r = random.Random(2)
