@@ -354,8 +354,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, id_col: str = "d
             yield group()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("text"))
-    rows = rows.repartitionByRange("id", "key").sortWithinPartitions("id", "key").select("id", "text")
+    # text hash and row number let the rows of one id, equal ones too, go to several files
+    rows = rows.withColumns({"key": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange("id", "key", "row").sortWithinPartitions("id", "key", "row").select("id", "text")
     rows.mapInArrow(run, GROUP).write.parquet(path)
 
 

@@ -51,8 +51,10 @@ def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
     back is on the payload's hash, whose skew AQE splits."""
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     pages = pages.withColumn("n", F.octet_length("payload").cast("long"))
-    pages = pages.withColumn("same", F.when(F.col("n") >= least, F.sha2("payload", 256)))
-    first = pages.where(F.col("same").isNotNull()).groupBy("same").agg(
+    # small payloads match nothing: a key of their own spreads them
+    alone = F.concat(F.lit("page "), F.coalesce(F.col("page_id"), F.xxhash64("url")))
+    pages = pages.withColumn("same", F.when(F.col("n") >= least, F.sha2("payload", 256)).otherwise(alone))
+    first = pages.where(F.col("n") >= least).groupBy("same").agg(
         F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     revisit = F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
     return pages.join(first, "same", "left").select(
@@ -212,9 +214,12 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def archive_files(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """(archive, content) of normalised files; kind: warc or index."""
-    schema = "path string, modificationTime timestamp, length long, content binary, archive string, kind string"
-    return spark.read.schema(schema).format("binaryFile").load(path).where(F.col("kind") == kind) \
-        .select("archive", "content")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folders = jvm.org.apache.hadoop.fs.Path(f"{path}/archive=*/kind={kind}")
+    if not folders.getFileSystem(conf).globStatus(folders):
+        return spark.createDataFrame([], "archive string, content binary")
+    files = spark.read.format("binaryFile").option("basePath", path).load(folders.toString())
+    return files.select(F.col("archive").cast("string").alias("archive"), "content")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
