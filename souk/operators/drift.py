@@ -35,12 +35,16 @@ def window_bounds(df: DataFrame, reference_months: int = 6, current_months: int
 
 
 def tag_windows(df: DataFrame, reference_months: int = 6, current_months: int = 3) -> DataFrame:
-    """Rows of the two windows with ``side`` = 'ref' | 'cur' (others dropped)."""
+    """Rows of the two windows with ``side`` = 'ref' | 'cur' (others dropped).
+
+    The two bounds (one row) are fetched first, so that the window is a filter by
+    literals, which reaches the Parquet scan and skips row groups."""
     b = window_bounds(df, reference_months, current_months)
+    found = b.select(F.col("cut").cast("string"), F.col("start").cast("string")).first()
+    kind = df.schema["order_date"].dataType
+    cut, start = (F.lit(found[c]).cast(kind) for c in ("cut", "start"))       # null without any date: no rows
     d = F.col("order_date")
-    side = (F.when((d >= F.col("start")) & (d < F.col("cut")), "ref")
-             .when(d >= F.col("cut"), "cur"))
-    return df.crossJoin(F.broadcast(b)).withColumn("side", side).where(F.col("side").isNotNull())
+    return df.where(d >= start).withColumns({"cut": cut, "start": start, "side": F.when(d >= cut, "cur").otherwise("ref")})
 
 
 def kolmogorov_p(lam) -> F.Column:

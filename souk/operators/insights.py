@@ -221,4 +221,4 @@ def attention_counts(at_risk_scored: DataFrame, alerts: DataFrame, drift: DataFr
                    .alias("urgent_inventory_groups"))
     c = drift.agg(F.coalesce(F.sum(F.col("drift_detected").cast("int")), F.lit(0)).cast("long")
                   .alias("drifted_features"))
-    return a.crossJoin(b).crossJoin(c)
+    return a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))       # one row each

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from souk.functions import np_round
 
+# fixed values: the model's input columns
 CAT_FEATURES = ["state", "zone", "category", "brand_type", "customer_gender",
                 "sales_event", "competition_intensity", "inventory_pressure"]
 NUM_FEATURES = ["customer_age", "base_price", "discount_percent", "year", "month", "weekday"]

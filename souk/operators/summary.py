@@ -267,10 +267,10 @@ def violin_density(df: DataFrame, group: str, value: str, grid: int = 100, bins:
     w = (F.col("_hi") - F.col("_lo")) / bins
     b = F.least(F.floor(F.try_divide(F.col("_x") - F.col("_lo"), F.nullif(w, F.lit(0.0)))),
                 F.lit(bins - 1))
-    binned = (base.join(F.broadcast(st), group)
+    binned = (base.join(st, group)
                   .groupBy(group, F.coalesce(b, F.lit(0)).alias("_b"))
                   .agg(F.count(F.lit(1)).alias("_c")))
-    centres = (binned.join(F.broadcast(st), group)
+    centres = (binned.join(st, group)
                      .withColumn("_m", F.col("_lo") + (F.col("_b") + 0.5) * w))
     pts = st.select(group, "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("_g"))
     pts = pts.select(group, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_g") / (grid - 1)).alias("x"))

@@ -1,4 +1,7 @@
-"""Explicit schemas of the order fact and of the persisted result tables."""
+"""Explicit schemas of the order fact and of the persisted result tables.
+
+Fixed values: column names, order and types are those of the files and tables.
+"""
 
 from pyspark.sql import types as T
 

@@ -39,3 +39,10 @@ def test_grouping_sets_single_pass(spark):
                                  "discount_percent"])
     plan = _plan(SU.dimension_means(df))
     assert plan.count("FileScan parquet") == 1 and "Expand" in plan
+
+
+def test_drift_window_reaches_the_scan(spark):
+    from souk.operators.drift import tag_windows
+    plan = _plan(tag_windows(shared_fact(spark, SF, ["order_date", "revenue"])))
+    pushed = plan.split("PushedFilters:")[1].split("\n")[0]
+    assert "GreaterThanOrEqual(order_date" in pushed and "NestedLoop" not in plan
