@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers.pre_tokenizers import ByteLevel
 
-CACHE_CHUNKS = 300_000
+from souk.llm.common import give_back, small_batches
+
+CACHE_CHUNKS = 150_000
 ROWS = 512              # rows of a batch that are encoded at a time
 SHORT = 32              # bytes of a word that is merged together with others
 TOGETHER = 50_000       # such words at a time
@@ -326,6 +328,7 @@ def load(path: str) -> Bpe:
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """(id, ids) of every row; ids: array<int>.  ``decoded`` adds the text that the
     ids decode to, in the same pass (one Python worker a task instead of two)."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,6 +341,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
                 texts = [pa.array([decode_ids(np.frombuffer(x, np.int32), tokens) for x in found], pa.string())] if decoded else []
                 yield pa.RecordBatch.from_arrays([b.column(0), ids, *texts], names=["id", "ids", "text"][:2 + decoded])
+        bpe.cache.clear()
+        give_back()
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, f"id {kind.simpleString()}, ids array<int>" + ", text string" * decoded)
@@ -346,6 +351,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """``encoded`` with the decoded text added (in place of a column of that name)."""
+    small_batches(encoded.sparkSession)
     plain = encoded.drop(text_col)
     at = plain.columns.index(ids_col)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import string
 import uuid
 
@@ -27,6 +29,21 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get texts in batches of bounded size; by default a batch is
+    10,000 rows, however long they are.  Holds for the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: idle Python workers
+    live on for a while beside those of the next stage."""
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):     # glibc
+        trim(0)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)

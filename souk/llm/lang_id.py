@@ -10,8 +10,9 @@ up by vectorised gathers; the hits per language, less the false positives that
 the language's fill predicts, decide.
 
 Bounds: ``SAMPLE_ROWS`` rows per language (in expectation, by a hash of id and
-text) train; at most 1 / MIN_SHARE n-grams per language and length survive, so
-the filter's size is bounded for any corpus.  Up to 64 languages.
+text) train; at most 1 / MIN_SHARE n-grams per language and length survive, and
+the filter is sized for the language with most of them: at most 2^22 slots of 64
+bits for any corpus and number of languages.  Up to 64 languages.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so
 is every text if nothing was learned; equal evidence goes to the language with
@@ -30,6 +31,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from souk.llm.common import give_back, small_batches
+
 SAMPLE_ROWS = 4_000
 MIN_SHARE = 2e-5
 MIN_RATIO = 0.25
@@ -68,15 +71,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def grams(cp: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the n-grams of the padded code points, those of one space left out."""
-    if len(cp) < n:
-        return np.zeros(0, np.uint64)
-    h = np.full(len(cp) - n + 1, n, np.uint64)
+def grams(cp: np.ndarray, starts: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, hashes) of the n-grams of the padded code points that start before
+    ``starts`` (default: all), those of one space left out.  An n-gram's hash
+    continues that of its first n - 1 letters."""
+    starts = len(cp) if starts is None else starts
+    h = np.zeros(len(cp), np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(n):
-            h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + cp[i:len(cp) - n + 1 + i])
-    return h if n > 1 else h[cp != 32]
+        for n in range(1, max(LENGTHS) + 1):
+            if len(cp) < n:
+                break
+            h = _mix(h[:len(cp) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + cp[n - 1:] + np.uint64(1))
+            if n in LENGTHS:
+                yield n, h[:starts][cp[:starts] != 32] if n == 1 else h[:starts]
+
+
+def _counted(masks: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Masks that occur, and how often."""
+    if languages > 12:
+        return np.unique(masks, return_counts=True)
+    return np.arange(1 << languages, dtype=np.uint64), np.bincount(masks.astype(np.int64), minlength=1 << languages)
 
 
 @dataclass
@@ -101,9 +115,8 @@ class Model:
         hits, total = np.zeros(len(self.languages)), 0
         with np.errstate(over="ignore"):
             for lo in range(0, len(cp), CHUNK):
-                for n in LENGTHS:
-                    h = grams(cp[lo:lo + CHUNK + n - 1], n)
-                    masks, times = np.unique(self.masks(h), return_counts=True)
+                for _, h in grams(cp[lo:lo + CHUNK + max(LENGTHS) - 1], CHUNK):
+                    masks, times = _counted(self.masks(h), len(hits))
                     total += len(h)
                     for i in range(len(hits)):
                         hits[i] += times[(masks >> np.uint64(i)) & np.uint64(1) == 1].sum()
@@ -120,6 +133,7 @@ def train_rows(id_col: Column) -> Column:
 def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Model from the labelled rows of ``docs`` (the caller leaves held-out rows out)."""
+    small_batches(spark)
     rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("lang"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -133,10 +147,15 @@ def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lang, texts in b.groupby("lang")["text"]:
-                for n in LENGTHS:
-                    with np.errstate(over="ignore"):
-                        h, times = np.unique(np.concatenate([grams(letters(t), n) for t in texts]), return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "len": n, "gram": h.view(np.int64), "times": times})
+                of: dict[int, list[np.ndarray]] = {n: [] for n in LENGTHS}
+                for t in texts:
+                    for n, h in grams(letters(t)):
+                        of[n].append(h)
+                for n, found in of.items():
+                    if found:
+                        h, times = np.unique(np.concatenate(found), return_counts=True)
+                        yield pd.DataFrame({"lang": lang, "len": n, "gram": h.view(np.int64), "times": times})
+        give_back()
 
     counts = sample.select("lang", "text").mapInPandas(count, "lang string, len int, gram long, times long")
     counts = counts.groupBy("lang", "len", "gram").agg(F.sum("times").alias("times"))
@@ -149,7 +168,9 @@ def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
 
 
 def _model(languages: list[str], kept: pd.DataFrame) -> Model:
-    size = 1 << max(10, math.ceil(math.log2(max(1, len(kept)) * BITS_PER_GRAM)))
+    # a language fills only its own bit of the slots, so the largest one sets the size
+    most = int(kept["lang"].value_counts().max()) if len(kept) else 1
+    size = 1 << max(10, math.ceil(math.log2(most * BITS_PER_GRAM)))
     model = Model(languages, np.zeros(size, np.uint64), np.zeros(len(languages)))
     m = np.uint64(size - 1)
     with np.errstate(over="ignore"):
@@ -166,6 +187,7 @@ def _model(languages: list[str], kept: pd.DataFrame) -> Model:
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row of ``docs``."""
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,12 +202,15 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def judged(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score added (columns of those names are replaced)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def verdict(texts: pd.Series) -> pd.DataFrame:
-        found = [shared.value.judge(t) for t in texts]
-        return pd.DataFrame({"lang_pred": [x for x, _ in found], "score": [y for _, y in found]})
+    def verdict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = [shared.value.judge(t) for t in texts]
+            yield pd.DataFrame({"lang_pred": [x for x, _ in found], "score": [y for _, y in found]})
+        give_back()
 
     out = docs.withColumn("_v", verdict(F.col(text_col)))
     return out.withColumn("lang_pred", F.col("_v.lang_pred")).withColumn("score", F.col("_v.score")).drop("_v")

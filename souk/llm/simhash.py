@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm.common import materialize
+from souk.llm.common import give_back, materialize, small_batches
 
 TILE = 8_192
 NEIGHBOURS = 65_536
@@ -62,10 +62,13 @@ def row_key(doc_id, text) -> F.Column:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, fp): fp is the fingerprint's 64 bits as a signed long."""
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"id": b["id"].astype("Int64"), "key": b["key"], "fp": fp})
+        give_back()
     return docs.select(F.col(id_col).cast("long").alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"),
                        F.col(text_col).alias("text")).mapInPandas(run, "id long, key long, fp long")
 
