@@ -36,10 +36,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm.common import shared_path
+from souk.llm.common import shared_path, small_batches
 
 BLOCK = 2_048
-LANES = 2_048
+LANES = 4_096
 GROUP_IDS = 6_000_000
 CACHE_CHUNKS = 500_000
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -54,72 +54,75 @@ _CSTEP, _CFULL = 24, 4_000           # counts of bit lengths
 
 
 class _Lanes:
-    """Statistics and coder state of blocks that are coded in step."""
+    """Statistics and coder state of blocks that are coded in step.
+
+    A table entry is an id and, in its low three bits, how sure it is."""
 
     def __init__(self, n: int):
         self.lane = np.arange(n)
-        self.id1, self.sure1 = np.zeros(n << _HASH[0], np.uint32), np.zeros(n << _HASH[0], np.uint8)
-        self.id2, self.sure2 = np.zeros(n << _HASH[1], np.uint32), np.zeros(n << _HASH[1], np.uint8)
+        self.table1, self.table2 = np.zeros(n << _HASH[0], np.uint32), np.zeros(n << _HASH[1], np.uint32)
         self.lead, self.votes = np.zeros(n, np.uint32), np.zeros(n, np.int32)
-        self.near = np.ones((16, 4, n), np.uint64)       # by confidence of both tables
-        self.plain = np.ones((4, n), np.uint64)
-        self.weight = np.full(n, 4, np.int64)
-        self.length = np.ones((_CLASSES, n), np.uint64)
-        self.total = np.full(n, _CLASSES, np.uint64)
-        self.prev = np.zeros((2, n), np.uint64)
+        self.near = np.ones((n * 16, 4), np.uint32)      # by lane and confidence of both tables
+        self.plain = np.ones((n, 4), np.uint32)
+        self.weight = np.full(n, 4, np.uint32)
+        self.length = np.ones((_CLASSES, n), np.uint32)
+        self.total = np.full(n, _CLASSES, np.uint32)
+        self.prev, self.prev2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, 2 ** 64 - 1, np.uint64)
 
     def keep(self, n: int) -> None:
         """Goes on with the first n lanes."""
-        self.lane = self.lane[:n]
-        self.lead, self.votes, self.weight, self.total = self.lead[:n], self.votes[:n], self.weight[:n], self.total[:n]
-        self.near, self.plain, self.length = self.near[:, :, :n].copy(), self.plain[:, :n].copy(), self.length[:, :n].copy()
-        self.prev, self.low, self.range = self.prev[:, :n].copy(), self.low[:n], self.range[:n]
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Predicted ids (3, n), counts (4, n) of which holds, and their sum."""
-        a, b = self.prev
-        self.at1 = (self.lane << _HASH[0]) + ((a * _U(0x9E3779B1) & _U(0xFFFFFFFF)) >> _U(32 - _HASH[0])).astype(np.int64)
-        mixed = (a * _U(0x9E3779B1) + b * _U(0x85EBCA77)) & _U(0xFFFFFFFF)
-        self.at2 = (self.lane << _HASH[1]) + ((mixed ^ (mixed >> _U(15))) * _U(0xC2B2AE3D) % _U(1 << 32)
-                                              >> _U(32 - _HASH[1])).astype(np.int64)
-        self.s1, self.s2 = self.sure1[self.at1], self.sure2[self.at2]
-        ids = np.stack((self.id2[self.at2], self.id1[self.at1], self.lead))
-        self.context = np.minimum(self.s2, 3).astype(np.int64) * 4 + np.minimum(self.s1, 3)
-        self.by_context = self.near[self.context, :, self.lane].T
-        w = self.weight.astype(np.uint64)
-        counts = w * self.by_context + (_U(8) - w) * self.plain
-        return ids, counts, counts.sum(axis=0)
-
-    def learn(self, ids: np.ndarray, guess: np.ndarray, which: np.ndarray) -> None:
-        lane = self.lane
-        ctx, pln = self.by_context[which, lane], self.plain[which, lane]
-        ctx_all, pln_all = self.by_context.sum(axis=0), self.plain.sum(axis=0)
-        better = (ctx * pln_all).astype(np.int64) - (pln * ctx_all).astype(np.int64)
-        self.weight = np.clip(self.weight + np.sign(better), 1, 7)
-        self.near[self.context, which, lane] += _U(_STEP)
-        self.plain[which, lane] += _U(_STEP)
-        if len(full := np.flatnonzero(ctx_all + _U(_STEP) > _FULL)):
-            at = self.near[self.context[full], :, full]
-            self.near[self.context[full], :, full] = at - (at >> _U(1))
-        if len(full := np.flatnonzero(pln_all + _U(_STEP) > _FULL)):
-            self.plain[:, full] -= self.plain[:, full] >> _U(1)
-        for table, sure, at, s, g in ((self.id2, self.sure2, self.at2, self.s2, guess[0]),
-                                      (self.id1, self.sure1, self.at1, self.s1, guess[1])):
-            right = g == ids
-            new = ~right & (s <= 1)
-            table[at] = np.where(new, ids, g)
-            sure[at] = np.where(right, np.minimum(s + 1, 7), np.where(new, 1, s >> 1))
-        same, none = self.lead == ids, self.votes == 0
-        self.votes += np.where(same | none, 1, -1).astype(np.int32)
+        for name in ("lane", "lead", "votes", "plain", "weight", "total", "prev", "prev2", "low", "range"):
+            setattr(self, name, getattr(self, name)[:n].copy())
+        self.near, self.length = self.near[:16 * n], self.length[:, :n].copy()
+
+    def predict(self) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+        """Predicted ids by falling order, running sums (n, 5) of the counts of which holds."""
+        a = self.prev * np.uint32(0x9E3779B1)
+        self.at1 = (self.lane << _HASH[0]) + (a >> np.uint32(32 - _HASH[0]))
+        a = a + self.prev2 * np.uint32(0x85EBCA77)
+        a = (a ^ (a >> np.uint32(15))) * np.uint32(0xC2B2AE3D)
+        self.at2 = (self.lane << _HASH[1]) + (a >> np.uint32(32 - _HASH[1]))
+        self.e1, self.e2 = self.table1[self.at1], self.table2[self.at2]
+        ids = (self.e2 >> np.uint32(3), self.e1 >> np.uint32(3), self.lead)
+        sure1, sure2 = np.minimum(self.e1 & np.uint32(7), 3), np.minimum(self.e2 & np.uint32(7), 3)
+        self.context = (self.lane << 4) + (sure2 * np.uint32(4) + sure1)
+        self.by_context = self.near[self.context]
+        w = self.weight[:, None]
+        sums = np.zeros((len(w), 5), np.uint32)
+        np.cumsum(w * self.by_context + (np.uint32(8) - w) * self.plain, axis=1, out=sums[:, 1:])
+        return ids, sums, sums[:, 4]
+
+    def learn(self, ids: np.ndarray, guess: tuple[np.ndarray, ...], which: np.ndarray) -> None:
+        flat, row = (self.lane << 2) + which, (self.context << 2) + which
+        ctx, pln = self.by_context.ravel()[flat], self.plain.ravel()[flat]
+        ctx_all, pln_all = self.by_context.sum(axis=1, dtype=np.uint32), self.plain.sum(axis=1, dtype=np.uint32)
+        a, b = ctx * pln_all, pln * ctx_all
+        self.weight = np.clip(self.weight + (a > b) - (a < b), 1, 7).astype(np.uint32)
+        self.near.ravel()[row] = ctx + np.uint32(_STEP)
+        self.plain.ravel()[flat] = pln + np.uint32(_STEP)
+        if len(full := np.flatnonzero(ctx_all > _FULL - _STEP)):
+            at = self.near[self.context[full]]
+            self.near[self.context[full]] = at - (at >> np.uint32(1))
+        if len(full := np.flatnonzero(pln_all > _FULL - _STEP)):
+            at = self.plain[full]
+            self.plain[full] = at - (at >> np.uint32(1))
+        one = np.uint32(1)
+        fresh = (ids << np.uint32(3)) | one
+        for table, at, e, g in ((self.table2, self.at2, self.e2, guess[0]), (self.table1, self.at1, self.e1, guess[1])):
+            sure = e & np.uint32(7)
+            # right: surer by one; wrong: half as sure, or replaced
+            table[at] = np.where(g == ids, e + (sure < 7), np.where(sure <= 1, fresh, e - sure + (sure >> one)))
+        none = self.votes == 0
+        self.votes += np.where((self.lead == ids) | none, 1, -1).astype(np.int32)
         self.lead = np.where(none, ids, self.lead)
-        self.prev = np.stack((ids.astype(np.uint64), self.prev[0]))
+        self.prev2, self.prev = self.prev, ids
 
     def learn_lengths(self, at: np.ndarray, cls: np.ndarray) -> None:
-        self.length[cls, at] += _U(_CSTEP)
-        self.total[at] += _U(_CSTEP)
+        self.length[cls, at] += np.uint32(_CSTEP)
+        self.total[at] += np.uint32(_CSTEP)
         if len(full := at[self.total[at] > _CFULL]):
-            self.length[:, full] -= self.length[:, full] >> _U(1)
+            self.length[:, full] -= self.length[:, full] >> np.uint32(1)
             self.total[full] = self.length[:, full].sum(axis=0)
 
     def narrow(self, at, start, size, total) -> None:
@@ -173,10 +176,10 @@ def _encode_lanes(ids: np.ndarray, block: int) -> list[tuple[int, int, bytes]]:
             tails[n - 1] = m.low[n - 1]
             m.keep(n - 1)
         x = steps[t, :len(m.lane)]
-        guess, counts, total = m.predict()
+        guess, sums, total = m.predict()
         which = np.where(guess[0] == x, 0, np.where(guess[1] == x, 1, np.where(guess[2] == x, 2, 3)))
-        below = np.cumsum(counts, axis=0) - counts
-        m.narrow(slice(None), below[which, m.lane], counts[which, m.lane], total)
+        start = sums[m.lane, which]
+        m.narrow(slice(None), start, sums[m.lane, which + 1] - start, total)
         if len(at := np.flatnonzero(which == 3)):
             cls = _bit_length(x[at])
             lens = m.length[:, at]
@@ -232,13 +235,12 @@ def _decode_lanes(blocks: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
         if live < len(m.lane):
             m.keep(live)
             code, used = code[:live].copy(), used[:live].copy()
-        guess, counts, total = m.predict()
-        upto = np.cumsum(counts, axis=0)
-        v = np.minimum((code - m.low) // (m.range // total), total - _U(1))
-        which = (upto <= v).sum(axis=0)
-        size = counts[which, m.lane]
-        m.narrow(slice(None), upto[which, m.lane] - size, size, total)
-        x = guess[np.minimum(which, 2), m.lane]
+        guess, sums, total = m.predict()
+        v = np.minimum((code - m.low) // (m.range // total), total - np.uint32(1))
+        which = (sums[:, 1:4] <= v[:, None]).sum(axis=1)
+        start = sums[m.lane, which]
+        m.narrow(slice(None), start, sums[m.lane, which + 1] - start, total)
+        x = np.where(which == 0, guess[0], np.where(which == 1, guess[1], guess[2]))
         if len(at := np.flatnonzero(which == 3)):
             lens = m.length[:, at]
             upto = np.cumsum(lens, axis=0)
@@ -285,14 +287,28 @@ class Tokenizer:
         self.library = Library.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.ends_word = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
+        self.ends_word[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _learn(self, known: dict[str, bytes], new: list[str]) -> None:
-        for lo in range(0, len(new), 50_000):
-            part = new[lo:lo + 50_000]
-            for c, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                known[c] = np.array(e.ids, np.uint32).tobytes()
+        for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
+            known[c] = np.array(e.ids, np.uint32).tobytes()
+
+    def _learn_words(self, new: list[str], together: int = 2_000) -> None:
+        """ASCII words, many to a text; each word's last token, and no other, ends a word."""
+        parts = [new[lo:lo + together] for lo in range(0, len(new), together)]
+        texts = [" ".join(p) for p in parts]
+        for words, e in zip(parts, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(ends) != len(words) or 4 * len(ids) != ends[-1]:
+                self._learn(self.words, words)
+                continue
+            raw = ids.tobytes()
+            self.words.update((w, raw[a:b]) for w, a, b in zip(words, [0, *ends], ends))
 
     def encode(self, texts: Iterable[str | None], end: int) -> Iterator[bytes]:
         """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""
@@ -306,7 +322,7 @@ class Tokenizer:
         wanted = set().union(*plain.values())
         if len(self.words) > CACHE_CHUNKS:
             self.words.clear()
-        self._learn(self.words, list(wanted - self.words.keys()))
+        self._learn_words(list(wanted - self.words.keys()))
         for c, words in plain.items():
             self.chunks[c] = b"".join([self.words[w] for w in words])
         self._learn(self.chunks, [c for c in new if c not in plain])
@@ -328,6 +344,8 @@ GROUP = "file int, first long, doc_ids array<long>, lengths array<long>, sizes a
 
 def write(docs: DataFrame, path: str, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Token files of ``docs`` in ascending order of id below ``path``."""
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, file, first = load(tokenizer), TaskContext.get().partitionId(), 0
         ids, docs, n = [], [], 0
