@@ -2,15 +2,18 @@
 
 ``build_index`` stores the training table's postings (document, position, term)
 for the terms of the benchmark; one closing posting per row holds its word
-count.  ``search`` ranks every window's terms by their number of postings,
-offset-adjusts the lists of the two rarest terms of each window (position minus
-offset in the item) and intersects them; alignments in which they agree are
-intersected with the lists of all other item terms.  Runs of agreeing offsets as
-long as a window are exact phrase matches; windows in which at least ``near``
-words agree are proximity matches (among the alignments of two rare terms).
+count.  A posting that begins a run of ``run_length`` words of some item carries
+the run's hash.  ``alignments`` offset-adjusts the runs' postings (position minus
+offset in the item) and keeps the alignments in which two runs meet: a window with
+8 agreeing words of 10 holds at least 10 - 3 + 1 - 2 * 3 = 2 whole runs of three
+(q-gram lemma), whichever words differ, so none is missed.  Items shorter than a
+run go by the lists of their terms.  The alignments are intersected with the
+lists of all item terms.  Runs of agreeing offsets as long as a window are exact
+phrase matches; windows in which at least ``near`` words agree are proximity
+matches.
 
 Scale: postings stay in document order and are never shuffled while the
-alignments of rare terms fit a checked broadcast; else both are shuffled by
+alignments fit a checked broadcast; else both are shuffled by
 document and position block.  A frequent term's postings are only scanned, its
 lists never gathered; a hot document costs as many rows as it has words.
 
@@ -38,61 +41,71 @@ def words(text) -> F.Column:
     return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def item_terms(spark: SparkSession, benchmark: DataFrame, id_col: str = "item_id",
-               text_col: str = "text") -> tuple[DataFrame, int]:
-    """(item, item_id, len, off, word, term) of every item word, and the number of rows."""
+def run_length(window: int = WINDOW, near: int = NEAR) -> int:
+    """Words in a row that agree in every window of which ``near`` words do."""
+    return min(window, -(-near // (max(0, window - near) + 1)))
+
+
+def _run(w: F.Column, at: F.Column, n: int) -> F.Column:
+    """Hash of the n words of ``w`` from ``at`` on, null where fewer are left."""
+    return F.when(at + n <= F.size(w), F.xxhash64(*[F.get(w, at + i) for i in range(n)]))
+
+
+def item_terms(spark: SparkSession, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
+               run: int = run_length()) -> tuple[DataFrame, int]:
+    """(item, item_id, len, off, word, term, run) of every item word, and the number of rows."""
     items = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("w"))
     items = items.where(F.size("w") > 0).distinct().select(
-        F.xxhash64("item_id", "w").alias("item"), "item_id", F.size("w").alias("len"), F.posexplode("w").alias("off", "word"))
-    items = items.withColumn("term", F.xxhash64("word"))
+        F.xxhash64("item_id", "w").alias("item"), "item_id", F.size("w").alias("len"), "w", F.posexplode("w").alias("off", "word"))
+    items = items.withColumn("term", F.xxhash64("word")).withColumn("run", _run(F.col("w"), F.col("off"), run)).drop("w")
     items = materialize(spark, items, "decon-items")
     return items, items.count()
 
 
 def build_index(spark: SparkSession, docs: DataFrame, items: DataFrame, n_items: int,
-                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (doc, key, pos, term) of all rows of ``docs``; (doc, key) names a text."""
+                id_col: str = "doc_id", text_col: str = "text", run: int = run_length()) -> DataFrame:
+    """Postings (doc, key, pos, term, run) of all rows of ``docs``; (doc, key) names a text."""
     vocabulary = materialize(spark, items.select("word", "term").distinct()
                              .union(spark.createDataFrame([("", CLOSING)], "word string, term long")), "decon-terms")
+    runs = materialize(spark, items.where(F.col("run").isNotNull()).select(F.col("run").alias("at"), "run").distinct(), "decon-runs")
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(id_col, text_col).alias("key"),
-                       F.posexplode(F.concat(words(F.col(text_col)), F.array(F.lit("")))).alias("pos", "word"))
-    postings = rows.join(small(vocabulary, n_items), "word").select("doc", "key", "pos", "term")
+                       F.explode(F.array(F.concat(words(F.col(text_col)), F.array(F.lit(""))))).alias("w"))    # a plain column
+    rows = rows.select("doc", "key", "w", F.posexplode("w").alias("pos", "word"))
+    postings = rows.join(small(vocabulary, n_items), "word").select("doc", "key", "pos", "term", _run(F.col("w"), F.col("pos"), run).alias("at"))
+    postings = postings.join(small(runs, n_items), "at", "left").select("doc", "key", "pos", "term", "run")
     return materialize(spark, postings, "decon-postings")
 
 
-def rarest(items: DataFrame, n_items: int, postings: DataFrame, window: int = WINDOW, terms: int = 2) -> DataFrame:
-    """(item, off, term): the ``terms`` rarest terms of every window of every item."""
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    ranked = items.join(df, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    size = F.least("len", F.lit(window))
-    starts = F.sequence(F.greatest(F.lit(0), F.col("off") - size + 1), F.least(F.col("off"), F.col("len") - size))
-    at = ranked.select("item", F.explode(starts).alias("start"), F.struct("n", "off", "term").alias("t"))
-    best = at.groupBy("item", "start").agg(F.slice(F.array_sort(F.collect_list("t")), 1, terms).alias("best"))
-    return best.select("item", F.explode("best").alias("t")).select("item", "t.off", "t.term").distinct()
+def alignments(spark: SparkSession, postings: DataFrame, items: DataFrame, n_items: int, window: int = WINDOW,
+               near: int = NEAR) -> DataFrame:
+    """(doc, key, item, len, shift): where two offset-adjusted runs of an item meet, or
+    all terms of an item shorter than a run."""
+    run = run_length(window, near)
+    two = window - run + 1 - max(0, window - near) * run > 1
 
+    def met(by: str, of: DataFrame, enough: F.Column) -> DataFrame:
+        at = postings.where(F.col(by).isNotNull()).join(small(of.select("item", "len", "off", by), n_items), by)
+        found = at.groupBy("doc", "key", "item", "len", (F.col("pos") - F.col("off")).alias("shift")) \
+            .agg(F.min("off").alias("a"), F.max("off").alias("b"))
+        return found.where(enough).drop("a", "b")
 
-def alignments(spark: SparkSession, postings: DataFrame, items: DataFrame, n_items: int,
-               window: int = WINDOW) -> DataFrame:
-    """(doc, key, item, len, shift): where the offset-adjusted lists of two rare terms meet."""
-    anchors = materialize(spark, rarest(items, n_items, postings, window), "decon-anchors")
-    lens = items.select("item", "len").distinct()
-    anchors = materialize(spark, anchors.join(lens, "item"), "decon-rarest")
-    lists = postings.join(small(anchors, n_items), "term").select(
-        "doc", "key", "item", "len", (F.col("pos") - F.col("off")).alias("shift"), "off")
-    met = lists.groupBy("doc", "key", "item", "len", "shift").agg(F.min("off").alias("a"), F.max("off").alias("b"))
-    return materialize(spark, met.where((F.col("a") < F.col("b")) | (F.col("len") == 1)).drop("a", "b"), "decon-aligned")
+    found = met("run", items.where(F.col("run").isNotNull()), (F.col("a") < F.col("b")) | (F.col("len") == run) | F.lit(not two))
+    short = items.where(F.col("len") < run)
+    if not short.isEmpty():
+        found = found.union(met("term", short, (F.col("a") == 0) & (F.col("b") == F.col("len") - 1)))
+    return materialize(spark, found, "decon-aligned")
 
 
 def search(spark: SparkSession, postings: DataFrame, items: DataFrame, n_items: int, window: int = WINDOW,
            near: int = NEAR) -> DataFrame:
     """(doc, key, item, shift, starts, near): window starts (item offsets) that occur
     in full, and whether a window has ``near`` agreeing words."""
-    found = alignments(spark, postings, items, n_items, window)
+    found = alignments(spark, postings, items, n_items, window, near)
     n_found = found.count()
     block = lambda c: F.floor(c / _BLOCK)
     spans = found.withColumn("block", F.explode(F.sequence(
         block(F.greatest("shift", F.lit(0))), block(F.greatest(F.col("shift") + F.col("len") - 1, F.lit(0))))))
-    words_at = postings.withColumn("block", block(F.col("pos")))
+    words_at = postings.drop("run").withColumn("block", block(F.col("pos")))
     off = F.col("pos") - F.col("shift")
     hits = words_at.join(small(spans, 2 * n_found), (words_at["key"] == spans["key"]) & (words_at["block"] == spans["block"])
                          & words_at["doc"].eqNullSafe(spans["doc"]) & off.between(F.lit(0), F.col("len") - 1)) \
@@ -115,8 +128,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256,
     contaminated, n_near (items with a proximity match), key (xxhash64 of id and text)."""
-    items, n_items = item_terms(spark, benchmark)
-    postings = build_index(spark, docs, items, n_items, id_col, text_col)
+    run = run_length(window)
+    items, n_items = item_terms(spark, benchmark, run=run)
+    postings = build_index(spark, docs, items, n_items, id_col, text_col, run)
     matches = materialize(spark, search(spark, postings, items, n_items, window), "decon-matches")
     named = matches.join(small(items.select("item", "item_id").distinct(), n_items), "item")
     exact = named.where(F.size("starts") > 0).select("doc", "key", "item_id", "shift", "size", F.explode("starts").alias("s"))

@@ -105,6 +105,13 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@_query("op4_benchmark_proximity")
+def op4_benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity matches: their twin would be all pairs, and op4_benchmark_decontamination's has no column for them."""
+    return decontaminate.decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "contaminated", "n_near")
+
+
 @_query("op5_simhash_near_dedup")
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=3, radius=2)

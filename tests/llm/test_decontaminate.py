@@ -83,3 +83,33 @@ def test_empty_tables(spark, docs):
     assert decontaminate.decontaminate(spark, docs([]), bench(spark, items)).count() == 0
     got = decontaminate.decontaminate(spark, docs(rows[:5]), bench(spark, []))
     assert [r["n_hit"] for r in got.collect()] == [0] * 5
+
+
+def near_brute(t, items):
+    """Number of items with an alignment at which 8 words of a window agree (all words of a short item)."""
+    w, ids = words(t), set()
+    for i, x in items:
+        x = words(x)
+        for shift in range(-len(x), len(w) + 1):
+            same = [0 <= o + shift < len(w) and w[o + shift] == x[o] for o in range(len(x))]
+            m = min(10, len(x))
+            if any(sum(same[s:s + m]) >= min(8, m) for s in range(len(x) - m + 1)):
+                ids.add(i)
+    return len(ids)
+
+
+def test_near_copies_with_any_one_or_two_words_changed(spark, sf, docs):
+    r = random.Random(4)
+    item = [f"q{i}" for i in range(12)]
+    mixed = [r.choice(["the", "of", "a", "q3", "z1", "z2"]) for _ in range(15)]
+    items = [(1, " ".join(item)), (2, " ".join(mixed)), (3, " ".join(item[:9])), (4, "two words")]
+    texts = []
+    for x in (item, mixed):
+        for a in range(len(x)):
+            for b in range(a, len(x)):
+                t = list(x)
+                t[a], t[b] = "altered", "changed"
+                texts.append("before " + " ".join(t) + " after")
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000, "the of a " * 40), (1001, None)]
+    got = queries.op4_benchmark_proximity(spark, sf(documents=docs(rows), benchmark=bench(spark, items))).collect()
+    assert {x["doc_id"]: x["n_near"] for x in got} == {i: near_brute(t, items) for i, t in rows}
