@@ -12,7 +12,7 @@ the language's fill predicts, decide.
 Bounds: ``SAMPLE_ROWS`` rows per language (in expectation, by a hash of id and
 text) train; at most 1 / MIN_SHARE n-grams per language and length survive, and
 the filter is sized for the language with most of them: at most 2^22 slots of 64
-bits for any corpus and number of languages.  Up to 64 languages.
+bits for every 64 languages (one array of slots each).  Every label trains.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so
 is every text if nothing was learned; equal evidence goes to the language with
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm.common import give_back, small_batches
+from souk.llm.common import give_back, small, small_batches
 
 SAMPLE_ROWS = 4_000
 MIN_SHARE = 2e-5
@@ -96,16 +96,17 @@ def _counted(masks: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray]
 @dataclass
 class Model:
     languages: list[str] = field(default_factory=list)
-    slots: np.ndarray = field(default_factory=lambda: np.zeros(1, np.uint64))
+    slots: np.ndarray = field(default_factory=lambda: np.zeros((1, 1), np.uint64))     # one row per 64 languages
     fill: np.ndarray = field(default_factory=lambda: np.zeros(0))       # share of n-grams that pass by chance
 
-    def masks(self, h: np.ndarray) -> np.ndarray:
-        """Bit i is set if language i contains the n-gram (or it passes by chance)."""
-        m = np.uint64(len(self.slots) - 1)
-        out = self.slots[h & m]
+    def masks(self, h: np.ndarray, group: int = 0) -> np.ndarray:
+        """Bit i is set if language 64 * group + i contains the n-gram (or it passes by chance)."""
+        slots = self.slots[group]
+        m = np.uint64(len(slots) - 1)
+        out = slots[h & m]
         for _ in range(HASHES - 1):
             h = _mix(h + np.uint64(0x9E3779B97F4A7C15))
-            out = out & self.slots[h & m]
+            out = out & slots[h & m]
         return out
 
     def judge(self, text: str | None) -> tuple[str, float]:
@@ -116,10 +117,12 @@ class Model:
         with np.errstate(over="ignore"):
             for lo in range(0, len(cp), CHUNK):
                 for _, h in grams(cp[lo:lo + CHUNK + max(LENGTHS) - 1], CHUNK):
-                    masks, times = _counted(self.masks(h), len(hits))
                     total += len(h)
-                    for i in range(len(hits)):
-                        hits[i] += times[(masks >> np.uint64(i)) & np.uint64(1) == 1].sum()
+                    for group in range(len(self.slots)):
+                        some = hits[64 * group:64 * group + 64]
+                        masks, times = _counted(self.masks(h, group), len(some))
+                        for i in range(len(some)):
+                            some[i] += times[(masks >> np.uint64(i)) & np.uint64(1) == 1].sum()
         true = np.clip((hits - total * self.fill) / (1 - self.fill), 0, None)
         best = int(np.argmax(true))
         return self.languages[best], float(min(1.0, true[best] / max(1, total)))
@@ -137,12 +140,12 @@ def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("lang"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-             .orderBy(F.desc("n"), "lang").limit(64).collect()}
+             .orderBy(F.desc("n"), "lang").collect()}
     if not sizes:
         return Model()
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_rows / n))])
+    shares = spark.createDataFrame([(k, min(1.0, sample_rows / n)) for k, n in sizes.items()], "lang string, part double")
     dealt = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(F.col("lang").isin(list(sizes)) & (dealt < F.element_at(share, F.col("lang"))))
+    sample = rows.join(small(shares, len(sizes)), "lang").where(dealt < F.col("part"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -171,15 +174,17 @@ def _model(languages: list[str], kept: pd.DataFrame) -> Model:
     # a language fills only its own bit of the slots, so the largest one sets the size
     most = int(kept["lang"].value_counts().max()) if len(kept) else 1
     size = 1 << max(10, math.ceil(math.log2(most * BITS_PER_GRAM)))
-    model = Model(languages, np.zeros(size, np.uint64), np.zeros(len(languages)))
+    model = Model(languages, np.zeros((math.ceil(len(languages) / 64), size), np.uint64), np.zeros(len(languages)))
     m = np.uint64(size - 1)
+    of = dict(iter(kept.groupby("lang")["gram"]))
     with np.errstate(over="ignore"):
         for i, lang in enumerate(languages):
-            h = kept.loc[kept["lang"] == lang, "gram"].to_numpy(dtype=np.int64).view(np.uint64)
+            slots, bit = model.slots[i // 64], np.uint64(i % 64)
+            h = of[lang].to_numpy(dtype=np.int64).view(np.uint64) if lang in of else np.zeros(0, np.uint64)
             for _ in range(HASHES):
-                np.bitwise_or.at(model.slots, h & m, np.uint64(1) << np.uint64(i))
+                np.bitwise_or.at(slots, h & m, np.uint64(1) << bit)
                 h = _mix(h + np.uint64(0x9E3779B97F4A7C15))
-            used = ((model.slots >> np.uint64(i)) & np.uint64(1)).mean()
+            used = ((slots >> bit) & np.uint64(1)).mean()
             model.fill[i] = used ** HASHES
     return model
 

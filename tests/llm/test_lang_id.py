@@ -63,3 +63,14 @@ def test_nothing_learned_and_no_rows(spark, sf, docs):
     assert {(r["lang_pred"], r["score"]) for r in got} == {("und", 0.0)}
     model = lang_id.train(spark, docs([]))
     assert lang_id.predict(docs([]), model).count() == 0 and lang_id.judged(docs([]), model).count() == 0
+
+
+def test_more_labels_than_bits_all_train(spark, sf, docs):
+    r = random.Random(7)
+    sizes = {f"l{i:03}": 12 if i < 130 else 6 for i in range(140)}
+    words = {x: ["".join(chr(0x4E00 + 12 * i + r.randrange(12)) for _ in range(4)) for _ in range(8)] for i, x in enumerate(sizes)}
+    labels = [x for x, n in sizes.items() for _ in range(n)]
+    rows = [(i, " ".join(r.choice(words[x]) for _ in range(20)), x) for i, x in enumerate(labels)]
+    trained = {x for i, _, x in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    got = {g["doc_id"]: g["lang_pred"] for g in queries.op9_language_id(spark, sf(documents=docs(rows))).collect()}
+    assert trained == set(sizes) and got == {i: x for i, _, x in rows}
