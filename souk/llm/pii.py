@@ -2,7 +2,7 @@
 (DataFrame functions only).
 
 Kinds: email, ip (parts up to 255), card (14 to 19 digits, Luhn), phone (10 to 15
-digits) and iban (mod-97).  A kind's matches are leftmost and do not overlap; a
+digits) and iban (as long as its country's, mod-97).  A kind's matches are leftmost and do not overlap; a
 match that fails its check is dropped without a retry.  A confirmed span has its
 kind's base score, raised when a context word of the kind stands close by; the
 score is reported, it never removes a span.
@@ -29,6 +29,27 @@ _PART = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _LETTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPANS = "array<struct<start:int,kind_no:int,end:int,kind:string,score:double>>"
 
+# fixed values: length of an IBAN by country
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban() -> str:
+    """Whole or in groups of four; another country's may have any length, but does
+    not run into a group that starts a listed country's."""
+    known = "(?:" + "|".join(" ".join(IBAN_LENGTHS.values()).split()) + ")"
+    forms = []
+    for n, countries in IBAN_LENGTHS.items():
+        fours, rest = divmod(n - 4, 4)
+        forms.append(rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:[A-Z0-9]{{{n - 4}}}|(?:\x20[A-Z0-9]{{4}}){{{fours}}}"
+                     + (rf"\x20[A-Z0-9]{{{rest}}}" if rest else "") + ")(?![A-Z0-9])")
+    stop = rf"\x20(?!{known}[0-9]{{2}}\x20)"
+    forms.append(rf"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?:{stop}[A-Z0-9]{{4}}){{2,7}}(?:\x20[A-Z0-9]{{1,3}})?)(?![A-Z0-9])")
+    return r"(?<![A-Z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(forms) + ")"
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -48,7 +69,7 @@ KINDS = (
          r"[0-9](?:[\x20-]?[0-9]){13}", 0.7, r"\b(?:card|credit|visa|payment|paid|account)\b"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]",
          r"\+[0-9][\x20().0-9-]", 0.5, r"\b(?:phone|tel|call|mobile|fax|contact)\b"),
-    Kind("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Z0-9])",
+    Kind("iban", _iban(),
          r"[A-Z]{2}[0-9]{2}", 0.9, r"\b(?:iban|bank|account|transfer)\b"),
 )
 BASE = 4                # the first kinds are the base ones

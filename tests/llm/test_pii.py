@@ -67,3 +67,24 @@ def test_redaction_joins_overlapping_spans(spark, docs):
 def test_empty_table(spark, sf, docs):
     assert queries.op10_pii(spark, sf(documents=docs([]))).count() == 0
     assert pii.redact(docs([])).count() == 0
+
+
+def test_iban_ends_where_its_country_says(spark, docs):
+    def iban(country, n):
+        bban = ("1904300234573201" * 2)[:n - 4]
+        code = "".join(str(int(c, 36)) for c in bban + country + "00")
+        return f"{country}{98 - int(code) % 97:02}{bban}"
+    rows, exp = [], []
+    for n, countries in pii.IBAN_LENGTHS.items():
+        for c in countries.split():
+            whole = iban(c, n)
+            for x in (whole, " ".join(whole[i:i + 4] for i in range(0, n, 4))):
+                for after in ("", " BIC BKAUATWW", " A1", " 12 EUR", ". TO"):
+                    exp.append(f"iban:3:{3 + len(x)}")
+                    rows.append((len(rows), "to " + x + after))
+    rows += [(9000, "ID42 DE89 3704 0044 0532 0130 00 BIC"), (9001, "AT61 1904 3002 3457 3202 BIC BKAUATWW"), (9002, "AT61 1904 3002 3457")]
+    exp += ["iban:5:32", "", ""]
+    got = {r["doc_id"]: ",".join(x for x in r["spans"].split(",") if x.startswith("iban")) for r in pii.report(docs(rows)).collect()}
+    assert got == {i: x for (i, _), x in zip(rows, exp)}
+    text = pii.redact(docs([(1, "AT61 1904 3002 3457 3201 BIC BKAUATWW")])).first()["text"]
+    assert text == "[IBAN] BIC BKAUATWW"
