@@ -35,26 +35,68 @@ BANDS = 32
 CONTAINMENT = 0.8
 WORD = "[a-z0-9]+"
 
-# fixed values: common license notices (name, text)
+def _gnu(version: str, kind: str = "") -> str:
+    return (f"terms of the GNU {kind} General Public License as published by the Free Software Foundation, either version {version} "
+            "of the License, or (at your")
+
+
+def _cc(kind: str) -> str:
+    return f"This work is licensed under a Creative Commons {kind} 4.0 International License."
+
+
+# fixed values: license lines, notices and clauses (name, text).  Each is cut so
+# that a sister license (BSD-2/3/4, MIT/MIT-0, ISC/0BSD, GPL/LGPL/AGPL and their
+# versions) holds less than 0.8 of it: where one lacks a clause of the other, the
+# template spans the place.
 TEMPLATES = [
     ("apache-2.0-line", "Licensed under the Apache License, Version 2.0."),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
                    "compliance with the License. You may obtain a copy of the License at "
                    "http://www.apache.org/licenses/LICENSE-2.0"),
-    ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
-                     "provided that the following conditions are met:"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("bsd-family", "Redistribution and use in source and binary forms, with or without modification, are permitted "
+                   "provided that the following conditions are met:"),
+    ("bsd-2-clause", "the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE"),
+    ("bsd-3-clause", "the documentation and/or other materials provided with the distribution. 3. Neither the name of"),
+    ("bsd-3-clause-unnumbered", "the documentation and/or other materials provided with the distribution. Neither the name of"),
+    ("bsd-4-clause", "All advertising materials mentioning features or use of this software must display the following "
+                     "acknowledgement"),
+    ("cc-by-4.0", _cc("Attribution")),
     ("cc-by-nc-4.0-line", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-nc-4.0", _cc("Attribution-NonCommercial")),
+    ("cc-by-sa-4.0", _cc("Attribution-ShareAlike")),
+    ("cc-by-nd-4.0", _cc("Attribution-NoDerivatives")),
+    ("cc-by-nc-sa-4.0", _cc("Attribution-NonCommercial-ShareAlike")),
+    ("cc-by-nc-nd-4.0", _cc("Attribution-NonCommercial-NoDerivatives")),
+    ("cc0-1.0", "has waived all copyright and related or neighboring rights to"),
+    ("gpl-2.0", _gnu("2")),
+    ("gpl-2.0-only", "the GNU General Public License version 2 as published by the Free Software Foundation"),
     ("gpl-3.0-line", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-                "General Public License as published by the Free Software Foundation, either version 3 of the License, "
-                "or (at your option) any later version."),
+    ("gpl-3.0", _gnu("3")),
+    ("gpl-3.0-text", "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all "
+                     "versions of a program--to make"),
+    ("lgpl-2.0", _gnu("2", "Library")),
+    ("lgpl-2.1", _gnu("2.1", "Lesser")),
+    ("lgpl-3.0", _gnu("3", "Lesser")),
+    ("lgpl-3.0-text", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of "
+                      "the GNU General Public License"),
+    ("agpl-3.0", _gnu("3", "Affero")),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
             "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("0bsd", "with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND"),
     ("mit-line", "Released under the MIT License."),
+    ("mit-family", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+                   "associated documentation files (the \"Software\"), to deal in the Software without restriction"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-            "associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+            "associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
+            "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+            "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+            "following conditions: The above copyright notice and this permission notice shall be included in all "
+            "copies or substantial portions of the Software."),
+    ("mit-0", "to permit persons to whom the Software is furnished to do so. THE SOFTWARE IS PROVIDED \"AS IS\""),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+                  "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+                  "binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
 
 
@@ -81,9 +123,11 @@ def signature(hashes: Column) -> Column:
                        lambda s: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, s))))
 
 
-def _templates(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
+def _templates(spark: SparkSession, templates: list[tuple[str, str]] | DataFrame) -> DataFrame:
     """(license, scale, shingles, hashes, sig): scale is 2^k."""
-    rows = spark.createDataFrame(templates, "license string, text string").select("license", words(F.col("text")).alias("w"))
+    if not isinstance(templates, DataFrame):
+        templates = spark.createDataFrame(templates, "license string, text string")
+    rows = templates.select("license", words(F.col("text")).alias("w"))
     rows = materialize(spark, rows.withColumn("h", shingle_hashes(F.col("w"))), "license-words")
     if not rows.where(F.size("h") == 0).isEmpty():
         raise ValueError(f"templates need {SHINGLE} words at least")
@@ -94,11 +138,13 @@ def _templates(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFra
                        "license-templates")
 
 
-def scan(spark: SparkSession, docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id",
+def scan(spark: SparkSession, docs: DataFrame, templates: list[tuple[str, str]] | DataFrame = TEMPLATES, id_col: str = "doc_id",
          text_col: str = "text", least: float = CONTAINMENT) -> DataFrame:
     """(id, license, containment, shingle): for every document and template found, the
-    best window's containment and first shingle."""
+    best window's containment and first shingle.  ``templates`` is a list or a table
+    (license, text)."""
     tpl = _templates(spark, templates)
+    n_templates = tpl.count()
     known = tpl.select("scale", F.explode("hashes").alias("h")).distinct()
     n_known = known.count()
     listed = F.array(*[F.lit(r["h"]) for r in known.select("h").distinct().collect()])      # bounded by the templates
@@ -121,12 +167,12 @@ def scan(spark: SparkSession, docs: DataFrame, templates: list[tuple[str, str]]
     bands = lambda df, *cols: df.select(*cols, F.posexplode("sig").alias("band", "low"))
     ours = bands(signed.select("doc", "key", "x.scale", "x.first", "x.sig"), "doc", "key", "scale", "first")
     theirs = bands(tpl, "license", "scale")
-    found = ours.join(small(theirs, BANDS * len(templates)), ["scale", "band", "low"]).select("doc", "key", "scale", "first", "license")
+    found = ours.join(small(theirs, BANDS * n_templates), ["scale", "band", "low"]).select("doc", "key", "scale", "first", "license")
     found = materialize(spark, found.distinct(), "license-candidates")
 
     texts = found.join(rows.select("doc", "key", "w"), same(found, rows)).select(
         found["doc"], found["key"], "license", "first", shingle_texts(F.col("w"), F.col("first"), 3 * F.col("scale")).alias("window"))
-    checked = texts.join(small(tpl.select("license", "shingles"), len(templates)), "license").select(
+    checked = texts.join(small(tpl.select("license", "shingles"), n_templates), "license").select(
         "doc", "key", "license", "first", (F.size(F.array_intersect("window", "shingles")) / F.size("shingles")).alias("share"))
     best = checked.where(F.col("share") >= least).groupBy("doc", "key", "license").agg(
         F.max(F.struct("share", (-F.col("first")).alias("first"))).alias("best"))

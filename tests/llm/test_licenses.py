@@ -55,3 +55,41 @@ def test_empty_table_and_short_templates(spark, sf, docs):
     assert queries.op2_license_scan(spark, sf(documents=docs([]))).count() == 0
     with pytest.raises(ValueError, match="5 words"):
         licenses.scan(spark, docs([(1, "x")]), [("short", "four words only here")])
+
+
+GRANT = dict(licenses.TEMPLATES)["mit"].split(", subject to")[0]
+AS_IS = " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."
+BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+       "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+       "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+       "the following disclaimer in the documentation and/or other materials provided with the distribution.{} THIS SOFTWARE IS "
+       "PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.")
+NEITHER = (" {} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+           "derived from this software without specific prior written permission.")
+ADVERT = " 3. All advertising materials mentioning features or use of this software must display the following acknowledgement: x."
+
+
+def gnu(kind, version, sep=","):
+    return (f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} General Public "
+            f"License as published by the Free Software Foundation{sep} either version {version} of the License, or (at your option) any "
+            "later version.")
+
+
+def test_sister_licenses_are_told_apart(spark, docs):
+    texts = {"mit": GRANT + dict(licenses.TEMPLATES)["mit"].removeprefix(GRANT) + AS_IS, "mit-0": GRANT + "." + AS_IS,
+             "bsd-2-clause": BSD.format(""), "bsd-3-clause": BSD.format(NEITHER.format("3.")),
+             "bsd-3-clause-unnumbered": BSD.format(NEITHER.format("*")), "bsd-4-clause": BSD.format(ADVERT + NEITHER.format("4.")),
+             "gpl-2.0": gnu("", "2", ";"), "gpl-3.0": gnu("", "3"), "lgpl-2.0": gnu("Library", "2"), "lgpl-2.1": gnu("Lesser", "2.1"),
+             "lgpl-3.0": gnu("Lesser", "3"), "agpl-3.0": gnu("Affero", "3")}
+    rows = list(enumerate(["before " + t + " after" for t in texts.values()]))
+    table = spark.createDataFrame(licenses.TEMPLATES, "license string, text string")
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan(spark, docs(rows), table).collect()}
+    exp = {(i, x) for i, x in enumerate(texts)} | {(i, "bsd-family") for i, x in enumerate(texts) if x.startswith("bsd")}
+    exp |= {(i, "mit-family") for i, x in enumerate(texts) if x.startswith("mit")}
+    assert got == exp
+
+
+def test_a_template_is_found_only_under_its_own_name():
+    found = {(a, b) for a, t in licenses.TEMPLATES for b, x in licenses.TEMPLATES if a != b
+             for own in [set(shingles(words(x)))] if len(own & set(shingles(words(t)))) >= 0.8 * len(own)}
+    assert found <= {("apache-2.0", "apache-2.0-line"), ("mit", "mit-family")}
