@@ -41,9 +41,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go, whether it has an id or not."""
     configure(spark)
-    found = decontaminate.decontaminate(spark, docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.decontaminate(spark, docs, table(spark, sf_dir, "benchmark"), unnamed=True)
     bad = materialize(spark, found.where("contaminated").select(F.col("doc_id").alias("bad_id"), "key").distinct(), "contaminated")
     keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
     return keyed.join(bad, (keyed["key"] == bad["key"]) & keyed["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti").select(COLUMNS)

@@ -17,8 +17,9 @@ alignments fit a checked broadcast; else both are shuffled by
 document and position block.  A frequent term's postings are only scanned, its
 lists never gathered; a hot document costs as many rows as it has words.
 
-Defined cases: null or wordless texts have no words; items with null id or
-without words take no part; an item shorter than a window is one window;
+Defined cases: null or wordless texts have no words; items without words
+take no part, those with null id only if ``unnamed`` is set (they count for n_hit
+and contaminated); an item shorter than a window is one window;
 repeated documents each have a row, repeated items count once; empty tables give
 no hits; further columns are ignored.
 """
@@ -52,9 +53,9 @@ def _run(w: F.Column, at: F.Column, n: int) -> F.Column:
 
 
 def item_terms(spark: SparkSession, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
-               run: int = run_length()) -> tuple[DataFrame, int]:
+               run: int = run_length(), unnamed: bool = False) -> tuple[DataFrame, int]:
     """(item, item_id, len, off, word, term, run) of every item word, and the number of rows."""
-    items = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("w"))
+    items = benchmark.where(F.col(id_col).isNotNull() | F.lit(unnamed)).select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("w"))
     items = items.where(F.size("w") > 0).distinct().select(
         F.xxhash64("item_id", "w").alias("item"), "item_id", F.size("w").alias("len"), "w", F.posexplode("w").alias("off", "word"))
     items = items.withColumn("term", F.xxhash64("word")).withColumn("run", _run(F.col("w"), F.col("off"), run)).drop("w")
@@ -125,11 +126,11 @@ def search(spark: SparkSession, postings: DataFrame, items: DataFrame, n_items:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                  id_col: str = "doc_id", text_col: str = "text", unnamed: bool = False) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256,
     contaminated, n_near (items with a proximity match), key (xxhash64 of id and text)."""
     run = run_length(window)
-    items, n_items = item_terms(spark, benchmark, run=run)
+    items, n_items = item_terms(spark, benchmark, run=run, unnamed=unnamed)
     postings = build_index(spark, docs, items, n_items, id_col, text_col, run)
     matches = materialize(spark, search(spark, postings, items, n_items, window), "decon-matches")
     named = matches.join(small(items.select("item", "item_id").distinct(), n_items), "item")

@@ -95,3 +95,10 @@ def test_all_stages(spark, env):
 def test_empty_tables(spark, sf, docs):
     path = sf(documents=docs([]), benchmark=bench(spark, []))
     assert P.run(spark, path).count() == 0
+
+
+def test_contamination_stage_knows_items_without_id(spark, sf, docs):
+    passage = " ".join(f"q{i}" for i in range(12))
+    rows = [(1, "before " + passage + " after"), (2, "nothing of it")]
+    path = sf(documents=docs(rows), benchmark=bench(spark, [(None, passage), (3, "another item of some length")]))
+    assert pairs(STAGES["benchmark_decontamination"](spark, docs(rows), path)) == [(2, "nothing of it")]
