@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import d, order, orders_df
+from order_rows import d, order, orders_df
 from souk.operators import customers as CU
 
 

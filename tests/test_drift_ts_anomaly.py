@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from conftest import d, order, orders_df
+from order_rows import d, order, orders_df
 from souk.operators import anomaly as AN
 from souk.operators import drift as DR
 from souk.operators import timeseries as TS

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import d, order, orders_df
+from order_rows import d, order, orders_df
 from souk.functions.stats import t_two_sided_p
 from souk.operators import inventory as IV
 from souk.operators import pricing as PR

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from conftest import d, order, orders_df
+from order_rows import d, order, orders_df
 from souk.operators import enrich as EN
 from souk.operators import insights as IN
 from souk.sources import landed as LD
