@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import string
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +31,28 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+            "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def small_batches(spark: SparkSession) -> None:
     """Python workers get texts in batches of bounded size; by default a batch is
-    10,000 rows, however long they are.  Holds for the session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    10,000 rows, however long they are.  Holds for the session: for results that
+    run only after the operator has returned."""
+    for name, value in _BATCHES.items():
+        spark.conf.set(name, value)
+
+
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """``small_batches`` for the jobs that run inside; the session's own settings come back."""
+    own = {name: spark.conf.get(name) for name in _BATCHES}
+    small_batches(spark)
+    try:
+        yield
+    finally:
+        for name, value in own.items():
+            spark.conf.set(name, value)
 
 
 def give_back() -> None:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import bpe, decontaminate, lang_id, licenses, pii, simhash, token_codec, topk, url_filter, warc
+from souk.llm import bpe, decontaminate, lang_id, licenses, pii, simhash, token_codec, topk, url_filter, warc, whitening
 from souk.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_pii")
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+@_query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding"))).select(
+        F.col("vec_id").cast("long").alias("id"), whitening.quantised(F.col("embedding")).alias("vec"))
+    return whitening.whiten(spark, rows, k=32)
