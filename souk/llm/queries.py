@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import bpe, decontaminate, lang_id, licenses, pii, simhash, token_codec, topk, url_filter, warc, whitening
+from souk.llm import (bpe, decontaminate, lang_id, licenses, pii, quality, resampling, simhash, token_codec, topk,
+                      url_filter, warc, whitening)
 from souk.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +178,67 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding"))).select(
         F.col("vec_id").cast("long").alias("id"), whitening.quantised(F.col("embedding")).alias("vec"))
     return whitening.whiten(spark, rows, k=32)
+
+
+_SPACED = r"[^\x20\x09-\x0D]+"
+_QUALITY_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () rid, doc_id, coalesce(text, '') t,
+             coalesce(regexp_extract_all(text, '{_SPACED}'), []) w FROM documents),
+l AS (SELECT rid, unnest(string_split(t, chr(10))) line FROM d),
+n AS (SELECT rid, count(*) n_lines, count(*) - count(DISTINCT line) n_dup_lines FROM l
+      WHERE regexp_matches(line, '{_SPACED}') GROUP BY rid),
+g AS (SELECT rid, p, w[p:p + 2] gram FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) p FROM d)),
+r AS (SELECT rid, count(DISTINCT q) n_repeat_words FROM (
+        SELECT rid, unnest([p, p + 1, p + 2]) q FROM (SELECT *, count(*) OVER (PARTITION BY rid, gram) c FROM g) WHERE c > 1) GROUP BY rid),
+top AS (SELECT rid, max(c) top_word FROM (SELECT rid, x, count(*) c FROM (SELECT rid, unnest(w) x FROM d) GROUP BY rid, x) GROUP BY rid),
+f AS (SELECT doc_id, len(w)::BIGINT n_words, length(array_to_string(w, ''))::BIGINT word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT n_symbols, coalesce(n_dup_lines, 0)::BIGINT n_dup_lines,
+        coalesce(n_repeat_words, 0)::BIGINT n_repeat_words, coalesce(n_lines, 0) n_lines, coalesce(top_word, 0) top_word,
+        length(regexp_replace(t, '[^A-Z]', '', 'g')) n_upper, length(regexp_replace(t, '[^a-z]', '', 'g')) n_lower,
+        length(regexp_replace(t, '[^!?]', '', 'g')) n_marks,
+        length(regexp_replace(t, '[^\x00-\x08\x0E-\x1F\x7F\x{{FFFD}}]', '', 'g')) n_odd
+      FROM d LEFT JOIN n USING (rid) LEFT JOIN r USING (rid) LEFT JOIN top USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 100 * n_symbols > 10 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+            OR 100 * n_dup_lines > 50 * n_lines OR 100 * top_word > 25 * n_words OR 100 * n_upper > 40 * (n_upper + n_lower)
+            OR 100 * n_marks > 30 * n_words OR 100 * n_odd > word_chars) kept
+FROM b"""
+
+
+@_query("op12_quality_rules", _QUALITY_SQL)
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    judged = quality.cascade(table(spark, sf_dir, "documents"), quality.RULES, report)
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return judged.select("doc_id", *report, base.alias("base_failed"), "kept")
+
+
+# CRC-32 bit by bit for the table of single bytes, then byte by byte over each distinct word
+_RESAMPLE_SQL = f"""
+WITH c AS (SELECT list(list_reduce([b, 1, 2, 3, 4, 5, 6, 7, 8],
+             lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY b) tab FROM range(256) x(b)),
+d AS (SELECT row_number() OVER () rid, doc_id, coalesce(regexp_extract_all(translate(text, {_LOWER}), '{_WORD}'), []) w FROM documents),
+e AS (SELECT unnest(regexp_extract_all(translate(text, {_LOWER}), '{_WORD}')) word FROM benchmark),
+u AS (SELECT rid, unnest(w) word FROM d),
+v AS (SELECT word, hex(encode(word)) h FROM (SELECT word FROM u UNION SELECT word FROM e)),
+k AS (SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+               list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+               lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]))) % 10000 bucket FROM v, c),
+s AS (SELECT bucket, count(*) s FROM u JOIN k USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) t FROM e JOIN k USING (word) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM u) + 10000)::DOUBLE
+        / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM e) + 10000)::DOUBLE)))::BIGINT gain FROM s FULL JOIN t USING (bucket)),
+m AS (SELECT rid, sum(gain)::BIGINT weight FROM u JOIN k USING (word) JOIN g USING (bucket) GROUP BY rid),
+x AS (SELECT doc_id, len(w)::BIGINT n_features, coalesce(weight, 0)::BIGINT weight,
+        ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT h FROM d LEFT JOIN m USING (rid)),
+y AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT score FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) r,
+        count(*) OVER (PARTITION BY n_features >= 20) n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * n // 100 THEN r END AS rank FROM z"""
+
+
+@_query("op13_importance_resampling", _RESAMPLE_SQL)
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1,
+                               buckets=10_000, percent=10, min_words=20, seed=2024)
