@@ -1,32 +1,33 @@
 """Benchmark decontamination by a positional inverted index (DataFrame functions only).
 
 ``build_index`` stores the training table's postings (document, position, term)
-for the terms of the benchmark; one closing posting per row holds its word
-count.  A posting that begins a run of ``run_length`` words of some item carries
-the run's hash.  ``alignments`` offset-adjusts the runs' postings (position minus
-offset in the item) and keeps the alignments in which two runs meet: a window with
-8 agreeing words of 10 holds at least 10 - 3 + 1 - 2 * 3 = 2 whole runs of three
-(q-gram lemma), whichever words differ, so none is missed.  Items shorter than a
-run go by the lists of their terms.  The alignments are intersected with the
-lists of all item terms.  Runs of agreeing offsets as long as a window are exact
-phrase matches; windows in which at least ``near`` words agree are proximity
-matches.
-
-Scale: postings stay in document order and are never shuffled while the
-alignments fit a checked broadcast; else both are shuffled by
-document and position block.  A frequent term's postings are only scanned, its
-lists never gathered; a hot document costs as many rows as it has words.
-
-Defined cases: null or wordless texts have no words; items without words
-take no part, those with null id only if ``unnamed`` is set (they count for n_hit
-and contaminated); an item shorter than a window is one window;
-repeated documents each have a row, repeated items count once; empty tables give
-no hits; further columns are ignored.
+for the terms of the benchmark; one closing posting per row holds its word count.
+The lengths of the terms' lists, counted from the index, tell which terms of a
+benchmark window are rare: in a window of which ``near`` of 10 words must agree, one
+of its 10 - near + 1 rarest terms does (``anchors``).  ``matches`` meets the lists of
+the anchors, offset-adjusted to where the window would start, with those of the next
+rarer terms of that window: at least one of them agrees at its own offset, or there
+is no match.  This and the count of all agreeing words are taken from the row's own
+words, so nothing is written or shuffled for a candidate that fails.  An alignment
+is met once, through its rarest agreeing anchor.  Windows that agree in full are
+exact phrase matches, the others proximity matches.
+
+Scale: postings stay in document order and are never shuffled; the windows'
+anchors are broadcast in blocks of ``BLOCK_ANCHORS`` rows, one pass over the texts
+per block.  A frequent term's list is scanned, never gathered; a hot document costs as
+many rows as it has words.
+
+Defined cases: null or wordless texts have no words; items without words take no
+part; items with a null id count for n_hit, contaminated and n_near, but have no id to
+be listed; an item shorter than a window is one window, near if ``near`` of its words
+agree, or all if it has fewer; repeated documents each have a row, repeated items count
+once; a window may hang over either end of a text if enough of it is inside; empty
+tables give no hits; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souk.llm.common import ascii_lower, materialize, small
@@ -35,118 +36,118 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 NEAR = 8
 CLOSING = -1        # term id of the posting that holds a row's word count
-_BLOCK = 256
+BLOCK_ANCHORS = 100_000
 
 
-def words(text) -> F.Column:
+def words(text) -> Column:
     return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def run_length(window: int = WINDOW, near: int = NEAR) -> int:
-    """Words in a row that agree in every window of which ``near`` words do."""
-    return min(window, -(-near // (max(0, window - near) + 1)))
-
-
-def _run(w: F.Column, at: F.Column, n: int) -> F.Column:
-    """Hash of the n words of ``w`` from ``at`` on, null where fewer are left."""
-    return F.when(at + n <= F.size(w), F.xxhash64(*[F.get(w, at + i) for i in range(n)]))
-
-
-def item_terms(spark: SparkSession, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
-               run: int = run_length(), unnamed: bool = False) -> tuple[DataFrame, int]:
-    """(item, item_id, len, off, word, term, run) of every item word, and the number of rows."""
-    items = benchmark.where(F.col(id_col).isNotNull() | F.lit(unnamed)).select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("w"))
+def item_terms(spark: SparkSession, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """(item, item_id, w, off, word, term) of every item word, and the number of rows."""
+    items = benchmark.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("w"))
     items = items.where(F.size("w") > 0).distinct().select(
-        F.xxhash64("item_id", "w").alias("item"), "item_id", F.size("w").alias("len"), "w", F.posexplode("w").alias("off", "word"))
-    items = items.withColumn("term", F.xxhash64("word")).withColumn("run", _run(F.col("w"), F.col("off"), run)).drop("w")
-    items = materialize(spark, items, "decon-items")
+        F.xxhash64("item_id", "w").alias("item"), "item_id", "w", F.posexplode("w").alias("off", "word"))
+    items = materialize(spark, items.withColumn("term", F.xxhash64("word")), "decon-items")
     return items, items.count()
 
 
 def build_index(spark: SparkSession, docs: DataFrame, items: DataFrame, n_items: int,
-                id_col: str = "doc_id", text_col: str = "text", run: int = run_length()) -> DataFrame:
-    """Postings (doc, key, pos, term, run) of all rows of ``docs``; (doc, key) names a text."""
+                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Postings (doc, key, pos, term) of all rows of ``docs``; (doc, key) names a text."""
     vocabulary = materialize(spark, items.select("word", "term").distinct()
                              .union(spark.createDataFrame([("", CLOSING)], "word string, term long")), "decon-terms")
-    runs = materialize(spark, items.where(F.col("run").isNotNull()).select(F.col("run").alias("at"), "run").distinct(), "decon-runs")
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(id_col, text_col).alias("key"),
-                       F.explode(F.array(F.concat(words(F.col(text_col)), F.array(F.lit(""))))).alias("w"))    # a plain column
-    rows = rows.select("doc", "key", "w", F.posexplode("w").alias("pos", "word"))
-    postings = rows.join(small(vocabulary, n_items), "word").select("doc", "key", "pos", "term", _run(F.col("w"), F.col("pos"), run).alias("at"))
-    postings = postings.join(small(runs, n_items), "at", "left").select("doc", "key", "pos", "term", "run")
-    return materialize(spark, postings, "decon-postings")
-
-
-def alignments(spark: SparkSession, postings: DataFrame, items: DataFrame, n_items: int, window: int = WINDOW,
-               near: int = NEAR) -> DataFrame:
-    """(doc, key, item, len, shift): where two offset-adjusted runs of an item meet, or
-    all terms of an item shorter than a run."""
-    run = run_length(window, near)
-    two = window - run + 1 - max(0, window - near) * run > 1
-
-    def met(by: str, of: DataFrame, enough: F.Column) -> DataFrame:
-        at = postings.where(F.col(by).isNotNull()).join(small(of.select("item", "len", "off", by), n_items), by)
-        found = at.groupBy("doc", "key", "item", "len", (F.col("pos") - F.col("off")).alias("shift")) \
-            .agg(F.min("off").alias("a"), F.max("off").alias("b"))
-        return found.where(enough).drop("a", "b")
-
-    found = met("run", items.where(F.col("run").isNotNull()), (F.col("a") < F.col("b")) | (F.col("len") == run) | F.lit(not two))
-    short = items.where(F.col("len") < run)
-    if not short.isEmpty():
-        found = found.union(met("term", short, (F.col("a") == 0) & (F.col("b") == F.col("len") - 1)))
-    return materialize(spark, found, "decon-aligned")
-
-
-def search(spark: SparkSession, postings: DataFrame, items: DataFrame, n_items: int, window: int = WINDOW,
-           near: int = NEAR) -> DataFrame:
-    """(doc, key, item, shift, starts, near): window starts (item offsets) that occur
-    in full, and whether a window has ``near`` agreeing words."""
-    found = alignments(spark, postings, items, n_items, window, near)
-    n_found = found.count()
-    block = lambda c: F.floor(c / _BLOCK)
-    spans = found.withColumn("block", F.explode(F.sequence(
-        block(F.greatest("shift", F.lit(0))), block(F.greatest(F.col("shift") + F.col("len") - 1, F.lit(0))))))
-    words_at = postings.drop("run").withColumn("block", block(F.col("pos")))
-    off = F.col("pos") - F.col("shift")
-    hits = words_at.join(small(spans, 2 * n_found), (words_at["key"] == spans["key"]) & (words_at["block"] == spans["block"])
-                         & words_at["doc"].eqNullSafe(spans["doc"]) & off.between(F.lit(0), F.col("len") - 1)) \
-        .select(spans["doc"], spans["key"], "item", "len", "shift", off.alias("off"), "term")
-    expected = items.select("item", "off", "term")
-    agreed = hits.join(small(expected, n_items), ["item", "off", "term"]).groupBy("doc", "key", "item", "len", "shift") \
-        .agg(F.array_sort(F.collect_set("off")).alias("o"))
-    size = F.least("len", F.lit(window))
-    runs = lambda n: F.when(F.size("o") >= n, F.sequence(F.lit(0), F.size("o") - n)).otherwise(
-        F.array().cast("array<int>"))
-    o = F.col("o")
-    starts = F.transform(F.filter(runs(size), lambda i: F.get(o, i + F.least("len", F.lit(window)) - 1) - F.get(o, i)
-                                  == F.least("len", F.lit(window)) - 1), lambda i: F.get(o, i))
-    close = F.exists(runs(F.lit(near)), lambda i: F.get(o, i + near - 1) - F.get(o, i) < window)
-    return agreed.select("doc", "key", "item", "shift", size.alias("size"), starts.alias("starts"),
-                         (close | (F.size(starts) > 0)).alias("near")).where("near")
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-                  id_col: str = "doc_id", text_col: str = "text", unnamed: bool = False) -> DataFrame:
+                       F.concat(words(F.col(text_col)), F.array(F.lit(""))).alias("w"))
+    rows = rows.select("doc", "key", F.posexplode("w").alias("pos", "word"))
+    return materialize(spark, rows.join(small(vocabulary, n_items), "word").select("doc", "key", "pos", "term"), "decon-postings")
+
+
+def windows(spark: SparkSession, items: DataFrame, n_items: int, postings: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(win, size, by_rarity): the distinct windows and their words (n, off, word), rarest first."""
+    lengths = postings.where(F.col("term") != CLOSING).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    each = item_windows(items, window).select("win").distinct().select("win", F.posexplode("win").alias("off", "word"))
+    each = each.join(small(lengths, n_items), F.xxhash64("word") == F.col("term"), "left")
+    rare = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "word")))
+    return materialize(spark, each.groupBy("win").agg(rare.alias("by_rarity")).select("win", F.size("win").alias("size"), "by_rarity"),
+                       "decon-windows")
+
+
+def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(item, item_id, win) of every window of every item."""
+    size = F.least(F.size("w"), F.lit(window))
+    starts = items.where(F.col("off") <= F.size("w") - size)        # a window starts at each of these words
+    return starts.select("item", "item_id", F.slice("w", F.col("off") + 1, size).alias("win")).distinct()
+
+
+def anchors(spark: SparkSession, wins: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
+    """A row per window and each of its size - need + 1 rarest words: (word, off, win, size, need, block),
+    the rarer words before it (b0, b1, ..) and the next ones (a0, a1, ..), as (off, word) relative to its own offset."""
+    need = F.least(F.lit(near), F.col("size"))
+    spare = window - min(near, window)
+    rows = wins.withColumn("need", need).select("*", F.posexplode(F.slice("by_rarity", 1, F.col("size") - F.col("need") + 1)).alias("rank", "own"))
+
+    def other(at: Column, wanted: Column) -> Column:
+        o = F.get("by_rarity", at)
+        return F.when(wanted, F.struct((o["off"] - F.col("own.off")).alias("step"), o["word"].alias("word")))
+    before = [other(F.lit(j), F.col("rank") > j).alias(f"b{j}") for j in range(spare)]
+    after = [other(F.col("rank") + 1 + j, (F.col("size") - F.col("need") - F.col("rank") >= j) & (F.col("rank") + 1 + j < F.col("size")))
+             .alias(f"a{j}") for j in range(spare + 1)]
+    rows = rows.select(F.col("own.word").alias("anchor"), F.col("own.off").alias("off"), "win", "size", "need", *before, *after)
+    return materialize(spark, rows.withColumn("row", F.monotonically_increasing_id()), "decon-anchors")
+
+
+def matches(spark: SparkSession, docs: DataFrame, wins: DataFrame, window: int = WINDOW, near: int = NEAR,
+            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, key, start, win, size, exact): every place where enough words of a window agree."""
+    lists = anchors(spark, wins, window, near)
+    blocks = max(1, -(-lists.count() // BLOCK_ANCHORS))
+    spare = window - min(near, window)
+    texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(id_col, text_col).alias("key"),
+                        F.explode(F.array(words(F.col(text_col)))).alias("w"))      # a plain column
+    texts = texts.select("doc", "key", "w", F.posexplode("w").alias("pos", "anchor"))
+
+    def agrees(other: str) -> Column:
+        return F.coalesce(F.get("w", F.col("pos") + F.col(f"{other}.step")) == F.col(f"{other}.word"), F.lit(False))
+    fresh, some = F.lit(True), F.col("a0").isNull()
+    for j in range(spare):
+        fresh &= ~agrees(f"b{j}")
+    for j in range(spare + 1):
+        some |= agrees(f"a{j}")
+    start = F.col("pos") - F.col("off")
+    same = F.size(F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.get("w", F.col("pos") - F.col("off") + i) == F.get("win", i)))
+    found = None
+    for k in range(blocks):
+        part = lists.where(F.pmod("row", F.lit(blocks)) == k).drop("row")
+        hits = texts.join(F.broadcast(part), "anchor").where(fresh & some).where(same >= F.col("need"))
+        hits = hits.select("doc", "key", start.alias("start"), "win", "size", (same == F.col("size")).alias("exact"))
+        found = hits if found is None else found.union(hits)
+    return materialize(spark, found, "decon-matches")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR,
+                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256,
-    contaminated, n_near (items with a proximity match), key (xxhash64 of id and text)."""
-    run = run_length(window)
-    items, n_items = item_terms(spark, benchmark, run=run, unnamed=unnamed)
-    postings = build_index(spark, docs, items, n_items, id_col, text_col, run)
-    matches = materialize(spark, search(spark, postings, items, n_items, window), "decon-matches")
-    named = matches.join(small(items.select("item", "item_id").distinct(), n_items), "item")
-    exact = named.where(F.size("starts") > 0).select("doc", "key", "item_id", "shift", "size", F.explode("starts").alias("s"))
-    hit = exact.select("doc", "key", F.explode(F.sequence(F.col("shift") + F.col("s"),
-                                                          F.col("shift") + F.col("s") + F.col("size") - 1)).alias("pos"))
-    hit = hit.distinct().groupBy("doc", "key").agg(F.count(F.lit(1)).alias("n_hit"))
+    contaminated, n_near (items with an exact or proximity match), key (xxhash64 of id and text)."""
+    items, n_items = item_terms(spark, benchmark)
+    postings = build_index(spark, docs, items, n_items, id_col, text_col)
+    found = matches(spark, docs, windows(spark, items, n_items, postings, window), window, near, id_col, text_col)
+    exact = found.where("exact").select("doc", "key", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("pos"))
+    hit = exact.distinct().groupBy("doc", "key").agg(F.count(F.lit(1)).alias("n_hit"))
+    # whether an item occurs in full, before ids are listed: one row per text and item
+    owners = item_windows(items, window)
+    named = found.groupBy("doc", "key", "win").agg(F.max("exact").alias("exact")).join(small(owners, n_items), "win")
+    named = named.groupBy("doc", "key", "item_id", F.when(F.col("item_id").isNull(), F.col("item")).alias("unnamed")) \
+        .agg(F.max("exact").alias("exact"))
     ids = named.groupBy("doc", "key").agg(
-        F.array_sort(F.collect_set(F.when(F.size("starts") > 0, F.col("item_id").cast("string")))).alias("ids"),
-        F.size(F.collect_set("item_id")).cast("long").alias("n_near"))
-    found = materialize(spark, ids.alias("i").join(hit.alias("h"), (F.col("i.key") == F.col("h.key"))
-                                                   & F.col("i.doc").eqNullSafe(F.col("h.doc")), "left")
-                        .select("i.doc", "i.key", "ids", "n_near", "n_hit"), "decon-found")
+        F.array_sort(F.collect_list(F.when(F.col("exact"), F.col("item_id").cast("string")))).alias("ids"),
+        F.count(F.lit(1)).alias("n_near"))
+    told = materialize(spark, ids.alias("i").join(hit.alias("h"), (F.col("i.key") == F.col("h.key"))
+                                                  & F.col("i.doc").eqNullSafe(F.col("h.doc")), "left")
+                       .select("i.doc", "i.key", "ids", "n_near", "n_hit"), "decon-found")
     rows = postings.where(F.col("term") == CLOSING).select("doc", "key", F.col("pos").cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
-    return rows.alias("r").join(found.alias("f"), (F.col("r.key") == F.col("f.key"))
+    return rows.alias("r").join(told.alias("f"), (F.col("r.key") == F.col("f.key"))
                                 & F.col("r.doc").eqNullSafe(F.col("f.doc")), "left").select(
         F.col("r.doc").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(F.coalesce("ids", none)).cast("long").alias("n_items"),

@@ -85,32 +85,38 @@ _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _DECON_SQL = f"""
 WITH d AS (SELECT row_number() OVER () rid, doc_id, coalesce(regexp_extract_all(translate(text, {_LOWER}), '{_WORD}'), []) w
            FROM documents),
-b AS (SELECT DISTINCT item_id, regexp_extract_all(translate(text, {_LOWER}), '{_WORD}') w FROM benchmark
-      WHERE item_id IS NOT NULL),
-c AS (SELECT *, least(10, len(w)) m FROM b WHERE len(w) > 0),
-i AS (SELECT item_id, m, w, unnest(range(1, len(w) - m + 2)) s FROM c),
-g AS (SELECT DISTINCT item_id, m, array_to_string(w[s:s + m - 1], ' ') gram FROM i),
+b AS (SELECT DISTINCT item_id, regexp_extract_all(translate(text, {_LOWER}), '{_WORD}') w FROM benchmark),
+c AS (SELECT row_number() OVER () bid, *, least(10, len(w)) m FROM b WHERE len(w) > 0),
+i AS (SELECT bid, m, w, unnest(range(1, len(w) - m + 2)) s FROM c),
+g AS (SELECT DISTINCT bid, m, array_to_string(w[s:s + m - 1], ' ') gram FROM i),
 p AS (SELECT rid, m, w, unnest(range(1, len(w) - m + 2)) s FROM d, (SELECT DISTINCT m FROM c)),
-o AS (SELECT rid, s, p.m, item_id FROM p JOIN g ON g.m = p.m AND g.gram = array_to_string(w[s:s + p.m - 1], ' ')),
+o AS (SELECT rid, s, p.m, bid FROM p JOIN g ON g.m = p.m AND g.gram = array_to_string(w[s:s + p.m - 1], ' ')),
 h AS (SELECT rid, count(DISTINCT pos) n_hit FROM (SELECT rid, unnest(range(s, s + m)) pos FROM o) GROUP BY rid),
 t AS (SELECT rid, count(DISTINCT item_id) n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) ids
-      FROM o GROUP BY rid)
+      FROM o JOIN c USING (bid) GROUP BY rid),
+dw AS (SELECT rid, unnest(w) word, generate_subscripts(w, 1) pos FROM d),
+bw AS (SELECT bid, len(w) n, m, unnest(w) word, generate_subscripts(w, 1) pos FROM c),
+a AS (SELECT rid, bid, n, m, dw.pos - bw.pos shift, bw.pos pos FROM dw JOIN bw USING (word)),
+l AS (SELECT *, count(*) OVER (PARTITION BY rid, bid, shift) same FROM a),
+k AS (SELECT rid, bid, m, shift, unnest(range(greatest(1, pos - m + 1), least(pos, n - m + 1) + 1)) s FROM l WHERE same >= least(8, m)),
+r AS (SELECT DISTINCT rid, bid FROM (SELECT rid, bid FROM k GROUP BY rid, bid, m, shift, s HAVING count(*) >= least(8, m))),
+e AS (SELECT rid, count(DISTINCT CASE WHEN item_id IS NULL THEN 'unnamed ' || bid ELSE item_id::VARCHAR END) n_near
+      FROM r JOIN c USING (bid) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coalesce(n_items, 0)::BIGINT n_items,
-       sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
-FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)"""
+       sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated, coalesce(n_near, 0)::BIGINT n_near
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid) LEFT JOIN e USING (rid)"""
 
 
 @_query("op4_benchmark_decontamination", _DECON_SQL)
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
-        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
-@_query("op4_benchmark_proximity")
+@_query("op4_benchmark_proximity", f"SELECT doc_id, contaminated, n_near FROM ({_DECON_SQL})")
 def op4_benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The proximity matches: their twin would be all pairs, and op4_benchmark_decontamination's has no column for them."""
-    return decontaminate.decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
-        "doc_id", "contaminated", "n_near")
+    """Three columns of op4_benchmark_decontamination, which has them all."""
+    return op4_benchmark_decontamination(spark, sf_dir).select("doc_id", "contaminated", "n_near")
 
 
 @_query("op5_simhash_near_dedup")

@@ -19,14 +19,14 @@ def brute(rows, items):
         for i, x in items:
             x = words(x)
             m = min(10, len(x))
-            if i is None or not m:
+            if not m:
                 continue
             grams = {tuple(x[s:s + m]) for s in range(len(x) - m + 1)}
             for s in range(len(w) - m + 1):
                 if tuple(w[s:s + m]) in grams:
-                    ids.add(str(i))
+                    ids |= {str(i)} - {"None"}
                     hit.update(range(s, s + m))
-        out.append((d, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
+        out.append((d, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit), near_brute(t, items)))
     return sorted(out, key=str)
 
 
@@ -61,21 +61,22 @@ def test_query_against_brute_force(spark, sf, docs):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, items)
 
 
-def test_shuffled_path_gives_the_same(spark, docs, monkeypatch):
+def test_shuffled_tables_and_anchors_in_blocks_give_the_same(spark, docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "small", lambda df, rows: df)
+    monkeypatch.setattr(decontaminate, "BLOCK_ANCHORS", 40)
     rows, items = corpus()
     got = decontaminate.decontaminate(spark, docs(rows), bench(spark, items))
-    assert sorted((tuple(r)[:6] for r in got.collect()), key=str) == brute(rows, items)
+    assert sorted((tuple(r)[:7] for r in got.collect()), key=str) == brute(rows, items)
 
 
 def test_proximity_allows_other_words_between(spark, docs):
     item = [f"w{i}" for i in range(12)]
     changed = item[:4] + ["other"] + item[5:]
     rows = [(1, " ".join(item)), (2, " ".join(changed)), (3, " ".join(item[:6])), (4, " ".join(reversed(item))),
-            (5, "w4 " * 9)]         # keeps the changed word from being one of the rare terms
+            (5, " ".join(item[2:10])), (6, " ".join(item[3:10]))]
     got = {r["doc_id"]: (r["contaminated"], r["n_near"])
            for r in decontaminate.decontaminate(spark, docs(rows), bench(spark, [(1, " ".join(item))])).collect()}
-    assert got == {1: (True, 1), 2: (False, 1), 3: (False, 0), 4: (False, 0), 5: (False, 0)}
+    assert got == {1: (True, 1), 2: (False, 1), 3: (False, 0), 4: (False, 0), 5: (False, 1), 6: (False, 0)}
 
 
 def test_empty_tables(spark, docs):
@@ -93,8 +94,8 @@ def near_brute(t, items):
         for shift in range(-len(x), len(w) + 1):
             same = [0 <= o + shift < len(w) and w[o + shift] == x[o] for o in range(len(x))]
             m = min(10, len(x))
-            if any(sum(same[s:s + m]) >= min(8, m) for s in range(len(x) - m + 1)):
-                ids.add(i)
+            if m and any(sum(same[s:s + m]) >= min(8, m) for s in range(len(x) - m + 1)):
+                ids.add(i if i is not None else tuple(x))
     return len(ids)
 
 
@@ -111,5 +112,16 @@ def test_near_copies_with_any_one_or_two_words_changed(spark, sf, docs):
                 t[a], t[b] = "altered", "changed"
                 texts.append("before " + " ".join(t) + " after")
     rows = [(i, t) for i, t in enumerate(texts)] + [(1000, "the of a " * 40), (1001, None)]
-    got = queries.op4_benchmark_proximity(spark, sf(documents=docs(rows), benchmark=bench(spark, items))).collect()
+    path = sf(documents=docs(rows), benchmark=bench(spark, items))
+    got = queries.op4_benchmark_decontamination(spark, path).collect()
     assert {x["doc_id"]: x["n_near"] for x in got} == {i: near_brute(t, items) for i, t in rows}
+    short = queries.op4_benchmark_proximity(spark, path).collect()
+    assert sorted((x["doc_id"], x["contaminated"], x["n_near"]) for x in got) == sorted(tuple(x) for x in short)
+
+
+def test_items_without_id_count_but_are_not_listed(spark, sf, docs):
+    item = " ".join(f"n{i}" for i in range(12))
+    got = queries.op4_benchmark_decontamination(spark, sf(documents=docs([(1, "a " + item + " b")]), benchmark=bench(spark, [(None, item)])))
+    r = got.first()
+    assert (r["n_hit"], r["n_items"], r["contaminated"], r["n_near"]) == (12, 0, True, 1)
+    assert r["items_sha256"] == hashlib.sha256(b"").hexdigest()
