@@ -26,11 +26,11 @@ def _query(name: str, sql: str | None = None):
 
 
 _TOPK_SQL = """
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) v FROM embeddings
+WITH e AS (SELECT row_number() OVER () rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT score
+s AS (SELECT q.rid, q.vec_id query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT score
       FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT rank FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INT rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
 

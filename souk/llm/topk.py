@@ -1,15 +1,17 @@
 """Exact top-k search by integer inner product.
 
-Queries and candidates are dealt into tiles of bounded size; each pair of tiles
+Queries and candidates are dealt into tiles of ``TILE_BYTES``; each pair of tiles
 is one matrix product with a partial selection, and the per-tile lists are
 merged in a tree (groups of ``FAN`` lists of at most k) until one list per query
-is left.  Nothing is broadcast, and no task holds more than one tile pair.
+is left.  Nothing is broadcast, and no task holds more than one tile pair.  Rows
+are dealt by number, so equal rows spread over all tiles.
 
 Defined cases: null vectors and vectors with a null or non-finite component take
-no part; vectors of different length never meet; repeated rows (same id, same
-vector) count once; a row never matches a row of its own id; equal scores go to
-the smaller id; scores are exact integers, clipped to the range of a long; a
-query without candidates has no rows; empty tables give an empty result.
+no part; vectors of different length never meet; repeated rows are candidates each,
+and a query row that is there twice has two lists, each with ranks from 1; a row
+never matches a row of its own id; equal scores go to the smaller id; scores are exact
+integers, ranked as such and returned clipped to the range of a long; a null id takes
+no part; a query without candidates has no rows; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from pyspark.sql import functions as F
 
 from souk.llm.common import materialize
 
-QUERY_TILE = 2_048
-SHARD_TILE = 16_384
+TILE_BYTES = 8 << 20
 FAN = 16
 _LONG = (-(2 ** 63), 2 ** 63 - 1)
+_NINES = str.maketrans("0123456789", "9876543210")
 
 
 def usable(vec: Column) -> Column:
@@ -66,18 +68,17 @@ def _tile(k: int):
                 qs, cs = queries[q_len == n], shard[c_len == n]
                 if not len(cs):
                     continue
-                q = np.array(qs["vec"].tolist(), dtype=np.float64).reshape(len(qs), n)
-                c = np.array(cs["vec"].tolist(), dtype=np.float64).reshape(len(cs), n)
+                q, c = np.concatenate(qs["vec"].tolist()).reshape(len(qs), n), np.concatenate(cs["vec"].tolist()).reshape(len(cs), n)
                 ids = cs["id"].to_numpy()
                 for lo in range(0, len(qs), 256):
                     scores = _products(q[lo:lo + 256], c)
-                    for i, (qid, qkey) in enumerate(zip(qs["id"].iloc[lo:lo + 256], qs["qkey"].iloc[lo:lo + 256])):
-                        rows.append(_select(qid, qkey, scores[i], ids, k))
-        return pd.DataFrame(rows, columns=["query_id", "qkey", "scores", "ids"])
+                    for i, (qid, row) in enumerate(zip(qs["id"].iloc[lo:lo + 256], qs["row"].iloc[lo:lo + 256])):
+                        rows.append(_select(qid, row, scores[i], ids, k))
+        return pd.DataFrame(rows, columns=["query_id", "row", "scores", "beyond", "ids"])
     return search
 
 
-def _select(qid, qkey, s, ids, k):
+def _select(qid, row, s, ids, k):
     other = ids != qid
     s, ids = s[other], ids[other]
     if len(s) > k:
@@ -86,34 +87,48 @@ def _select(qid, qkey, s, ids, k):
         s, ids = s[keep], ids[keep]
     # ids ascend, so a stable sort by falling score leaves ties in id order
     order = np.argsort(-s, kind="stable")[:k]
-    return qid, qkey, [min(max(int(x), _LONG[0]), _LONG[1]) for x in s[order]], [int(x) for x in ids[order]]
+    best = [int(x) for x in s[order]]
+    return qid, row, [min(max(x, _LONG[0]), _LONG[1]) for x in best], [_beyond(x) for x in best], [int(x) for x in ids[order]]
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_tile: int = QUERY_TILE,
-          shard_tile: int = SHARD_TILE) -> DataFrame:
-    """(query_id, rank, vec_id, score) of each query's k best candidates.
+def _beyond(score: int) -> str:
+    """Orders scores that a long can't tell apart, larger ones first: by sign, length and digits; else empty."""
+    if _LONG[0] < score < _LONG[1]:
+        return ""
+    digits = str(abs(score))
+    if score < 0:
+        return f"1{len(digits):04d}{digits}"
+    return f"0{9999 - len(digits):04d}" + digits.translate(_NINES)
 
-    Both inputs: (id long, vec array<double> of integers)."""
+
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_tile: int | None = None,
+          shard_tile: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) of each query row's k best candidates.
+
+    Both inputs: (id long, vec array<double> of integers).  Tiles are given in rows;
+    by default ``TILE_BYTES`` of the longest vector make one."""
     spark = queries.sparkSession
-    rows = lambda df: df.where(F.col("id").isNotNull()).select("id", "vec").distinct()
-    queries = materialize(spark, rows(queries), "topk-queries").withColumn("qkey", F.xxhash64("vec"))
-    candidates = materialize(spark, rows(candidates), "topk-shards")
-    n_q, n_c = queries.count(), candidates.count()
-    q_tiles, c_tiles = max(1, math.ceil(n_q / query_tile)), max(1, math.ceil(n_c / shard_tile))
+    rows = lambda df: df.where(F.col("id").isNotNull()).select("id", "vec", F.monotonically_increasing_id().alias("row"))
+    queries, candidates = materialize(spark, rows(queries), "topk-queries"), materialize(spark, rows(candidates), "topk-shards")
+
+    def tiles(df: DataFrame, tile: int | None) -> int:
+        told = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("dim")).first()
+        return max(1, math.ceil(told["n"] / (tile or max(1, TILE_BYTES // (8 * max(1, told["dim"]))))))
+    q_tiles, c_tiles = tiles(queries, query_tile), tiles(candidates, shard_tile)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda n: F.pmod(F.xxhash64("id", "vec"), F.lit(n)).cast("int")
-    q = queries.select("id", "qkey", "vec", dealt(q_tiles).alias("qt"), every(c_tiles).alias("ct"))
+    dealt = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    q = queries.select("id", "row", "vec", dealt(q_tiles).alias("qt"), every(c_tiles).alias("ct"))
     c = candidates.select("id", "vec", dealt(c_tiles).alias("ct"), every(q_tiles).alias("qt"))
     lists = q.groupBy("qt", "ct").cogroup(c.groupBy("qt", "ct")).applyInPandas(
-        _with_shard(_tile(k)), "query_id long, qkey long, part int, scores array<long>, ids array<long>")
-    top = F.transform(F.arrays_zip("scores", "ids"),
-                      lambda e: F.struct((-e["scores"].cast("decimal(20,0)")).alias("less"), e["ids"].alias("id"),
-                                         e["scores"].alias("score")))
-    lists = lists.select("query_id", "qkey", "part", top.alias("top"))
+        _with_shard(_tile(k)), "query_id long, row long, part int, scores array<long>, beyond array<string>, ids array<long>")
+    top = F.transform(F.arrays_zip("scores", "beyond", "ids"),
+                      lambda e: F.struct((-e["scores"].cast("decimal(20,0)")).alias("less"), e["beyond"].alias("beyond"),
+                                         e["ids"].alias("id"), e["scores"].alias("score")))
+    lists = lists.select("query_id", "row", "part", top.alias("top"))
     parts = c_tiles
     while True:
         parts = math.ceil(parts / FAN)
-        lists = lists.groupBy("query_id", "qkey", F.floor(F.col("part") / FAN).cast("int").alias("part")).agg(
+        lists = lists.groupBy("query_id", "row", F.floor(F.col("part") / FAN).cast("int").alias("part")).agg(
             F.slice(F.sort_array(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
         if parts <= 1:
             break

@@ -10,17 +10,12 @@ SCHEMA = "vec_id long, embedding array<float>, label int, score string"
 
 
 def brute(rows, k=20):
-    vecs = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            vecs.setdefault(i, set()).add(tuple(math.floor(64 * float(np.float32(x))) for x in v))
+    vecs = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in rows
+            if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, own in vecs.items():
-        if q % 20:
-            continue
-        for qv in own:
-            s = sorted((-sum(a * b for a, b in zip(qv, cv)), c) for c, cs in vecs.items() if c != q
-                       for cv in cs if len(cv) == len(qv))
+    for q, qv in vecs:
+        if q % 20 == 0:
+            s = sorted((-sum(a * b for a, b in zip(qv, cv)), c) for c, cv in vecs if c != q and len(cv) == len(qv))
             out += [(q, r + 1, c, -x) for r, (x, c) in enumerate(s[:k])]
     return sorted(out)
 
@@ -42,6 +37,15 @@ def test_against_brute_force_with_ties_and_bad_vectors(spark, sf):
     assert got == exp
 
 
+def test_scores_beyond_a_long_are_ranked_exactly(spark, sf):
+    rows = [(i, [float(x), 1.0]) for i, x in enumerate([1e25, 1e30, 3e30, -1e30, -3e30, 2.5, 3e30])]
+    got = run(spark, sf, rows)
+    assert [r[2] for r in sorted(got)] == [2, 6, 1, 5, 3, 4]
+    big = [10 ** 40, 10 ** 30, 2 ** 63, 2 ** 63 - 1, 0, -2 ** 63, -2 ** 63 - 1, -10 ** 30, -10 ** 40]
+    key = [(-min(max(x, -2 ** 63), 2 ** 63 - 1), topk._beyond(x)) for x in big]
+    assert [x for _, x in sorted(zip(key, big))] == big
+
+
 def test_small_tiles_merge_in_a_tree(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 3)]) for i in range(90)]
