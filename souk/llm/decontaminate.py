@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from souk.llm.common import ascii_lower, materialize, small
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 NEAR = 8
 CLOSING = -1        # term id of the posting that holds a row's word count
@@ -40,7 +40,8 @@ BLOCK_ANCHORS = 100_000
 
 
 def words(text) -> Column:
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """Lower-case words; splitting leaves an empty string at most at either end."""
+    return F.coalesce(F.array_remove(F.split(ascii_lower(text), SEPARATOR), ""), F.array().cast("array<string>"))
 
 
 def item_terms(spark: SparkSession, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, int]:
@@ -58,7 +59,7 @@ def build_index(spark: SparkSession, docs: DataFrame, items: DataFrame, n_items:
     vocabulary = materialize(spark, items.select("word", "term").distinct()
                              .union(spark.createDataFrame([("", CLOSING)], "word string, term long")), "decon-terms")
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(id_col, text_col).alias("key"),
-                       F.concat(words(F.col(text_col)), F.array(F.lit(""))).alias("w"))
+                       F.explode(F.array(F.concat(words(F.col(text_col)), F.array(F.lit(""))))).alias("w"))    # a plain column
     rows = rows.select("doc", "key", F.posexplode("w").alias("pos", "word"))
     return materialize(spark, rows.join(small(vocabulary, n_items), "word").select("doc", "key", "pos", "term"), "decon-postings")
 
@@ -115,7 +116,8 @@ def matches(spark: SparkSession, docs: DataFrame, wins: DataFrame, window: int =
     for j in range(spare + 1):
         some |= agrees(f"a{j}")
     start = F.col("pos") - F.col("off")
-    same = F.size(F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.get("w", F.col("pos") - F.col("off") + i) == F.get("win", i)))
+    # no lambda here: generated code keeps the row's words in place, else they were copied for every candidate
+    same = sum((F.when(F.get("w", start + i) == F.get("win", F.lit(i)), 1).otherwise(0) for i in range(window)), F.lit(0))
     found = None
     for k in range(blocks):
         part = lists.where(F.pmod("row", F.lit(blocks)) == k).drop("row")
