@@ -7,14 +7,19 @@ statistics and once for the flags; nothing is collected to the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from souk.functions import safe_div
-from souk.operators.ordered import quantiles
+from souk.operators.ordered import column_quantiles
 
+# fixed values: the detectors' columns
 SCALED_FEATURES = ["customer_age", "log_base_price", "discount_percent",
                    "log_final_price", "log_units_sold", "log_revenue"]
 ZSCORE_COLUMNS = ["revenue", "units_sold", "discount_percent"]
@@ -22,10 +27,7 @@ ZSCORE_COLUMNS = ["revenue", "units_sold", "discount_percent"]
 
 def robust_stats(df: DataFrame, cols: Sequence[str] = SCALED_FEATURES) -> DataFrame:
     """One row: median and IQR (q75 - q25, 0 -> 1) of each column (exact)."""
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols
-    ])).alias("_kv")).select("_kv.feature", "_kv.x")
-    q = quantiles(long, "x", [0.25, 0.5, 0.75], by=["feature"])
+    q = column_quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols})
     aggs = []
     for c in cols:
         sel = F.col("feature") == c
@@ -84,7 +86,6 @@ def anomalies_by(df: DataFrame, flag: str, key: str = "category") -> DataFrame:
 # ---------------------------------------------------------------- isolation forest (AN3)
 def _c_factor(n):
     """Average path length of an unsuccessful BST search over n points."""
-    import numpy as np
     n = np.asarray(n, dtype=float)
     out = np.zeros_like(n)
     big = n > 2
@@ -104,18 +105,14 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key_cols: Sequence[str]
     * Building: ``groupBy(tree).applyInPandas`` grows each tree on its sample
       (random feature, uniform split between the node's min and max, depth
       limit ceil(log2(sample_size))).
-    * Scoring: the forest (at most ``n_trees * (2 * sample_size - 1)`` nodes,
-      a fixed bound) is shipped to ``mapInPandas``, which computes each row's
-      mean path length; score s = 2^(-E[h] / c(psi)), psi = rows per tree.
+    * Scoring: the forest, padded to complete trees (``n_trees * 2 ** depth`` places,
+      a fixed bound), is broadcast; a vectorised UDF over the feature columns alone
+      walks all trees of a batch level by level; score s = 2^(-E[h] / c(psi)),
+      psi = rows per tree.
     * Threshold: the exact (1 - contamination) quantile of s; rows above are
       anomalies.  Adds ``iso_score`` (s), ``iso_label`` (-1 anomaly / 1) and
       ``is_anomaly``.
     """
-    import math
-
-    import numpy as np
-    import pandas as pd
-
     cols = list(cols)
     def dealt(*parts):
         return F.pmod(F.xxhash64(*parts), F.lit(1 << 40)).cast("double") / float(1 << 40)
@@ -170,38 +167,61 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key_cols: Sequence[str]
         build, "tree int, node int, feature int, threshold double, left int, right int, size long")
     # bounded model: n_trees * (2 * sample_size - 1) nodes at most
     model = forest.toPandas().sort_values(["tree", "node"])
-    trees = [g.reset_index(drop=True) for _, g in model.groupby("tree")]
-    packed = [(g["feature"].to_numpy(), g["threshold"].to_numpy(), g["left"].to_numpy(),
-               g["right"].to_numpy(), _c_factor(g["size"].to_numpy())) for g in trees]
     c_psi = float(_c_factor([max(psi, 2)])[0])
-    bc = df.sparkSession.sparkContext.broadcast(packed)
-
-    def path_lengths(it):
-        for pdf in it:
-            x = pdf[cols].to_numpy(float)
-            x = np.where(np.isnan(x), 0.0, x)
-            total = np.zeros(len(x))
-            for feat, thr, left, right, cadj in bc.value:
-                node = np.zeros(len(x), dtype=int)
-                depth = np.zeros(len(x))
-                active = feat[node] >= 0
-                while active.any():
-                    f = feat[node[active]]
-                    go_left = x[active, f] < thr[node[active]]
-                    node[active] = np.where(go_left, left[node[active]], right[node[active]])
-                    depth[active] += 1
-                    active = feat[node] >= 0
-                total += depth + cadj[node]
-            pdf["iso_score"] = np.power(2.0, -(total / len(bc.value)) / c_psi)
-            yield pdf
-
-    from pyspark.sql import types as T
-    scored_schema = T.StructType([*df.schema.fields, T.StructField("iso_score", T.DoubleType())])
-    scored = df.mapInPandas(path_lengths, scored_schema)
-    scored = materialize(scored)
+    bc = df.sparkSession.sparkContext.broadcast(_padded(model, max_depth))
+
+    @F.pandas_udf(T.DoubleType())
+    def iso_score(*xs: pd.Series) -> pd.Series:
+        x = np.nan_to_num(np.column_stack([s.to_numpy(float) for s in xs]), nan=0.0, posinf=np.inf, neginf=-np.inf)
+        return pd.Series(np.power(2.0, -_path_lengths(x, *bc.value) / c_psi))
+
+    # only the features travel through Python
+    scored = materialize(df.withColumn("iso_score", iso_score(*[F.col(c).cast("double") for c in cols])))
     th = quantile_row(scored, "iso_score", {"_thr": 1.0 - contamination})
     out = scored.crossJoin(F.broadcast(th))
     flag = F.col("iso_score") > F.col("_thr")
     return (out.withColumn("is_anomaly", flag)
                .withColumn("iso_label", F.when(flag, F.lit(-1)).otherwise(F.lit(1)))
                .drop("_thr"))
+
+
+def _padded(model, depth: int):
+    """The trees as arrays of complete binary trees: (features, thresholds) of the inner
+    places, level by level, and the path length at each place of the last level.  Below a
+    leaf all places hold the leaf's path length, so whichever way a row goes there is right."""
+    trees = [g.reset_index(drop=True) for _, g in model.groupby("tree")]
+    feature = np.zeros((len(trees), 2 ** depth - 1), np.int64)
+    threshold = np.zeros((len(trees), 2 ** depth - 1))
+    path = np.zeros((len(trees), 2 ** depth))
+    for k, g in enumerate(trees):
+        rows = list(zip(g["feature"], g["threshold"], g["left"], g["right"], _c_factor(g["size"].to_numpy())))
+        todo = [(0, 0, 0)]                      # node, its place, its level
+        while todo:
+            node, place, level = todo.pop()
+            f, thr, left, right, rest = rows[node]
+            if f >= 0:
+                feature[k, place], threshold[k, place] = f, thr
+                todo += [(left, 2 * place + 1, level + 1), (right, 2 * place + 2, level + 1)]
+            else:
+                span = 2 ** (depth - level)
+                first = (place - (2 ** level - 1)) * span
+                path[k, first:first + span] = level + rest
+    return feature, threshold, path
+
+
+def _path_lengths(x, feature, threshold, path, rows: int = 1024):
+    """Mean path length of each row over all trees, all trees walked at once."""
+    n_trees, inner = feature.shape
+    base = (np.arange(n_trees) * inner)[None, :]
+    feature, threshold = feature.ravel(), threshold.ravel()
+    out = np.empty(len(x))
+    for lo in range(0, len(x), rows):
+        part = np.ascontiguousarray(x[lo:lo + rows])
+        flat, at = part.ravel(), (np.arange(len(part)) * x.shape[1])[:, None]
+        place = np.zeros((len(part), n_trees), np.int64)
+        for _ in range((inner + 1).bit_length() - 1):
+            node = place + base
+            place = 2 * place + 1 + (flat[at + feature[node]] >= threshold[node])
+        place -= inner
+        out[lo:lo + rows] = path.ravel()[place + (np.arange(n_trees) * (inner + 1))[None, :]].mean(axis=1)
+    return out

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.functions import clip, customer_key, month_start, months_between_keys, safe_div, np_round
-from souk.operators.ordered import first_in_group, materialize, quantiles
+from souk.operators.ordered import column_quantiles, first_in_group, materialize
 
 
 def with_customer_id(df: DataFrame, null_literal: bool = True) -> DataFrame:
@@ -77,12 +77,11 @@ def customer_features(df: DataFrame) -> DataFrame:
 def _named_quantiles(df: DataFrame, spec: dict[str, tuple[str, float]]) -> DataFrame:
     """One-row table of named quantiles of several columns, one ranking job:
     ``{'p95_rev': ('total_revenue', .95), ...}``."""
-    cols = sorted({c for c, _ in spec.values()})
-    probs = sorted({q for _, q in spec.values()})
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols
-    ])).alias("_kv")).select("_kv.feature", "_kv.x")
-    q = quantiles(long, "x", probs, by=["feature"])
+    probs: dict[str, list[float]] = {}
+    for c, q in spec.values():
+        if q not in probs.setdefault(c, []):
+            probs[c].append(q)
+    q = column_quantiles(df, probs)
     return q.agg(*[F.max(F.when((F.col("feature") == c) & (F.col("q") == float(p)), F.col("value")))
                    .alias(name) for name, (c, p) in spec.items()])
 

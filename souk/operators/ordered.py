@@ -3,66 +3,123 @@ ECDF, rolling statistics and lag-based growth.
 
 A global ``Window.orderBy`` without ``partitionBy`` moves every row into one
 task.  ``prefix_sum`` avoids that: rows are range-partitioned on the ordering
-key (hot groups are split across partitions by value), running sums are taken
-inside each (group, range-partition) piece, and per-piece totals -- one row per
-piece, i.e. bounded by groups + partitions -- give the offsets that are added
-back.  The range-partitioned input is checkpointed to the cluster checkpoint
-folder so that both readers see the same partition numbers and the job resumes
-from it after an executor loss.
+key (hot groups are split across partitions by value) into pieces whose number
+follows the counted rows, sorted, and scanned in the same stage; per-piece totals
+-- one row per group and piece -- give the offsets that are added back.  The
+scanned rows are checkpointed, so that both readers see the same pieces and the
+job resumes from them after an executor loss.
+
+``quantiles`` ranks only a small part of the rows: an approximate pass brackets
+every target rank, a second pass counts the rows below each bracket, and only
+rows inside the brackets are counted by value and ranked.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from souk.session import ensure_checkpoint_dir
 
-
-def _partitions(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+PIECE_ROWS = 250_000        # rows of a range piece, on average
+BROADCAST_ROWS = 100_000    # largest counted table that is broadcast
+ACCURACY = 1_000            # an approximate quantile is off by 1 / ACCURACY of the rows at most
+SMALL_GROUP = 4_096         # groups up to this size are bracketed by their minimum and maximum
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast hint for a table whose rows were counted; none above ``BROADCAST_ROWS``."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _group_starts(b: pa.RecordBatch, n_by: int) -> np.ndarray:
+    """Rows of the batch, beyond the first, whose first ``n_by`` columns differ from the row before."""
+    change = np.zeros(max(b.num_rows - 1, 0), bool)
+    for i in range(n_by):
+        codes = b.column(i).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        change |= codes[1:] != codes[:-1]
+    return np.flatnonzero(change) + 1
+
+
+def _scan(n_by: int, weights: Sequence[int], names: Sequence[str]):
+    """Adds the piece and the running sum of each weight column within each run of equal groups."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, last, carry = TaskContext.get().partitionId(), None, [0] * len(weights)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            starts = _group_starts(b, n_by)
+            ends = [*starts.tolist(), b.num_rows]
+            first = repr([b.column(i)[0].as_py() for i in range(n_by)])
+            if first != last:
+                carry = [0] * len(weights)
+            last = repr([b.column(i)[b.num_rows - 1].as_py() for i in range(n_by)])
+            sums = []
+            for k, w in enumerate(weights):
+                x = b.column(w).fill_null(0).to_numpy(zero_copy_only=False)
+                x = x.astype(np.int64) if x.dtype.kind in "iu" else x.astype(np.float64)
+                x[0] += carry[k]
+                out, lo = np.empty_like(x), 0
+                for hi in ends:
+                    np.cumsum(x[lo:hi], out=out[lo:hi])
+                    lo = hi
+                carry[k] = out[-1]
+                sums.append(pa.array(out))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, piece, np.int32)), *sums], names=list(names))
+    return run
+
+
+def scanned_pieces(df: DataFrame, order: Sequence, weights: Sequence[str], by: Sequence[str], p: int) -> DataFrame:
+    """``df`` in p sorted range pieces with ``_piece`` and the running sums ``_local_<w>``
+    inside each (group, piece): one exchange, the scan runs in its reading stage."""
+    cols = [*by, *[c for c in df.columns if c not in by]]
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    local = [T.StructField(f"_local_{w}", T.LongType() if isinstance(kinds[w], T.IntegralType) else T.DoubleType()) for w in weights]
+    schema = T.StructType([T.StructField(c, kinds[c]) for c in cols] + [T.StructField("_piece", T.IntegerType()), *local])
+    ranged = df.select(cols).repartitionByRange(p, *[F.col(c) for c in by], *order) \
+        .sortWithinPartitions(*[F.col(c) for c in by], *order)
+    return ranged.mapInArrow(_scan(len(by), [cols.index(w) for w in weights], schema.names), schema)
 
 
 def prefix_sum(df: DataFrame, order, weights: Sequence[str],
                by: Sequence[str] = (), partitions: int | None = None,
                prefix: str = "cum_") -> DataFrame:
-    """Add inclusive running sums ``cum_<w>`` of each weight column within each
-    ``by`` group, ordered by ``order`` (a column name, a Column, or a list of
-    them, e.g. ``[F.desc('v'), F.asc('k')]``), plus group totals ``total_<w>``.
+    """Add inclusive running sums ``cum_<w>`` of each weight column (whole numbers
+    or doubles; null counts as 0) within each ``by`` group, ordered by ``order`` (a
+    column name, a Column, or a list of them, e.g. ``[F.desc('v'), F.asc('k')]``),
+    plus group totals ``total_<w>``.
 
     ``(by, order)`` should be unique (compress with a ``groupBy`` first); then
     the result is deterministic.
     """
-    by = list(by)
-    weights = list(weights)
+    by, weights = list(by), list(weights)
     order = [F.col(o) if isinstance(o, str) else o
              for o in (order if isinstance(order, (list, tuple)) else [order])]
-    p = partitions or _partitions(df)
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = (df.repartitionByRange(p, *[F.col(c) for c in by], *order)
-                .withColumn("_piece", F.spark_partition_id())
-                .checkpoint(eager=True))
-
-    w_local = (Window.partitionBy(*by, "_piece").orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = ranged.select("*", *[F.sum(w).over(w_local).alias(f"_local_{w}") for w in weights])
+    df = materialize(df)        # counted, sampled for the ranges, and then moved
+    p = partitions or max(1, -(-df.count() // PIECE_ROWS))
+    scanned = materialize(scanned_pieces(df, order, weights, by, p))
 
-    pieces = ranged.groupBy(*by, "_piece").agg(*[F.sum(w).alias(f"_piece_{w}") for w in weights])
+    pieces = scanned.groupBy(*by, "_piece").agg(*[F.sum(w).alias(f"_piece_{w}") for w in weights])
     w_off = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*by)
     offsets = pieces.select(
-        *by, "_piece",
+        *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_piece").alias("_at"),
         *[F.coalesce(F.sum(f"_piece_{w}").over(w_off), F.lit(0)).alias(f"_off_{w}") for w in weights],
         *[F.sum(f"_piece_{w}").over(w_all).alias(f"total_{w}") for w in weights])
     if not by:
-        # One row per range partition: a proven bound, safe to broadcast.
+        # One row per range piece: a proven bound, safe to broadcast.
         offsets = F.broadcast(offsets)
-    out = local.join(offsets, on=[*by, "_piece"])
-    return out.select(
-        *[c for c in df.columns],
+    on = F.col("_piece") == F.col("_at")
+    for c in by:
+        on &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return scanned.join(offsets, on).select(
+        *df.columns,
         *[(F.col(f"_local_{w}") + F.col(f"_off_{w}")).alias(f"{prefix}{w}") for w in weights],
         *[F.col(f"total_{w}") for w in weights])
 
@@ -77,15 +134,97 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str]
               partitions: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (pandas/numpy default, DuckDB
     ``quantile_cont``) of ``col`` per ``by`` group: one row per (group, q)
-    with columns ``by..., q, value``.
-
-    Works on value counts, so memory per task is bounded by the range
-    partition size, not by the size of the largest group.
-    """
-    by = list(by)
-    vc = value_counts(df, col, by, "w")
-    ps = prefix_sum(vc, col, ["w"], by, partitions)
-    return quantiles_from_prefix(ps, col, "w", probs, by)
+    with columns ``by..., q, value``.  Rows of a null group take no part."""
+    return column_quantiles(df, {col: probs}, by, partitions).drop("feature")
+
+
+def column_quantiles(df: DataFrame, probs: Mapping[str, Sequence[float]], by: Sequence[str] = (),
+                     partitions: int | None = None) -> DataFrame:
+    """Exact quantiles of several columns at once: (by..., feature, q, value).
+
+    Three scans of the columns, none of which shuffles rows: approximate quantiles
+    bracket every target rank, map-side counts place the brackets, and the rows
+    inside (some 4 / ``ACCURACY`` of them per target, equal values counted) are ranked.
+    Groups whose bracket misses its target are ranked in full."""
+    by, cols = list(by), list(probs)
+    kept = [F.col(c).isNotNull() for c in by]
+    df = df.select(*by, *cols)
+    for k in kept:
+        df = df.where(k)
+    one_type = len(cols) == 1
+    xs = {c: F.col(c) if one_type else F.col(c).cast("double") for c in cols}
+    targets = [(t, c, q) for t, (c, q) in enumerate((c, float(q)) for c in cols for q in probs[c])]
+
+    margin = 2 / ACCURACY
+    aggs = []
+    for i, c in enumerate(cols):
+        asked = [min(max(q + s * margin, 0.0), 1.0) for _, d, q in targets if d == c for s in (-1, 1)]
+        aggs += [F.count(xs[c]).alias(f"_n{i}"), F.min(xs[c]).alias(f"_min{i}"), F.max(xs[c]).alias(f"_max{i}"),
+                 F.percentile_approx(xs[c], asked, ACCURACY).alias(f"_a{i}")]
+    rough = df.groupBy(*by).agg(*aggs)
+    brackets, at = [F.col(f"_n{i}") for i in range(len(cols))], dict.fromkeys(cols, 0)
+    for t, c, _ in targets:
+        i, k = cols.index(c), at[c]
+        at[c] += 2
+        small_group = F.col(f"_n{i}") <= SMALL_GROUP
+        brackets += [F.when(small_group, F.col(f"_min{i}")).otherwise(F.get(f"_a{i}", F.lit(k))).alias(f"_lo{t}"),
+                     F.when(small_group, F.col(f"_max{i}")).otherwise(F.get(f"_a{i}", F.lit(k + 1))).alias(f"_hi{t}")]
+    rough = materialize(rough.select(*by, *brackets))
+    groups = rough.count() if by else 1
+
+    placed = _attach(df, rough, groups, by)
+    below = placed.groupBy(*by).agg(
+        *[F.count_if(xs[c] < F.col(f"_lo{t}")).alias(f"_below{t}") for t, c, _ in targets],
+        *[F.count_if(xs[c] <= F.col(f"_hi{t}")).alias(f"_upto{t}") for t, c, _ in targets])
+    facts = materialize(_attach(rough, below, groups, by))
+    missed, inside_rows = F.lit(False), F.lit(0).cast("long")
+    for t, c, q in targets:
+        h = F.lit(q) * (F.col(f"_n{cols.index(c)}") - 1)
+        missed |= (F.col(f"_n{cols.index(c)}") > 0) & ((F.floor(h) < F.col(f"_below{t}")) | (F.ceil(h) >= F.col(f"_upto{t}")))
+        inside_rows += F.col(f"_upto{t}") - F.col(f"_below{t}")
+    told = facts.agg(F.count_if(missed).alias("missed"), F.sum(inside_rows).alias("inside")).first()
+
+    inside = {t: F.coalesce(xs[c].between(F.col(f"_lo{t}"), F.col(f"_hi{t}")), F.lit(False)) for t, c, _ in targets}
+    some = F.lit(False)
+    for cond in inside.values():
+        some |= cond
+    each = F.filter(F.array(*[F.struct(F.lit(t).alias("t"), xs[c].alias("x"), inside[t].alias("inside")) for t, c, _ in targets]),
+                    lambda s: s["inside"])
+    rows = _attach(df, facts.where(~missed), groups, by).where(some).select(*by, F.explode(each).alias("_e"))
+    counts = rows.groupBy(*by, F.col("_e.t").alias("_t"), F.col("_e.x").alias("_x")).agg(F.count(F.lit(1)).alias("_w"))
+    if (told["inside"] or 0) <= PIECE_ROWS and not partitions:
+        w = Window.partitionBy(*by, "_t").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = counts.withColumn("cum__w", F.sum("_w").over(w))        # counted: a single piece at most
+    else:
+        ranked = prefix_sum(counts, "_x", ["_w"], [*by, "_t"], partitions)
+    goals = facts.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(t).alias("_t"), F.lit(c).alias("feature"), F.lit(q).alias("q"), F.col(f"_below{t}").alias("_below"),
+                 (F.lit(q) * (F.col(f"_n{cols.index(c)}") - 1)).alias("_h")) for t, c, q in targets])).alias("_g")).select(*by, "_g.*")
+    found = ranked.join(small(goals, groups * len(targets)), [*by, "_t"])
+    out = _interpolated(found, F.col("_x"), F.col("_below") + F.col("cum__w") - F.col("_w"), F.col("_below") + F.col("cum__w") - 1,
+                        F.col("_h"), [*by, "feature", "q"])
+    if told["missed"]:
+        left = df.join(small(facts.where(missed).select(*by), groups), by, "left_semi") if by else df
+        for c in cols:
+            ps = prefix_sum(value_counts(left, c, by, "_w"), c, ["_w"], by, partitions)
+            exact = quantiles_from_prefix(ps, c, "_w", list(probs[c]), by)
+            out = out.unionByName(exact.select(*by, F.lit(c).alias("feature"), "q", "value"))
+    return out
+
+
+def _attach(df: DataFrame, facts: DataFrame, rows: int, by: Sequence[str]) -> DataFrame:
+    """``df`` with its group's row of ``facts`` (of ``rows`` rows; a single one without groups)."""
+    return df.join(small(facts, rows), list(by)) if by else df.crossJoin(F.broadcast(facts))
+
+
+def _interpolated(rows: DataFrame, x, start, end, h, keys: Sequence[str]) -> DataFrame:
+    """(keys..., value): a row of value x holds the ranks start to end; h is the rank asked for."""
+    lo, hi = F.floor(h), F.ceil(h)
+    hit_lo, hit_hi = (lo >= start) & (lo <= end), (hi >= start) & (hi <= end)
+    agg = rows.where(hit_lo | hit_hi).groupBy(*keys).agg(
+        F.max(F.when(hit_lo, x)).alias("_xlo"), F.max(F.when(hit_hi, x)).alias("_xhi"), F.first(h).alias("_h0"))
+    frac = F.col("_h0") - F.floor("_h0")
+    return agg.select(*keys, (F.col("_xlo") + (F.col("_xhi") - F.col("_xlo")) * frac).alias("value"))
 
 
 def quantiles_from_prefix(ps: DataFrame, col: str, weight: str, probs: Sequence[float],
@@ -95,25 +234,14 @@ def quantiles_from_prefix(ps: DataFrame, col: str, weight: str, probs: Sequence[
     so one prefix sum with several weight columns serves several samples."""
     by = list(by)
     n = F.col(f"total_{weight}")
-    start = F.col(f"cum_{weight}") - F.col(weight)
-    end = F.col(f"cum_{weight}") - 1
     targets = F.array(*[
         F.struct(F.lit(float(q)).alias("q"), (F.lit(float(q)) * (n - 1)).alias("h"))
         for q in probs])
     t = (ps.where(F.col(weight) > 0)
-           .select(*by, col, start.alias("_s"), end.alias("_e"), F.explode(targets).alias("_t"))
-           .select(*by, col, "_s", "_e", F.col("_t.q").alias("q"), F.col("_t.h").alias("h"))
-           .withColumn("_lo", F.floor("h"))
-           .withColumn("_hi", F.ceil("h")))
-    hit_lo = (F.col("_lo") >= F.col("_s")) & (F.col("_lo") <= F.col("_e"))
-    hit_hi = (F.col("_hi") >= F.col("_s")) & (F.col("_hi") <= F.col("_e"))
-    agg = (t.where(hit_lo | hit_hi)
-            .groupBy(*by, "q")
-            .agg(F.max(F.when(hit_lo, F.col(col))).alias("_xlo"),
-                 F.max(F.when(hit_hi, F.col(col))).alias("_xhi"),
-                 F.first("h").alias("h")))
-    frac = F.col("h") - F.floor("h")
-    return agg.select(*by, "q", (F.col("_xlo") + (F.col("_xhi") - F.col("_xlo")) * frac).alias("value"))
+           .select(*by, col, (F.col(f"cum_{weight}") - F.col(weight)).alias("_s"), (F.col(f"cum_{weight}") - 1).alias("_e"),
+                   F.explode(targets).alias("_t"))
+           .select(*by, F.col(col).alias("_x"), "_s", "_e", F.col("_t.q").alias("q"), F.col("_t.h").alias("_h")))
+    return _interpolated(t, F.col("_x"), F.col("_s"), F.col("_e"), F.col("_h"), [*by, "q"])
 
 
 def materialize(df: DataFrame) -> DataFrame:

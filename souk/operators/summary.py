@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions import safe_div, np_round
-from souk.operators.ordered import quantiles
+from souk.operators.ordered import materialize, quantiles, small
 from souk.schema import DIMENSIONS, MEASURES
 
 
@@ -133,9 +133,9 @@ def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Box-plot statistics per group (AG8): q1, median, q3, IQR, whiskers at
     the most extreme values inside 1.5 IQR fences, outlier count, n.
 
-    Quartiles are exact (distributed ranking, see ``ordered.quantiles``); the
-    per-group fences (one row per group) are joined back to the rows for the
-    whisker and outlier pass.
+    Quartiles are exact (bracketed ranking, see ``ordered.quantiles``); the
+    per-group fences (one row per group, counted) are joined back to the rows for
+    the whisker and outlier pass.
     """
     base = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(group, value)
     q = quantiles(base, value, [0.25, 0.5, 0.75], by=[group])
@@ -143,12 +143,12 @@ def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
         F.max(F.when(F.col("q") == 0.25, F.col("value"))).alias("q1"),
         F.max(F.when(F.col("q") == 0.5, F.col("value"))).alias("median"),
         F.max(F.when(F.col("q") == 0.75, F.col("value"))).alias("q3"))
-    qs = qs.withColumn("iqr", F.col("q3") - F.col("q1"))
+    qs = materialize(qs.withColumn("iqr", F.col("q3") - F.col("q1")))
     lo_f = F.col("q1") - 1.5 * F.col("iqr")
     hi_f = F.col("q3") + 1.5 * F.col("iqr")
     x = F.col(value)
     inside = (x >= lo_f) & (x <= hi_f)
-    return (base.join(qs, group)
+    return (base.join(small(qs, qs.count()), group)
             .groupBy(group, "q1", "median", "q3", "iqr")
             .agg(F.min(F.when(inside, x)).alias("lower_whisker"),
                  F.max(F.when(inside, x)).alias("upper_whisker"),

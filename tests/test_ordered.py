@@ -41,6 +41,70 @@ def test_quantiles_invariant_under_repartition(spark):
     assert [r.value for r in a] == [r.value for r in b]
 
 
+def _percentiles(pdf, probs, by):
+    return {(k, c, q): np.percentile(g[c].dropna(), 100 * q) for k, g in pdf.groupby(by) for c, qs in probs.items() for q in qs
+            if g[c].notna().any()}
+
+
+def _wide(n=30_000):
+    rng = np.random.default_rng(4)
+    g = np.where(rng.random(n) < 0.6, "big", np.where(rng.random(n) < 0.98, "mid", "few"))
+    hot = np.where(rng.random(n) < 0.4, 7.0, rng.normal(0, 100, n))       # one value holds over a third
+    some = pd.Series(rng.lognormal(3, 2, n)).where(rng.random(n) > 0.1)
+    return pd.DataFrame({"g": g, "hot": hot, "some": some, "steps": rng.integers(0, 5, n).astype(float)})
+
+
+@pytest.mark.parametrize("piece", [OR.PIECE_ROWS, 50])
+def test_bracketed_quantiles_of_several_columns(spark, monkeypatch, piece):
+    monkeypatch.setattr(OR, "PIECE_ROWS", piece)     # 50: ranked by a prefix sum, not by a window
+    pdf = _wide()
+    probs = {"hot": [0.0, 0.3, 0.5, 0.999], "some": [0.25, 0.5, 0.75, 1.0], "steps": [0.5, 0.95]}
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "g string, hot double, some double, steps double").repartition(5)
+    got = {(r["g"], r["feature"], r["q"]): r["value"] for r in OR.column_quantiles(df, probs, ["g"]).collect()}
+    want = _percentiles(pdf, probs, "g")
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_quantiles_rank_only_rows_inside_the_brackets(spark, monkeypatch):
+    seen, real = [], OR.prefix_sum
+    monkeypatch.setattr(OR, "PIECE_ROWS", 50)
+    monkeypatch.setattr(OR, "prefix_sum", lambda df, *a, **k: seen.append(df.count()) or real(df, *a, **k))
+    df = spark.range(200_000).select(F.xxhash64("id").cast("double").alias("x"))
+    got = OR.quantiles(df, "x", [0.5]).first()["value"]
+    xs = [r["x"] for r in df.collect()]
+    assert got == np.percentile(xs, 50) and len(seen) == 1 and seen[0] < 0.02 * 200_000
+
+
+def test_a_missed_bracket_is_ranked_in_full(spark, monkeypatch):
+    monkeypatch.setattr(OR, "SMALL_GROUP", 0)
+    monkeypatch.setattr(OR, "ACCURACY", 1_000_000)       # brackets of one value: the two ranks around a target differ
+    df = spark.createDataFrame([(g, float(x)) for g in "ab" for x in range(10)] + [("c", 5.0)], "g string, x double")
+    got = {(r["g"], r["q"]): r["value"] for r in OR.quantiles(df, "x", [0.0, 0.33], ["g"]).collect()}
+    assert got == {**{(g, 0.0): 0.0 for g in "ab"}, **{(g, 0.33): pytest.approx(2.97) for g in "ab"}, ("c", 0.0): 5.0, ("c", 0.33): 5.0}
+
+
+def test_quantiles_without_values(spark):
+    none = spark.createDataFrame([(None,)], "x double")
+    assert [r for r in OR.quantiles(none, "x", [0.5]).collect()] == []
+    assert OR.quantiles(none.limit(0), "x", [0.5]).collect() == []
+    assert OR.quantile_row(none, "x", {"m": 0.5}).first()["m"] is None
+
+
+def test_running_sums_take_one_exchange(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("g"), F.col("id").cast("double").alias("x"), F.lit(1).alias("w"))
+    plan = OR.scanned_pieces(df, [F.col("x")], ["w"], ["g"], 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan and "Window" not in plan
+
+
+def test_prefix_sum_of_nulls_strings_and_doubles(spark):
+    rows = [("a", 1, 0.5, None), ("a", 2, None, 3), (None, 1, 2.0, 1), (None, 2, 1.0, 1), ("b", 1, -1.0, 2)]
+    df = spark.createDataFrame(rows, "g string, k int, w double, n int")
+    got = {(r["g"], r["k"]): (r["cum_w"], r["cum_n"], r["total_w"], r["total_n"])
+           for r in OR.prefix_sum(df, "k", ["w", "n"], ["g"], partitions=3).collect()}
+    assert got == {("a", 1): (0.5, 0, 0.5, 3), ("a", 2): (0.5, 3, 0.5, 3), (None, 1): (2.0, 1, 3.0, 2),
+                   (None, 2): (3.0, 2, 3.0, 2), ("b", 1): (-1.0, 2, -1.0, 2)}
+
+
 def test_gini_properties(spark):
     eq = spark.createDataFrame([(5.0,)] * 10, "revenue double")
     g = OR.gini(eq).first()
