@@ -9,7 +9,10 @@ bounded size.  Queries that reach ``min_samples`` within the first data chunk ar
 settled; only the rest meet the other chunks.  No neighbour is left out: a
 count is cut off only after it has reached ``min_samples``.
 
-Nothing grows with a block: a task holds one chunk of queries and one of data.
+A task holds one chunk of queries and one of data; it halves its queries into small
+boxes and looks only at the data near each.  Core points are linked by cells, not
+by points: a task returns a spanning forest of its cells, pairs of cells are settled
+by their boxes or by one pair of points, and pairs already connected are skipped.
 Components of core cells are found by smallest-label rounds, each written to the
 checkpoint folder.
 """
@@ -17,7 +20,7 @@ checkpoint folder.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,6 +32,7 @@ from souk.operators.ordered import materialize
 QUERY_CHUNK = 8_192
 DATA_CHUNK = 65_536
 BLOCK_DIMS = 3
+LEAF = 256
 
 
 def _points(df: DataFrame, cols: Sequence[str], eps: float) -> DataFrame:
@@ -93,16 +97,39 @@ def _near(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
     return total <= eps * eps
 
 
+def _walk(a: np.ndarray, b: np.ndarray, eps: float, leaf: int = LEAF) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j): boxes of at most ``leaf`` rows of a, halved along their longest side, each with
+    the rows of b that lie within eps of the box, in ascending order."""
+    todo = [(np.arange(len(a)), np.arange(len(b)))]
+    while todo:
+        i, j = todo.pop()
+        lo, hi, x = a[i].min(axis=0), a[i].max(axis=0), b[j]
+        gap = np.maximum(np.maximum(lo - x, x - hi), 0)
+        j = j[(gap * gap).sum(axis=1) <= eps * eps * (1 + 1e-9)]
+        if not len(j):
+            continue
+        if len(i) <= leaf or (hi == lo).all():
+            yield i, j
+            continue
+        order = np.argpartition(a[i, int(np.argmax(hi - lo))], len(i) // 2)
+        todo += [(i[order[:len(i) // 2]], j), (i[order[len(i) // 2:]], j)]
+
+
 def _count_test(eps: float, enough: int):
+    """Rows near each query, counted exactly up to ``enough``."""
     def test(q: pd.DataFrame, p: pd.DataFrame, names: list[str]) -> pd.DataFrame:
         a, b, w = q[names].to_numpy(), p[names].to_numpy(), p["w"].to_numpy()
-        n, open_ = np.zeros(len(a), np.int64), np.arange(len(a))
-        for lo in range(0, len(b), 1024):
-            for part in np.array_split(open_, max(1, len(open_) // 1024)):
-                n[part] += _near(a[part], b[lo:lo + 1024], eps) @ w[lo:lo + 1024]
-            open_ = open_[n[open_] < enough]
-            if not len(open_):
-                break
+        n = np.zeros(len(a), np.int64)
+        for i, j in _walk(a, b, eps) if len(a) else ():
+            off = b[j] - a[i].mean(axis=0)
+            j = j[np.argsort((off * off).sum(axis=1), kind="stable")]      # the nearest settle most queries
+            open_ = i
+            for lo in range(0, len(j), 1024):
+                at = j[lo:lo + 1024]
+                n[open_] += _near(a[open_], b[at], eps) @ w[at]
+                open_ = open_[n[open_] < enough]
+                if not len(open_):
+                    break
         return pd.DataFrame({"id": q["id"].to_numpy(), "n": n})
     return test
 
@@ -112,36 +139,97 @@ def _label_test(eps: float):
     def test(q: pd.DataFrame, p: pd.DataFrame, names: list[str]) -> pd.DataFrame:
         p = p.sort_values("label", kind="stable")
         a, b, label = q[names].to_numpy(), p[names].to_numpy(), p["label"].to_numpy()
-        found, open_ = np.full(len(a), -1), np.arange(len(a))
-        for lo in range(0, len(b), 1024):
-            for part in np.array_split(open_, max(1, len(open_) // 1024)):
-                hit = _near(a[part], b[lo:lo + 1024], eps)
+        found = np.full(len(a), -1)
+        for i, j in _walk(a, b, eps) if len(a) else ():
+            open_ = i
+            for lo in range(0, len(j), 1024):
+                hit = _near(a[open_], b[j[lo:lo + 1024]], eps)
                 any_ = hit.any(axis=1)
-                found[part[any_]] = lo + hit[any_].argmax(axis=1)
-            open_ = open_[found[open_] < 0]
-            if not len(open_):
-                break
+                found[open_[any_]] = j[lo + hit[any_].argmax(axis=1)]
+                open_ = open_[~any_]
+                if not len(open_):
+                    break
         ok = found >= 0
         return pd.DataFrame({"id": q["id"].to_numpy()[ok], "label": label[found[ok]]})
     return test
 
 
+def _unite(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Joins the trees of each pair; ``parent`` points every node straight at its root."""
+    while len(u):
+        x, y = parent[u], parent[v]
+        apart = x != y
+        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := parent[parent], parent):
+            parent[:] = up
+
+
+def _boxes(x: np.ndarray, cell: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The points by cell: (order, first point of each cell, cell numbers, lower and upper corners)."""
+    order = np.argsort(cell, kind="stable")
+    own, first = np.unique(cell[order], return_index=True)
+    by = x[order]
+    return (order, np.append(first, len(x)), np.searchsorted(cells, own),
+            np.minimum.reduceat(by, first, axis=0), np.maximum.reduceat(by, first, axis=0))
+
+
 def _link_test(eps: float):
-    """Distinct pairs of cells that hold points near each other."""
+    """A spanning forest of the cells that hold points near each other, as pairs of cells.
+
+    Pairs of cells whose boxes are more than eps apart are skipped; those whose boxes
+    lie within eps of each other altogether are linked without looking at points.
+    The rest are tried nearest first, unless their cells are already connected, until
+    one pair of points within eps is found."""
     def test(q: pd.DataFrame, p: pd.DataFrame, names: list[str]) -> pd.DataFrame:
         a, b, ca, cb = q[names].to_numpy(), p[names].to_numpy(), q["cell"].to_numpy(), p["cell"].to_numpy()
-        found: set[tuple[int, int]] = set()
-        for i in range(0, len(a), 1024):
-            for j in range(0, len(b), 1024):
-                x, y = np.nonzero(_near(a[i:i + 1024], b[j:j + 1024], eps))
-                u, v = ca[i + x], cb[j + y]
-                less = u < v
-                pairs = pd.DataFrame({"a": u[less], "b": v[less]}).drop_duplicates()
-                found.update(zip(pairs["a"].tolist(), pairs["b"].tolist()))
-        return pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        cells = np.unique(np.concatenate([ca, cb]))
+        parent = np.arange(len(cells))
+        at_a, from_a, own_a, lo_a, hi_a = _boxes(a, ca, cells)
+        at_b, from_b, own_b, lo_b, hi_b = _boxes(b, cb, cells)
+        maybe = []
+        # a cell is eps across at most: centres of linked cells are within 2 eps
+        for i, j in _walk((lo_a + hi_a) / 2, (lo_b + hi_b) / 2, 2 * eps):
+            for k in range(0, len(j), 4096):
+                jj = j[k:k + 4096]
+                least, most = np.zeros((len(i), len(jj))), np.zeros((len(i), len(jj)))
+                for c in range(a.shape[1]):
+                    gap = np.maximum(lo_b[jj, c] - hi_a[i, c, None], lo_a[i, c, None] - hi_b[jj, c])
+                    far = np.maximum(hi_b[jj, c] - lo_a[i, c, None], hi_a[i, c, None] - lo_b[jj, c])
+                    least += np.maximum(gap, 0) ** 2
+                    most += far * far
+                new = own_a[i, None] < own_b[jj]
+                x, y = np.nonzero(new & (most <= eps * eps))
+                _unite(parent, own_a[i[x]], own_b[jj[y]])
+                x, y = np.nonzero(new & (most > eps * eps) & (least <= eps * eps * (1 + 1e-9)))
+                apart = parent[own_a[i[x]]] != parent[own_b[jj[y]]]
+                x, y = x[apart], y[apart]
+                maybe.append(np.stack([least[x, y], i[x], jj[y]]))
+        maybe = np.concatenate(maybe, axis=1) if maybe else np.zeros((3, 0))
+        maybe = maybe[:, np.argsort(maybe[0], kind="stable")]
+        for k in range(0, maybe.shape[1], 256):
+            u, v = maybe[1, k:k + 256].astype(int), maybe[2, k:k + 256].astype(int)
+            apart = parent[own_a[u]] != parent[own_b[v]]
+            for x, y in zip(u[apart], v[apart]):
+                if parent[own_a[x]] != parent[own_b[y]] and _touch(a[at_a[from_a[x]:from_a[x + 1]]], b[at_b[from_b[y]:from_b[y + 1]]], eps):
+                    _unite(parent, own_a[x:x + 1], own_b[y:y + 1])
+        linked = np.flatnonzero(parent != np.arange(len(cells)))
+        return pd.DataFrame({"a": cells[parent[linked]], "b": cells[linked]})
     return test
 
 
+def _touch(x: np.ndarray, y: np.ndarray, eps: float) -> bool:
+    """Whether a point of x lies within eps of a point of y."""
+    reach = eps * (1 + 1e-9)
+    x = x[((x >= y.min(axis=0) - reach) & (x <= y.max(axis=0) + reach)).all(axis=1)]
+    if not len(x):
+        return False
+    y = y[((y >= x.min(axis=0) - reach) & (y <= x.max(axis=0) + reach)).all(axis=1)]
+    return any(_near(x[i:i + 512], y[j:j + 512], eps).any() for i in range(0, len(x), 512) for j in range(0, len(y), 512))
+
+
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(cell, label): smallest cell reachable over ``edges`` (a, b)."""
     both = materialize(edges.union(edges.select("b", "a")).distinct())
