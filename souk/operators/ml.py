@@ -15,14 +15,18 @@ the sample standard deviation; tree learners bin continuous features
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from souk.functions import np_round
 
@@ -35,8 +39,14 @@ TARGET = "revenue"
 
 def feature_stages(cat: Sequence[str] = CAT_FEATURES, num: Sequence[str] = NUM_FEATURES,
                    out: str = "features") -> list:
-    """Indexers, one-hot encoder, numeric assembler + scaler, final assembler (ML1)."""
+    """Indexers, one-hot encoder, numeric assembler + scaler, final assembler (ML1).
+
+    ``model_input`` leaves out rows that lack a number, as a scaler can't use them."""
     cat, num = list(cat), list(num)
+    num_vec = VectorAssembler(inputCols=num, outputCol="__num", handleInvalid="keep")
+    scaler = StandardScaler(inputCol="__num", outputCol="__num_s", withMean=True, withStd=True)
+    if not cat:
+        return [num_vec, scaler, VectorAssembler(inputCols=["__num_s"], outputCol=out)]
     # one multi-column indexer: all label sets are found in a single pass
     idx = [StringIndexer(inputCols=cat, outputCols=[f"{c}__idx" for c in cat], handleInvalid="keep",
                          stringOrderType="alphabetAsc")]
@@ -45,16 +55,19 @@ def feature_stages(cat: Sequence[str] = CAT_FEATURES, num: Sequence[str] = NUM_F
     # keeps its own slot
     ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in cat], outputCols=[f"{c}__oh" for c in cat],
                         dropLast=True)
-    num_vec = VectorAssembler(inputCols=num, outputCol="__num", handleInvalid="keep")
-    scaler = StandardScaler(inputCol="__num", outputCol="__num_s", withMean=True, withStd=True)
     final = VectorAssembler(inputCols=["__num_s", *[f"{c}__oh" for c in cat]], outputCol=out)
     return [*idx, ohe, num_vec, scaler, final]
 
 
 def model_input(df: DataFrame, cat=CAT_FEATURES, num=NUM_FEATURES, target: str = TARGET) -> DataFrame:
-    cols = [*cat, *num, target]
-    return (df.select(*[F.col(c).cast("double") if c in num or c == target else F.col(c) for c in cols])
-              .where(F.col(target).isNotNull()))
+    """The model's columns, numbers as doubles.  Rows without target or without one of
+    the numbers (null or NaN) are left out: one of them would turn the scaler's mean,
+    and with it every prediction, into NaN.  A null category is a value of its own."""
+    numbers = [*num, target]
+    out = df.select(*cat, *[F.col(c).cast("double").alias(c) for c in numbers])
+    for c in numbers:
+        out = out.where(F.col(c).isNotNull() & ~F.isnan(c))
+    return out
 
 
 def split(df: DataFrame, key_cols: Sequence[str], train_pct: int = 80, seed: int = 42):
@@ -63,14 +76,14 @@ def split(df: DataFrame, key_cols: Sequence[str], train_pct: int = 80, seed: int
     return df.where(bucket < train_pct), df.where(bucket >= train_pct)
 
 
-def regressors(seed: int = 42) -> dict:
-    """The four model families and their settings (ML3)."""
+def regressors(seed: int = 42, trees: int = 100) -> dict:
+    """The four model families and their settings (ML3); ``trees`` is that of both ensembles."""
     return {
         "Linear Regression": LinearRegression(featuresCol="features", labelCol=TARGET),
         "Decision Tree": DecisionTreeRegressor(featuresCol="features", labelCol=TARGET, maxDepth=8, seed=seed),
-        "Random Forest": RandomForestRegressor(featuresCol="features", labelCol=TARGET, numTrees=100,
+        "Random Forest": RandomForestRegressor(featuresCol="features", labelCol=TARGET, numTrees=trees,
                                                maxDepth=10, featureSubsetStrategy="all", seed=seed),
-        "Boosted Trees": GBTRegressor(featuresCol="features", labelCol=TARGET, maxIter=100, maxDepth=6,
+        "Boosted Trees": GBTRegressor(featuresCol="features", labelCol=TARGET, maxIter=trees, maxDepth=6,
                                       stepSize=0.1, seed=seed),
     }
 
@@ -90,35 +103,49 @@ def metrics(pred: DataFrame, label: str = TARGET, prediction: str = "prediction"
                     F.col("_n").alias("n"))
 
 
-def residuals(pred: DataFrame, label: str = TARGET) -> DataFrame:
-    """Actual vs predicted with residual = actual - predicted (ML5)."""
-    return pred.select(F.col(label).alias("actual"), F.col("prediction").alias("predicted"),
-                       (F.col(label) - F.col("prediction")).alias("residual"))
+def residuals(pred: DataFrame, label: str = TARGET, prediction: str = "prediction", keep: Sequence[str] = ()) -> DataFrame:
+    """Actual vs predicted with residual = actual - predicted, after the columns ``keep`` (ML5)."""
+    return pred.select(*keep, F.col(label).alias("actual"), F.col(prediction).alias("predicted"),
+                       (F.col(label) - F.col(prediction)).alias("residual"))
 
 
 def compare_models(df: DataFrame, key_cols: Sequence[str], names: Sequence[str] | None = None,
-                   seed: int = 42) -> DataFrame:
+                   seed: int = 42, trees: int = 100) -> DataFrame:
     """Fit the chosen model families on the 80 % split and report test
-    metrics per model (ML2-ML4)."""
+    metrics per model (ML2-ML4).
+
+    Labels, scaling and encoding are fitted once, and the encoded table is written
+    once: all families read it, and the models' predictions are told together in one
+    aggregate over the test rows."""
     from souk.operators.ordered import materialize
-    # read once: every pipeline stage and model re-reads its input
-    keyed = materialize(df.select(*key_cols, *CAT_FEATURES, *NUM_FEATURES, TARGET))
+    keyed = materialize(df.select(*key_cols, *[c for c in (*CAT_FEATURES, *NUM_FEATURES, TARGET) if c not in key_cols]))
     train, test = split(keyed, key_cols, seed=seed)
     train, test = model_input(train), model_input(test)
+    encoder = Pipeline(stages=feature_stages()).fit(train)
+    train, test = (materialize(encoder.transform(x).select("features", TARGET)) for x in (train, test))
+    wanted = {name: est for name, est in regressors(seed, trees).items() if names is None or name in names}
+    for i, est in enumerate(wanted.values()):
+        test = est.setPredictionCol(f"_p{i}").fit(train).transform(test)
     out = None
-    for name, est in regressors(seed).items():
-        if names is not None and name not in names:
-            continue
-        model = fit(train, est)
-        m = metrics(model.transform(test)).select(F.lit(name).alias("model"), "*")
+    y = F.col(TARGET)
+    sums = [a for i in range(len(wanted)) for a in (F.sum((y - F.col(f"_p{i}")) ** 2).alias(f"_sse{i}"),
+                                                    F.sum(F.abs(y - F.col(f"_p{i}"))).alias(f"_sae{i}"))]
+    told = materialize(test.agg(F.count(F.lit(1)).alias("n"), (F.var_pop(y) * F.count(y)).alias("_sst"), *sums))
+    for i, name in enumerate(wanted):
+        m = told.select(F.lit(name).alias("model"), F.sqrt(F.try_divide(f"_sse{i}", F.nullif("n", F.lit(0)))).alias("rmse"),
+                        F.try_divide(f"_sae{i}", "n").alias("mae"),
+                        (1 - F.try_divide(f"_sse{i}", F.nullif("_sst", F.lit(0.0)))).alias("r2"), "n")
         out = m if out is None else out.unionByName(m)
     return out
 
 
-def score(model: PipelineModel, orders: DataFrame) -> DataFrame:
-    """Batch scoring of order rows (ML6)."""
-    return model.transform(model_input(orders.withColumn(TARGET, F.lit(0.0)))) \
-        .select(*CAT_FEATURES, *NUM_FEATURES, F.col("prediction").alias("predicted_revenue"))
+def score(model: PipelineModel, orders: DataFrame, cat=CAT_FEATURES, num=NUM_FEATURES, keep: Sequence[str] = ()) -> DataFrame:
+    """Batch scoring of order rows (ML6): the model's inputs, the columns ``keep`` and
+    ``predicted_revenue``.  Rows that lack one of the numbers are not scored."""
+    rows = orders.select(*keep, *[c for c in cat if c not in keep], *[F.col(c).cast("double").alias(c) for c in num if c not in keep])
+    for c in num:
+        rows = rows.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+    return model.transform(rows).select(*rows.columns, F.col("prediction").alias("predicted_revenue"))
 
 
 def linear_attribution(model: PipelineModel, data: DataFrame, top_n: int = 15, num=NUM_FEATURES) -> DataFrame:
@@ -155,10 +182,23 @@ def _slot_names(metadata: dict, n: int, num: list[str]) -> list[str]:
     return names
 
 
+# fixed values: the drift model's input columns
 PRED_DRIFT_NUM = ["base_price", "discount_percent", "units_sold", "month", "weekday"]
 PRED_DRIFT_CAT = ["category", "zone", "brand_type", "sales_event"]
 
 
+def label_codes(df: DataFrame, cols: Sequence[str] = PRED_DRIFT_CAT) -> DataFrame:
+    """(feature, label, code): the labels of each column over all rows given, numbered
+    from 0 in alphabetical order (SO1).  Null is no label.
+
+    One row per label; the indexer's model is what numbers them, so these are the codes
+    that a model trained on the columns has seen."""
+    idx = StringIndexer(inputCols=list(cols), outputCols=[f"{c}_enc" for c in cols], stringOrderType="alphabetAsc", handleInvalid="keep")
+    found = idx.fit(df).labelsArray
+    rows = [(c, label, k) for c, labels in zip(cols, found) for k, label in enumerate(labels)]
+    return df.sparkSession.createDataFrame(rows, "feature string, label string, code int")
+
+
 def prediction_drift(df: DataFrame, reference_months: int = 6, current_months: int = 3,
                      min_ref: int = 100, min_cur: int = 50, r2_alert: float = 0.05,
                      seed: int = 42) -> DataFrame:
@@ -189,11 +229,18 @@ def prediction_drift(df: DataFrame, reference_months: int = 6, current_months: i
     gbt = GBTRegressor(featuresCol="features", labelCol=TARGET, maxIter=50, maxDepth=4, stepSize=0.1,
                        seed=seed)
     model = Pipeline(stages=[asm, gbt]).fit(te.where(F.col("side") == "ref"))
-    pred = model.transform(te)
-    m_ref = metrics(pred.where(F.col("side") == "ref"))
-    m_cur = metrics(pred.where(F.col("side") == "cur"))
-    j = m_ref.select(F.col("r2").alias("ref_r2"), F.col("mae").alias("ref_mae")).crossJoin(
-        m_cur.select(F.col("r2").alias("cur_r2"), F.col("mae").alias("cur_mae")))
+    return window_drift(model.transform(te), r2_alert)
+
+
+def window_drift(pred: DataFrame, r2_alert: float = 0.05) -> DataFrame:
+    """R2 and MAE of predictions on the reference and the current rows (``side``), the
+    drop of R2 and the alert: one row, from one aggregate over both windows (DR4)."""
+    y, p = F.col(TARGET), F.col("prediction")
+    sides = pred.groupBy("side").agg(
+        (1 - F.try_divide(F.sum((y - p) * (y - p)), F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0)))).alias("r2"),
+        F.avg(F.abs(y - p)).alias("mae"))
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{side}_{c}")
+    j = sides.agg(of("ref", "r2"), of("ref", "mae"), of("cur", "r2"), of("cur", "mae"))
     drop = F.col("ref_r2") - F.col("cur_r2")
     return j.select(np_round("ref_r2", 3).alias("ref_r2"), np_round("cur_r2", 3).alias("cur_r2"),
                     np_round("ref_mae", 0).alias("ref_mae"), np_round("cur_mae", 0).alias("cur_mae"),
@@ -201,8 +248,8 @@ def prediction_drift(df: DataFrame, reference_months: int = 6, current_months: i
 
 
 def permutation_importance(model: PipelineModel, test: DataFrame, features: Sequence[str],
-                           key_cols: Sequence[str], repeats: int = 7, bucket_rows: int = 1000,
-                           seed: int = 42, label: str = TARGET) -> DataFrame:
+                           key_cols: Sequence[str], repeats: int = 7, seed: int = 42,
+                           label: str = TARGET) -> DataFrame:
     """Mean and std over ``repeats`` of the R2 drop when one input column is
     permuted (ML7).  Linear models of ``feature_stages`` take an exact
     shortcut: a permuted prediction is the prediction minus the feature's
@@ -210,96 +257,85 @@ def permutation_importance(model: PipelineModel, test: DataFrame, features: Sequ
     contributions are permuted; other models are re-scored."""
     from pyspark.ml.regression import LinearRegressionModel
     if isinstance(model.stages[-1], LinearRegressionModel):
-        return _linear_permutation_importance(model, test, features, key_cols, repeats, bucket_rows,
-                                              seed, label)
-    return _rescored_permutation_importance(model, test, features, key_cols, repeats, bucket_rows,
-                                            seed, label)
+        return _linear_permutation_importance(model, test, features, key_cols, repeats, seed, label)
+    return _rescored_permutation_importance(model, test, features, key_cols, repeats, seed, label)
 
 
-def _bucket_window(keys, seed, bucket_rows):
-    from pyspark.sql import Window
-    nb = F.greatest(F.lit(1), F.floor(F.col("_n") / bucket_rows))
-    b = F.pmod(F.xxhash64(F.lit(seed), "j", "r", *keys), nb)
-    w = Window.partitionBy("j", "r", "_b").orderBy(F.xxhash64(F.lit(seed + 1), "j", "r", *keys), *keys)
-    return b, w
+def _permuted(df: DataFrame, columns: Sequence[str], key_cols: Sequence[str], repeats: int, seed: int) -> DataFrame:
+    """``df`` once per repeat (column ``r``) with a permuted copy ``_perm_<c>`` of every column.
 
-
-def _importance(per: DataFrame, base_r2: DataFrame) -> DataFrame:
-    drops = per.crossJoin(F.broadcast(base_r2)).withColumn("drop", F.col("_r2_base") - F.col("r2"))
-    return (drops.groupBy(F.col("j").alias("feature"))
-            .agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
+    Rows are dealt to partitions and ordered there by hashes of their key -- the only
+    exchange, whatever the number of columns and repeats -- so each batch that a task
+    reads is a random sample of the rows, and every column is permuted on its own
+    within the batch.  The same rows and partitions give the same permutations."""
+    columns = list(columns)
+    keys = [F.col(c) for c in key_cols]
+    dealt = df.repartition(F.xxhash64(F.lit(seed), *keys)).sortWithinPartitions(F.xxhash64(F.lit(seed + 1), *keys), *keys)
+    at = [df.columns.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for k, b in enumerate(batches):
+            for r in range(repeats):
+                rng = np.random.default_rng([seed, part, k, r])
+                moved = [b.column(i).take(pa.array(rng.permutation(b.num_rows))) for i in at]
+                yield pa.RecordBatch.from_arrays([*b.columns, *moved, pa.array(np.full(b.num_rows, r, np.int32))],
+                                                 names=[*b.schema.names, *(f"_perm_{c}" for c in columns), "r"])
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    schema = T.StructType([*df.schema.fields, *[T.StructField(f"_perm_{c}", kinds[c]) for c in columns], T.StructField("r", T.IntegerType())])
+    return dealt.mapInArrow(run, schema)
+
+
+def _importance(per: DataFrame, base: DataFrame) -> DataFrame:
+    """From (feature, r, sse) and the one-row table (sse, sst) of the unchanged columns."""
+    drop = F.try_divide(F.col("sse") - F.col("_sse"), F.nullif(F.col("_sst"), F.lit(0.0)))
+    return (per.crossJoin(F.broadcast(base)).groupBy("feature")
+            .agg(F.avg(drop).alias("importance_mean"), F.stddev_pop(drop).alias("importance_std"))
             .orderBy(F.col("importance_mean").desc(), "feature"))
 
 
-def _r2_by_jr(df: DataFrame, y, p) -> DataFrame:
-    per = df.groupBy("j", "r").agg(F.sum((y - p) * (y - p)).alias("_sse"), F.avg(y).alias("_ybar"),
-                                   F.sum(y * y).alias("_syy"), F.count(F.lit(1)).alias("_cnt"))
-    sst = F.col("_syy") - F.col("_cnt") * F.col("_ybar") * F.col("_ybar")
-    return per.withColumn("r2", 1 - F.try_divide(F.col("_sse"), F.nullif(sst, F.lit(0.0))))
+def _errors(scored: DataFrame, label: str) -> DataFrame:
+    y, p = F.col(label), F.col("prediction")
+    return scored.agg(F.sum((y - p) * (y - p)).alias("_sse"), (F.var_pop(y) * F.count(y)).alias("_sst"))
 
 
-def _linear_permutation_importance(model, test, features, key_cols, repeats, bucket_rows, seed, label):
+def _linear_permutation_importance(model, test, features, key_cols, repeats, seed, label):
     from pyspark.ml.functions import vector_to_array
-    features = list(features)
-    keys = [F.col(c) for c in key_cols]
+    from souk.operators.ordered import materialize
     lr = model.stages[-1]
     coefs = [float(c) for c in lr.coefficients]
     # slot ranges of each raw feature in the assembled vector: scaled numerics
     # first (one slot each), then one one-hot block per categorical column
     # (labels + the kept unknown bucket - the dropped last slot)
     indexer = model.stages[0]
-    cat_cols = list(indexer.getInputCols())
-    labels = indexer.labelsArray
-    num_cols = list(model.stages[2].getInputCols())
     ranges, pos = {}, 0
-    for c in num_cols:
+    for c in model.stages[2].getInputCols():
         ranges[c] = (pos, 1)
         pos += 1
-    for c, lab in zip(cat_cols, labels):
+    for c, lab in zip(indexer.getInputCols(), indexer.labelsArray):
         ranges[c] = (pos, len(lab))
         pos += len(lab)
+    names = [f for f in features if f in ranges]
     scored = model.transform(test).withColumn("_x", vector_to_array("features"))
     coef = F.array(*[F.lit(c) for c in coefs])
-    contrib = {f: F.aggregate(F.slice(F.zip_with("_x", coef, lambda a, b: a * b), ranges[f][0] + 1, ranges[f][1]),
-                              F.lit(0.0), lambda acc, v: acc + v) for f in features if f in ranges}
-    per_row = scored.select(*keys, F.col(label).alias("_y"), F.col("prediction").alias("_p"),
-                            *[v.alias(f"_c_{f}") for f, v in contrib.items()])
-    n = per_row.agg(F.count(F.lit(1)).alias("_n"))
-    combos = F.array(*[F.struct(F.lit(f).alias("j"), F.lit(r).alias("r"))
-                       for f in contrib for r in range(repeats)])
-    stacked = (per_row.crossJoin(F.broadcast(n)).select("*", F.explode(combos).alias("_jr"))
-               .select("*", "_jr.j", "_jr.r").drop("_jr"))
-    cj = F.coalesce(*[F.when(F.col("j") == f, F.col(f"_c_{f}")) for f in contrib])
-    stacked = stacked.withColumn("_cj", cj)
-    b, w = _bucket_window(keys, seed, bucket_rows)
-    stacked = stacked.withColumn("_b", b)
-    donor = F.coalesce(F.lead("_cj", 1).over(w), F.first("_cj").over(w))
-    perm = stacked.select("j", "r", "_y", (F.col("_p") - F.col("_cj") + donor).alias("_pp"))
-    base_r2 = metrics(scored, label).select(F.col("r2").alias("_r2_base"))
-    return _importance(_r2_by_jr(perm, F.col("_y"), F.col("_pp")), base_r2)
-
-
-def _rescored_permutation_importance(model, test, features, key_cols, repeats, bucket_rows, seed, label):
-    """Generic path: every (feature, repeat) copy of the test set is scored.
-
-    Each (feature, repeat) permutes the column inside random hash buckets of
-    about ``bucket_rows`` rows: rows are ordered inside their bucket by an
-    independent hash and take the column value of the next row (the last
-    takes the first's).  Buckets and orders are random, so each row receives
-    the value of a random other row, as under a global permutation, and the
-    one window sort is bounded by the bucket size."""
+    contrib = [F.aggregate(F.slice(F.zip_with("_x", coef, lambda a, b: a * b), ranges[f][0] + 1, ranges[f][1]),
+                           F.lit(0.0), lambda acc, v: acc + v).alias(f"_c{i}") for i, f in enumerate(names)]
+    per_row = materialize(scored.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key_cols)], F.col(label).alias(label),
+                                        "prediction", *contrib))
+    moved = _permuted(per_row, [f"_c{i}" for i in range(len(names))], [f"_k{i}" for i in range(len(key_cols))], repeats, seed)
+    error = [F.col(label) - F.col("prediction") + F.col(f"_c{i}") - F.col(f"_perm__c{i}") for i in range(len(names))]
+    sums = moved.groupBy("r").agg(*[F.sum(e * e).alias(f"_s{i}") for i, e in enumerate(error)])
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_s{i}").alias("sse")) for i, f in enumerate(names)])
+    return _importance(sums.select("r", F.explode(each).alias("_e")).select("r", "_e.*"), _errors(per_row, label))
+
+
+def _rescored_permutation_importance(model, test, features, key_cols, repeats, seed, label):
+    """Generic path: the model scores a copy of the test set per (feature, repeat)."""
     features = list(features)
-    keys = [F.col(c) for c in key_cols]
-    n = test.agg(F.count(F.lit(1)).alias("_n"))
-    combos = F.array(*[F.struct(F.lit(f).alias("j"), F.lit(r).alias("r"))
-                       for f in features for r in range(repeats)])
-    stacked = (test.crossJoin(F.broadcast(n)).select("*", F.explode(combos).alias("_jr"))
-               .select("*", "_jr.j", "_jr.r").drop("_jr"))
-    b, w = _bucket_window(keys, seed, bucket_rows)
-    stacked = stacked.withColumn("_b", b)
-    perm = stacked.select(*[
-        F.when(F.col("j") == f, F.coalesce(F.lead(f, 1).over(w), F.first(f).over(w))).otherwise(F.col(f)).alias(f)
-        if f in features else F.col(f) for f in test.columns], "j", "r")
-    scored = model.transform(perm)
-    base_r2 = metrics(model.transform(test), label).select(F.col("r2").alias("_r2_base"))
-    return _importance(_r2_by_jr(scored, F.col(label), F.col("prediction")), base_r2)
+    moved = _permuted(test, features, key_cols, repeats, seed)
+    moved = moved.select("*", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
+    moved = moved.select(*[F.when(F.col("feature") == c, F.col(f"_perm_{c}")).otherwise(F.col(c)).alias(c) if c in features else F.col(c)
+                           for c in test.columns], "feature", "r")
+    y, p = F.col(label), F.col("prediction")
+    sums = model.transform(moved).groupBy("feature", "r").agg(F.sum((y - p) * (y - p)).alias("sse"))
+    return _importance(sums, _errors(model.transform(test), label))

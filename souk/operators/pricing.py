@@ -94,9 +94,8 @@ def optimal_discount(e, current, max_discount: float = 60.0) -> dict:
     direction = (F.when(e >= 0, "hold")
                   .when(a > 1, F.when(elastic_opt > d, "increase").otherwise("hold"))
                   .otherwise("decrease"))
-    impact = (F.when(e >= 0, F.lit(0.0))
-               .when(a > 1, (a - 1) * (elastic_opt - d) / 100 * 100)
-               .otherwise((1 - a) * (d - inelastic_opt) / 100 * 100))
+    # percent of revenue: each point of discount moved is worth the elasticity's distance from one
+    impact = F.when(e >= 0, F.lit(0.0)).otherwise((a - 1) * (F.when(a > 1, elastic_opt).otherwise(inelastic_opt) - d))
     rationale = (F.when(e >= 0, F.lit("Giffen/luxury good - discounting may reduce demand"))
                   .otherwise(F.format_string("Elasticity %.2f - %s", e,
                                              F.when(a > 1, "elastic: increase discount to grow volume")

@@ -141,7 +141,7 @@ def _log_linear(y, t, m, future, harmonics: int):
 
 def forecast(series: DataFrame, key: str = "month", value: str = "value", periods: int = 60,
              by: Sequence[str] = (), harmonics: int = 3, interval: float = 0.80,
-             growth: str = "log_linear", changepoints: int = 12, ridge: float = 0.05) -> DataFrame:
+             growth: str = "piecewise", changepoints: int = 12, ridge: float = 0.05) -> DataFrame:
     """Trend + yearly seasonality, ``periods`` months beyond the last data month,
     with an ``interval`` band (TS3).
 
@@ -273,8 +273,10 @@ def seasonal_arima_forecast(series: DataFrame, key: str = "month", value: str =
                             periods: int = 60, by: Sequence[str] = (), interval: float = 0.80) -> DataFrame:
     """Seasonal ARIMA(1,1,1)(1,1,1)12 forecast per series with an ``interval``
     band (TS4): multiplicative model fitted by conditional sum of squares, so
-    values differ slightly from an exact-likelihood fit.  One ``applyInPandas``
-    group per series (one row per month).
+    values differ slightly from an exact-likelihood fit.  Missing months and months
+    without a value between known ones are interpolated linearly (TS1), those before
+    the first and after the last known one take no part.  One ``applyInPandas`` group
+    per series (one row per month).
     Output: by..., month, yhat, yhat_lower, yhat_upper (future months only;
     none for series shorter than 24 months, two full seasons)."""
     import pandas as pd
@@ -282,16 +284,19 @@ def seasonal_arima_forecast(series: DataFrame, key: str = "month", value: str =
 
     by = list(by)
     z = NormalDist().inv_cdf(0.5 + interval / 2)
-    base = series.select(*by, F.col(key).cast("date").alias("month"), F.col(value).cast("double").alias("y"))
+    base = series.where(F.col(key).isNotNull()).select(*by, F.trunc(F.col(key).cast("date"), "month").alias("month"),
+                                                       F.col(value).cast("double").alias("y"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("month")
         cols = [*by, "month", "yhat", "yhat_lower", "yhat_upper"]
-        res = _sarima_css(pdf["y"].to_numpy(float), periods, 12, z)
+        y = pd.Series(pdf["y"].to_numpy(float), pd.to_datetime(pdf["month"])).dropna().sort_index()
+        if len(y):
+            y = y.reindex(pd.date_range(y.index[0], y.index[-1], freq="MS")).interpolate()
+        res = _sarima_css(y.to_numpy(float), periods, 12, z) if len(y) else None
         if res is None:
             return pd.DataFrame(columns=cols)
         mean, lo, hi = res
-        last = pd.to_datetime(pdf["month"].iloc[-1])
+        last = y.index[-1]
         months = pd.date_range(last + pd.offsets.MonthBegin(1), periods=periods, freq="MS").date
         out = pd.DataFrame({"month": months, "yhat": mean, "yhat_lower": lo, "yhat_upper": hi})
         for c in by:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from souk.schema import RAW_ORDER_SCHEMA
 
@@ -51,31 +52,17 @@ def load_orders(spark: SparkSession, path: str, fmt: str | None = None) -> DataF
 def _json_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
     """Data files below ``path``: those that hold an array, and the others.
 
-    Reads the leading white space and one more character of each file."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    fs_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(conf)
-    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
-    matched = fs.globStatus(fs_path)
-    arrays, lines = [], []
-    for status in matched or []:
-        found = fs.listFiles(status.getPath(), True)
-        while found.hasNext():
-            f = found.next().getPath()
-            if f.getName().startswith(("_", ".")):
-                continue
-            codec, stream = codecs.getCodec(f), fs.open(f)
-            try:
-                text = codec.createInputStream(stream) if codec else stream
-                while (b := text.read()) in (9, 10, 13, 32, 0xEF, 0xBB, 0xBF):
-                    pass
-            finally:
-                stream.close()
-            (arrays if b == ord("[") else lines).append(f.toString())
-    return arrays, lines
+    A Spark job over the lines of the files: each file's first line that isn't blank
+    tells.  The driver gets one row per file, no content."""
+    text = spark.read.option("recursiveFileLookup", True).text(path)
+    first = F.substring(F.regexp_replace("value", "^[\\s\ufeff]+", ""), 1, 1)
+    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                        F.monotonically_increasing_id().alias("line"), first.alias("first"))
+    told = lines.groupBy("file").agg(F.min_by(F.when(F.col("first") != "", F.col("first")), F.when(
+        F.col("first") != "", F.struct("block", "line"))).alias("first")).collect()
+    return [r["file"] for r in told if r["first"] == "["], [r["file"] for r in told if r["first"] != "["]
 
 
 def row_count(df: DataFrame) -> DataFrame:
     """Health probe as a one-row aggregate query (not an action)."""
-    from pyspark.sql import functions as F
     return df.agg(F.count(F.lit(1)).alias("rows"))

@@ -80,7 +80,7 @@ def test_forecast_recovers_trend(spark):
     months = pd.date_range("2019-01-01", periods=48, freq="MS")
     y = 1000 * np.exp(0.01 * np.arange(48) + 0.1 * np.sin(2 * np.pi * months.month / 12))
     s = spark.createDataFrame(pd.DataFrame({"month": months.date, "value": y}))
-    f = TS.forecast(s, periods=12).orderBy("month").toPandas()
+    f = TS.forecast(s, periods=12, growth="log_linear").orderBy("month").toPandas()
     assert len(f) == 60 and f.is_forecast.sum() == 12
     fut = pd.date_range("2023-01-01", periods=12, freq="MS")
     exp = 1000 * np.exp(0.01 * np.arange(48, 60) + 0.1 * np.sin(2 * np.pi * fut.month / 12))
@@ -103,6 +103,67 @@ def test_sarima_recovers_seasonal_series(spark):
     assert TS.seasonal_arima_forecast(short, periods=12).count() == 0
 
 
+def test_sarima_interpolates_missing_months(spark):
+    months = pd.date_range("2015-01-01", periods=60, freq="MS")
+    y = 100 + 2.0 * np.arange(60)
+    rows = [(m.date(), float(v)) for m, v in zip(months, y)]
+    full = spark.createDataFrame(rows, "month date, value double")
+    holes = [(m, None if i in (0, 20, 59) else v) for i, (m, v) in enumerate(rows) if i not in (7, 33)]
+    got = TS.seasonal_arima_forecast(spark.createDataFrame(holes + [(None, 5.0)], "month date, value double"), periods=6).collect()
+    want = TS.seasonal_arima_forecast(full.where("month > '2015-01-01' and month < '2019-12-01'"), periods=6).collect()
+    assert [r.month for r in got] == [r.month for r in want]
+    assert np.allclose([r.yhat for r in got], [r.yhat for r in want], rtol=1e-6)
+
+
+def test_null_numbers_leave_the_model_usable(spark):
+    rows = _model_rows(300)
+    rows[3]["customer_age"] = None
+    df = orders_df(spark, rows).withColumn("revenue", F.col("base_price") * 3.0)
+    df = df.withColumn("base_price", F.when(F.col("order_id") == "ORD00005", F.lit(float("nan"))).otherwise(F.col("base_price")))
+    m = {r.model: r for r in ML.compare_models(df, ["order_id"], names=["Linear Regression", "Decision Tree"]).collect()}
+    assert m["Linear Regression"].r2 > 0.999999 and m["Decision Tree"].r2 > 0.8
+    model = ML.fit(ML.model_input(df), ML.regressors()["Linear Regression"])
+    assert ML.score(model, df).count() == 298
+
+
+def test_four_families_compared_in_one_table(spark):
+    df = orders_df(spark, _model_rows(200)).withColumn("revenue", F.col("base_price") * 3.0)
+    got = {r.model: r for r in ML.compare_models(df, ["order_id"], trees=5).collect()}
+    assert list(got) == ["Linear Regression", "Decision Tree", "Random Forest", "Boosted Trees"]
+    assert len({r.n for r in got.values()}) == 1 and all(r.r2 > 0.5 and r.rmse >= r.mae > 0 for r in got.values())
+
+
+def test_label_codes(spark):
+    df = spark.createDataFrame([("b", "x"), ("a", None), ("b", "y"), (None, "x"), ("C", "x")], "u string, v string")
+    assert sorted(tuple(r) for r in ML.label_codes(df, ["u", "v"]).collect()) == [
+        ("u", "C", 0), ("u", "a", 1), ("u", "b", 2), ("v", "x", 0), ("v", "y", 1)]
+
+
+def test_padded_forest_equals_a_walk_of_its_nodes(spark):
+    rng = np.random.default_rng(2)
+    rows, model = rng.normal(size=(500, 3)), []
+    for tree in range(4):
+        todo, n = [(0, 0)], 1
+        while todo:
+            node, level = todo.pop()
+            if level < 3 and rng.random() < 0.8:
+                model.append((tree, node, int(rng.integers(3)), float(rng.normal()), n, n + 1, 10))
+                todo += [(n, level + 1), (n + 1, level + 1)]
+                n += 2
+            else:
+                model.append((tree, node, -1, 0.0, -1, -1, int(rng.integers(1, 9))))
+    model = pd.DataFrame(model, columns=["tree", "node", "feature", "threshold", "left", "right", "size"]).sort_values(["tree", "node"])
+    got = AN._path_lengths(rows, *AN._padded(model, 3), rows=64)
+    for x, g in zip(rows[:60], got):
+        depths = []
+        for _, nodes in model.groupby("tree"):
+            at, depth, by = 0, 0, nodes.set_index("node")
+            while by.feature[at] >= 0:
+                at, depth = int(by.left[at] if x[by.feature[at]] < by.threshold[at] else by.right[at]), depth + 1
+            depths.append(depth + float(AN._c_factor([by["size"][at]])[0]))
+        assert abs(np.mean(depths) - g) < 1e-12
+
+
 def test_permutation_importance_linear_shortcut_equals_rescoring(spark):
     rows = _model_rows(300)
     df = orders_df(spark, rows).withColumn("revenue", F.col("base_price") * 3.0 + F.col("customer_age"))
@@ -112,9 +173,9 @@ def test_permutation_importance_linear_shortcut_equals_rescoring(spark):
     test = test.withColumns({c: F.col(c).cast("double") for c in ML.NUM_FEATURES + ["revenue"]})
     feats = [*ML.CAT_FEATURES, *ML.NUM_FEATURES]
     fast = {r.feature: r.importance_mean for r in
-            ML.permutation_importance(model, test, feats, ["order_id"], repeats=3, bucket_rows=20).collect()}
+            ML.permutation_importance(model, test, feats, ["order_id"], repeats=3).collect()}
     slow = {r.feature: r.importance_mean for r in
-            ML._rescored_permutation_importance(model, test, feats, ["order_id"], 3, 20, 42, "revenue").collect()}
+            ML._rescored_permutation_importance(model, test, feats, ["order_id"], 3, 42, "revenue").collect()}
     assert fast.keys() == slow.keys()
     assert all(abs(fast[k] - slow[k]) < 1e-9 for k in fast)
     assert max(fast, key=fast.get) == "base_price"
@@ -138,7 +199,9 @@ def test_bgnbd_fit_reaches_truth_likelihood(spark):
             alive = rng.random() > p
         rows.append((float(x), tx, T_, 1.0))
     cells = spark.createDataFrame(pd.DataFrame(rows, columns=["x", "t_x", "T", "w"]))
-    fit = LT._batched_fit(cells, ["x", "t_x", "T"], LT.bgnbd_loglik, 4, 0.0, rounds=30)
+    passes = []
+    fit = LT.fit(cells, "bgnbd", 0.0, told=passes)
+    assert len(passes) <= 20
     arr = np.array(rows)
     ll_fit = LT.bgnbd_loglik(fit, arr[:, 0], arr[:, 1], arr[:, 2]).mean()
     ll_true = LT.bgnbd_loglik([r, alpha, a, b], arr[:, 0], arr[:, 1], arr[:, 2]).mean()
@@ -149,6 +212,34 @@ def test_bgnbd_fit_reaches_truth_likelihood(spark):
     assert (e1 > 0).all() and (e2 > e1).all()
 
 
+def test_gradients_are_those_of_the_likelihoods():
+    from souk.operators import lifetime as LT
+    rng = np.random.default_rng(3)
+    x = np.array([0.0, 1, 2, 7, 30])
+    arrays = {"bgnbd": (x, np.where(x > 0, 5.0, 0.0), np.full(5, 9.0)), "gamma_gamma": (x + 1, rng.uniform(5, 90, 5))}
+    for name, (of, gradient, _, k) in LT.MODELS.items():
+        u = rng.uniform(0.4, 3, k)
+        for i, e in enumerate(np.eye(k) * 1e-5):
+            numeric = (of(u + e, *arrays[name]) - of(u - e, *arrays[name])) / 2e-5
+            assert np.allclose(gradient(u, *arrays[name])[i], numeric, rtol=1e-5, atol=1e-6), (name, i)
+
+
+def test_gamma_gamma_fit_and_binned_spend(spark):
+    from souk.operators import lifetime as LT
+    rng = np.random.default_rng(8)
+    p, q, v = 4.0, 3.0, 20.0
+    x = rng.integers(1, 12, 4000).astype(float)
+    m = rng.gamma(p * x, 1 / (rng.gamma(q, 1 / v, 4000) * x))
+    cust = spark.createDataFrame(pd.DataFrame({"x": x, "m": m}))
+    cells = LT.spend_cells(cust)
+    passes = []
+    got = LT.fit(cells, "gamma_gamma", 0.0, told=passes)
+    own = lambda prm: LT.gamma_gamma_loglik(prm, x, m).mean()
+    assert own(got) >= own([p, q, v]) - 1e-6 and len(passes) <= 20
+    told = LT.loglik(cells, "gamma_gamma", got).first()
+    assert told.customers == 4000 and abs(told.loglik / 4000 - own(got)) < 1e-5
+
+
 def test_bgnbd_clv_without_a_customer_column(spark):
     from souk.operators import lifetime as LT
     rng = np.random.default_rng(5)

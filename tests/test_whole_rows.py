@@ -34,7 +34,7 @@ def test_forecast_counts_zero_and_negative_months(spark):
     assert len(f) == 48 and str(f[f.is_forecast].month.iloc[0]) == "2022-01-01"
     assert f.yhat[30:36].mean() < 12        # the zero months pull the fit down
     with pytest.raises(Exception, match="piecewise"):
-        TS.forecast(_series(spark, y), periods=12).collect()
+        TS.forecast(_series(spark, y), periods=12, growth="log_linear").collect()
 
 
 def test_piecewise_forecast_follows_a_bend_and_the_season(spark):
