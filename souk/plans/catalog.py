@@ -625,8 +625,8 @@ FROM (
          CASE WHEN e >= 0 THEN 'hold' WHEN a > 1 THEN
                 CASE WHEN least(cur * (a / (a - 0.5)), 60.0) > cur THEN 'increase' ELSE 'hold' END
               ELSE 'decrease' END AS direction,
-         (round_even((CASE WHEN e >= 0 THEN 0.0 WHEN a > 1 THEN (a - 1) * (least(cur * (a / (a - 0.5)), 60.0) - cur) / 100 * 100
-               ELSE (1 - a) * (cur - greatest(cur * 0.8, 0.0)) / 100 * 100 END) * 10.0, 0) / 10.0) AS impact,
+         (round_even((CASE WHEN e >= 0 THEN 0.0 ELSE (a - 1) * (CASE WHEN a > 1 THEN least(cur * (a / (a - 0.5)), 60.0)
+               ELSE greatest(cur * 0.8, 0.0) END - cur) END) * 10.0, 0) / 10.0) AS impact,
          CASE WHEN e >= 0 THEN 'Giffen/luxury good - discounting may reduce demand'
               ELSE printf('Elasticity %.2f - %s', e, CASE WHEN a > 1 THEN 'elastic: increase discount to grow volume'
                                                        ELSE 'inelastic: reduce discount to protect margin' END) END AS rationale

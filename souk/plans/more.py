@@ -7,19 +7,23 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from souk.operators import anomaly as AN
 from souk.operators import customers as CU
 from souk.operators import density as DE
+from souk.operators import drift as DR
 from souk.operators import enrich as EN
 from souk.operators import features as FE
 from souk.operators import insights as IN
 from souk.operators import inventory as IV
+from souk.operators import lifetime as LT
 from souk.operators import ml as ML
 from souk.operators import ordered as OR
 from souk.operators import pricing as PR
 from souk.operators import summary as SU
-from souk.plans.catalog import (_COHORT_SQL, NPR, ORACLE, QUERIES, R, W, _box_sql, _elast_sql, _hist_sql, fact, register,
+from souk.plans.catalog import (_COHORT_SQL, _DRIFT_SQL, NPR, ORACLE, QUERIES, R, W, _box_sql, _elast_sql, _hist_sql, fact, register,
                                 rounded)
-from souk.schema import AT_RISK_ALERT_SCHEMA, PRICE_RECOMMENDATION_SCHEMA, RAW_ORDER_SCHEMA
+from souk.schema import (AT_RISK_ALERT_SCHEMA, DRIFT_FEATURES, DRIFT_REPORT_SCHEMA, PRICE_RECOMMENDATION_SCHEMA,
+                         RAW_ORDER_SCHEMA)
 from souk.session import ensure_checkpoint_dir
 from souk.sources import landed, orders, sinks
 from souk.sources.star import FACT_SQL, shared_fact, table
@@ -330,20 +334,27 @@ def q_stored_at_risk_alerts(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- AN4
-@register("dbscan_customers", W("""
-SELECT customer_id, core AS dbscan_core, NOT (core OR EXISTS (
-         SELECT 1 FROM near n JOIN flagged o ON o.customer_id = n.b WHERE n.a = f.customer_id AND o.core)) AS dbscan_anomaly
-FROM flagged f""", extra=f"""
+_POINT_SQL = f"""
 point AS (SELECT customer_id, {R('count(*) / 8.0', 6)} AS x, {R('avg(revenue) / 10000', 6)} AS y, {R('avg(discount_percent)', 6)} AS z
           FROM feat WHERE customer_id IS NOT NULL GROUP BY customer_id),
 near AS (SELECT p.customer_id AS a, q.customer_id AS b FROM point p JOIN point q
            ON (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) <= 0.25),
-flagged AS (SELECT a AS customer_id, count(*) >= 10 AS core FROM near GROUP BY a)"""))
-def q_dbscan_customers(spark, sf_dir):
-    """DBSCAN core and noise flags over three features per customer (AN4)."""
+flagged AS (SELECT a AS customer_id, count(*) >= 10 AS core FROM near GROUP BY a)"""
+
+
+def _customer_points(spark, sf_dir):
     df = fact(spark, sf_dir, ["customer_id", "revenue", "discount_percent"])
-    point = rounded(df.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
+    return rounded(df.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
         (F.count(F.lit(1)) / 8.0).alias("x"), (F.avg("revenue") / 10000).alias("y"), F.avg("discount_percent").alias("z")), 6)
+
+
+@register("dbscan_customers", W("""
+SELECT customer_id, core AS dbscan_core, NOT (core OR EXISTS (
+         SELECT 1 FROM near n JOIN flagged o ON o.customer_id = n.b WHERE n.a = f.customer_id AND o.core)) AS dbscan_anomaly
+FROM flagged f""", extra=_POINT_SQL))
+def q_dbscan_customers(spark, sf_dir):
+    """DBSCAN core and noise flags over three features per customer (AN4)."""
+    point = _customer_points(spark, sf_dir)
     return DE.dbscan(point, ["x", "y", "z"], eps=0.5, min_samples=10).select("customer_id", "dbscan_core", "dbscan_anomaly")
 
 
@@ -367,9 +378,8 @@ def _split(spark, sf_dir):
 
 @register("model_comparison")
 def q_model_comparison(spark, sf_dir):
-    """Test metrics of the single-model families; the two ensembles take minutes and are left to the caller (ML3)."""
-    return ML.compare_models(FE.engineer(shared_fact(spark, sf_dir)), ["order_id", "base_price", "units_sold"],
-                             names=["Linear Regression", "Decision Tree"])
+    """Test metrics of all four model families; the ensembles with 20 trees instead of 100, to bound the time (ML3)."""
+    return ML.compare_models(FE.engineer(shared_fact(spark, sf_dir)), ["order_id", "base_price", "units_sold"], trees=20)
 
 
 @register("linear_attribution")
@@ -385,7 +395,73 @@ def q_scored_residuals(spark, sf_dir):
     """Test orders with prediction and residual of the linear model (ML5, ML6)."""
     train, test = _split(spark, sf_dir)
     model = ML.fit(ML.model_input(train), ML.regressors()["Linear Regression"])
-    return ML.residuals(model.transform(ML.model_input(test)))
+    return ML.residuals(ML.score(model, test, keep=["revenue"]), prediction="predicted_revenue")
+
+
+_EXACT = "base_price * 2 - discount_percent * 5 + month * 3"
+_EXACT_NUM = ["base_price", "discount_percent", "month", "weekday"]
+
+
+def _exact_model(spark, sf_dir):
+    """The linear model of a target that is a known line through four numbers, fitted on the training part."""
+    train, _ = _split(spark, sf_dir)
+    train = train.withColumn("revenue", F.expr(_EXACT))
+    return ML.fit(ML.model_input(train, [], _EXACT_NUM), ML.regressors()["Linear Regression"], [], _EXACT_NUM)
+
+
+@register("linear_scores", W(f"""
+SELECT order_id, {R('base_price', 6)} AS base_price, units_sold, {R(f'({_EXACT}) / 1000', 6)} AS predicted, 0.0::DOUBLE AS residual FROM feat"""))
+def q_linear_scores(spark, sf_dir):
+    """All orders scored by a linear model whose target is a known line: predictions and residuals must be that line's (ML1, ML5, ML6)."""
+    orders_ = FE.engineer(shared_fact(spark, sf_dir, ["order_id", "order_date", "base_price", "discount_percent", "units_sold"]))
+    scored = ML.score(_exact_model(spark, sf_dir), orders_.withColumn("revenue", F.expr(_EXACT)), [], _EXACT_NUM,
+                      keep=["order_id", "units_sold", "revenue"])
+    rest = ML.residuals(scored, keep=["order_id", "base_price", "units_sold"], prediction="predicted_revenue")
+    return rounded(rest.select("order_id", "base_price", "units_sold", (F.col("predicted") / 1000).alias("predicted"), "residual"), 6,
+                   {"residual": 4})
+
+
+@register("linear_contributions", W(f"""
+SELECT feature, {R('mean_abs', 4)} AS mean_abs FROM (
+  SELECT 'base_price' AS feature, avg(abs(base_price - (SELECT avg(base_price) FROM feat))) * 2 AS mean_abs FROM feat
+  UNION ALL SELECT 'discount_percent', avg(abs(discount_percent - (SELECT avg(discount_percent) FROM feat))) * 5 FROM feat
+  UNION ALL SELECT 'month', avg(abs(month - (SELECT avg(month) FROM feat))) * 3 FROM feat) c"""))
+def q_linear_contributions(spark, sf_dir):
+    """The three largest mean contributions to that linear model, which are known too (ML8, TK8)."""
+    orders_ = FE.engineer(shared_fact(spark, sf_dir, ["order_date", "base_price", "discount_percent"])).withColumn("revenue", F.expr(_EXACT))
+    told = ML.linear_attribution(_exact_model(spark, sf_dir), ML.model_input(orders_, [], _EXACT_NUM), top_n=3, num=_EXACT_NUM)
+    return rounded(told, 4)
+
+
+# ---------------------------------------------------------------- SO1, DR4
+_WINDOW_SQL = """
+b AS (SELECT max(order_date) - INTERVAL 3 MONTH AS cut, max(order_date) - INTERVAL 3 MONTH - INTERVAL 6 MONTH AS start FROM feat),
+win AS (SELECT f.*, CASE WHEN order_date >= cut THEN 'cur' ELSE 'ref' END AS side FROM feat f CROSS JOIN b WHERE order_date >= start)"""
+
+
+@register("window_label_codes", W("SELECT feature, label, CAST(dense_rank() OVER (PARTITION BY feature ORDER BY label) - 1 AS INTEGER) AS code FROM ("
+                                  + " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS feature, {c} AS label FROM win WHERE {c} IS NOT NULL"
+                                                       for c in ML.PRED_DRIFT_CAT) + ") l", extra=_WINDOW_SQL))
+def q_window_label_codes(spark, sf_dir):
+    """Codes of the category labels over the reference and current windows together (SO1)."""
+    return ML.label_codes(DR.tag_windows(fact(spark, sf_dir, ["order_date", *ML.PRED_DRIFT_CAT])))
+
+
+@register("mean_predictor_drift", W(f"""
+SELECT {R("round_even(ref_r2 * 1000, 0) / 1000", 3)} AS ref_r2, {R("round_even(cur_r2 * 1000, 0) / 1000", 3)} AS cur_r2,
+       {R("round_even(ref_mae, 0)", 0)} AS ref_mae, {R("round_even(cur_mae, 0)", 0)} AS cur_mae,
+       {R("round_even((ref_r2 - cur_r2) * 1000, 0) / 1000", 3)} AS r2_drop, ref_r2 - cur_r2 > 0.05 AS drift_alert
+FROM (SELECT max(CASE WHEN side = 'ref' THEN r2 END) AS ref_r2, max(CASE WHEN side = 'cur' THEN r2 END) AS cur_r2,
+             max(CASE WHEN side = 'ref' THEN mae END) AS ref_mae, max(CASE WHEN side = 'cur' THEN mae END) AS cur_mae
+      FROM (SELECT side, 1 - sum((revenue - p) * (revenue - p)) / NULLIF(var_pop(revenue) * count(*), 0) AS r2, avg(abs(revenue - p)) AS mae
+            FROM (SELECT w.side, w.revenue, m.p FROM win w JOIN (
+                    SELECT category, zone, avg(revenue) AS p FROM win WHERE side = 'ref' GROUP BY category, zone) m
+                  ON w.category = m.category AND w.zone = m.zone) GROUP BY side) s) t""", extra=_WINDOW_SQL))
+def q_mean_predictor_drift(spark, sf_dir):
+    """Prediction drift of the reference window's mean revenue per category and zone (DR4)."""
+    t = DR.tag_windows(fact(spark, sf_dir, ["order_date", "category", "zone", "revenue"]))
+    mean = t.where(F.col("side") == "ref").groupBy("category", "zone").agg(F.avg("revenue").alias("prediction"))
+    return rounded(ML.window_drift(t.join(mean, ["category", "zone"])), 3, {"ref_mae": 0, "cur_mae": 0})
 
 
 # ---------------------------------------------------------------- PR4, IV2, IN4, IN5 on demand that reaches every branch
@@ -424,3 +500,120 @@ _on_shaped("urgent_groups", lambda df: rounded(IV.urgent_groups(IV.alerts(df)).s
     "category", "zone", "alert_level", "velocity_score", "group"), 1))
 _on_shaped("elastic_categories", lambda df: rounded(IN.elastic_categories(df), 6, {"base_price_total": 2}))
 _on_shaped("recommendations", IN.recommendations)
+
+
+# ---------------------------------------------------------------- SC3: arrays and lines in one folder
+@register("orders_from_mixed_json", _READ_SQL)
+def q_orders_from_mixed_json(spark, sf_dir):
+    """Orders landed as JSON lines and as JSON arrays in one folder, each file read by its own form (SC3)."""
+    raw = shared_fact(spark, sf_dir)
+    raw = raw.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c == "order_date" else F.col(c)
+                       for c in (f.name for f in RAW_ORDER_SCHEMA.fields)])
+    path = f"{_shared(spark, 'orders')}.json"
+    raw.where("units_sold % 2 = 0").write.json(path)
+    each = F.to_json(F.struct(*raw.columns))
+    # an array per thousand orders or so, over several lines
+    arrays = raw.where("units_sold % 2 <> 0").groupBy(F.pmod(F.xxhash64("order_id", "base_price", "final_price"), F.lit(64)).alias("part")) \
+        .agg(F.concat(F.lit("\n [\n"), F.array_join(F.collect_list(each), ",\n"), F.lit("\n]\n")).alias("value"))
+    arrays.write.partitionBy("part").text(f"{path}/arrays")
+    df = FE.prepare(orders.load_orders(spark, path))
+    return rounded(df.groupBy("year_month").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("revenue").alias("revenue"), F.sum("discount_percent").alias("discount"),
+        F.sum("units_sold").alias("units"), F.countDistinct("category").alias("categories")), 4, {"discount": 2})
+
+
+# ---------------------------------------------------------------- SC8, SK2, SK5
+@register("trend_file_scan", W("""
+SELECT strftime(date, '%Y-%m-%d') AS day, keyword, CAST(interest AS DOUBLE) AS interest FROM daily
+WHERE keyword IN ('click', 'view', 'purchase')""", extra=_TRENDS_SQL))
+def q_trend_file_scan(spark, sf_dir):
+    """A wide trend file with its marker column, landed as CSV, read back and melted (SC8, PJ12)."""
+    kinds = ["click", "view", "purchase"]
+    day = F.add_months(F.to_date("ts"), -360).alias("date")
+    wide = table(spark, sf_dir, "events").groupBy(day).pivot("event_type", kinds).agg(F.count(F.lit(1)))
+    path = _shared(spark, "trends")
+    wide.withColumn("isPartial", F.lit(False)).write.option("header", True).csv(path)
+    long = landed.trends_long(landed.read_trends(spark, path)).where(F.col("interest").isNotNull())
+    return long.select(F.date_format("date", "yyyy-MM-dd").alias("day"), "keyword", "interest")
+
+
+@register("stored_drift_report", W(f"""
+SELECT CAST(sum(CASE WHEN psi > 0.2 OR ks_p_value < 0.05 THEN 1 ELSE 0 END) AS INTEGER) AS features_drifted,
+       {R('max((round_even((psi) * 10000.0, 0) / 10000.0))', 4)} AS max_psi,
+       (SELECT r2_drop FROM ({ORACLE["mean_predictor_drift"]}) d) AS pred_r2_drop, (SELECT drift_alert FROM ({ORACLE["mean_predictor_drift"]}) d) AS drift_alert,
+       string_agg(feature, ',' ORDER BY feature) AS reported, true AS has_time FROM res""", extra=_DRIFT_SQL))
+def q_stored_drift_report(spark, sf_dir):
+    """The drift report with the prediction drift, appended to its table and read back: all six columns (SK2, DR3, DR4)."""
+    drop = QUERIES["mean_predictor_drift"](spark, sf_dir).first()        # one row
+    path = _shared(spark, "drift-report")
+    features = DR.feature_drift(fact(spark, sf_dir, ["order_date", *DRIFT_FEATURES]))
+    sinks.save_drift_report(DR.drift_report(features, drop["r2_drop"], drop["drift_alert"]), path)
+    back = spark.read.schema(DRIFT_REPORT_SCHEMA).parquet(path)
+    names = F.from_json("report_json", "array<struct<feature string>>")
+    return rounded(back.select("features_drifted", "max_psi", "pred_r2_drop", "drift_alert",
+                               F.array_join(F.array_sort(F.transform(names, lambda f: f["feature"])), ",").alias("reported"),
+                               F.col("created_at").isNotNull().alias("has_time")), 4)
+
+
+@register("report_folder", W(f"""
+SELECT 'kpis' AS part, 1::BIGINT AS rows, 0.0::DOUBLE AS revenue
+UNION ALL SELECT 'insights', count(*), 0.0 FROM ({ORACLE["executive_narrative"]}) n
+UNION ALL SELECT 'recommendations', count(*), 0.0 FROM ({ORACLE["recommendations"]}) r
+UNION ALL SELECT 'data', count(*), {R('sum(revenue)', 2)} FROM feat
+UNION ALL SELECT 'monthly', count(DISTINCT year_month), {R('sum(revenue)', 2)} FROM feat WHERE year_month IS NOT NULL"""))
+def q_report_folder(spark, sf_dir):
+    """The five tables of a report folder, read back: rows of each and the revenue of two (SK5)."""
+    df = fact(spark, sf_dir)
+    path = _shared(spark, "report")
+    sinks.export_report(path, IN.summary_kpis(df, 84.0), IN.narrative(df), IN.recommendations(df), df.select("order_id", "order_date", "revenue"),
+                        SU.monthly_revenue(df))
+    out = None
+    for part, value in (("kpis", None), ("insights", None), ("recommendations", None), ("data", "revenue"), ("monthly", "revenue_sum")):
+        total = F.sum(value) if value else F.lit(0.0)
+        one = spark.read.parquet(f"{path}/{part}").agg(F.count(F.lit(1)).alias("rows"), total.alias("revenue")).select(F.lit(part).alias("part"), "*")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, 2)
+
+
+# ---------------------------------------------------------------- AN5, AG17: a vote that SQL can take too
+@register("customer_votes", W("""
+SELECT customer_id, noise AS dbscan_anomaly, far AS zscore_anomaly, wide AS robust_anomaly,
+       CAST(noise AS INTEGER) + CAST(far AS INTEGER) + CAST(wide AS INTEGER) AS anomaly_votes,
+       CAST(noise AS INTEGER) + CAST(far AS INTEGER) + CAST(wide AS INTEGER) >= 2 AS confirmed_anomaly
+FROM (SELECT f.customer_id, NOT (core OR EXISTS (
+               SELECT 1 FROM near n JOIN flagged o ON o.customer_id = n.b WHERE n.a = f.customer_id AND o.core)) AS noise,
+             abs(x - mx) / sx > 2.2 OR abs(y - my) / sy > 2.2 OR abs(z - mz) / sz > 2.2 AS far,
+             abs((x - qx[2]) / (qx[3] - qx[1])) > 1.6 OR abs((y - qy[2]) / (qy[3] - qy[1])) > 1.6
+               OR abs((z - qz[2]) / (qz[3] - qz[1])) > 1.6 AS wide
+      FROM flagged f JOIN point USING (customer_id), (
+        SELECT avg(x) mx, stddev_samp(x) sx, avg(y) my, stddev_samp(y) sy, avg(z) mz, stddev_samp(z) sz,
+               quantile_cont(x, [0.25, 0.5, 0.75]) qx, quantile_cont(y, [0.25, 0.5, 0.75]) qy, quantile_cont(z, [0.25, 0.5, 0.75]) qz
+        FROM point) s) v""", extra=_POINT_SQL))
+def q_customer_votes(spark, sf_dir):
+    """DBSCAN noise, z-scores and robust-scaled distances of customers, confirmed by two votes of three (AN1, AN2, AN4, AN5)."""
+    point = AN.zscore_flags(_customer_points(spark, sf_dir), ["x", "y", "z"], 2.2)
+    point = AN.robust_scale(point, ["x", "y", "z"])
+    wide = F.lit(False)
+    for c in "xyz":
+        wide |= F.abs(F.col(f"rs_{c}")) > 1.6
+    out = AN.votes(DE.dbscan(point.withColumn("robust_anomaly", wide), ["x", "y", "z"], eps=0.5, min_samples=10, labels=False),
+                   ["dbscan_anomaly", "zscore_anomaly", "robust_anomaly"], 2)
+    return out.select("customer_id", "dbscan_anomaly", "zscore_anomaly", "robust_anomaly", "anomaly_votes", "confirmed_anomaly")
+
+
+# ---------------------------------------------------------------- CU6: a given model's likelihood
+_GIVEN = (0.9, 40.0, 0.8, 2.5)
+
+
+@register("purchase_model_likelihood", W(f"""
+SELECT count(*) AS customers, {R("sum(lgamma(r + x) - lgamma(r) + r * ln(alpha) + lgamma(a + b) + lgamma(b + x) - lgamma(b) - lgamma(a + b + x)"
+    " + ln(pow(alpha + t, -(r + x)) + CASE WHEN x > 0 THEN a / (b + x - 1) * pow(alpha + tx, -(r + x)) ELSE 0 END)) / 100", 4)} AS loglik
+FROM (SELECT count(*) - 1 AS x, date_diff('day', min(day), max(day)) / 7.0::DOUBLE AS tx, date_diff('day', min(day), any_value(last)) / 7.0::DOUBLE AS t
+      FROM (SELECT DISTINCT customer_id, CAST(order_date AS DATE) AS day, (SELECT max(CAST(order_date AS DATE)) FROM feat) AS last
+            FROM feat WHERE customer_id IS NOT NULL) v GROUP BY customer_id) c,
+     (SELECT {', '.join(f'{v}::DOUBLE AS {n}' for n, v in zip(('r', 'alpha', 'a', 'b'), _GIVEN))}) p"""))
+def q_purchase_model_likelihood(spark, sf_dir):
+    """Log-likelihood of the customers' histories under given purchase-model parameters, in hundreds (CU6)."""
+    cust = LT.customer_cells(fact(spark, sf_dir, ["customer_id", "order_date", "revenue"]))
+    told = LT.loglik(LT.purchase_cells(cust), "bgnbd", _GIVEN)
+    return rounded(told.select("customers", (F.col("loglik") / 100).alias("loglik")), 4)
