@@ -9,6 +9,7 @@ import string
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +19,36 @@ from souk.session import ensure_checkpoint_dir
 BROADCAST_ROWS = 200_000
 
 
+_SCRATCH: list[list[str]] = []      # paths made inside each open ``scratch``
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder that driver and executors share."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the folder that driver and executors share.  What is written
+    there stays until ``remove`` is called, or ``scratch`` ends if the path was made inside."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder made at a ``shared_path``; no DataFrame over it can be read any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are removed at the end: for jobs whose result has
+    been written by then, to a path made outside."""
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(made)
+        for path in made:
+            remove(spark, path)
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -31,8 +59,8 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500",
-            "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "250",
+            "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -59,6 +87,7 @@ def give_back() -> None:
     """Returns freed memory to the system at the end of a task: idle Python workers
     live on for a while beside those of the next stage."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):     # glibc
         trim(0)
 

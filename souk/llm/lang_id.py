@@ -10,13 +10,16 @@ up by vectorised gathers; the hits per language, less the false positives that
 the language's fill predicts, decide.
 
 Bounds: ``SAMPLE_ROWS`` rows per language (in expectation, by a hash of id and
-text) train; at most 1 / MIN_SHARE n-grams per language and length survive, and
-the filter is sized for the language with most of them: at most 2^22 slots of 64
-bits for every 64 languages (one array of slots each).  Every label trains.
+text) train; at most 1 / MIN_SHARE n-grams per language and length survive.  What
+reaches the driver and is broadcast grows with the number of labels only, not with
+the rows: a name and a count per label, its surviving n-grams, and one array of
+slots for every 64 labels, of at most 2^22 slots of 64 bits (32 MB; some 4 MB for
+the n-grams that 4,000 rows of prose leave).  A thousand labels make half a gigabyte
+at most.  Every label trains.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so
 is every text if nothing was learned; equal evidence goes to the language with
-more training n-grams, then the smaller name; repeated rows are judged alike;
+more labelled rows, then the smaller name; repeated rows are judged alike;
 empty tables give an empty result.
 """
 
