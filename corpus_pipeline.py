@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souk.llm import bpe, decontaminate, lang_id, pii, simhash
-from souk.llm.common import materialize, table
+from souk.llm.common import materialize, remove, scratch, shared_path, table
 from souk.llm.queries import byte_bpe
 from souk.session import configure
 
@@ -72,9 +72,18 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again.  What a stage made on
+    its way, and its input, go once its result is written; the last stage's input stays
+    for as long as the result is read."""
     configure(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(spark, stage(spark, docs, sf_dir), name)
+        path = shared_path(spark, name)
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if read:
+            remove(spark, read)
+        read = path
     return STAGES[-1][1](spark, docs, sf_dir)
