@@ -184,25 +184,33 @@ def column_quantiles(df: DataFrame, probs: Mapping[str, Sequence[float]], by: Se
         inside_rows += F.col(f"_upto{t}") - F.col(f"_below{t}")
     told = facts.agg(F.count_if(missed).alias("missed"), F.sum(inside_rows).alias("inside")).first()
 
-    inside = {t: F.coalesce(xs[c].between(F.col(f"_lo{t}"), F.col(f"_hi{t}")), F.lit(False)) for t, c, _ in targets}
-    some = F.lit(False)
-    for cond in inside.values():
-        some |= cond
-    each = F.filter(F.array(*[F.struct(F.lit(t).alias("t"), xs[c].alias("x"), inside[t].alias("inside")) for t, c, _ in targets]),
-                    lambda s: s["inside"])
-    rows = _attach(df, facts.where(~missed), groups, by).where(some).select(*by, F.explode(each).alias("_e"))
-    counts = rows.groupBy(*by, F.col("_e.t").alias("_t"), F.col("_e.x").alias("_x")).agg(F.count(F.lit(1)).alias("_w"))
-    if (told["inside"] or 0) <= PIECE_ROWS and not partitions:
+    # a value counts once for its column, whichever brackets it lies in
+    lo, hi = ({t: F.col(f"_{end}{t}") for t, _, _ in targets} for end in ("lo", "hi"))
+    each = []
+    for i, c in enumerate(cols):
+        inside = F.lit(False)
+        for t in (t for t, d, _ in targets if d == c):
+            inside |= xs[c].between(lo[t], hi[t])
+        each.append(F.when(inside, F.struct(F.lit(i).alias("c"), xs[c].alias("x"))))
+    rows = _attach(df, facts.where(~missed), groups, by).select(*by, F.explode(F.array(*each)).alias("_e")).where(F.col("_e").isNotNull())
+    counts = rows.groupBy(*by, F.col("_e.c").alias("_c"), F.col("_e.x").alias("_x")).agg(F.count(F.lit(1)).alias("_w"))
+    n_counts = told["inside"] or 0
+    if n_counts > PIECE_ROWS or partitions:
+        counts = materialize(counts)
+        n_counts = counts.count() * max(len(probs[c]) for c in cols)
+    goals = facts.where(~missed).select(*by, F.explode(F.array(*[
+        F.struct(F.lit(t).alias("_t"), F.lit(cols.index(c)).alias("_c"), F.lit(c).alias("feature"), F.lit(q).alias("q"),
+                 lo[t].alias("_lo"), hi[t].alias("_hi"), F.col(f"_below{t}").alias("_below"),
+                 (F.lit(q) * (F.col(f"_n{cols.index(c)}") - 1)).alias("_h")) for t, c, q in targets])).alias("_g")).select(*by, "_g.*")
+    placed = counts.join(small(goals, groups * len(targets)), [*by, "_c"]).where(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+    placed = placed.select(*by, "_t", "feature", "q", "_x", "_w", "_below", "_h")
+    if n_counts <= PIECE_ROWS and not partitions:
         w = Window.partitionBy(*by, "_t").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranked = counts.withColumn("cum__w", F.sum("_w").over(w))        # counted: a single piece at most
+        ranked = placed.withColumn("cum__w", F.sum("_w").over(w))        # counted: a single piece at most
     else:
-        ranked = prefix_sum(counts, "_x", ["_w"], [*by, "_t"], partitions)
-    goals = facts.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(t).alias("_t"), F.lit(c).alias("feature"), F.lit(q).alias("q"), F.col(f"_below{t}").alias("_below"),
-                 (F.lit(q) * (F.col(f"_n{cols.index(c)}") - 1)).alias("_h")) for t, c, q in targets])).alias("_g")).select(*by, "_g.*")
-    found = ranked.join(small(goals, groups * len(targets)), [*by, "_t"])
-    out = _interpolated(found, F.col("_x"), F.col("_below") + F.col("cum__w") - F.col("_w"), F.col("_below") + F.col("cum__w") - 1,
-                        F.col("_h"), [*by, "feature", "q"])
+        ranked = prefix_sum(placed, "_x", ["_w"], [*by, "_t"], partitions)
+    before = F.col("_below") + F.col("cum__w")
+    out = _interpolated(ranked, F.col("_x"), before - F.col("_w"), before - 1, F.col("_h"), [*by, "feature", "q"])
     if told["missed"]:
         left = df.join(small(facts.where(missed).select(*by), groups), by, "left_semi") if by else df
         for c in cols:

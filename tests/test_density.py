@@ -70,3 +70,26 @@ def test_three_detectors_vote(spark):
     assert out.schema["confirmed_anomaly"].dataType.simpleString() == "boolean"
     top = out.where("anomaly_votes = 3").collect()
     assert [t["k"] for t in top] == [1000]
+
+
+@pytest.mark.parametrize("eps", [0.3, 0.08])
+def test_dense_cells_are_linked_by_boxes_and_pairs(spark, eps, monkeypatch):
+    monkeypatch.setattr(DE, "LEAF", 16)
+    x = np.random.default_rng(9).uniform(0, 1, (900, 3))
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "k long, a double, b double, c double")
+    out = DE.dbscan(df, ["a", "b", "c"], eps=eps, min_samples=4).toPandas().set_index("k").sort_index()
+    core, label, touched = brute(x, eps, 4)
+    assert (out.dbscan_core.to_numpy() == core).all()
+    got = out.dbscan_label.to_numpy()
+    assert len(set(got[core])) == len(set(label[core])) == len(set(zip(got[core], label[core])))
+
+
+def test_a_task_links_cells_by_a_forest():
+    r = np.random.default_rng(1)
+    x = np.concatenate([r.uniform(0, 1, (2000, 2)), r.uniform(3, 4, (500, 2))])
+    import pandas as pd
+    side = 0.2 / np.sqrt(2)
+    pdf = pd.DataFrame(x, columns=["x0", "x1"]).assign(cell=(np.floor(x[:, 0] / side) * 1000 + np.floor(x[:, 1] / side)).astype(np.int64))
+    links = DE._link_test(0.2)(pdf, pdf, ["x0", "x1"])
+    assert len(links) == pdf.cell.nunique() - 2        # two clusters
+    assert len(DE._link_test(0.2)(pdf[:0], pdf, ["x0", "x1"])) == 0
