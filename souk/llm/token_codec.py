@@ -1,16 +1,18 @@
 """Compressed token files: an adaptive context-mixing range coder over token ids.
 
+An id is a walk down a binary tree whose leaves are the ids of the file row (the
+*group*); frequent ids are near the root, and the tree's shape -- the only order-0
+statistic that blocks share -- is stored once per group.  Every step down is one
+binary decision that three adaptive predictions tell: the node's own (order 0), the
+node's after the id before (order 1) and the node's after the two ids before
+(order 2).  A prediction is a probability with a count of how often it was met, which
+sets how fast it learns.  They are mixed in the logistic domain with weights that
+learn too, chosen by how sure orders 1 and 2 are, and the mixture drives a binary
+range coder.  All arithmetic is on whole numbers, so every machine decodes alike.
+
 The ids are cut into blocks of ``BLOCK``; every block starts with fresh
 statistics and carries the CRC-32 of its ids, so blocks decode independently and
-damage is noticed.  Within a block each id is first tried against three
-predictions: the id that last followed the two ids before it (order 2), the one
-that last followed the id before it (order 1) and the block's leading id
-(order 0).  Which prediction holds, or none, is range-coded with a mixture of
-counts taken in the context of the predictions' confidences and of plain counts;
-the mixing weight follows whichever of the two did better.  An id that nothing
-predicts is coded by its bit length (adaptive counts) and its remaining bits.
-
-Many blocks are coded in step as lanes of numpy arrays.  A file row (a *group*)
+damage is noticed.  Many blocks are coded in step as lanes of numpy arrays.  A group
 holds whole documents: their ids and lengths and the coded blocks.  Documents
 are range-partitioned by id (and text, so that one id's rows can be split), so
 files and groups follow in ascending order; the position of a document is its
@@ -25,6 +27,7 @@ length are encoded whole, a longer one only makes its group longer.
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import re
 import zlib
@@ -39,96 +42,155 @@ from pyspark.sql import functions as F
 from souk.llm.common import shared_path, small_batches
 
 BLOCK = 2_048
-LANES = 4_096
+LANES = 1_536
 GROUP_IDS = 6_000_000
 CACHE_CHUNKS = 500_000
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 # fixed value: the pre-tokenizer's pattern on lower-case ASCII
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _U = np.uint64
-_LEAST = _U(1 << 48)                 # the coder's range is at least this before an id
-_HASH = (10, 11)                     # bits of a lane's order-1 and order-2 tables
-_CLASSES = 21                        # bit lengths 0 to 20
-_STEP, _FULL = 8, 400                # counts of what prediction holds: increment, halved beyond
-_CSTEP, _CFULL = 24, 4_000           # counts of bit lengths
+_LEAST = _U(1 << 48)                 # the coder's range is at least this before every other decision
+_MOST_IDS = 1 << 20
+_BITS = (12, 14, 14)                 # bits of a lane's tables of orders 0, 1 and 2
+_LANE = sum(1 << b for b in _BITS)
+_WEIGHTS = (1 << 16, 1 << 14, 1 << 14)
+_RATE = 10                           # weights move by error x input / 2 ** _RATE
+
+
+def _entry_tables() -> tuple[np.ndarray, ...]:
+    """Of a table entry (12 bits of probability, 4 of count): its logit, the entry that follows
+    a 0 and a 1, and how sure it is; and the probability (16 bits) of a mixed logit."""
+    e = np.arange(1 << 16)
+    p, n = e >> 4, e & 15
+    x = (p + 0.5) / 4096
+    logit = np.rint(np.log(x / (1 - x)) * 256).astype(np.int32)
+    share = (65536 / (n + 1.6)).astype(np.int64)
+    after = [(p + (((bit * 4095 - p) * share) >> 16) << 4) | np.minimum(n + 1, 15) for bit in (0, 1)]
+    mixed = np.arange(-2047, 2048) / 256
+    prob = np.clip(np.rint(65536 / (1 + np.exp(-mixed))), 32, 65536 - 32).astype(np.int32)
+    return logit, np.concatenate(after).astype(np.uint16), np.minimum(n, 3), prob
+
+
+_LOGIT, _AFTER, _SURE, _PROB = _entry_tables()
+
+
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Depth of each id's leaf in a tree of least expected depth (0: the id doesn't occur)."""
+    ids, out = np.flatnonzero(counts), np.zeros(len(counts), np.uint8)
+    heap = [(int(counts[i]), k) for k, i in enumerate(ids)]
+    heapq.heapify(heap)
+    above = np.zeros(2 * len(ids), np.int64)
+    for n in range(len(ids), 2 * len(ids) - 1):
+        (x, i), (y, j) = heapq.heappop(heap), heapq.heappop(heap)
+        above[i] = above[j] = n
+        heapq.heappush(heap, (x + y, n))
+    depth = np.zeros(2 * len(ids), np.int64)
+    for k in range(2 * len(ids) - 3, -1, -1):
+        depth[k] = depth[above[k]] + 1
+    out[ids] = np.maximum(depth[:len(ids)], 1)
+    return out
 
 
-class _Lanes:
-    """Statistics and coder state of blocks that are coded in step.
+class _Tree:
+    """The tree with leaves at given depths, those of lower ids first: nodes are numbered from
+    the root level by level.
+
+    ``child``: at 2 * node + decision the next node, or ~id of a leaf; ``start``: of each id the
+    first of its steps in ``node``, ``bit`` and ``last`` (the step that ends in the leaf)."""
+
+    def __init__(self, lengths: np.ndarray):
+        ids = np.flatnonzero(lengths)
+        ids = ids[np.lexsort((ids, lengths[ids]))]
+        depth = lengths.astype(np.int64)
+        leaves = np.bincount(depth[ids])
+        child, above, side = [], [np.array([-1])], [np.array([0])]
+        up, turn = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        base, inner, nodes, first = 0, 1, 1, 0
+        for d in range(1, len(leaves)):
+            place = np.arange(2 * inner)             # below the nodes of the level before: leaves, then nodes
+            own = ids[first:first + leaves[d]]
+            below = np.where(place < len(own), 0, nodes + place - len(own))
+            below[:len(own)] = ~own
+            if len(ids) == 1:
+                below[:], place = ~own[0], place[:1]
+            up[own], turn[own] = base + place[:len(own)] // 2, place[:len(own)] & 1
+            child.append(below)
+            above.append(base + place[len(own):] // 2)
+            side.append(place[len(own):] & 1)
+            base, inner, first = nodes, len(place) - len(own), first + len(own)
+            nodes += inner
+        self.child = np.concatenate(child)
+        self.mix = np.arange(nodes, dtype=np.uint32) * np.uint32(0x9E3779B1)
+        above, side = np.concatenate(above), np.concatenate(side)
+        self.start = np.concatenate([[0], np.cumsum(depth)])
+        self.node, self.bit = np.zeros(self.start[-1], np.int64), np.zeros(self.start[-1], np.int64)
+        self.last = np.zeros(self.start[-1], bool)
+        at, node, bit = self.start[ids] + depth[ids] - 1, up[ids], turn[ids]
+        self.last[at] = True
+        while len(at):
+            self.node[at], self.bit[at] = node, bit
+            at, bit, node = at - 1, side[node], above[node]
+            rest = node >= 0
+            at, bit, node = at[rest], bit[rest], node[rest]
 
-    A table entry is an id and, in its low three bits, how sure it is."""
+
+class _Lanes:
+    """Statistics and coder state of blocks that are coded in step."""
 
     def __init__(self, n: int):
-        self.lane = np.arange(n)
-        self.table1, self.table2 = np.zeros(n << _HASH[0], np.uint32), np.zeros(n << _HASH[1], np.uint32)
-        self.lead, self.votes = np.zeros(n, np.uint32), np.zeros(n, np.int32)
-        self.near = np.ones((n * 16, 4), np.uint32)      # by lane and confidence of both tables
-        self.plain = np.ones((n, 4), np.uint32)
-        self.weight = np.full(n, 4, np.uint32)
-        self.length = np.ones((_CLASSES, n), np.uint32)
-        self.total = np.full(n, _CLASSES, np.uint32)
-        self.prev, self.prev2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+        self.table = np.full(n * _LANE, 2048 << 4, np.uint16)
+        self.weight = np.empty((16 * n, 3), np.int32)
+        self.weight[:] = _WEIGHTS
+        self.context, self.prev = np.zeros((2, n), np.uint32), np.zeros(n, np.uint32)
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, 2 ** 64 - 1, np.uint64)
-
-    def keep(self, n: int) -> None:
-        """Goes on with the first n lanes."""
-        for name in ("lane", "lead", "votes", "plain", "weight", "total", "prev", "prev2", "low", "range"):
-            setattr(self, name, getattr(self, name)[:n].copy())
-        self.near, self.length = self.near[:16 * n], self.length[:, :n].copy()
-
-    def predict(self) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
-        """Predicted ids by falling order, running sums (n, 5) of the counts of which holds."""
-        a = self.prev * np.uint32(0x9E3779B1)
-        self.at1 = (self.lane << _HASH[0]) + (a >> np.uint32(32 - _HASH[0]))
-        a = a + self.prev2 * np.uint32(0x85EBCA77)
-        a = (a ^ (a >> np.uint32(15))) * np.uint32(0xC2B2AE3D)
-        self.at2 = (self.lane << _HASH[1]) + (a >> np.uint32(32 - _HASH[1]))
-        self.e1, self.e2 = self.table1[self.at1], self.table2[self.at2]
-        ids = (self.e2 >> np.uint32(3), self.e1 >> np.uint32(3), self.lead)
-        sure1, sure2 = np.minimum(self.e1 & np.uint32(7), 3), np.minimum(self.e2 & np.uint32(7), 3)
-        self.context = (self.lane << 4) + (sure2 * np.uint32(4) + sure1)
-        self.by_context = self.near[self.context]
-        w = self.weight[:, None]
-        sums = np.zeros((len(w), 5), np.uint32)
-        np.cumsum(w * self.by_context + (np.uint32(8) - w) * self.plain, axis=1, out=sums[:, 1:])
-        return ids, sums, sums[:, 4]
-
-    def learn(self, ids: np.ndarray, guess: tuple[np.ndarray, ...], which: np.ndarray) -> None:
-        flat, row = (self.lane << 2) + which, (self.context << 2) + which
-        ctx, pln = self.by_context.ravel()[flat], self.plain.ravel()[flat]
-        ctx_all, pln_all = self.by_context.sum(axis=1, dtype=np.uint32), self.plain.sum(axis=1, dtype=np.uint32)
-        a, b = ctx * pln_all, pln * ctx_all
-        self.weight = np.clip(self.weight + (a > b) - (a < b), 1, 7).astype(np.uint32)
-        self.near.ravel()[row] = ctx + np.uint32(_STEP)
-        self.plain.ravel()[flat] = pln + np.uint32(_STEP)
-        if len(full := np.flatnonzero(ctx_all > _FULL - _STEP)):
-            at = self.near[self.context[full]]
-            self.near[self.context[full]] = at - (at >> np.uint32(1))
-        if len(full := np.flatnonzero(pln_all > _FULL - _STEP)):
-            at = self.plain[full]
-            self.plain[full] = at - (at >> np.uint32(1))
-        one = np.uint32(1)
-        fresh = (ids << np.uint32(3)) | one
-        for table, at, e, g in ((self.table2, self.at2, self.e2, guess[0]), (self.table1, self.at1, self.e1, guess[1])):
-            sure = e & np.uint32(7)
-            # right: surer by one; wrong: half as sure, or replaced
-            table[at] = np.where(g == ids, e + (sure < 7), np.where(sure <= 1, fresh, e - sure + (sure >> one)))
-        none = self.votes == 0
-        self.votes += np.where((self.lead == ids) | none, 1, -1).astype(np.int32)
-        self.lead = np.where(none, ids, self.lead)
-        self.prev2, self.prev = self.prev, ids
-
-    def learn_lengths(self, at: np.ndarray, cls: np.ndarray) -> None:
-        self.length[cls, at] += np.uint32(_CSTEP)
-        self.total[at] += np.uint32(_CSTEP)
-        if len(full := at[self.total[at] > _CFULL]):
-            self.length[:, full] -= self.length[:, full] >> np.uint32(1)
-            self.total[full] = self.length[:, full].sum(axis=0)
-
-    def narrow(self, at, start, size, total) -> None:
-        r = self.range[at] // total
-        self.low[at] += r * start
-        self.range[at] = r * size
+        self._number(n)
+
+    def _number(self, n: int) -> None:
+        self.n = n
+        first = np.cumsum([0, *(1 << b for b in _BITS[:2])])[:, None]
+        self.base, self.row = np.arange(n) * _LANE + first, np.arange(n) << 4
+        self.at = np.empty((3, n), np.int64)
+
+    def keep(self, lanes: np.ndarray) -> None:
+        """Goes on with some of the lanes."""
+        self.table = self.table.reshape(self.n, _LANE)[lanes].ravel()
+        self.weight = self.weight.reshape(self.n, 16, 3)[lanes].reshape(-1, 3)
+        self.context = self.context[:, lanes].copy()
+        for name in ("prev", "low", "range"):
+            setattr(self, name, getattr(self, name)[lanes])
+        self._number(len(lanes))
+
+    def predict(self, node: np.ndarray, mix: np.ndarray) -> np.ndarray:
+        """The share of each lane's range that stands for a 1 at ``node`` (``mix``: its hash)."""
+        at = self.at
+        np.bitwise_and(node, (1 << _BITS[0]) - 1, out=at[0])
+        at[1:] = ((self.context ^ mix) * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BITS[1])
+        at += self.base
+        self.entry = self.table.take(at)
+        self.logit = _LOGIT.take(self.entry)
+        sure = _SURE.take(self.entry[1:])
+        self.by = self.row + (sure[0] * 4 + sure[1])
+        self.own = self.weight.take(self.by, axis=0).T
+        logit = np.einsum("kn,kn->n", self.own, self.logit) >> 16
+        self.prob = _PROB.take(logit + 2047, mode="clip")
+        self.bound = (self.range >> _U(16)) * self.prob.astype(np.uint64)
+        return self.bound
+
+    def learn(self, bit: np.ndarray) -> None:
+        """Narrows the ranges to the decisions and moves predictions and weights towards them."""
+        wrong = ((bit << 16) - self.prob).astype(np.int32) >> 4
+        self.weight[self.by] = (self.own + ((self.logit * wrong) >> _RATE)).T
+        self.table.put(self.at, _AFTER.take((bit << 16) + self.entry))
+        one = bit.astype(bool)
+        self.low += np.where(one, _U(0), self.bound)
+        self.range = np.where(one, self.bound, self.range - self.bound)
+
+    def follow(self, lanes: np.ndarray, ids: np.ndarray) -> None:
+        """These lanes have come to a leaf: the contexts of their next id."""
+        own = (ids + 1).astype(np.uint32)
+        self.context[1, lanes] = (self.prev[lanes] * np.uint32(0x2545F491)) ^ (own * np.uint32(0x9E3779B1))
+        self.context[0, lanes] = own * np.uint32(0x27D4EB2F)
+        self.prev[lanes] = own
 
     def shift(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Lanes that move 16 bits on, and these bits, until every range is large again."""
@@ -143,126 +205,110 @@ class _Lanes:
             at = at[self.range[at] < _LEAST]
 
 
-def _bit_length(x: np.ndarray) -> np.ndarray:
-    return np.frexp(x.astype(np.float64))[1].astype(np.int64)
-
-
-def encode_blocks(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> list[tuple[int, int, bytes]]:
-    """(number of ids, CRC-32 of them, coded bytes) of each block of ``ids`` (uint32)."""
-    if len(ids) and int(ids.max()) >= 1 << (_CLASSES - 1):
+def encode_blocks(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> tuple[bytes, list[tuple[int, int, bytes]]]:
+    """The tree (deflated depths of its leaves) and (number of ids, CRC-32 of them, coded
+    bytes) of each block of ``ids`` (uint32)."""
+    if len(ids) and int(ids.max()) >= _MOST_IDS:
         raise ValueError("ids of 2 ** 20 and more can't be coded")
-    n = -(-len(ids) // block)
-    parts = -(-n // lanes)
+    lengths = code_lengths(np.bincount(ids))
     out: list[tuple[int, int, bytes]] = []
-    with np.errstate(over="ignore"):
-        for p in range(parts):
-            lo, hi = n * p // parts * block, min(len(ids), n * (p + 1) // parts * block)
-            out += _encode_lanes(ids[lo:hi], block)
-    return out
+    if len(ids):
+        tree, n = _Tree(lengths), -(-len(ids) // block)
+        parts = -(-n // lanes)
+        with np.errstate(over="ignore"):
+            for p in range(parts):
+                out += _encode_lanes(ids[n * p // parts * block:n * (p + 1) // parts * block], tree, block)
+    return zlib.compress(lengths.tobytes()), out
 
 
-def _encode_lanes(ids: np.ndarray, block: int) -> list[tuple[int, int, bytes]]:
+def _encode_lanes(ids: np.ndarray, tree: _Tree, block: int) -> list[tuple[int, int, bytes]]:
     n = -(-len(ids) // block)
-    last = len(ids) - (n - 1) * block
-    sizes = [block] * (n - 1) + [last]
-    steps = np.zeros(n * block, np.uint32)
-    steps[:len(ids)] = ids
-    steps = np.ascontiguousarray(steps.reshape(n, block).T)
-    words, used = np.zeros((n, 3 * block + 8), np.uint16), np.zeros(n, np.int64)
-    m = _Lanes(n)
-    tails = {}
-    for t in range(max(sizes)):
-        if t == last and n > 1:
-            tails[n - 1] = m.low[n - 1]
-            m.keep(n - 1)
-        x = steps[t, :len(m.lane)]
-        guess, sums, total = m.predict()
-        which = np.where(guess[0] == x, 0, np.where(guess[1] == x, 1, np.where(guess[2] == x, 2, 3)))
-        start = sums[m.lane, which]
-        m.narrow(slice(None), start, sums[m.lane, which + 1] - start, total)
-        if len(at := np.flatnonzero(which == 3)):
-            cls = _bit_length(x[at])
-            lens = m.length[:, at]
-            every = np.arange(len(at))
-            size = lens[cls, every]
-            m.narrow(at, np.cumsum(lens, axis=0)[cls, every] - size, size, m.total[at])
-            k = np.maximum(cls - 1, 0).astype(np.uint64)
-            r = m.range[at] >> k
-            m.low[at] += r * (x[at].astype(np.uint64) & ((_U(1) << k) - _U(1)))
-            m.range[at] = r
-            m.learn_lengths(at, cls)
-        for at, word in m.shift():
-            words[at, used[at]] = word
-            used[at] += 1
-        m.learn(x, guess, which)
-    tails |= {i: m.low[i] for i in range(len(m.lane))}
+    lane, at = np.arange(n), np.arange(n) * block
+    end = np.minimum(at + block, len(ids))
+    own = ids[at].astype(np.int64)
+    step = tree.start[own]
+    words, used, steps = np.zeros((n, block + 512), np.uint16), np.zeros(n, np.int64), 0
+    size, tail = np.zeros(n, np.int64), np.zeros(n, np.uint64)
+    busy, m = np.ones(n, bool), _Lanes(n)
+    while len(lane):
+        m.predict(node := tree.node.take(step), tree.mix.take(node))
+        m.learn(tree.bit.take(step))
+        for i, word in m.shift() if steps & 1 else ():
+            words[lane[i], used[i]] = word
+            used[i] += 1
+        steps += 1
+        if steps % 64 == 0 and used.max() + 256 > words.shape[1]:
+            words = np.concatenate([words, np.zeros_like(words)], axis=1)
+        leaf = np.flatnonzero(tree.last.take(step))
+        step += 1
+        m.follow(leaf, own[leaf])
+        at[leaf] += 1
+        over = leaf[at[leaf] == end[leaf]]
+        size[lane[over]], tail[lane[over]] = used[over], m.low[over]
+        busy[over] = False
+        at[over] -= 1            # an idle lane repeats its last id, unheard, until a fifth of all are idle
+        own[leaf] = ids[at[leaf]]
+        step[leaf] = tree.start[own[leaf]]
+        if len(over) and np.count_nonzero(busy) < 0.8 * len(busy):
+            left = np.flatnonzero(busy)
+            m.keep(left)
+            lane, at, end, own, step, used, busy = (x[left] for x in (lane, at, end, own, step, used, busy))
     out = []
     for i in range(n):
-        raw = ids[i * block:i * block + sizes[i]]
-        tail = np.array([tails[i] >> _U(s) & _U(0xFFFF) for s in (48, 32, 16, 0)], np.uint16)
-        out.append((sizes[i], zlib.crc32(raw.tobytes()), words[i, :used[i]].tobytes() + tail.tobytes()))
+        raw = ids[i * block:min(len(ids), (i + 1) * block)]
+        rest = np.array([tail[i] >> _U(s) & _U(0xFFFF) for s in (48, 32, 16, 0)], np.uint16)
+        out.append((len(raw), zlib.crc32(raw.tobytes()), words[i, :size[i]].tobytes() + rest.tobytes()))
     return out
 
 
-def decode_blocks(blocks: list[tuple[int, int, bytes]], lanes: int = LANES) -> np.ndarray:
+def decode_blocks(tree: bytes, blocks: list[tuple[int, int, bytes]], lanes: int = LANES) -> np.ndarray:
     """The ids of the blocks, one after the other; raises ValueError if a checksum fails."""
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blocks)
-    order = sorted(range(len(blocks)), key=lambda i: -blocks[i][0])
     parts = -(-len(blocks) // lanes)
+    known = _Tree(np.frombuffer(zlib.decompress(tree), np.uint8)) if blocks else None
     with np.errstate(over="ignore"):
         for p in range(parts):
-            part = order[len(order) * p // parts:len(order) * (p + 1) // parts]
-            for i, x in zip(part, _decode_lanes([blocks[i] for i in part])):
+            lo, hi = len(blocks) * p // parts, len(blocks) * (p + 1) // parts
+            for i, x in enumerate(_decode_lanes(blocks[lo:hi], known), lo):
                 if zlib.crc32(x.tobytes()) != blocks[i][1]:
                     raise ValueError(f"block {i} is damaged: its checksum fails")
                 out[i] = x
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def _decode_lanes(blocks: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
-    """Blocks in order of falling size."""
+def _decode_lanes(blocks: list[tuple[int, int, bytes]], tree: _Tree) -> list[np.ndarray]:
     n, sizes = len(blocks), np.array([b[0] for b in blocks])
-    longest = max(len(b[2]) for b in blocks) // 2
-    words = np.zeros((n, longest + 4), np.uint64)
+    words = np.zeros((n, max(len(b[2]) for b in blocks) // 2 + 4), np.uint64)
     for i, b in enumerate(blocks):
         words[i, :len(b[2]) // 2] = np.frombuffer(b[2], np.uint16)
     code = (words[:, 0] << _U(48)) | (words[:, 1] << _U(32)) | (words[:, 2] << _U(16)) | words[:, 3]
-    used = np.full(n, 4, np.int64)
-    out = np.zeros((int(sizes[0]), n), np.uint32)
-    m = _Lanes(n)
-    for t in range(int(sizes[0])):
-        live = int(np.searchsorted(-sizes, -t, side="left"))      # blocks longer than t
-        if live < len(m.lane):
-            m.keep(live)
-            code, used = code[:live].copy(), used[:live].copy()
-        guess, sums, total = m.predict()
-        v = np.minimum((code - m.low) // (m.range // total), total - np.uint32(1))
-        which = (sums[:, 1:4] <= v[:, None]).sum(axis=1)
-        start = sums[m.lane, which]
-        m.narrow(slice(None), start, sums[m.lane, which + 1] - start, total)
-        x = np.where(which == 0, guess[0], np.where(which == 1, guess[1], guess[2]))
-        if len(at := np.flatnonzero(which == 3)):
-            lens = m.length[:, at]
-            upto = np.cumsum(lens, axis=0)
-            v = np.minimum((code[at] - m.low[at]) // (m.range[at] // m.total[at]), m.total[at] - _U(1))
-            cls = (upto <= v).sum(axis=0)
-            every = np.arange(len(at))
-            size = lens[cls, every]
-            m.narrow(at, upto[cls, every] - size, size, m.total[at])
-            k = np.maximum(cls - 1, 0).astype(np.uint64)
-            r = m.range[at] >> k
-            bits = np.minimum((code[at] - m.low[at]) // r, (_U(1) << k) - _U(1))
-            m.low[at] += r * bits
-            m.range[at] = r
-            x[at] = np.where(cls == 0, _U(0), bits + (_U(1) << k)).astype(np.uint32)
-            m.learn_lengths(at, cls)
-        for at, _ in m.shift():
+    out = np.zeros((n, int(sizes.max()) + 1), np.uint32)
+    lane, used, done, node = np.arange(n), np.full(n, 4, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    busy, m, steps = np.ones(n, bool), _Lanes(n), 0
+    while len(lane):
+        # a 1 is the lower part of the range
+        bit = (code - m.low < m.predict(node, tree.mix.take(node))).astype(np.int64)
+        m.learn(bit)
+        steps += 1
+        for i, _ in m.shift() if steps % 2 == 0 else ():
             # damaged bytes may ask for more than there is; the checksum tells
-            code[at] = (code[at] << _U(16)) | words[at, np.minimum(used[at], words.shape[1] - 1)]
-            used[at] += 1
-        m.learn(x, guess, which)
-        out[t, :len(x)] = x
-    return [out[:size, i].copy() for i, size in enumerate(sizes)]
+            code[i] = (code[i] << _U(16)) | words[lane[i], np.minimum(used[i], words.shape[1] - 1)]
+            used[i] += 1
+        node = tree.child.take(2 * node + bit)
+        leaf = np.flatnonzero(node < 0)
+        own = ~node[leaf]
+        node[leaf] = 0
+        m.follow(leaf, own)
+        out[lane[leaf], done[leaf]] = own
+        done[leaf] += 1
+        over = leaf[done[leaf] >= sizes[lane[leaf]]]
+        done[over] = sizes[lane[over]]           # what an idle lane still decodes goes to a spare column
+        busy[over] = False
+        if len(over) and np.count_nonzero(busy) < 0.8 * len(busy):
+            left = np.flatnonzero(busy)
+            m.keep(left)
+            lane, used, done, node, code, busy = (x[left] for x in (lane, used, done, node, code, busy))
+    return [out[i, :size].copy() for i, size in enumerate(sizes)]
 
 
 class Tokenizer:
@@ -337,9 +383,9 @@ def load(path: str) -> Tokenizer:
 
 
 _GROUP = pa.schema([("file", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
-                    ("lengths", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("crcs", pa.list_(pa.int64())),
+                    ("lengths", pa.list_(pa.int64())), ("tree", pa.binary()), ("sizes", pa.list_(pa.int32())), ("crcs", pa.list_(pa.int64())),
                     ("blocks", pa.list_(pa.binary()))])
-GROUP = "file int, first long, doc_ids array<long>, lengths array<long>, sizes array<int>, crcs array<long>, blocks array<binary>"
+GROUP = "file int, first long, doc_ids array<long>, lengths array<long>, tree binary, sizes array<int>, crcs array<long>, blocks array<binary>"
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -352,8 +398,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, id_col: str = "d
 
         def group() -> pa.RecordBatch:
             flat = np.frombuffer(b"".join(ids), np.uint32)
-            coded = encode_blocks(flat)
-            row = {"file": file, "first": first, "doc_ids": docs, "lengths": [len(x) // 4 for x in ids],
+            tree, coded = encode_blocks(flat)
+            row = {"file": file, "first": first, "doc_ids": docs, "lengths": [len(x) // 4 for x in ids], "tree": tree,
                    "sizes": [b[0] for b in coded], "crcs": [b[1] for b in coded], "blocks": [b[2] for b in coded]}
             return pa.RecordBatch.from_pylist([row], schema=_GROUP)
 
@@ -382,7 +428,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[np.n
     for b in batches:
         for i in range(b.num_rows):
             row = b.slice(i, 1).to_pylist()[0]
-            ids = decode_blocks(list(zip(row["sizes"], row["crcs"], row["blocks"])))
+            ids = decode_blocks(row["tree"], list(zip(row["sizes"], row["crcs"], row["blocks"])))
             yield row, np.split(ids, np.cumsum(row["lengths"])[:-1])
 
 

@@ -1,16 +1,19 @@
 """Byte-pair encoding and token files against the tokenizers library."""
 
 import hashlib
+import os
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
 from souk.llm import bpe, queries, token_codec
 
+DOCUMENTS = "/root/testdata/sf0.1/documents.parquet"
 ALPHABET = "abcdefghijklmnopqrstuvwxyz   ''\n\t\r\x1c\x85\xa0 éüñßÀÖİΣς中文字𝄞😀١٢½²0123456789.,!?-_<>|​́ "
 
 
@@ -89,20 +92,45 @@ def test_blocks_round_trip_and_damage_shows():
     r = np.random.default_rng(1)
     for x in (np.zeros(0), [5], r.integers(0, 1 << 20, 3000), np.zeros(5000), r.integers(0, 50, 4000), np.tile(np.arange(37), 120)):
         x = np.array(x, np.uint32)
-        coded = token_codec.encode_blocks(x, block=512, lanes=3)
-        assert (token_codec.decode_blocks(coded, lanes=2) == x).all()
+        tree, coded = token_codec.encode_blocks(x, block=512, lanes=3)
+        assert (token_codec.decode_blocks(tree, coded, lanes=2) == x).all()
         if len(coded) > 2:      # blocks are independent
-            assert (token_codec.decode_blocks(coded[1:2]) == x[512:1024]).all()
+            assert (token_codec.decode_blocks(tree, coded[1:2]) == x[512:1024]).all()
     n, crc, data = coded[0]
     with pytest.raises(ValueError, match="damaged"):
-        token_codec.decode_blocks([(n, crc, bytes([data[0] ^ 1]) + data[1:])])
+        token_codec.decode_blocks(tree, [(n, crc, bytes([data[0] ^ 1]) + data[1:])])
     with pytest.raises(ValueError, match="2 \\*\\* 20"):
         token_codec.encode_blocks(np.array([1 << 20], np.uint32))
 
 
 def test_repeating_ids_take_little_room():
     x = np.tile(np.random.default_rng(2).integers(0, 49_000, 200), 20).astype(np.uint32)
-    assert sum(len(b[2]) for b in token_codec.encode_blocks(x)) < len(x) * 2 / 5
+    assert sum(len(b[2]) for b in token_codec.encode_blocks(x)[1]) < len(x) * 2 / 5
+
+
+@pytest.mark.skipif(not os.path.exists(DOCUMENTS), reason="test tables not present")
+def test_real_texts_take_less_than_their_order_0_entropy():
+    texts = pq.read_table(DOCUMENTS, columns=["doc_id", "text"]).sort_by("doc_id").column("text").to_pylist()[:1200]
+    tok = token_codec.load(public_tokenizers.path("word_bpe_49k.json"))
+    ids = np.frombuffer(b"".join(tok.encode(texts, 2)), np.uint32)
+    p = np.unique(ids, return_counts=True)[1] / len(ids)
+    tree, coded = token_codec.encode_blocks(ids)
+    bits = 8 * (len(tree) + sum(len(b[2]) for b in coded)) / len(ids)
+    assert len(ids) > 400_000 and bits < 8.0 and bits < -(p * np.log2(p)).sum() - 0.4
+    assert (token_codec.decode_blocks(tree, coded) == ids).all()
+
+
+def test_leaves_are_where_their_lengths_say():
+    r = np.random.default_rng(3)
+    for counts in ([7], [0, 0, 3], [1, 1], r.integers(0, 50, 400), 2 ** np.arange(20), np.ones(37, int)):
+        lengths = token_codec.code_lengths(np.array(counts))
+        tree = token_codec._Tree(lengths)
+        for i in np.flatnonzero(counts):
+            steps, node = range(tree.start[i], tree.start[i + 1]), 0
+            for s in steps:
+                assert tree.node[s] == node and tree.last[s] == (s == steps[-1])
+                node = tree.child[2 * node + tree.bit[s]]
+            assert node == ~i and len(steps) == lengths[i]
 
 
 def test_empty_tables(spark, sf, docs):
