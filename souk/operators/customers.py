@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from souk import texts
 from souk.functions import clip, customer_key, month_start, months_between_keys, safe_div, np_round
 from souk.operators.ordered import column_quantiles, first_in_group, materialize
 
@@ -119,12 +120,12 @@ def recommended_action(risk_label="risk_label", value_tier="value_tier",
     cat = F.coalesce(F.col(top_category), F.lit("nan"))
     disc = F.least(F.col(avg_discount) + 10, F.lit(40.0))
     return (F.when((F.col(risk_label) == "Critical") & (F.col(value_tier) == "High Value"),
-                   F.format_string("Immediate outreach - offer %.0f%% personalised discount on %s", disc, cat))
+                   F.format_string(texts.CUSTOMER_ACTIONS["critical, high value"], disc, cat))
              .when((F.col(risk_label) == "High") & (F.col(value_tier) == "High Value"),
-                   F.format_string("Send win-back email with loyalty reward for %s purchase", cat))
+                   F.format_string(texts.CUSTOMER_ACTIONS["high, high value"], cat))
              .when(F.col(value_tier) == "Mid Value",
-                   F.format_string("Trigger re-engagement campaign - highlight new arrivals in %s", cat))
-             .otherwise(F.lit("Add to re-engagement drip sequence")))
+                   F.format_string(texts.CUSTOMER_ACTIONS["mid value"], cat))
+             .otherwise(F.lit(texts.CUSTOMER_ACTIONS["other"])))
 
 
 def at_risk_alerts(df: DataFrame, top_n: int = 50, min_score: float = 50.0) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from souk import texts
 from souk.functions import safe_corr, safe_div
 from souk.operators import summary as SU
 
@@ -96,42 +97,29 @@ def narrative(df: DataFrame, fx: float = 84.0) -> DataFrame:
         return F.when(cond, s) if cond is not None else s
 
     items = [
-        item("headline", 0, F.format_string("%.1f Cr revenue across %s orders - %s & %s zone lead growth.",
+        item("headline", 0, F.format_string(texts.NARRATIVE["headline 0"],
                                             "revenue_cr", F.format_number("orders", 0), "top_category", "top_zone")),
-        item("insight", 1, F.format_string("**%s** is the highest-revenue category, driving outsized "
-                                           "contribution to total sales.", "top_category")),
-        item("insight", 2, F.format_string("**%s zone** leads all regions - logistics and marketing "
-                                           "investment here yields highest ROI.", "top_zone")),
-        item("insight", 3, F.format_string("Festival periods account for **%.0f%%** of total revenue - "
-                                           "seasonal planning is critical.", fp)),
-        item("insight", 4, F.format_string("Average discount of **%.1f%%** is costing %.1f Cr in foregone "
-                                           "revenue.", ad, "discount_cost_cr")),
-        item("insight", 5, F.format_string("Premium brands represent **%.0f%%** of revenue - premiumisation "
-                                           "trend %s.", pp, F.when(pp > 40, "is strong").otherwise("has room to grow"))),
-        item("insight", 6, F.format_string("Revenue is **%s** month-over-month at **%+.1f%%**.",
+        item("insight", 1, F.format_string(texts.NARRATIVE["insight 1"], "top_category")),
+        item("insight", 2, F.format_string(texts.NARRATIVE["insight 2"], "top_zone")),
+        item("insight", 3, F.format_string(texts.NARRATIVE["insight 3"], fp)),
+        item("insight", 4, F.format_string(texts.NARRATIVE["insight 4"], ad, "discount_cost_cr")),
+        item("insight", 5, F.format_string(texts.NARRATIVE["insight 5"], pp, F.when(pp > 40, "is strong").otherwise("has room to grow"))),
+        item("insight", 6, F.format_string(texts.NARRATIVE["insight 6"],
                                            F.when(mom > 0, "growing").otherwise("declining"), mom),
              mom.isNotNull()),
-        item("risk", 1, F.format_string("Average discount (%.1f%%) is above sustainable threshold - margin "
-                                        "erosion risk.", ad), ad > 35),
-        item("risk", 2, F.format_string("Over %.0f%% revenue concentrated in festival periods - high "
-                                        "seasonality risk.", fp), fp > 50),
-        item("risk", 3, F.format_string("High-competition segments show %.1f%% avg discount - price war "
-                                        "signal.", "high_competition_discount"),
+        item("risk", 1, F.format_string(texts.NARRATIVE["risk 1"], ad), ad > 35),
+        item("risk", 2, F.format_string(texts.NARRATIVE["risk 2"], fp), fp > 50),
+        item("risk", 3, F.format_string(texts.NARRATIVE["risk 3"], "high_competition_discount"),
              F.col("high_competition_discount") > ad + 10),
-        item("risk", 4, F.format_string("Revenue declined %.1f%% last month - investigate root cause "
-                                        "immediately.", mom), mom < -5),
-        item("opportunity", 1, F.format_string("Reducing average discount by 5pp could recover ~%.1f Cr in "
-                                               "annual revenue.", F.col("base_price_total") * 0.05 / 1e7), ad > 25),
-        item("opportunity", 2, F.format_string("Premium brands at %.0f%% of revenue - targeted upsell campaigns "
-                                               "could push this to 50%%+.", pp), pp < 40),
-        item("opportunity", 3, F.format_string("%s zones are underperforming - geo-targeted promotions could "
-                                               "unlock growth.", "_low_zones")),
-        item("opportunity", 4, F.lit("40%+ orders show high inventory pressure - demand forecasting investment "
-                                     "would reduce stockouts."), F.col("high_pressure_share") > 0.4),
+        item("risk", 4, F.format_string(texts.NARRATIVE["risk 4"], mom), mom < -5),
+        item("opportunity", 1, F.format_string(texts.NARRATIVE["opportunity 1"], F.col("base_price_total") * 0.05 / 1e7), ad > 25),
+        item("opportunity", 2, F.format_string(texts.NARRATIVE["opportunity 2"], pp), pp < 40),
+        item("opportunity", 3, F.format_string(texts.NARRATIVE["opportunity 3"], "_low_zones")),
+        item("opportunity", 4, F.lit(texts.NARRATIVE["opportunity 4"]), F.col("high_pressure_share") > 0.4),
     ]
     no_risk = ~((ad > 35) | (fp > 50) | (F.col("high_competition_discount") > ad + 10) |
                 F.coalesce(mom < -5, F.lit(False)))
-    items.append(item("risk", 5, F.lit("No critical risks detected in current data window."), no_risk))
+    items.append(item("risk", 5, F.lit(texts.NARRATIVE["risk 5"]), no_risk))
     return (c.select(F.explode(F.array_compact(F.array(*items))).alias("_i"))
              .select("_i.section", "_i.seq", "_i.text"))
 
@@ -177,32 +165,32 @@ def recommendations(df: DataFrame) -> DataFrame:
     def pricing(i):
         e = F.element_at(F.col("_elastic"), i)
         return rec(0, i, "High", "Pricing",
-                   F.format_string("Reduce discount on %s by 5-8pp during non-festival periods", e["category"]),
-                   F.format_string("Est. %.1f Cr revenue recovery", e["base_price_total"] * 0.06 / 1e7),
+                   F.format_string(texts.RECOMMENDATIONS["action pricing"], e["category"]),
+                   F.format_string(texts.RECOMMENDATIONS["impact pricing"], e["base_price_total"] * 0.06 / 1e7),
                    "Low", "Avg discount %", (F.col("_avg_disc") > 30) & (F.size("_elastic") >= i))
 
     months_txt = F.concat(F.lit("["), F.array_join(F.col("_fest_months"), ", "), F.lit("]"))
     recs = [
         pricing(1), pricing(2),
         rec(0, 3, "High", "Inventory",
-            F.format_string("Pre-stock top categories 6 weeks before festival months (%s)", months_txt),
-            F.lit("Prevent stockouts during peak demand - protect 15-25% of annual revenue"),
+            F.format_string(texts.RECOMMENDATIONS["action 3"], months_txt),
+            F.lit(texts.RECOMMENDATIONS["impact 3"]),
             "Medium", "Inventory pressure %", F.size("_fest_months") > 0),
         rec(1, 4, "Medium", "Growth",
-            F.format_string("Launch geo-targeted campaign in %s zone (currently %.0f%% of %s)",
+            F.format_string(texts.RECOMMENDATIONS["action 4"],
                             "_bottom_zone", safe_div(F.col("_bottom_rev") * 100, F.col("_top_rev")), "_top_zone"),
-            F.lit("10% lift in bottom zone = meaningful incremental revenue"), "Medium", "Zone revenue share",
+            F.lit(texts.RECOMMENDATIONS["impact 4"]), "Medium", "Zone revenue share",
             F.col("_top_zone").isNotNull()),
         rec(1, 5, "Medium", "Revenue Mix",
-            F.lit("Bundle premium products with mass bestsellers - increase premium attach rate"),
-            F.format_string("Premium at %.0f%% - target 50%% = higher AOV and margins", "_prem_orders_pct"),
+            F.lit(texts.RECOMMENDATIONS["action 5"]),
+            F.format_string(texts.RECOMMENDATIONS["impact 5"], "_prem_orders_pct"),
             "Low", "Premium revenue %", F.col("_prem_orders_pct") < 45),
-        rec(2, 6, "Low", "Retention", F.lit("Launch loyalty programme targeting top 20% customers by CLV"),
-            F.lit("5% retention improvement = 25-95% profit increase (Bain & Co benchmark)"),
+        rec(2, 6, "Low", "Retention", F.lit(texts.RECOMMENDATIONS["action 6"]),
+            F.lit(texts.RECOMMENDATIONS["impact 6"]),
             "High", "Repeat purchase rate"),
         rec(1, 7, "Medium", "Competitive",
-            F.lit("Shift high-competition SKUs toward value-added bundles rather than pure discounting"),
-            F.lit("Protect margins while maintaining conversion in competitive segments"),
+            F.lit(texts.RECOMMENDATIONS["action 7"]),
+            F.lit(texts.RECOMMENDATIONS["impact 7"]),
             "Medium", "Discount % in high-competition segments", F.col("_hc_share") > 0.3),
     ]
     out = (c.select(F.explode(F.array_compact(F.array(*recs))).alias("_r"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from souk import texts
 from souk.functions import safe_div, np_round
 from souk.operators.customers import _named_quantiles
 from souk.operators.features import group_label
@@ -63,11 +64,11 @@ def alerts(df: DataFrame, rows: str = "category", cols: str = "zone",
     })
     r, c = F.col(rows), F.col(cols)
     lvl = F.col("alert_level")
-    rec = (F.when(lvl == "CRITICAL", F.format_string("Reorder %s in %s immediately", r, c))
-            .when(lvl == "HIGH", F.format_string("Increase safety stock for %s - %s", r, c))
-            .when(lvl == "CLEARANCE", F.format_string("Run targeted promotion to clear %s - %s", r, c))
-            .when(lvl == "SLOW_MOVER", F.format_string("Review pricing / listing quality for %s - %s", r, c))
-            .otherwise(F.lit("No action required")))
+    rec = (F.when(lvl == "CRITICAL", F.format_string(texts.ALERT_TEXTS["CRITICAL"], r, c))
+            .when(lvl == "HIGH", F.format_string(texts.ALERT_TEXTS["HIGH"], r, c))
+            .when(lvl == "CLEARANCE", F.format_string(texts.ALERT_TEXTS["CLEARANCE"], r, c))
+            .when(lvl == "SLOW_MOVER", F.format_string(texts.ALERT_TEXTS["SLOW_MOVER"], r, c))
+            .otherwise(F.lit(texts.ALERT_TEXTS["HEALTHY"])))
     out = x.withColumn("recommendation", rec).drop("_vhi", "_vlo", "_vmax")
     return out.orderBy(F.col("alert_level").asc(), F.col("velocity_score").desc(), r.asc(), c.asc())
 

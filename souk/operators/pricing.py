@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from souk import texts
 from souk.functions import safe_div, np_round
 from souk.functions.stats import t_pvalue_udf
 
@@ -67,15 +68,15 @@ def elasticity(df: DataFrame, group_cols: Sequence[str] = ("category",),
 def elasticity_class(e="elasticity"):
     """Elastic (< -1), inelastic (-1 .. 0) or Giffen/luxury (>= 0) (PR2)."""
     e = F.col(e)
-    return (F.when(e < -1, "Elastic (< -1)").when(e < 0, "Inelastic (-1 to 0)")
-             .otherwise("Giffen / Luxury (> 0)"))
+    return (F.when(e < -1, texts.ELASTICITY_CLASSES["elastic"]).when(e < 0, texts.ELASTICITY_CLASSES["inelastic"])
+             .otherwise(texts.ELASTICITY_CLASSES["giffen"]))
 
 
 def discount_advice(e="elasticity"):
     e = F.col(e)
-    return (F.when(e < -1, "Aggressive discounting justified - demand is elastic")
-             .when(e < 0, "Moderate discounts - demand is inelastic, protect margins")
-             .otherwise("Luxury / Giffen signal - discounting may reduce perceived value"))
+    return (F.when(e < -1, texts.DISCOUNT_ADVICE["elastic"])
+             .when(e < 0, texts.DISCOUNT_ADVICE["inelastic"])
+             .otherwise(texts.DISCOUNT_ADVICE["giffen"]))
 
 
 def with_classes(el: DataFrame) -> DataFrame:
@@ -96,10 +97,10 @@ def optimal_discount(e, current, max_discount: float = 60.0) -> dict:
                   .otherwise("decrease"))
     # percent of revenue: each point of discount moved is worth the elasticity's distance from one
     impact = F.when(e >= 0, F.lit(0.0)).otherwise((a - 1) * (F.when(a > 1, elastic_opt).otherwise(inelastic_opt) - d))
-    rationale = (F.when(e >= 0, F.lit("Giffen/luxury good - discounting may reduce demand"))
-                  .otherwise(F.format_string("Elasticity %.2f - %s", e,
-                                             F.when(a > 1, "elastic: increase discount to grow volume")
-                                              .otherwise("inelastic: reduce discount to protect margin"))))
+    rationale = (F.when(e >= 0, F.lit(texts.DISCOUNT_RATIONALE["giffen"]))
+                  .otherwise(F.format_string(texts.DISCOUNT_RATIONALE["other"], e,
+                                             F.when(a > 1, texts.DISCOUNT_RATIONALE["elastic"])
+                                              .otherwise(texts.DISCOUNT_RATIONALE["inelastic"]))))
     return {
         "optimal_discount": np_round(F.least(F.greatest(opt, F.lit(0.0)), F.lit(max_discount)), 1),
         "direction": direction,

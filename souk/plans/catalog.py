@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from souk import texts
 from souk.operators import features as FE
 from souk.operators import summary as SU
 from souk.sources.star import FACT_SQL, shared_fact
@@ -468,13 +469,13 @@ def q_churn_scores(spark, sf_dir):
 SELECT customer_id, {R('score', 1)} AS churn_risk_score, risk_label, value_tier,
        days_since_last_order, {R('total_revenue', 4)} AS total_revenue, top_category,
        CASE WHEN risk_label = 'Critical' AND value_tier = 'High Value'
-              THEN printf('Immediate outreach - offer %.0f%% personalised discount on %s',
+              THEN printf('{texts.CUSTOMER_ACTIONS["critical, high value"]}',
                           least(avg_discount + 10, 40.0), COALESCE(top_category, 'nan'))
             WHEN risk_label = 'High' AND value_tier = 'High Value'
-              THEN printf('Send win-back email with loyalty reward for %s purchase', COALESCE(top_category, 'nan'))
+              THEN printf('{texts.CUSTOMER_ACTIONS["high, high value"]}', COALESCE(top_category, 'nan'))
             WHEN value_tier = 'Mid Value'
-              THEN printf('Trigger re-engagement campaign - highlight new arrivals in %s', COALESCE(top_category, 'nan'))
-            ELSE 'Add to re-engagement drip sequence' END AS recommended_action
+              THEN printf('{texts.CUSTOMER_ACTIONS["mid value"]}', COALESCE(top_category, 'nan'))
+            ELSE '{texts.CUSTOMER_ACTIONS["other"]}' END AS recommended_action
 FROM scored WHERE score >= 50 AND value_tier IN ('High Value', 'Mid Value')
 ORDER BY score DESC, customer_id ASC LIMIT 50""", extra=_CUST_FEATURES_SQL))
 def q_at_risk_alerts(spark, sf_dir):
@@ -627,9 +628,9 @@ FROM (
               ELSE 'decrease' END AS direction,
          (round_even((CASE WHEN e >= 0 THEN 0.0 ELSE (a - 1) * (CASE WHEN a > 1 THEN least(cur * (a / (a - 0.5)), 60.0)
                ELSE greatest(cur * 0.8, 0.0) END - cur) END) * 10.0, 0) / 10.0) AS impact,
-         CASE WHEN e >= 0 THEN 'Giffen/luxury good - discounting may reduce demand'
-              ELSE printf('Elasticity %.2f - %s', e, CASE WHEN a > 1 THEN 'elastic: increase discount to grow volume'
-                                                       ELSE 'inelastic: reduce discount to protect margin' END) END AS rationale
+         CASE WHEN e >= 0 THEN '{texts.DISCOUNT_RATIONALE["giffen"]}'
+              ELSE printf('{texts.DISCOUNT_RATIONALE["other"]}', e, CASE WHEN a > 1 THEN '{texts.DISCOUNT_RATIONALE["elastic"]}'
+                                                       ELSE '{texts.DISCOUNT_RATIONALE["inelastic"]}' END) END AS rationale
   FROM (
     SELECT el.category, el.elasticity, el.elasticity AS e, abs(el.elasticity) AS a,
            COALESCE(d.cur, 30.0) AS cur
@@ -667,11 +668,11 @@ al AS (
 SELECT category, zone, {R('avg_units_sold')} AS avg_units_sold, total_units, {R('avg_discount')} AS avg_discount,
        n_orders, {R('high_pressure_pct')} AS high_pressure_pct, {R('avg_revenue')} AS avg_revenue,
        {R('velocity_score', 1)} AS velocity_score, alert_level,
-       CASE alert_level WHEN 'CRITICAL' THEN printf('Reorder %s in %s immediately', category, zone)
-                        WHEN 'HIGH' THEN printf('Increase safety stock for %s - %s', category, zone)
-                        WHEN 'CLEARANCE' THEN printf('Run targeted promotion to clear %s - %s', category, zone)
-                        WHEN 'SLOW_MOVER' THEN printf('Review pricing / listing quality for %s - %s', category, zone)
-                        ELSE 'No action required' END AS recommendation
+       CASE alert_level WHEN 'CRITICAL' THEN printf('{texts.ALERT_TEXTS["CRITICAL"]}', category, zone)
+                        WHEN 'HIGH' THEN printf('{texts.ALERT_TEXTS["HIGH"]}', category, zone)
+                        WHEN 'CLEARANCE' THEN printf('{texts.ALERT_TEXTS["CLEARANCE"]}', category, zone)
+                        WHEN 'SLOW_MOVER' THEN printf('{texts.ALERT_TEXTS["SLOW_MOVER"]}', category, zone)
+                        ELSE '{texts.ALERT_TEXTS["HEALTHY"]}' END AS recommendation
 FROM al""", extra=_ALERT_SQL))
 def q_inventory_alerts(spark, sf_dir):
     """Category x zone health, velocity, alert level and recommendation (IV1-IV3)."""
@@ -1028,27 +1029,27 @@ def q_executive_kpis(spark, sf_dir):
     return rounded(k, 6, {"total_revenue": 2, "base_price_total": 2})
 
 
-@register("executive_narrative", W("""
+@register("executive_narrative", W(f"""
 SELECT section, seq, text FROM (
   SELECT 'headline' AS section, 0 AS seq,
-         printf('%.1f Cr revenue across %s orders - %s & %s zone lead growth.', revenue_cr, format('{:,}', orders), top_category, top_zone) AS text FROM k
-  UNION ALL SELECT 'insight', 1, printf('**%s** is the highest-revenue category, driving outsized contribution to total sales.', top_category) FROM k
-  UNION ALL SELECT 'insight', 2, printf('**%s zone** leads all regions - logistics and marketing investment here yields highest ROI.', top_zone) FROM k
-  UNION ALL SELECT 'insight', 3, printf('Festival periods account for **%.0f%%** of total revenue - seasonal planning is critical.', festival_revenue_pct) FROM k
-  UNION ALL SELECT 'insight', 4, printf('Average discount of **%.1f%%** is costing %.1f Cr in foregone revenue.', avg_discount, discount_cost_cr) FROM k
-  UNION ALL SELECT 'insight', 5, printf('Premium brands represent **%.0f%%** of revenue - premiumisation trend %s.', premium_revenue_pct, CASE WHEN premium_revenue_pct > 40 THEN 'is strong' ELSE 'has room to grow' END) FROM k
-  UNION ALL SELECT 'insight', 6, printf('Revenue is **%s** month-over-month at **%+.1f%%**.', CASE WHEN mom_growth > 0 THEN 'growing' ELSE 'declining' END, mom_growth) FROM k WHERE mom_growth IS NOT NULL
-  UNION ALL SELECT 'risk', 1, printf('Average discount (%.1f%%) is above sustainable threshold - margin erosion risk.', avg_discount) FROM k WHERE avg_discount > 35
-  UNION ALL SELECT 'risk', 2, printf('Over %.0f%% revenue concentrated in festival periods - high seasonality risk.', festival_revenue_pct) FROM k WHERE festival_revenue_pct > 50
-  UNION ALL SELECT 'risk', 3, printf('High-competition segments show %.1f%% avg discount - price war signal.', high_competition_discount) FROM k WHERE high_competition_discount > avg_discount + 10
-  UNION ALL SELECT 'risk', 4, printf('Revenue declined %.1f%% last month - investigate root cause immediately.', mom_growth) FROM k WHERE mom_growth < -5
-  UNION ALL SELECT 'risk', 5, 'No critical risks detected in current data window.' FROM k
+         printf('{texts.NARRATIVE["headline 0"]}', revenue_cr, format('{{:,}}', orders), top_category, top_zone) AS text FROM k
+  UNION ALL SELECT 'insight', 1, printf('{texts.NARRATIVE["insight 1"]}', top_category) FROM k
+  UNION ALL SELECT 'insight', 2, printf('{texts.NARRATIVE["insight 2"]}', top_zone) FROM k
+  UNION ALL SELECT 'insight', 3, printf('{texts.NARRATIVE["insight 3"]}', festival_revenue_pct) FROM k
+  UNION ALL SELECT 'insight', 4, printf('{texts.NARRATIVE["insight 4"]}', avg_discount, discount_cost_cr) FROM k
+  UNION ALL SELECT 'insight', 5, printf('{texts.NARRATIVE["insight 5"]}', premium_revenue_pct, CASE WHEN premium_revenue_pct > 40 THEN 'is strong' ELSE 'has room to grow' END) FROM k
+  UNION ALL SELECT 'insight', 6, printf('{texts.NARRATIVE["insight 6"]}', CASE WHEN mom_growth > 0 THEN 'growing' ELSE 'declining' END, mom_growth) FROM k WHERE mom_growth IS NOT NULL
+  UNION ALL SELECT 'risk', 1, printf('{texts.NARRATIVE["risk 1"]}', avg_discount) FROM k WHERE avg_discount > 35
+  UNION ALL SELECT 'risk', 2, printf('{texts.NARRATIVE["risk 2"]}', festival_revenue_pct) FROM k WHERE festival_revenue_pct > 50
+  UNION ALL SELECT 'risk', 3, printf('{texts.NARRATIVE["risk 3"]}', high_competition_discount) FROM k WHERE high_competition_discount > avg_discount + 10
+  UNION ALL SELECT 'risk', 4, printf('{texts.NARRATIVE["risk 4"]}', mom_growth) FROM k WHERE mom_growth < -5
+  UNION ALL SELECT 'risk', 5, '{texts.NARRATIVE["risk 5"]}' FROM k
     WHERE NOT (avg_discount > 35 OR festival_revenue_pct > 50 OR high_competition_discount > avg_discount + 10 OR COALESCE(mom_growth < -5, false))
-  UNION ALL SELECT 'opportunity', 1, printf('Reducing average discount by 5pp could recover ~%.1f Cr in annual revenue.', base_price_total * 0.05 / 1e7) FROM k WHERE avg_discount > 25
-  UNION ALL SELECT 'opportunity', 2, printf('Premium brands at %.0f%% of revenue - targeted upsell campaigns could push this to 50%%+.', premium_revenue_pct) FROM k WHERE premium_revenue_pct < 40
-  UNION ALL SELECT 'opportunity', 3, printf('%s zones are underperforming - geo-targeted promotions could unlock growth.',
+  UNION ALL SELECT 'opportunity', 1, printf('{texts.NARRATIVE["opportunity 1"]}', base_price_total * 0.05 / 1e7) FROM k WHERE avg_discount > 25
+  UNION ALL SELECT 'opportunity', 2, printf('{texts.NARRATIVE["opportunity 2"]}', premium_revenue_pct) FROM k WHERE premium_revenue_pct < 40
+  UNION ALL SELECT 'opportunity', 3, printf('{texts.NARRATIVE["opportunity 3"]}',
                   (SELECT string_agg(zone, ' & ' ORDER BY rev, zone) FROM (SELECT zone, sum(revenue) AS rev FROM feat WHERE zone IS NOT NULL GROUP BY zone ORDER BY rev, zone LIMIT 2))) FROM k
-  UNION ALL SELECT 'opportunity', 4, '40%+ orders show high inventory pressure - demand forecasting investment would reduce stockouts.' FROM k WHERE high_pressure_share > 0.4
+  UNION ALL SELECT 'opportunity', 4, '{texts.NARRATIVE["opportunity 4"]}' FROM k WHERE high_pressure_share > 0.4
 ) x""", extra=_MONTHLY_SQL + "," + _KPI_SQL))
 def q_executive_narrative(spark, sf_dir):
     """Headline, insight, risk and opportunity texts (IN2, IN3)."""
@@ -1071,34 +1072,34 @@ def q_elastic_categories(spark, sf_dir):
     return rounded(IN.elastic_categories(df), 6, {"base_price_total": 2})
 
 
-@register("recommendations", W("""
+@register("recommendations", W(f"""
 SELECT CAST(row_number() OVER (ORDER BY rnk, seq) AS INTEGER) AS position, priority, category, action, impact, effort, metric
 FROM (
   SELECT 0 AS rnk, 3 AS seq, 'High' AS priority, 'Inventory' AS category,
-         printf('Pre-stock top categories 6 weeks before festival months ([%s])', string_agg(CAST(month AS VARCHAR), ', ' ORDER BY cnt DESC, month)) AS action,
-         'Prevent stockouts during peak demand - protect 15-25% of annual revenue' AS impact, 'Medium' AS effort, 'Inventory pressure %' AS metric
+         printf('{texts.RECOMMENDATIONS["action 3"]}', '[' || string_agg(CAST(month AS VARCHAR), ', ' ORDER BY cnt DESC, month) || ']') AS action,
+         '{texts.RECOMMENDATIONS["impact 3"]}' AS impact, 'Medium' AS effort, 'Inventory pressure %' AS metric
   FROM (SELECT month, count(*) AS cnt FROM feat WHERE sales_event = 'Festival' AND month IS NOT NULL GROUP BY month ORDER BY cnt DESC, month LIMIT 3)
   HAVING count(*) > 0
   UNION ALL
   SELECT 1, 4, 'Medium', 'Growth',
-         printf('Launch geo-targeted campaign in %s zone (currently %.0f%% of %s)', b.zone, b.rev * 100 / NULLIF(t.rev, 0), t.zone),
-         '10% lift in bottom zone = meaningful incremental revenue', 'Medium', 'Zone revenue share'
+         printf('{texts.RECOMMENDATIONS["action 4"]}', b.zone, b.rev * 100 / NULLIF(t.rev, 0), t.zone),
+         '{texts.RECOMMENDATIONS["impact 4"]}', 'Medium', 'Zone revenue share'
   FROM (SELECT zone, sum(revenue) AS rev FROM feat WHERE zone IS NOT NULL GROUP BY zone ORDER BY rev ASC, zone LIMIT 1) b,
        (SELECT zone, sum(revenue) AS rev FROM feat WHERE zone IS NOT NULL GROUP BY zone ORDER BY rev DESC, zone LIMIT 1) t
   UNION ALL
-  SELECT 1, 5, 'Medium', 'Revenue Mix', 'Bundle premium products with mass bestsellers - increase premium attach rate',
-         printf('Premium at %.0f%% - target 50%% = higher AOV and margins', p), 'Low', 'Premium revenue %'
+  SELECT 1, 5, 'Medium', 'Revenue Mix', '{texts.RECOMMENDATIONS["action 5"]}',
+         printf('{texts.RECOMMENDATIONS["impact 5"]}', p), 'Low', 'Premium revenue %'
   FROM (SELECT sum(CASE WHEN brand_type = 'Premium' THEN 1 ELSE 0 END) * 100.0 / count(*) AS p FROM feat) WHERE p < 45
   UNION ALL
-  SELECT 2, 6, 'Low', 'Retention', 'Launch loyalty programme targeting top 20% customers by CLV',
-         '5% retention improvement = 25-95% profit increase (Bain & Co benchmark)', 'High', 'Repeat purchase rate'
+  SELECT 2, 6, 'Low', 'Retention', '{texts.RECOMMENDATIONS["action 6"]}',
+         '{texts.RECOMMENDATIONS["impact 6"]}', 'High', 'Repeat purchase rate'
   UNION ALL
-  SELECT 1, 7, 'Medium', 'Competitive', 'Shift high-competition SKUs toward value-added bundles rather than pure discounting',
-         'Protect margins while maintaining conversion in competitive segments', 'Medium', 'Discount % in high-competition segments'
+  SELECT 1, 7, 'Medium', 'Competitive', '{texts.RECOMMENDATIONS["action 7"]}',
+         '{texts.RECOMMENDATIONS["impact 7"]}', 'Medium', 'Discount % in high-competition segments'
   FROM (SELECT sum(CASE WHEN competition_intensity = 'High' THEN 1 ELSE 0 END) * 1.0 / count(*) AS s FROM feat) WHERE s > 0.3
   UNION ALL
-  SELECT 0, r, 'High', 'Pricing', printf('Reduce discount on %s by 5-8pp during non-festival periods', category),
-         printf('Est. %.1f Cr revenue recovery', bp * 0.06 / 1e7), 'Low', 'Avg discount %'
+  SELECT 0, r, 'High', 'Pricing', printf('{texts.RECOMMENDATIONS["action pricing"]}', category),
+         printf('{texts.RECOMMENDATIONS["impact pricing"]}', bp * 0.06 / 1e7), 'Low', 'Avg discount %'
   FROM (SELECT category, bp, row_number() OVER (ORDER BY c DESC, category) AS r FROM (
           SELECT category, count(*) AS n, corr(discount_percent, units_sold) AS c, sum(base_price) AS bp
           FROM feat WHERE category IS NOT NULL GROUP BY category) WHERE n >= 30 AND c > 0.1)

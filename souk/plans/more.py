@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from souk import texts
 from souk.operators import anomaly as AN
 from souk.operators import customers as CU
 from souk.operators import density as DE
@@ -224,11 +225,11 @@ def q_latest_month_delta(spark, sf_dir):
 # ---------------------------------------------------------------- PR2
 @register("elasticity_classes", f"""
 SELECT category, elasticity, r2, n_obs,
-       CASE WHEN elasticity < -1 THEN 'Elastic (< -1)' WHEN elasticity < 0 THEN 'Inelastic (-1 to 0)'
-            ELSE 'Giffen / Luxury (> 0)' END AS elasticity_type,
-       CASE WHEN elasticity < -1 THEN 'Aggressive discounting justified - demand is elastic'
-            WHEN elasticity < 0 THEN 'Moderate discounts - demand is inelastic, protect margins'
-            ELSE 'Luxury / Giffen signal - discounting may reduce perceived value' END AS advice
+       CASE WHEN elasticity < -1 THEN '{texts.ELASTICITY_CLASSES["elastic"]}' WHEN elasticity < 0 THEN '{texts.ELASTICITY_CLASSES["inelastic"]}'
+            ELSE '{texts.ELASTICITY_CLASSES["giffen"]}' END AS elasticity_type,
+       CASE WHEN elasticity < -1 THEN '{texts.DISCOUNT_ADVICE["elastic"]}'
+            WHEN elasticity < 0 THEN '{texts.DISCOUNT_ADVICE["inelastic"]}'
+            ELSE '{texts.DISCOUNT_ADVICE["giffen"]}' END AS advice
 FROM ({W(_elast_sql(["category"], 20, True))}) e""")
 def q_elasticity_classes(spark, sf_dir):
     """Elasticity class and pricing advice per category (PR2)."""
