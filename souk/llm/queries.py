@@ -54,8 +54,15 @@ ds AS (SELECT rid, i - 1 pos, array_to_string(w[i:i + 4], ' ') g FROM (SELECT *,
 h AS (SELECT rid, license, n, s, pos, g FROM ds JOIN ts USING (g) JOIN tn USING (license)),
 x AS (SELECT *, unnest(range(greatest(pos // s - 2, 0), pos // s + 1)) win FROM h),
 c AS (SELECT rid, license, win * s AS first_shingle, count(DISTINCT g) / any_value(n) share FROM x GROUP BY rid, license, win, s),
-b AS (SELECT *, row_number() OVER (PARTITION BY rid, license ORDER BY share DESC, first_shingle) r FROM c WHERE share >= 0.8)
-SELECT doc_id, license, share containment, first_shingle::BIGINT shingle FROM b JOIN d USING (rid) WHERE r = 1"""
+b AS (SELECT *, row_number() OVER (PARTITION BY rid, license ORDER BY share DESC, first_shingle) r FROM c WHERE share >= 0.8),
+f AS (SELECT rid, license, share, first_shingle, n FROM b JOIN tn USING (license) WHERE r = 1),
+k AS (SELECT a.license a, b.license b FROM ts a JOIN ts b ON a.g = b.g AND a.license <> b.license
+      JOIN tn x ON x.license = a.license JOIN tn y ON y.license = b.license
+      GROUP BY a.license, b.license HAVING count(*)::DOUBLE / any_value(least(x.n, y.n)) >= 0.8)
+SELECT doc_id, license, share containment, first_shingle::BIGINT shingle,
+       NOT EXISTS (SELECT 1 FROM f g JOIN k ON k.a = f.license AND k.b = g.license
+                   WHERE g.rid = f.rid AND (g.share, g.n, g.license) > (f.share, f.n, f.license)) most_specific
+FROM f JOIN d USING (rid)"""
 
 
 @_query("op2_license_scan", _LICENSE_SQL)

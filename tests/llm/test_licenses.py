@@ -23,8 +23,11 @@ def brute(rows, templates):
             k = 1 << (len(tpl).bit_length() - 1)
             best = max(((len(set(s[a:a + 3 * k]) & tpl) / len(tpl), -a) for a in range(0, len(s), k)), default=(0, 0))
             if best[0] >= 0.8:
-                out.append((d, name, best[0], -best[1]))
-    return sorted(out, key=str)
+                out.append((d, t, name, best[0], -best[1], len(tpl)))
+    sets = {n: set(shingles(words(x))) for n, x in templates}
+    sister = lambda a, b: a != b and len(sets[a] & sets[b]) >= 0.8 * min(len(sets[a]), len(sets[b]))
+    return sorted(((d, n, c, at, not any((d, t) == (d2, t2) and sister(n, n2) and (c2, k2, n2) > (c, k, n)
+                                         for d2, t2, n2, c2, _, k2 in out)) for d, t, n, c, at, k in out), key=str)
 
 
 def corpus():
@@ -89,7 +92,28 @@ def test_sister_licenses_are_told_apart(spark, docs):
     assert got == exp
 
 
-def test_a_template_is_found_only_under_its_own_name():
-    found = {(a, b) for a, t in licenses.TEMPLATES for b, x in licenses.TEMPLATES if a != b
+def test_whole_texts_are_most_specific(spark, docs, sf):
+    rows = [(i, "Copyright 2020 Someone. " + t + " end") for i, (_, t) in enumerate(licenses.WHOLE)]
+    rows += [(100 + i, t.upper().replace("SOFTWARE", "SOFTWARE", 1)) for i, (_, t) in enumerate(licenses.WHOLE)]
+    got = queries.op2_license_scan(spark, sf(documents=docs(rows))).collect()
+    texts = {n for n, _ in licenses.WHOLE}
+    best = {}
+    for r in got:
+        if r["most_specific"] and r["license"] in texts:
+            best.setdefault(r["doc_id"], set()).add(r["license"])
+    assert best == {k + i: {n} for k in (0, 100) for i, (n, _) in enumerate(licenses.WHOLE)}
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, licenses.TEMPLATES)
+
+
+def test_many_templates_are_met_by_a_join(spark, docs, monkeypatch):
+    rows = corpus()
+    want = sorted(map(tuple, licenses.scan(spark, docs(rows)).collect()), key=str)
+    monkeypatch.setattr(licenses, "LISTED_HASHES", 10)
+    assert sorted(map(tuple, licenses.scan(spark, docs(rows)).collect()), key=str) == want
+
+
+def test_a_notice_is_found_only_under_its_own_name():
+    notices = [x for x in licenses.TEMPLATES if x not in licenses.WHOLE]
+    found = {(a, b) for a, t in notices for b, x in notices if a != b
              for own in [set(shingles(words(x)))] if len(own & set(shingles(words(t)))) >= 0.8 * len(own)}
     assert found <= {("apache-2.0", "apache-2.0-line"), ("mit", "mit-family")}
