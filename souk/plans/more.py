@@ -21,6 +21,7 @@ from souk.operators import ml as ML
 from souk.operators import ordered as OR
 from souk.operators import pricing as PR
 from souk.operators import summary as SU
+from souk.operators import timeseries as TS
 from souk.plans.catalog import (_COHORT_SQL, _DRIFT_SQL, NPR, ORACLE, QUERIES, R, W, _box_sql, _elast_sql, _hist_sql, fact, register,
                                 rounded)
 from souk.schema import (AT_RISK_ALERT_SCHEMA, DRIFT_FEATURES, DRIFT_REPORT_SCHEMA, PRICE_RECOMMENDATION_SCHEMA,
@@ -618,3 +619,45 @@ def q_purchase_model_likelihood(spark, sf_dir):
     cust = LT.customer_cells(fact(spark, sf_dir, ["customer_id", "order_date", "revenue"]))
     told = LT.loglik(LT.purchase_cells(cust), "bgnbd", _GIVEN)
     return rounded(told.select("customers", (F.col("loglik") / 100).alias("loglik")), 4)
+
+
+# ---------------------------------------------------------------- TS3, TS4: series whose future is known
+_PLANTED = {"growing": "1000.0 * length(zone) * exp(0.01 * t + 0.1 * sin(pi() * month(month) / 6))",
+            "seasonal": "1000.0 * length(zone) + 50.0 * t + 200.0 * sin(pi() * month(month) / 6)"}
+
+
+def _planted_sql(form: str, after: str) -> str:
+    value = R(f"({_PLANTED[form].replace('month(month)', 'month(m)')}) / 1000", 6)
+    return W(f"""
+SELECT zone, strftime(m, '%Y-%m') AS month, {value} AS yhat, {value} AS yhat_lower, {value} AS yhat_upper, t > last AS is_forecast
+FROM (SELECT zone, last, t, first + to_months(CAST(t AS INTEGER)) AS m
+      FROM (SELECT zone, first, last, unnest(range(0, last + 25)) AS t
+            FROM (SELECT zone, min(mon) AS first, date_diff('month', min(mon), max(mon)) AS last
+                  FROM (SELECT zone, date_trunc('month', order_date) AS mon FROM feat WHERE zone IS NOT NULL) d GROUP BY zone) z) u) v
+WHERE {after}""")
+
+
+def _planted(spark, sf_dir, form: str):
+    """The zones' months with values of a known form; t counts months from the zone's first."""
+    s = TS.monthly_series(fact(spark, sf_dir, ["order_date", "zone", "revenue"]), "revenue", "sum", by=["zone"])
+    first = s.groupBy("zone").agg(F.min("month").alias("first"))
+    s = s.join(F.broadcast(first), "zone").withColumn("t", F.round(F.months_between("month", "first")))      # a row per zone
+    return s.select("zone", "month", F.expr(_PLANTED[form]).alias("value"))
+
+
+def _told(f):
+    return rounded(f.select("zone", F.date_format("month", "yyyy-MM").alias("month"),
+                            *[(F.col(c) / 1000).alias(c) for c in ("yhat", "yhat_lower", "yhat_upper")], "is_forecast"), 6)
+
+
+@register("planted_growth_forecast", _planted_sql("growing", "true"))
+def q_planted_growth_forecast(spark, sf_dir):
+    """Forecast of exponential growth with a season: fit and 24 future months must be that form's, the band of no width (TS3)."""
+    return _told(TS.forecast(_planted(spark, sf_dir, "growing"), "month", "value", periods=24, by=["zone"], growth="log_linear"))
+
+
+@register("planted_season_forecast", _planted_sql("seasonal", "t > last"))
+def q_planted_season_forecast(spark, sf_dir):
+    """Seasonal ARIMA forecast of a line with a season: 24 future months must be that form's, the band of no width (TS4)."""
+    f = TS.seasonal_arima_forecast(_planted(spark, sf_dir, "seasonal"), "month", "value", periods=24, by=["zone"])
+    return _told(f.withColumn("is_forecast", F.lit(True)))

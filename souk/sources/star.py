@@ -24,9 +24,8 @@ Join plan: the fact is lineitem-sized; every join is an inner equi-join on a
 foreign key.  nation (25 rows) and region (5 rows) are fixed-size dimensions of
 the schema and are broadcast.  customer and part grow with the data, so no
 hint is given: AQE measures them at runtime and broadcasts only if they fall
-under the broadcast threshold, otherwise they are shuffle-joined.  Joins whose
-columns a query does not ask for are left out (``columns=``); with referential
-integrity between the tables this does not change any row.
+under the broadcast threshold, otherwise they are shuffle-joined.  Every join is
+made whatever columns are asked for, so the rows never depend on the projection.
 """
 
 from __future__ import annotations
