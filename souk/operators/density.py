@@ -3,9 +3,11 @@
 Equal rows are one point with a weight.  A micro-cell (side eps / sqrt(d), so of
 diameter eps at most) that holds ``min_samples`` rows is all core without any
 pair test.  All other points are compared with the points around them: points
-are dealt to blocks over the first features, every point also to the blocks it
-comes within eps of, and a block's queries and data are split into chunks of
-bounded size.  Queries that reach ``min_samples`` within the first data chunk are
+are dealt to blocks over the first features (over more of them the fewer the
+queries), every query to all blocks it comes within eps of, every data point to
+its own block, and a block's queries and data are split into chunks of
+bounded size; data of blocks without queries stay where they are.  A point near a
+query is met in the point's block alone, so the counts of the blocks add up.  Queries that reach ``min_samples`` within the first data chunk are
 settled; only the rest meet the other chunks.  No neighbour is left out: a
 count is cut off only after it has reached ``min_samples``.
 
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.operators.ordered import materialize
+from souk.operators.ordered import BROADCAST_ROWS, materialize, small
 
 QUERY_CHUNK = 8_192
 DATA_CHUNK = 65_536
@@ -35,21 +37,44 @@ BLOCK_DIMS = 3
 LEAF = 256
 
 
+def _normalised(cols: Sequence[str]) -> list:
+    """The features as doubles; a missing value counts as 0."""
+    return [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(0.0)) + 0.0 for c in cols]
+
+
+def _cell(names: Sequence[str], eps: float):
+    side = eps / math.sqrt(len(names)) * (1 - 1e-9)
+    return F.xxhash64(*[F.floor(F.col(n) / side) for n in names])
+
+
 def _points(df: DataFrame, cols: Sequence[str], eps: float) -> DataFrame:
     """(id, x0.., w, cell) of the distinct rows; a missing value counts as 0."""
-    xs = [(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(0.0)) + 0.0).alias(f"x{i}") for i, c in enumerate(cols)]
     names = [f"x{i}" for i in range(len(cols))]
-    side = eps / math.sqrt(len(cols)) * (1 - 1e-9)
-    pts = materialize(df.select(*xs).groupBy(*names).agg(F.count(F.lit(1)).alias("w")))
-    cell = F.xxhash64(*[F.floor(F.col(n) / side) for n in names])
-    return materialize(pts.select(F.monotonically_increasing_id().alias("id"), *names, "w", cell.alias("cell")))
+    pts = df.select(*[x.alias(n) for x, n in zip(_normalised(cols), names)]).groupBy(*names).agg(F.count(F.lit(1)).alias("w"))
+    return materialize(pts.select(F.monotonically_increasing_id().alias("id"), *names, "w", _cell(names, eps).alias("cell")))
+
 
+def _with(df: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``df`` left-joined to ``facts``; written only if they are too many to be broadcast."""
+    n = facts.count()
+    out = df.join(small(facts, n), key, "left")
+    return out if n <= BROADCAST_ROWS else materialize(out)
 
-def _blocks(pts: DataFrame, d: int, eps: float, halo: bool) -> DataFrame:
-    """``pts`` with their block, or with every block within eps of them."""
+
+def _block_dims(d: int, queries: int, points: int) -> int:
+    """Features that the blocks are cut over: ``BLOCK_DIMS``, and more as long as the queries'
+    copies, about two for each feature, are fewer than the points."""
+    dims = min(d, BLOCK_DIMS)
+    while dims < d and queries << (dims + 1) <= points:
+        dims += 1
+    return dims
+
+
+def _blocks(pts: DataFrame, dims: int, eps: float, halo: bool) -> DataFrame:
+    """``pts`` with their block over ``dims`` features, or with every block within eps of them."""
     side, reach = 2 * eps, eps * (1 + 1e-9)
     keys = []
-    for i in range(min(d, BLOCK_DIMS)):
+    for i in range(dims):
         x = F.col(f"x{i}")
         if halo:
             pts = pts.withColumn(f"_b{i}", F.explode(F.sequence(F.floor((x - reach) / side), F.floor((x + reach) / side))))
@@ -73,6 +98,7 @@ def _compare(queries: DataFrame, data: DataFrame, d: int, test, schema: str, fir
     n = queries.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).cast("int").alias("n_q"))
     m = data.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / DATA_CHUNK).cast("int").alias("n_d"))
     sizes = materialize(n.join(m, "block"))
+    sizes = small(sizes, sizes.count())          # one row per block that holds queries and data
     q, p = _chunked(queries, sizes, "q", "d"), _chunked(data, sizes, "d", "q")
     if first_only is not None:
         pick = F.col("d") == 0 if first_only else F.col("d") > 0
@@ -254,34 +280,54 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: in
     pts = _points(df, cols, eps)
     names = [f"x{i}" for i in range(d)]
     dense = pts.groupBy("cell").agg(F.sum("w").alias("n")).where(F.col("n") >= min_samples).select("cell", F.lit(True).alias("dense"))
-    pts = materialize(pts.join(dense, "cell", "left"))
-    data = _blocks(pts, d, eps, halo=True)
-    sparse = _blocks(pts.where(F.col("dense").isNull()), d, eps, halo=False)
+    dense = materialize(dense)
+    pts = _with(pts, dense, "cell")
+    n_points, n_sparse = pts.agg(F.count(F.lit(1)), F.count_if(F.col("dense").isNull())).first()
+    dims = _block_dims(d, n_sparse, n_points)
+    data = _blocks(pts, dims, eps, halo=False)
+    sparse = _blocks(pts.where(F.col("dense").isNull()), dims, eps, halo=True)
     count = _count_test(eps, min_samples)
-    first = materialize(_compare(sparse, data, d, count, "id long, n long", first_only=True))
+    first = _compare(sparse, data, d, count, "id long, n long", first_only=True)
+    first = materialize(first.groupBy("id").agg(F.sum("n").alias("n")))
     rest = sparse.join(first.where(F.col("n") >= min_samples), "id", "left_anti")
     more = _compare(rest, data, d, count, "id long, n long", first_only=False)
     enough = first.unionByName(more).groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples)
-    enough = enough.select("id", F.lit(True).alias("reached"))
-    pts = materialize(pts.join(enough, "id", "left").withColumn("core", F.coalesce("dense", "reached", F.lit(False))))
+    enough = materialize(enough.select("id", F.lit(True).alias("reached")))
+    pts = _with(pts, enough, "id").withColumn("core", F.coalesce("dense", "reached", F.lit(False)))
     core = pts.where("core")
     if labels:
-        links = _compare(_blocks(core, d, eps, halo=False), _blocks(core, d, eps, halo=True), d, _link_test(eps), "a long, b long")
+        near = min(d, BLOCK_DIMS)
+        links = _compare(_blocks(core, near, eps, halo=False), _blocks(core, near, eps, halo=True), d, _link_test(eps), "a long, b long")
         groups = _components(core.select("cell").distinct(), links.distinct())
         core = materialize(core.join(groups, "cell"))
     else:
         core = core.withColumn("label", F.lit(0).cast("long"))
-    border = _compare(_blocks(pts.where("not core"), d, eps, halo=False), _blocks(core, d, eps, halo=True), d,
+    border = _compare(_blocks(pts.where("not core"), dims, eps, halo=True), _blocks(core, dims, eps, halo=False), d,
                       _label_test(eps), "id long, label long").groupBy("id").agg(F.min("label").alias("label"))
     placed = core.select("id", "label").unionByName(border)
     if labels:
         order = _numbered(core.select("label").distinct())
         placed = placed.join(order, "label").select("id", F.col("number").alias("label"))
-    found = pts.join(placed, "id", "left").select(*[F.col(n).alias(f"_{n}") for n in names], "core", F.coalesce("label", F.lit(-1)).alias("label"))
-    keyed = df
-    for i, c in enumerate(cols):
-        keyed = keyed.withColumn(f"_x{i}", F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(0.0)) + 0.0)
-    out = keyed.join(found, [f"_{n}" for n in names]).drop(*[f"_{n}" for n in names])
+    label = F.coalesce("label", F.lit(-1)).cast("long").alias("label")
+    # a dense cell tells all its rows by itself; only the rows of other cells look for their point
+    keyed = df.withColumns({f"_x{i}": x for i, x in enumerate(_normalised(cols))})
+    keyed = keyed.withColumn("_cell", _cell([f"_{n}" for n in names], eps))
+    if labels:
+        dense = pts.where("dense").join(placed, "id").groupBy("cell").agg(F.min("label").alias("label"))
+    told = dense.withColumn("label", F.col("label") if labels else F.lit(0))
+    told = materialize(told.select(F.col("cell").alias("_cell"), F.lit(True).alias("core"), label))
+    told = small(told, told.count())
+    alone = materialize(pts.where(F.col("dense").isNull()).join(placed, "id", "left").select(*[F.col(n).alias(f"_{n}") for n in names], "core", label))
+    n, own = alone.count(), [f"_{n}" for n in names]
+    found = keyed.join(told, "_cell", "left")
+    if n <= BROADCAST_ROWS:
+        alone = alone.withColumnsRenamed({"core": "_core", "label": "_label"})
+        out = found.join(F.broadcast(alone), own, "left").select(
+            *df.columns, F.coalesce("core", "_core").alias("core"), F.coalesce("label", "_label").alias("label"))
+    else:
+        found = materialize(found)
+        out = found.where("core").select(*df.columns, "core", "label").unionByName(
+            found.where("core is null").drop("core", "label").join(alone, own).select(*df.columns, "core", "label"))
     out = out.withColumn("dbscan_core", F.col("core")).withColumn("dbscan_anomaly", F.col("label") == -1)
     if labels:
         out = out.withColumn("dbscan_label", F.col("label").cast("long"))

@@ -93,3 +93,30 @@ def test_a_task_links_cells_by_a_forest():
     links = DE._link_test(0.2)(pdf, pdf, ["x0", "x1"])
     assert len(links) == pdf.cell.nunique() - 2        # two clusters
     assert len(DE._link_test(0.2)(pdf[:0], pdf, ["x0", "x1"])) == 0
+
+
+def test_data_points_are_not_copied(spark):
+    x = points(4)
+    df = spark.createDataFrame([tuple(map(float, p)) for p in x], [f"f{i}" for i in range(4)])
+    pts = DE._points(df, df.columns, 0.5)
+    dims = DE._block_dims(4, 5, pts.count())
+    assert dims == 4 and DE._block_dims(4, 200, 300) == DE.BLOCK_DIMS and DE._block_dims(2, 0, 9) == 2
+    assert DE._blocks(pts, dims, 0.5, halo=False).count() == pts.count()
+    # a pair of near points meets in exactly one block
+    a = DE._blocks(pts, dims, 0.5, halo=True).select("id", "block")
+    b = DE._blocks(pts, dims, 0.5, halo=False).select("id", "block").toPandas().set_index("id")["block"]
+    seen = a.toPandas().groupby("id")["block"].apply(list)
+    xs = pts.toPandas().set_index("id")[[f"x{i}" for i in range(4)]]
+    for i in xs.index[:40]:
+        for j in xs.index[((xs - xs.loc[i]) ** 2).sum(axis=1) <= 0.25]:
+            assert seen[i].count(b[j]) == 1
+
+
+def test_many_sparse_points_and_cells(spark, monkeypatch):
+    monkeypatch.setattr(DE, "BROADCAST_ROWS", 5)
+    x = points(2)
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], ["k", "f0", "f1"])
+    out = DE.dbscan(df, ["f0", "f1"], eps=0.5, min_samples=6, labels=False).toPandas().set_index("k").sort_index()
+    core, _, touched = brute(x, 0.5, 6)
+    assert len(out) == len(x) and (out.dbscan_core.to_numpy() == core).all()
+    assert (out.dbscan_anomaly.to_numpy() == np.array([not core[i] and not touched[i] for i in range(len(x))])).all()
