@@ -75,3 +75,33 @@ def test_first_batch_of_a_trend_counts(spark):
     b = spark.createDataFrame([("2024-01-01", "x", 9.0), ("2024-01-02", "x", 2.0)], "date string, keyword string, interest double")
     got = {(r["date"], r["interest"]) for r in landed.union_trend_batches(a, b).collect()}
     assert got == {("2024-01-01", 1.0), ("2024-01-02", 2.0)}
+
+
+def test_arrays_of_orders_are_bounded(spark, tmp_path, monkeypatch):
+    import gzip
+
+    from souk.plans import more
+
+    monkeypatch.setattr(more, "ARRAY_ROWS", 10)
+    raw = spark.createDataFrame([(f"o{i}", 1.0 * i, 2.0 * i) for i in range(1000)] + [("o1", 1.0, 2.0)], "order_id string, base_price double, final_price double")
+    more._write_arrays(raw, str(tmp_path / "a.json"))
+    files = list((tmp_path / "a.json").rglob("*.gz"))
+    sizes = [len(json.loads(gzip.decompress(f.read_bytes()))) for f in files]
+    assert len(sizes) > 64 and max(sizes) < 40 and sum(sizes) == 1001
+    got = orders.read_json(spark, str(tmp_path / "a.json"), "order_id string, base_price double, final_price double")
+    assert sorted(map(tuple, got.select(*raw.columns).collect())) == sorted(map(tuple, raw.collect()))
+
+
+def test_json_files_are_told_without_sorting_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text("\n  \n \ufeff [\n{}\n]\n")
+    (tmp_path / "b.json").write_text("\n\n{}\n[\n")
+    (tmp_path / "c.json").write_text("\n \n")
+    plans = []
+    real = type(spark.range(0)).collect
+    type(spark.range(0)).collect = lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df))[1]
+    try:
+        arrays, lines = orders._json_files(spark, str(tmp_path))
+    finally:
+        type(spark.range(0)).collect = real
+    assert [a[-6:] for a in arrays] == ["a.json"] and sorted(x[-6:] for x in lines) == ["b.json", "c.json"]
+    assert plans and plans[0].count("Aggregate [") == 2          # lines by whole numbers, then one row per split
