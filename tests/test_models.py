@@ -251,3 +251,13 @@ def test_bgnbd_clv_without_a_customer_column(spark):
     out = LT.bgnbd_clv(orders_df(spark, rows)).toPandas()
     assert len(out) == 40 and out.customer_id.str.count("_").eq(2).all()
     assert out.clv.notna().all() and (out.clv >= 0).all()
+
+
+def test_isolation_forest_writes_only_the_columns_kept(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, f"g{i % 3}", float(a), float(b)) for i, (a, b) in enumerate(rng.normal(0, 1, (400, 2)))]
+    df = spark.createDataFrame(rows, "k int, g string, a double, b double")
+    some = AN.isolation_forest(df, ["a", "b"], ["k"], n_trees=20, contamination=0.05, keep=["g"])
+    every = AN.isolation_forest(df, ["a", "b"], ["k"], n_trees=20, contamination=0.05)
+    assert some.columns == ["g", "iso_score", "is_anomaly", "iso_label"] and every.columns[:4] == df.columns
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.select(some.columns).collect()))
