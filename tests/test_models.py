@@ -133,6 +133,34 @@ def test_four_families_compared_in_one_table(spark):
     assert len({r.n for r in got.values()}) == 1 and all(r.r2 > 0.5 and r.rmse >= r.mae > 0 for r in got.values())
 
 
+def test_trees_equal_those_over_one_hot_slots_with_small_rows(spark):
+    from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
+    from souk.operators import trees as TR
+    rng = np.random.default_rng(9)
+    rows = [(float(rng.choice([1, 2, 5, 7])), float(rng.normal()), rng.choice(["a", "b", "c", None], p=[.3, .3, .3, .1]), "xy"[i % 2]) for i in range(900)]
+    rows = [(*r, 3 * r[0] + 5 * (r[2] == "b") + r[1] * (r[3] == "x") + float(rng.normal(0, .1))) for r in rows]
+    df = spark.createDataFrame(rows, "p double, q double, c string, d string, revenue double").repartition(3)
+    model = ML.Pipeline(stages=ML.feature_stages(["c", "d"], ["p", "q"])).fit(df)
+    enc = model.transform(df).cache()
+    lay = TR.layout(enc, ["p", "q"], ["c__idx", "d__idx"], [len(x) for x in model.stages[0].labelsArray], 32, 42)
+    assert [len(c) for c in lay.cuts] == [3, 31] and lay.type == np.uint8
+    blocks = TR.blocks(enc, lay, "revenue")
+    assert all(len(b.bins) == 4 * b.n and len(b.y) == 8 * b.n for b in blocks.collect())    # a byte a column, not four a slot
+    got = TR.predict(enc, lay, {"tree": (TR.grow(blocks, lay, [4], [None]), [1.0]), "boosted": TR.boost(blocks, lay, 5, 3, 0.1)})
+    got = sorted((r.revenue, r.tree, r.boosted) for r in got.collect())
+    tree = DecisionTreeRegressor(labelCol="revenue", maxDepth=4, predictionCol="t").fit(enc)
+    both = GBTRegressor(labelCol="revenue", maxIter=5, maxDepth=3, stepSize=0.1, predictionCol="b").fit(enc).transform(tree.transform(enc))
+    assert np.allclose(got, sorted((r.revenue, r.t, r.b) for r in both.select("revenue", "t", "b").collect()), atol=1e-9)
+
+
+def test_forest_rows_weigh_poisson_and_runs_repeat(spark):
+    from souk.operators import trees as TR
+    assert abs(TR._POISSON.mean() - 1) < 1e-3 and abs(TR._POISSON.var() - 1) < 1e-3
+    df = orders_df(spark, _model_rows(300)).withColumn("revenue", F.col("base_price") * 3.0)
+    a, b = (ML.compare_models(df, ["order_id"], names=["Random Forest"], trees=3).first() for _ in range(2))
+    assert a == b and a.r2 > 0.5
+
+
 def test_label_codes(spark):
     df = spark.createDataFrame([("b", "x"), ("a", None), ("b", "y"), (None, "x"), ("C", "x")], "u string, v string")
     assert sorted(tuple(r) for r in ML.label_codes(df, ["u", "v"]).collect()) == [
