@@ -31,10 +31,11 @@ import heapq
 import json
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,12 +43,14 @@ from pyspark.sql import functions as F
 from souk.llm.common import shared_path, small_batches
 
 BLOCK = 2_048
-LANES = 1_536
+LANES = 3_072                        # a group's blocks, 72 KB of statistics each
 GROUP_IDS = 6_000_000
 CACHE_CHUNKS = 500_000
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-# fixed value: the pre-tokenizer's pattern on lower-case ASCII
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+TEXT_BYTES = 4 << 20                 # of texts that are encoded together
+# chunks of ASCII and Latin-1 letters, of digits and of marks; normal forms leave them alone
+_PLAIN = r"^[!-~À-ÖØ-öø-ÿ]+$"
+# fixed value: the pre-tokenizer's pattern on the lower case of these
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _U = np.uint64
 _LEAST = _U(1 << 48)                 # the coder's range is at least this before every other decision
 _MOST_IDS = 1 << 20
@@ -58,20 +61,20 @@ _RATE = 10                           # weights move by error x input / 2 ** _RAT
 
 
 def _entry_tables() -> tuple[np.ndarray, ...]:
-    """Of a table entry (12 bits of probability, 4 of count): its logit, the entry that follows
-    a 0 and a 1, and how sure it is; and the probability (16 bits) of a mixed logit."""
+    """Of a table entry (12 bits of probability, 4 of count): its logit by probability, and the entry
+    that follows a 0 and a 1; and the probability (16 bits) of a mixed logit."""
     e = np.arange(1 << 16)
     p, n = e >> 4, e & 15
-    x = (p + 0.5) / 4096
+    x = (np.arange(1 << 12) + 0.5) / 4096
     logit = np.rint(np.log(x / (1 - x)) * 256).astype(np.int32)
     share = (65536 / (n + 1.6)).astype(np.int64)
     after = [(p + (((bit * 4095 - p) * share) >> 16) << 4) | np.minimum(n + 1, 15) for bit in (0, 1)]
     mixed = np.arange(-2047, 2048) / 256
-    prob = np.clip(np.rint(65536 / (1 + np.exp(-mixed))), 32, 65536 - 32).astype(np.int32)
-    return logit, np.concatenate(after).astype(np.uint16), np.minimum(n, 3), prob
+    prob = np.clip(np.rint(65536 / (1 + np.exp(-mixed))), 32, 65536 - 32).astype(np.uint64)
+    return logit, np.concatenate(after).astype(np.uint16), prob
 
 
-_LOGIT, _AFTER, _SURE, _PROB = _entry_tables()
+_LOGIT, _AFTER, _PROB = _entry_tables()
 
 
 def code_lengths(counts: np.ndarray) -> np.ndarray:
@@ -120,9 +123,9 @@ class _Tree:
             base, inner, first = nodes, len(place) - len(own), first + len(own)
             nodes += inner
         self.child = np.concatenate(child)
-        self.mix = np.arange(nodes, dtype=np.uint32) * np.uint32(0x9E3779B1)
         above, side = np.concatenate(above), np.concatenate(side)
         self.start = np.concatenate([[0], np.cumsum(depth)])
+        self.mix = np.arange(nodes, dtype=np.uint32) * np.uint32(0x9E3779B1)
         self.node, self.bit = np.zeros(self.start[-1], np.int64), np.zeros(self.start[-1], np.int64)
         self.last = np.zeros(self.start[-1], bool)
         at, node, bit = self.start[ids] + depth[ids] - 1, up[ids], turn[ids]
@@ -132,6 +135,7 @@ class _Tree:
             at, bit, node = at - 1, side[node], above[node]
             rest = node >= 0
             at, bit, node = at[rest], bit[rest], node[rest]
+        self.step = self.node << 2 | self.bit << 1 | self.last
 
 
 class _Lanes:
@@ -139,8 +143,7 @@ class _Lanes:
 
     def __init__(self, n: int):
         self.table = np.full(n * _LANE, 2048 << 4, np.uint16)
-        self.weight = np.empty((16 * n, 3), np.int32)
-        self.weight[:] = _WEIGHTS
+        self.weight = np.repeat(np.array(_WEIGHTS, np.int32), 16 * n)
         self.context, self.prev = np.zeros((2, n), np.uint32), np.zeros(n, np.uint32)
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, 2 ** 64 - 1, np.uint64)
         self._number(n)
@@ -149,12 +152,19 @@ class _Lanes:
         self.n = n
         first = np.cumsum([0, *(1 << b for b in _BITS[:2])])[:, None]
         self.base, self.row = np.arange(n) * _LANE + first, np.arange(n) << 4
-        self.at = np.empty((3, n), np.int64)
+        self.order = np.arange(3)[:, None] * (16 * n)
+        # what a decision works on, by order
+        self.at, self.by, self.index = np.empty((3, 3, n), np.int64)
+        self.entry = np.empty((3, n), np.uint16)
+        self.logit, self.own, self.work = np.empty((3, 3, n), np.int32)
+        self.hash, self.sure = np.empty((2, n), np.uint32), np.empty((2, n), np.uint16)
+        self.total, self.wrong = np.empty((2, n), np.int32)
+        self.prob, self.bound, self.part, self.mask = np.empty((4, n), np.uint64)
 
     def keep(self, lanes: np.ndarray) -> None:
         """Goes on with some of the lanes."""
         self.table = self.table.reshape(self.n, _LANE)[lanes].ravel()
-        self.weight = self.weight.reshape(self.n, 16, 3)[lanes].reshape(-1, 3)
+        self.weight = self.weight.reshape(3, self.n, 16)[:, lanes].ravel()
         self.context = self.context[:, lanes].copy()
         for name in ("prev", "low", "range"):
             setattr(self, name, getattr(self, name)[lanes])
@@ -162,28 +172,52 @@ class _Lanes:
 
     def predict(self, node: np.ndarray, mix: np.ndarray) -> np.ndarray:
         """The share of each lane's range that stands for a 1 at ``node`` (``mix``: its hash)."""
-        at = self.at
+        at, work = self.at, self.work
         np.bitwise_and(node, (1 << _BITS[0]) - 1, out=at[0])
-        at[1:] = ((self.context ^ mix) * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BITS[1])
-        at += self.base
-        self.entry = self.table.take(at)
-        self.logit = _LOGIT.take(self.entry)
-        sure = _SURE.take(self.entry[1:])
-        self.by = self.row + (sure[0] * 4 + sure[1])
-        self.own = self.weight.take(self.by, axis=0).T
-        logit = np.einsum("kn,kn->n", self.own, self.logit) >> 16
-        self.prob = _PROB.take(logit + 2047, mode="clip")
-        self.bound = (self.range >> _U(16)) * self.prob.astype(np.uint64)
+        at[0] += self.base[0]
+        np.bitwise_xor(self.context, mix, out=self.hash)
+        self.hash *= np.uint32(0x85EBCA77)
+        self.hash >>= np.uint32(32 - _BITS[1])
+        np.add(self.hash, self.base[1:], out=at[1:])
+        self.table.take(at, out=self.entry, mode="clip")
+        np.right_shift(self.entry, 4, out=self.index)
+        _LOGIT.take(self.index, out=self.logit, mode="clip")
+        np.bitwise_and(self.entry[1:], 15, out=self.sure)
+        np.minimum(self.sure, 3, out=self.sure)
+        self.sure[0] <<= 2
+        self.sure[0] += self.sure[1]
+        np.add(self.row, self.sure[0], out=self.by[0])
+        np.add(self.by[0], self.order[1:], out=self.by[1:])
+        self.weight.take(self.by, out=self.own, mode="clip")
+        np.multiply(self.own, self.logit, out=work)
+        np.add.reduce(work, axis=0, dtype=np.int32, out=self.total)
+        self.total >>= 16
+        self.total += 2047
+        _PROB.take(self.total, out=self.prob, mode="clip")
+        np.right_shift(self.range, _U(16), out=self.bound)
+        self.bound *= self.prob
         return self.bound
 
     def learn(self, bit: np.ndarray) -> None:
         """Narrows the ranges to the decisions and moves predictions and weights towards them."""
-        wrong = ((bit << 16) - self.prob).astype(np.int32) >> 4
-        self.weight[self.by] = (self.own + ((self.logit * wrong) >> _RATE)).T
-        self.table.put(self.at, _AFTER.take((bit << 16) + self.entry))
-        one = bit.astype(bool)
-        self.low += np.where(one, _U(0), self.bound)
-        self.range = np.where(one, self.bound, self.range - self.bound)
+        high = bit << 16
+        np.subtract(high, self.prob.view(np.int64), out=self.wrong, casting="unsafe")
+        self.wrong >>= 4
+        np.multiply(self.logit, self.wrong, out=self.work)
+        self.work >>= _RATE
+        self.work += self.own
+        self.weight[self.by] = self.work
+        np.add(self.entry, high, out=self.index)
+        _AFTER.take(self.index, out=self.entry, mode="clip")
+        self.table[self.at] = self.entry
+        # a 1: the range is the bound; a 0: what is above it
+        np.subtract(bit, 1, out=self.mask.view(np.int64))
+        np.bitwise_and(self.bound, self.mask, out=self.part)
+        self.low += self.part
+        np.subtract(self.range, self.bound, out=self.range)
+        self.range ^= self.bound
+        self.range &= self.mask
+        self.range ^= self.bound
 
     def follow(self, lanes: np.ndarray, ids: np.ndarray) -> None:
         """These lanes have come to a leaf: the contexts of their next id."""
@@ -231,15 +265,16 @@ def _encode_lanes(ids: np.ndarray, tree: _Tree, block: int) -> list[tuple[int, i
     size, tail = np.zeros(n, np.int64), np.zeros(n, np.uint64)
     busy, m = np.ones(n, bool), _Lanes(n)
     while len(lane):
-        m.predict(node := tree.node.take(step), tree.mix.take(node))
-        m.learn(tree.bit.take(step))
+        now = tree.step.take(step)
+        m.predict(node := now >> 2, tree.mix.take(node))
+        m.learn(now >> 1 & 1)
         for i, word in m.shift() if steps & 1 else ():
             words[lane[i], used[i]] = word
             used[i] += 1
         steps += 1
         if steps % 64 == 0 and used.max() + 256 > words.shape[1]:
             words = np.concatenate([words, np.zeros_like(words)], axis=1)
-        leaf = np.flatnonzero(tree.last.take(step))
+        leaf = np.flatnonzero(now & 1)
         step += 1
         m.follow(leaf, own[leaf])
         at[leaf] += 1
@@ -313,12 +348,13 @@ def _decode_lanes(blocks: list[tuple[int, int, bytes]], tree: _Tree) -> list[np.
 
 class Tokenizer:
     """A ``tokenizers`` file that lower-cases, drops white space and splits words as
-    ``_ASCII_WORDS`` does (other files are refused).
+    ``_WORDS`` does (other files are refused).
 
     Nothing is joined across white space, so a chunk between white space is encoded
-    alike wherever it stands; an ASCII chunk further falls into words that are.
-    Each distinct word, and each other chunk, goes through the library once
-    (bounded caches)."""
+    alike wherever it stands; a chunk of ASCII and Latin-1 letters, digits and marks
+    further falls into words that are.  The distinct chunks of a batch are found and split
+    as Arrow columns; each distinct word, and each other chunk, goes through the library
+    once (bounded cache), and a batch's ids are gathered from there."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Library
@@ -329,52 +365,123 @@ class Tokenizer:
         wanted = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         if steps != ["NFC", "Replace", "Lowercase"] or split != wanted:
             raise ValueError("the file's normalizer or pre-tokenizer is not the expected one")
-        self.added = [t["content"][:2] for t in spec["added_tokens"]]
+        # a chunk with the first two characters of an added token goes through the library whole
+        self.added = "|".join(sorted({re.escape(t["content"][:2]) for t in spec["added_tokens"]}))
         self.library = Library.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
         suffix = spec["model"]["end_of_word_suffix"]
         self.ends_word = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
         self.ends_word[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known words and chunks, by number; the ids of number ``i`` are ``ids[ends[i]:ends[i + 1]]``."""
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, known: dict[str, bytes], new: list[str]) -> None:
-        for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            known[c] = np.array(e.ids, np.uint32).tobytes()
+    def _learn(self, new: list[str]) -> None:
+        """Ids of chunks or words that get the next numbers."""
+        found = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+        self._add(np.array([i for x in found for i in x], np.uint32), [len(x) for x in found])
 
     def _learn_words(self, new: list[str], together: int = 2_000) -> None:
-        """ASCII words, many to a text; each word's last token, and no other, ends a word."""
+        """Of words, many to a text; each word's last token, and no other, ends a word."""
         parts = [new[lo:lo + together] for lo in range(0, len(new), together)]
-        texts = [" ".join(p) for p in parts]
-        for words, e in zip(parts, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+        for words, e in zip(parts, self.library.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(e.ids, np.uint32)
-            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
-            if len(ends) != len(words) or 4 * len(ids) != ends[-1]:
-                self._learn(self.words, words)
-                continue
-            raw = ids.tobytes()
-            self.words.update((w, raw[a:b]) for w, a, b in zip(words, [0, *ends], ends))
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(words) or len(ids) != ends[-1]:
+                self._learn(words)
+            else:
+                self._add(ids, np.diff(ends, prepend=0))
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray | list[int]) -> None:
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _numbers(self, names: pa.Array, learn: Callable[[list[str]], None]) -> np.ndarray:
+        if not len(names):
+            return np.zeros(0, np.int64)
+        names = names.dictionary_encode()
+        number = pc.index_in(names.dictionary, value_set=self.known)
+        new, number = pc.is_null(number), pc.fill_null(number, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if (fresh := names.dictionary.filter(new)):
+            learn(fresh.to_pylist())
+            number[number < 0] = len(self.known) + np.arange(len(fresh))
+            self.known = pa.concat_arrays([self.known, fresh])
+        return number[names.indices.to_numpy(zero_copy_only=False)]
+
+    def _words(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of chunks that match ``_PLAIN``, and the words of each chunk."""
+        odd = pc.match_substring(chunks, "'").to_numpy(zero_copy_only=False)
+        # an apostrophe may begin a word: these chunks are cut by the whole pattern
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(
+            pc.utf8_lower(chunks.filter(pa.array(~odd))), r"([0-9]|[^a-zß-öø-ÿ0-9]+)", r" \1 "))
+        cut = [_WORDS.findall(c.lower()) for c in chunks.filter(pa.array(odd)).to_pylist()]
+        lists = pa.chunked_array([lists, pa.array(cut, lists.type)]).combine_chunks()
+        n_words = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        names = lists.flatten()
+        number = np.full(len(names), -1, np.int64)
+        full = pc.not_equal(names, "").to_numpy(zero_copy_only=False)
+        number[full] = self._numbers(names.filter(pa.array(full)), self._learn_words)
+        # back into the order of the chunks
+        order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+        size = np.empty(len(order), np.int64)
+        size[order] = n_words
+        first = np.empty(len(order), np.int64)
+        first[order] = np.cumsum(n_words) - n_words
+        at = _runs(first, size)
+        keep = full[at]
+        return number[at][keep], _sums(keep, size)
+
+    def encode_column(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by the end id, and how many each text has."""
+        if len(self.known) > CACHE_CHUNKS:
+            self._forget()
+        # of Python's and Unicode's white space only what is ASCII to both the library and Arrow
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        chunks = lists.flatten().dictionary_encode()
+        of, names = chunks.indices.to_numpy(zero_copy_only=False), chunks.dictionary
+        plain = pc.match_substring_regex(names, _PLAIN)
+        if self.added:
+            plain = pc.and_(plain, pc.invert(pc.match_substring_regex(names, self.added)))
+        plain = plain.to_numpy(zero_copy_only=False)
+        words, n_words = self._words(names.filter(pa.array(plain)))
+        rest = self._numbers(names.filter(pa.array(~plain)), self._learn)
+        # ids of each distinct chunk: plain ones first, then the others, one "word" each
+        number, per = np.concatenate([words, rest]), np.concatenate([n_words, np.ones(len(rest), np.int64)])
+        size = np.diff(self.ends)[number]
+        ids = self.ids[_runs(self.ends[number], size)]
+        sizes = np.empty(len(names), np.int64)
+        first = np.empty(len(names), np.int64)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        sizes[order] = _sums(size, per)
+        first[order] = np.cumsum(sizes[order]) - sizes[order]
+        # the end id is one more chunk behind each text
+        ids = np.append(ids, np.uint32(end))
+        n_chunks = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        last = np.cumsum(n_chunks)
+        size, first = np.insert(sizes[of], last, 1), np.insert(first[of], last, len(ids) - 1)
+        return ids[_runs(first, size)], _sums(size, n_chunks + 1)
 
     def encode(self, texts: Iterable[str | None], end: int) -> Iterator[bytes]:
         """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""
-        # str.split also cuts at the four separators, which the library keeps
-        texts = [[] if not t else re.split("[ \n\r\t]+", t) if _SEPARATORS.search(t) else t.split() for t in texts]
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
-        new = set().union(*texts) - self.chunks.keys()
-        plain = {c: _ASCII_WORDS.findall(c.lower()) for c in new
-                 if c.isascii() and not any(a in c for a in self.added) and not _SEPARATORS.search(c)}
-        wanted = set().union(*plain.values())
-        if len(self.words) > CACHE_CHUNKS:
-            self.words.clear()
-        self._learn_words(list(wanted - self.words.keys()))
-        for c, words in plain.items():
-            self.chunks[c] = b"".join([self.words[w] for w in words])
-        self._learn(self.chunks, [c for c in new if c not in plain])
-        tail, look = np.array([end], np.uint32).tobytes(), self.chunks.__getitem__
-        for c in texts:
-            yield b"".join(map(look, c)) + tail
+        ids, sizes = self.encode_column(pa.array(list(texts), pa.large_string()), end)
+        for x in np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else ():
+            yield x.tobytes()
+
+
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``first[i]``, ``first[i] + 1``, ... (``size[i]`` of them) for each ``i``, one after the other."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _sums(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums over runs of ``size[i]`` entries of ``x``."""
+    sums = np.concatenate([[0], np.cumsum(x)])
+    ends = np.cumsum(size)
+    return sums[ends] - sums[ends - size]
 
 
 @functools.lru_cache(maxsize=2)
@@ -388,32 +495,51 @@ _GROUP = pa.schema([("file", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.
 GROUP = "file int, first long, doc_ids array<long>, lengths array<long>, tree binary, sizes array<int>, crcs array<long>, blocks array<binary>"
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], pa.Array]]:
+    """Ids and texts of as many batches as hold ``TEXT_BYTES``."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= TEXT_BYTES:
+            yield _together(held)
+            held, size = [], 0
+    if held:
+        yield _together(held)
+
+
+def _together(batches: list[pa.RecordBatch]) -> tuple[list[int | None], pa.Array]:
+    return ([x for b in batches for x in b.column(0).to_pylist()],
+            pa.concat_arrays([b.column(1).cast(pa.large_string()) for b in batches]))
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Token files of ``docs`` in ascending order of id below ``path``."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, file, first = load(tokenizer), TaskContext.get().partitionId(), 0
-        ids, docs, n = [], [], 0
+        ids, docs, lengths, n = [], [], [], 0
 
         def group() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(ids), np.uint32)
-            tree, coded = encode_blocks(flat)
-            row = {"file": file, "first": first, "doc_ids": docs, "lengths": [len(x) // 4 for x in ids], "tree": tree,
+            tree, coded = encode_blocks(np.concatenate(ids))
+            row = {"file": file, "first": first, "doc_ids": docs, "lengths": lengths, "tree": tree,
                    "sizes": [b[0] for b in coded], "crcs": [b[1] for b in coded], "blocks": [b[2] for b in coded]}
             return pa.RecordBatch.from_pylist([row], schema=_GROUP)
 
-        for b in batches:
-            step = 512
-            for lo in range(0, b.num_rows, step):
-                part = b.slice(lo, step)
-                for doc, x in zip(part.column(0).to_pylist(), tok.encode(part.column(1).to_pylist(), end)):
-                    docs.append(doc)
-                    ids.append(x)
-                    n += len(x) // 4
-                    if n >= GROUP_IDS:
-                        yield group()
-                        first, ids, docs, n = first + n, [], [], 0
+        for names, texts in _gathered(batches):
+            flat, sizes = tok.encode_column(texts, end)
+            ends, at = np.cumsum(sizes), 0
+            while at < len(sizes):
+                base = ends[at] - sizes[at]
+                stop = min(int(np.searchsorted(ends, base + GROUP_IDS - n)) + 1, len(sizes))
+                docs += names[at:stop]
+                lengths += sizes[at:stop].tolist()
+                ids.append(flat[base:ends[stop - 1]])
+                n, at = n + len(ids[-1]), stop
+                if n >= GROUP_IDS:
+                    yield group()
+                    first, ids, docs, lengths, n = first + n, [], [], [], 0
         if docs:
             yield group()
 

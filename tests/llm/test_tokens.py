@@ -88,6 +88,38 @@ def test_token_file_query_against_the_library(spark, sf, docs):
     assert sorted(map(str, seen)) == sorted(map(str, exp))
 
 
+def test_each_word_of_latin_letters_goes_through_the_library_once():
+    tok = token_codec.Tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    lib, asked = tok.library, []
+
+    class Counting:
+        def encode_batch_fast(self, x, add_special_tokens):
+            asked.extend(w for t in x for w in t.split())
+            return lib.encode_batch_fast(x, add_special_tokens=add_special_tokens)
+
+    tok.library = Counting()
+    rows = ["Größe, größe. GRÖSSE größe! (größe) große's", None, "größe\x0bÀ1ÿ2 don't!'s 'Tis l'été", "a<|endoftext|>b ÷ µm été\xa0x"] * 3
+    got = [np.frombuffer(x, np.uint32).tolist() for x in tok.encode(rows, 2)]
+    assert got == [[*lib.encode(t or "", add_special_tokens=False).ids, 2] for t in rows]
+    assert asked.count("größe") == 1 and "größe," not in asked
+    first = len(asked)
+    assert len(list(tok.encode(rows, 2))) == len(rows) and len(asked) == first
+
+
+def test_groups_end_with_the_document_that_fills_them(spark, docs, monkeypatch):
+    from souk.llm.common import shared_path
+
+    monkeypatch.setattr(token_codec, "GROUP_IDS", 10)
+    rows = [(i, "one two three " * (i % 5)) for i in range(60)]
+    path = shared_path(spark, "t-groups")
+    token_codec.write(docs(rows).coalesce(1), path, public_tokenizers.path("word_bpe_49k.json"), 2)
+    groups = [r["lengths"] for r in spark.read.parquet(path).select("lengths").collect()]
+    assert sum(map(len, groups)) == 60 and sum(map(sum, groups)) == sum(3 * (i % 5) + 1 for i in range(60))
+    assert all(sum(g[:-1]) < 10 for g in groups)
+    got = {r["doc_id"]: len(r["ids"]) for r in token_codec.read_ids(spark, path).collect()}
+    assert got == {i: 3 * (i % 5) + 1 for i, _ in rows}
+
+
 def test_blocks_round_trip_and_damage_shows():
     r = np.random.default_rng(1)
     for x in (np.zeros(0), [5], r.integers(0, 1 << 20, 3000), np.zeros(5000), r.integers(0, 50, 4000), np.tile(np.arange(37), 120)):
