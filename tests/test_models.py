@@ -161,6 +161,55 @@ def test_forest_rows_weigh_poisson_and_runs_repeat(spark):
     assert a == b and a.r2 > 0.5
 
 
+def test_comparison_grows_ensembles_of_all_trees(spark, monkeypatch):
+    from souk.plans import more
+    df, seen, grown = orders_df(spark, _model_rows(200)).withColumn("revenue", F.col("base_price") * 3.0), [], ML._grown
+
+    def fewer(rows, lay, estimators, seed):
+        seen.append([(e.getMaxDepth(), e.getMaxIter() if hasattr(e, "getMaxIter") else e.getNumTrees() if hasattr(e, "getNumTrees") else 1)
+                     for e in estimators.values()])
+        few = ML.regressors(seed, 2)
+        return grown(rows, lay, {k: next(f for f in few.values() if type(f) is type(e)) for k, e in estimators.items()}, seed)
+
+    monkeypatch.setattr(ML, "_grown", fewer)
+    monkeypatch.setattr(more, "shared_fact", lambda spark, sf_dir: df)
+    monkeypatch.setattr(more.FE, "engineer", lambda rows: rows)
+    assert len(more.q_model_comparison(spark, "").collect()) == 4
+    assert seen == [[(8, 1), (10, 100), (6, 100)]]
+
+
+def test_trees_are_the_same_however_their_sums_move(spark, monkeypatch):
+    from souk.operators import trees as TR
+    rng = np.random.default_rng(4)
+    rows = [(float(x), float(rng.integers(3)), float(x * (k % 3) + rng.normal())) for k, x in enumerate(rng.normal(size=600))]
+    lay = TR.layout(df := spark.createDataFrame(rows, "p double, c double, revenue double").repartition(3), ["p"], ["c"], [3], 16, 1)
+    blocks = TR.blocks(df, lay, "revenue")
+
+    def grown():
+        forest, boosted = TR.grow(blocks, lay, [4, 2, 4, 3], [None, 1, 2, 3]), TR.boost(blocks, lay, 6, 3, 0.1)[0]
+        return [[x.tolist() for x in (t.feature, t.low, t.span, t.child, t.value)] for t in forest + boosted]
+
+    whole = grown()
+    assert len(whole) == 10 and all(len(x[0]) > 1 for x in whole)
+    monkeypatch.setattr(TR, "DRIVER_BYTES", 0)               # sums move between tasks
+    assert grown() == whole
+    monkeypatch.setattr(TR, "LEVEL_BYTES", 16 * int(lay.starts[-1]) * 5)    # of five nodes at a time
+    assert list(TR._runs([[0] * 4, [], [0], [0], [0] * 9, []], 5)) == [(0, 3), (3, 4), (4, 6)]
+    assert grown() == whole
+
+
+def test_boosted_trees_leave_no_residuals_behind(spark, tmp_path):
+    from pathlib import Path
+
+    from souk.operators import trees as TR
+    rows = [(float(k % 7), float(k % 3), float(k % 7 * (k % 3))) for k in range(200)]
+    lay = TR.layout(df := spark.createDataFrame(rows, "p double, c double, revenue double"), ["p"], ["c"], [3], 16, 1)
+    blocks, kept = TR.blocks(df, lay, "revenue"), Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(kept.iterdir())
+    assert len(TR.boost(blocks, lay, 7, 2, 0.1)[0]) == 7
+    assert not set(kept.iterdir()) - before and blocks.count() > 0
+
+
 def test_label_codes(spark):
     df = spark.createDataFrame([("b", "x"), ("a", None), ("b", "y"), (None, "x"), ("C", "x")], "u string, v string")
     assert sorted(tuple(r) for r in ML.label_codes(df, ["u", "v"]).collect()) == [
