@@ -12,7 +12,9 @@ range coder.  All arithmetic is on whole numbers, so every machine decodes alike
 
 The ids are cut into blocks of ``BLOCK``; every block starts with fresh
 statistics and carries the CRC-32 of its ids, so blocks decode independently and
-damage is noticed.  Many blocks are coded in step as lanes of numpy arrays.  A group
+damage is noticed.  Spark's tasks code them in the JVM, by the functions of
+``TokenCoder.java``; ``encode_blocks`` and ``decode_blocks`` are the same in numpy (many
+blocks in step), to the same bytes and without Spark.  A group
 holds whole documents: their ids and lengths and the coded blocks.  Documents
 are range-partitioned by id (and text, so that one id's rows can be split), so
 files and groups follow in ascending order; the position of a document is its
@@ -29,15 +31,19 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import os
 import re
+import tempfile
+import zipfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souk.llm.common import shared_path, small_batches
@@ -239,12 +245,17 @@ class _Lanes:
             at = at[self.range[at] < _LEAST]
 
 
+def leaf_depths(ids: np.ndarray) -> np.ndarray:
+    """``code_lengths`` of these ids (uint32)."""
+    if len(ids) and int(ids.max()) >= _MOST_IDS:
+        raise ValueError("ids of 2 ** 20 and more can't be coded")
+    return code_lengths(np.bincount(ids))
+
+
 def encode_blocks(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> tuple[bytes, list[tuple[int, int, bytes]]]:
     """The tree (deflated depths of its leaves) and (number of ids, CRC-32 of them, coded
     bytes) of each block of ``ids`` (uint32)."""
-    if len(ids) and int(ids.max()) >= _MOST_IDS:
-        raise ValueError("ids of 2 ** 20 and more can't be coded")
-    lengths = code_lengths(np.bincount(ids))
+    lengths = leaf_depths(ids)
     out: list[tuple[int, int, bytes]] = []
     if len(ids):
         tree, n = _Tree(lengths), -(-len(ids) // block)
@@ -278,10 +289,11 @@ def _encode_lanes(ids: np.ndarray, tree: _Tree, block: int) -> list[tuple[int, i
         step += 1
         m.follow(leaf, own[leaf])
         at[leaf] += 1
-        over = leaf[at[leaf] == end[leaf]]
+        last = leaf[at[leaf] == end[leaf]]
+        over = last[busy[last]]
         size[lane[over]], tail[lane[over]] = used[over], m.low[over]
         busy[over] = False
-        at[over] -= 1            # an idle lane repeats its last id, unheard, until a fifth of all are idle
+        at[last] -= 1            # an idle lane repeats its last id, unheard, until a fifth of all are idle
         own[leaf] = ids[at[leaf]]
         step[leaf] = tree.start[own[leaf]]
         if len(over) and np.count_nonzero(busy) < 0.8 * len(busy):
@@ -489,10 +501,30 @@ def load(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-_GROUP = pa.schema([("file", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
-                    ("lengths", pa.list_(pa.int64())), ("tree", pa.binary()), ("sizes", pa.list_(pa.int32())), ("crcs", pa.list_(pa.int64())),
-                    ("blocks", pa.list_(pa.binary()))])
 GROUP = "file int, first long, doc_ids array<long>, lengths array<long>, tree binary, sizes array<int>, crcs array<long>, blocks array<binary>"
+_UNCODED = "file int, first long, doc_ids array<long>, lengths array<long>, tree binary, ids binary"
+
+_LOADERS: dict[str, object] = {}     # of an application, that of the classes of ``TokenCoder.java``
+
+
+def _coder(spark: SparkSession, name: str, returns: str, *columns: Column | str) -> Column:
+    """The function ``name`` of ``TokenCoder.java`` on these columns.  Spark's own compiler
+    compiles it once an application; executors get it as a jar."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _LOADERS:
+        compiler = sc._jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.setParentClassLoader(sc._jvm.java.lang.Thread.currentThread().getContextClassLoader())
+        compiler.cook(Path(__file__).with_name("TokenCoder.java").read_text(encoding="utf-8"))
+        classes = compiler.getBytecodes()
+        jar = os.path.join(tempfile.mkdtemp(prefix="souk-coder-"), "souk-token-coder.jar")
+        with zipfile.ZipFile(jar, "w") as z:
+            for c in classes:
+                z.writestr(f"{c.replace('.', '/')}.class", bytes(classes[c]))
+        sc._jsc.addJar(jar)
+        _LOADERS[sc.applicationId] = compiler.getClassLoader()
+    own = _LOADERS[sc.applicationId].loadClass(f"souk.TokenCoder${name}").newInstance()
+    spark._jsparkSession.udf().register(f"souk_token_{name}", own, sc._jvm.org.apache.spark.sql.types.DataType.fromDDL(returns))
+    return F.call_udf(f"souk_token_{name}", *columns)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], pa.Array]]:
@@ -522,10 +554,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, id_col: str = "d
         ids, docs, lengths, n = [], [], [], 0
 
         def group() -> pa.RecordBatch:
-            tree, coded = encode_blocks(np.concatenate(ids))
-            row = {"file": file, "first": first, "doc_ids": docs, "lengths": lengths, "tree": tree,
-                   "sizes": [b[0] for b in coded], "crcs": [b[1] for b in coded], "blocks": [b[2] for b in coded]}
-            return pa.RecordBatch.from_pylist([row], schema=_GROUP)
+            flat = np.concatenate(ids)
+            raw = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, flat.nbytes], np.int32)), pa.py_buffer(flat)])
+            row = {"file": pa.array([file], pa.int32()), "first": pa.array([first], pa.int64()),
+                   "doc_ids": pa.array([docs], pa.list_(pa.int64())), "lengths": pa.array([lengths], pa.list_(pa.int64())),
+                   "tree": pa.array([zlib.compress(leaf_depths(flat).tobytes())], pa.binary()), "ids": raw}
+            return pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
 
         for names, texts in _gathered(batches):
             flat, sizes = tok.encode_column(texts, end)
@@ -547,28 +581,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, id_col: str = "d
     # text hash and row number let the rows of one id, equal ones too, go to several files
     rows = rows.withColumns({"key": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     rows = rows.repartitionByRange("id", "key", "row").sortWithinPartitions("id", "key", "row").select("id", "text")
-    rows.mapInArrow(run, GROUP).write.parquet(path)
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[np.ndarray]]]:
-    for b in batches:
-        for i in range(b.num_rows):
-            row = b.slice(i, 1).to_pylist()[0]
-            ids = decode_blocks(row["tree"], list(zip(row["sizes"], row["crcs"], row["blocks"])))
-            yield row, np.split(ids, np.cumsum(row["lengths"])[:-1])
+    coded = _coder(docs.sparkSession, "Encode", "sizes array<int>, crcs array<long>, blocks array<binary>", "ids", "tree", F.lit(BLOCK))
+    rows = rows.mapInArrow(run, _UNCODED).withColumn("coded", coded)
+    rows.select("file", "first", "doc_ids", "lengths", "tree", "coded.*").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, docs in _groups(batches):
-            start = row["first"] + np.cumsum([0, *row["lengths"][:-1]])
-            crc = [zlib.crc32(x.tobytes()) for x in docs]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row["file"]] * len(docs), pa.int32()), pa.array(row["doc_ids"], pa.int64()),
-                 pa.array(start, pa.int64()), pa.array(row["lengths"], pa.int64()), pa.array(crc, pa.int64())],
-                names=["file", "doc_id", "at", "n_tokens", "ids_crc32"])
-
     files = spark.read.schema(GROUP).parquet(path)
     totals = files.groupBy("file").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     base, bases = 0, []
@@ -576,20 +595,24 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         bases.append((r["file"], base))
         base += r["n"]
     bases = spark.createDataFrame(bases, "file int, base long")
-    found = files.mapInArrow(run, "file int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return found.join(F.broadcast(bases), "file").select(
-        "doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    told = _coder(spark, "Told", "array<struct<doc_id: long, at: long, n_tokens: long, ids_crc32: long>>",
+                  "doc_ids", "lengths", "tree", "sizes", "crcs", "blocks")
+    return files.select("file", "first", F.inline(told)).join(F.broadcast(bases), "file").select(
+        "doc_id", (F.col("base") + F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, ids) of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, docs in _groups(batches):
-            ends = np.cumsum([0, *map(len, docs)])
-            flat = np.concatenate(docs).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(flat))], names=["doc_id", "ids"])
-    return spark.read.schema(GROUP).parquet(path).mapInArrow(run, "doc_id long, ids array<int>")
+        for b in batches:
+            for docs, lengths, ids in zip(*b.columns):
+                ends = np.cumsum([0, *lengths.as_py()])
+                flat = np.frombuffer(ids.as_buffer(), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(docs.as_py(), pa.int64()), pa.ListArray.from_arrays(
+                    pa.array(ends, pa.int32()), pa.array(flat))], names=["doc_id", "ids"])
+    ids = _coder(spark, "Decode", "binary", "tree", "sizes", "crcs", "blocks")
+    files = spark.read.schema(GROUP).parquet(path).select("doc_ids", "lengths", ids.alias("ids"))
+    return files.mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, end: int) -> DataFrame:

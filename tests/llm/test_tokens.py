@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from souk.llm import bpe, queries, token_codec
@@ -135,6 +136,48 @@ def test_blocks_round_trip_and_damage_shows():
         token_codec.encode_blocks(np.array([1 << 20], np.uint32))
 
 
+def test_jvm_codes_to_the_same_bytes(spark):
+    r = np.random.default_rng(5)
+    some = [np.zeros(0), [5], [(1 << 20) - 1] * 9, r.integers(0, 1 << 20, 3000), np.zeros(5000), r.integers(0, 50, 4000), r.integers(0, 9000, 9000),
+            r.zipf(1.3, 30_000).clip(1, 49_000)]
+    some = [np.array(x, np.uint32) for x in some]
+    coded = [token_codec.encode_blocks(x, block=512) for x in some]
+    df = spark.createDataFrame([(i, x.tobytes(), c[0]) for i, (x, c) in enumerate(zip(some, coded))], "i int, ids binary, tree binary")
+    df = df.withColumn("c", token_codec._coder(spark, "Encode", "sizes array<int>, crcs array<long>, blocks array<binary>", "ids", "tree", F.lit(512)))
+    df = df.select("*", token_codec._coder(spark, "Decode", "binary", "tree", "c.sizes", "c.crcs", "c.blocks").alias("back"))
+    for x, (_, blocks), got in zip(some, coded, df.orderBy("i").collect()):
+        assert [(n, crc, bytes(b)) for n, crc, b in zip(got.c.sizes, got.c.crcs, got.c.blocks)] == blocks
+        assert bytes(got.back) == x.tobytes()
+
+
+def test_damaged_files_are_noticed(spark, docs):
+    from souk.llm.common import shared_path
+
+    path = shared_path(spark, "t-damage")
+    token_codec.write(docs([(i, f"text of number {i} " * 50) for i in range(40)]).coalesce(1), path, public_tokenizers.path("word_bpe_49k.json"), 2)
+    whole = spark.read.parquet(path)
+    worse = whole.withColumn("blocks", F.transform("blocks", lambda b: F.concat(F.lit(b"\x01\x02"), F.substring(b, 3, 1 << 20))))
+    worse.write.parquet(f"{path}-2")
+    assert token_codec.read(spark, path).count() == 40
+    for read in (token_codec.read, token_codec.read_ids):
+        with pytest.raises(Exception, match="damaged"):
+            read(spark, f"{path}-2").collect()
+
+
+def test_coding_a_group_takes_no_python_time(spark, docs, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("coded in Python")
+
+    from souk.llm.common import shared_path
+    monkeypatch.setattr(token_codec, "encode_blocks", refused)
+    monkeypatch.setattr(token_codec, "decode_blocks", refused)
+    path = shared_path(spark, "t-jvm")
+    token_codec.write(docs([(1, "one two"), (2, "three")]), path, public_tokenizers.path("word_bpe_49k.json"), 2)
+    plan = token_codec.read(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("souk_token_Told(") == 1
+    assert token_codec.read(spark, path).count() == 2
+
+
 def test_repeating_ids_take_little_room():
     x = np.tile(np.random.default_rng(2).integers(0, 49_000, 200), 20).astype(np.uint32)
     assert sum(len(b[2]) for b in token_codec.encode_blocks(x)[1]) < len(x) * 2 / 5
